@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "tokens")
+MODULES = ("langid", "quality", "tokens", "mixing")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
