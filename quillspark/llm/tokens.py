@@ -61,7 +61,7 @@ class PieceEncoder:
     string, go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000, end_id: int = END_ID):
+    def __init__(self, path: str, most: int = 350_000, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -70,21 +70,48 @@ class PieceEncoder:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.end = most, self.kind.type(end_id).tobytes()
-        self.cores: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        #: By lead and by generation, young and old.
+        self.cores: dict[str, tuple[dict, dict]] = {"": ({}, {}), " ": ({}, {})}
+        self.tails: tuple[dict, dict] = ({}, {})
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.spaced = np.zeros(self.size, bool)
+        self.spaced[[i for x, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if x.startswith(space)]] = True
 
     def _coded(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.kind.itemsize == 2 else "I"
         return [array(code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _recall(self, texts: pa.Array, known: dict[str, bytes]) -> list[bytes]:
-        """Codes of distinct texts; those not known are encoded and kept."""
-        if len(known) > self.most:
-            known.clear()
+    def _coded_words(self, words: list[str]) -> list[bytes]:
+        """As `_coded`, for spaces with letters after them: many go as one text.
+
+        Each such word is split off by itself, and only its first token begins with a space.
+        """
+        groups = [words[k : k + 100] for k in range(0, len(words), 100)]
+        ids = np.concatenate([np.zeros(0, np.int64), *[x.ids for x in self.tokenizer.encode_batch_fast(["".join(x) for x in groups], add_special_tokens=False)]]).astype(self.kind)
+        starts = (np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.kind.itemsize).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+    def _coded_mixed(self, texts: list[str]) -> list[bytes]:
+        spaced = [x[0] == " " for x in texts]
+        words = iter(self._coded_words([x for x, s in zip(texts, spaced, strict=True) if s]))
+        rest = iter(self._coded([x for x, s in zip(texts, spaced, strict=True) if not s]))
+        return [next(words) if s else next(rest) for s in spaced]
+
+    def _recall(self, texts: pa.Array, known: tuple[dict, dict], code) -> list[bytes]:
+        """Codes of distinct texts. What was not asked for since the last change of generations goes."""
+        young, old = known
         texts = texts.to_pylist()
-        new = list(set(texts).difference(known))
-        known.update(zip(new, self._coded(new), strict=True))
-        return [known[x] for x in texts]
+        new = set(texts).difference(young)
+        young.update((x, old[x]) for x in new.intersection(old))
+        new = list(new.difference(old))
+        young.update(zip(new, code(new), strict=True))
+        out = [young[x] for x in texts]
+        if len(young) > self.most:
+            old.clear()
+            old.update(young)
+            young.clear()
+        return out
 
     def _pieces(self, pieces: pa.Array, lead: str) -> list[bytes | None]:
         """Codes of distinct pieces; None for those that are not safe to encode alone.
@@ -97,8 +124,12 @@ class PieceEncoder:
         out = np.empty(len(pieces), object)
         if len(words := pieces.filter(worded)):
             cores, tails = core.filter(worded).dictionary_encode(), pc.replace_substring_regex(words, r"^\n?\pL+", "").dictionary_encode()
-            spaced = pc.if_else(pc.starts_with(cores.dictionary, "\n"), cores.dictionary, pc.binary_join_element_wise(pa.scalar(lead, pieces.type), cores.dictionary, pa.scalar("", pieces.type)))
-            parts = [pa.array(self._recall(x, known), pa.large_binary()).take(y) for x, known, y in ((spaced, self.cores, cores.indices), (tails.dictionary, self.tails, tails.indices))]
+            kinds = [(cores, self.cores[""], self._coded)]
+            if lead:
+                cores = pa.DictionaryArray.from_arrays(cores.indices, pc.if_else(pc.starts_with(cores.dictionary, "\n"), cores.dictionary, pc.binary_join_element_wise(pa.scalar(lead, pieces.type), cores.dictionary, pa.scalar("", pieces.type))))
+                kinds = [(cores, self.cores[lead], self._coded_mixed)]
+            kinds.append((tails, self.tails, self._coded))
+            parts = [pa.array(self._recall(x.dictionary, known, code), pa.large_binary()).take(x.indices) for x, known, code in kinds]
             out[worded.to_numpy(zero_copy_only=False)] = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary())).to_pylist()
         rest = np.flatnonzero(~worded.to_numpy(zero_copy_only=False))
         plain = [x for x in pieces.take(pa.array(rest)).to_pylist()]
