@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("langid", "quality", "tokens", "mixing")
+MODULES = ("langid", "quality", "jaccard", "tokens", "mixing")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
