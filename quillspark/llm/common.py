@@ -8,6 +8,9 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,14 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def own_texts(column: pa.Array) -> pa.Array:
+    """A column's texts as large strings in buffers of their own; null is empty.
+
+    Arrow's string functions misread large strings cast from a slice, whose offsets start above 0.
+    """
+    return pc.fill_null(column.take(pa.array(np.arange(len(column)))).cast(pa.large_string()), "")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; all else stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

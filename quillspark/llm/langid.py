@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import own_texts, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -136,8 +136,8 @@ class ByteCnn:
 
     def predict(self, texts: pa.Array, tables: list, at_once: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """(class or -1, score) of each text."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        texts = own_texts(texts)
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
         size = np.diff(bounds)
         n = np.maximum(1, -(-size // WINDOW))

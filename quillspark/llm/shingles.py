@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from .common import own_texts
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -25,8 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' word hashes in a row, and where each text starts (and the end)."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(own_texts(texts)))
     coded = cut.flatten().dictionary_encode()
     table = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     which = coded.indices.to_numpy()

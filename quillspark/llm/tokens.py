@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import fresh_dir, staged, table
+from .common import fresh_dir, own_texts, staged, table
 from .huffman import LIMIT, Code, code_lengths
 
 BLOCK = 1 << 16
@@ -145,7 +145,7 @@ class PieceEncoder:
         Cutting, telling pieces apart and putting ids together are Arrow's; Python sees each
         distinct piece of the batch once.
         """
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = own_texts(texts)
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
