@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lm", "langid", "quality", "jaccard", "tokens", "mixing")
+MODULES = ("lm", "langid", "quality", "jaccard", "decontaminate", "tokens", "mixing")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
