@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_dir, fresh_dir, staged, table
@@ -102,6 +102,17 @@ def signatures(s: np.ndarray, frequent: np.ndarray, num: int = NUM, den: int = D
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by their low bits, 2 ** (band + 1) of them and 64 at least.
+
+    Each shingle that only one of two sets has flips one bit, so sketches differ in no more bits
+    than the sets do in shingles. Half a sketch xor the other half is that of the next lower band.
+    """
+    size = max(64, 2 << band_of(len(s)))
+    odd = (np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Hashes that several different sets of a bounded sample share, sorted."""
     total = docs.count()
@@ -120,7 +131,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def signed(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, f1, f2, regions) of each text."""
+    """(doc_id, n, f1, f2, regions, sketch) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,9 +140,9 @@ def signed(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int) ->
                 sets = shingle_sets(part.column(1), k)
                 marks = [fingerprint(s) for s in sets]
                 regions = pa.array([signatures(s, frequent, num, den) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), regions], names=["doc_id", "n", "f1", "f2", "regions"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), regions, pa.array([sketch(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "f1", "f2", "regions", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, regions array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, regions array<long>, sketch array<long>")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -172,72 +183,91 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     all_signed = spark.read.parquet(path)
     one = all_signed.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("f")).select("doc_id", "f.*")
     rep_of = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    lists = all_signed.where("n > 0").groupBy("f1", "f2").agg(F.first("regions").alias("regions"))
-    reps = staged(rep_of.join(lists, ["f1", "f2"]).select(F.col("rep").alias("id"), "regions"), "jaccard-sets")
+    lists = all_signed.where("n > 0").groupBy("f1", "f2").agg(F.first(F.struct("n", "regions", "sketch")).alias("x"))
+    reps = staged(rep_of.join(lists, ["f1", "f2"]).select(F.col("rep").alias("id"), "x.*"), "jaccard-sets")
     rows = all_signed.select("doc_id", "n").join(one.join(rep_of, ["f1", "f2"]).select("doc_id", "rep"), "doc_id", "left")
     docs_reps = staged(rows, "jaccard-docs")
     drop_dir(spark, path)
     reclaim(spark)
     members = _members(reps)
     reclaim(spark)
-    links = _links(docs, members, k, num, den)
+    links = _links(docs, members, reps.select("id", "n", "sketch"), k, num, den)
     found = components(links)
     named = docs_reps.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def _members(reps: DataFrame) -> DataFrame:
-    """(region, id) of the regions with two vertices or more."""
+    """(region, id, size) of the regions with two vertices or more; of regions with the same vertices, one."""
     rows = reps.select(F.explode("regions").alias("region"), "id")
-    crowded = rows.groupBy("region").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("region")
-    return staged(rows.join(crowded, "region"), "jaccard-regions")
+    crowded = staged(rows.groupBy("region").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("region"), "jaccard-crowded")
+    reclaim(reps.sparkSession)
+    found = staged(rows.join(crowded, "region"), "jaccard-regions")
+    marks = found.groupBy("region").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    kept = marks.groupBy("size", "x", "y").agg(F.min("region").alias("region")).select("region", "size")
+    return staged(found.join(kept, "region"), "jaccard-regions")
 
 
-def _links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _links(docs: DataFrame, members: DataFrame, sketches: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b) links that connect all that is linked."""
     spark = docs.sparkSession
-    needed = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = staged(sets_of(docs.join(needed, "doc_id", "left_semi"), k), "jaccard-shingles")
-    reclaim(spark)
-
-    # First round: each vertex meets the pivot that it shares most regions with.
-    pivots = members.groupBy("region").agg(F.min("id").alias("p"))
-    shared = members.join(pivots, "region").where("id <> p").groupBy("id", "p").count()
-    best = shared.groupBy("id").agg(F.max_by("p", F.struct("count", -F.col("p"))).alias("p"))
-    known = [staged(measured(best.select(F.col("id").alias("a"), F.col("p").alias("b")), sets), "jaccard-known")]
-    active, pivot_share = members, PIVOTS
+    known = decided = sets = None
+    active, pivots = members, PIVOTS
     while True:
-        seen = known[0]
-        for more in known[1:]:
-            seen = seen.unionByName(more)
-        links = seen.where(F.col("inter") * den >= F.col("total") * num).select("a", "b")
-        found = components(links)
-        active = active.select("region", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_regions = active.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region", "size")
-        active = staged(active.join(open_regions, "region"), "jaccard-open")
-        if active.isEmpty():
-            return links
         u = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-        chosen = active.where(u * F.col("size") < pivot_share).select("region", F.col("id").alias("p"), F.col("component").alias("p_component"))
-        pairs = active.join(chosen, "region").where("component <> p_component").select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
-        either = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = pairs.join(either, ["a", "b"], "left_anti")
-        known.append(staged(measured(_not_ruled_out(pairs, known[0], num, den), sets), "jaccard-known"))
-        if chosen.count() == active.count():
-            links = links.unionByName(known[-1].where(F.col("inter") * den >= F.col("total") * num).select("a", "b"))
+        chosen = active.where(u * F.col("size") < pivots).select("region", F.col("id").alias("p"), *([F.col("component").alias("p_component")] if known is not None else []))
+        if known is None:  # every region has a pivot that its regions' vertices have in common
+            chosen = chosen.unionByName(active.groupBy("region").agg(F.min("id").alias("p"))).distinct()
+        pairs = active.join(chosen, "region").where("id <> p")
+        if known is not None:
+            pairs = pairs.where("component <> p_component")
+        pairs = pairs.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
+        if known is not None:
+            pairs = _not_ruled_out(pairs.join(decided, ["a", "b"], "left_anti"), known, num, den)
+        pairs = staged(pairs, "jaccard-pairs")
+        near = staged(_alike(pairs, sketches, num, den), "jaccard-near")
+        ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+        new = ids if sets is None else ids.join(sets.select("id"), "id", "left_anti")
+        more = staged(sets_of(docs.join(new.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k), "jaccard-shingles")
+        sets = more if sets is None else sets.unionByName(more)
+        found = staged(measured(near, sets.join(ids, "id", "left_semi")), "jaccard-known")
+        known = found if known is None else known.unionByName(found)
+        decided = pairs if decided is None else decided.unionByName(pairs)
+        links = known.where(F.col("inter") * den >= F.col("total") * num).select("a", "b")
+        open_regions = active.where(F.col("size") > pivots).select("region", "id", "size")
+        if open_regions.isEmpty():
+            return links
+        named = open_regions.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = named.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
+        active = staged(named.join(mixed, "region", "left_semi"), "jaccard-open")
+        if active.isEmpty():
             return links
-        pivot_share *= 4
+        pivots *= 4
+        reclaim(spark)
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that sizes and sketches leave possible: sketches differ in R bits at most."""
+    side = lambda v: sketches.select(F.col("id").alias(v), F.col("n").alias(f"n_{v}"), F.col("sketch").alias(f"s_{v}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    both = both.where(least * den >= most * num)
+
+    def folded(s: str, other: str) -> Column:
+        half = F.greatest(F.size(s) / 2, F.lit(1)).cast("int")
+        return F.when(F.size(s) > F.size(other), F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(s))
+
+    apart = F.aggregate(F.zip_with(folded("s_a", "s_b"), folded("s_b", "s_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return both.where(apart * (den + num) <= (den - num) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _not_ruled_out(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose distances to a common pivot differ by no more than r = 1 - num / den."""
-    d = (1 - F.col("inter") / F.col("total")).alias("d")
-    to_a = known.select("a", F.col("b").alias("q"), d.alias("d_a"))
-    to_b = known.select(F.col("a").alias("b"), F.col("b").alias("q_b"), d.alias("d_b"))
-    r = 1 - num / den + 1e-9
-    both = pairs.join(to_a, "a", "left").join(to_b, "b", "left")
-    apart = (F.col("q") == F.col("q_b")) & (F.abs(F.col("d_a") - F.col("d_b")) > r)
-    return both.where(~F.coalesce(apart, F.lit(False))).select("a", "b")
+    """Pairs without a common pivot whose distances to it differ by more than r = 1 - num / den."""
+    d = 1 - F.col("inter") / F.col("total")
+    both = known.select(F.col("a").alias("v"), F.col("b").alias("q"), d.alias("d")).union(known.select("b", "a", d))
+    to_a, to_b = (both.select(F.col("v").alias(x), F.col("q").alias(f"q_{x}"), F.col("d").alias(f"d_{x}")) for x in "ab")
+    far = pairs.join(to_a, "a").join(to_b, "b").where((F.col("q_a") == F.col("q_b")) & (F.abs(F.col("d_a") - F.col("d_b")) > 1 - num / den + 1e-9))
+    return pairs.join(far.select("a", "b").distinct(), ["a", "b"], "left_anti")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
