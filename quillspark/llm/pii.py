@@ -6,8 +6,9 @@ radix by radix, by digits of SHA-512 of key, kind, round and the other half. Wha
 a permutation of the kind's valid values, so equal values get equal pseudonyms in all documents
 and different values different ones, and a pseudonym passes the same validation:
 
-card    13-19 digits with Luhn's check; all but the check digit are permuted, it is computed anew
-phone   North American numbers; area and exchange keep starting with 2-9
+card    13-19 digits that start with 2-6 and pass Luhn's check; the check digit is computed anew
+phone   North American numbers after +1, with the area in brackets, or with an area and
+        an exchange from 200 on; the two keep starting with 2-9 or with 0-1
 ssn     social security numbers: area 001-899 but 666, group 01-99, serial 0001-9999
 ip      IPv4 addresses, four octets
 date    yyyy-MM-dd, yyyy/MM/dd, dd.MM.yyyy and dd/MM/yyyy from 1800 to 2199: 146097 = 189 * 773 days
@@ -37,8 +38,8 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
     "date": r"(?<![\w/.-])(?:[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4})(?![\w/-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|(?<![\w.-])[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?!\w)",
-    "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
+    "phone": r"(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?|\([0-9]{3}\) ?[0-9]{3}[ .-]|(?<![\w.-])[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-])[0-9]{4}(?!\w)",
+    "card": r"(?<![\w.-])[2-6](?:[ -]?[0-9]){12,18}(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Marks a cut; a text's own mark is doubled by another sign meanwhile.
@@ -94,7 +95,9 @@ def luhn_sum(digits: Column, odd: int) -> Column:
 def _card(x: Column, key: str) -> Column:
     def made(d: Column) -> Column:
         body = F.substr(d, F.lit(1), F.length(d) - 1)
-        new = F.array_join(feistel(numbers(body), F.transform(F.split(body, ""), lambda c: F.lit(10).cast("long")), "card", key), "")
+        low = F.transform(numbers(body), lambda v, i: F.when(i == 0, F.lit(2)).otherwise(0).cast("long"))
+        radices = F.transform(low, lambda v: F.when(v == 2, F.lit(5)).otherwise(10).cast("long"))
+        new = F.array_join(F.zip_with(feistel(F.zip_with(numbers(body), low, lambda a, b: a - b), radices, "card", key), low, lambda a, b: a + b), "")
         full = let(new, lambda b: F.concat(b, F.pmod(-luhn_sum(b, 0), F.lit(10)).cast("string")))
         return F.when(luhn_sum(d, 1) % 10 == 0, into_format(x, full))
 
@@ -103,8 +106,8 @@ def _card(x: Column, key: str) -> Column:
 
 def _phone(x: Column, key: str) -> Column:
     national = F.substr(digits_of(x), F.length(digits_of(x)) - 9, F.lit(10))
-    low = F.array(*[F.lit(2 if k in (0, 3) else 0).cast("long") for k in range(10)])
-    radices = F.array(*[F.lit(8 if k in (0, 3) else 10).cast("long") for k in range(10)])
+    low = F.transform(numbers(national), lambda v, i: F.when(i.isin(0, 3) & (v >= 2), F.lit(2)).otherwise(0).cast("long"))
+    radices = F.transform(numbers(national), lambda v, i: F.when(~i.isin(0, 3), F.lit(10)).when(v >= 2, F.lit(8)).otherwise(2).cast("long"))
     new = F.array_join(F.zip_with(feistel(F.zip_with(numbers(national), low, lambda a, b: a - b), radices, "phone", key), low, lambda a, b: a + b), "")
     lead = F.substr(digits_of(x), F.lit(1), F.length(digits_of(x)) - 10)
     return into_format(x, F.concat(lead, new))
