@@ -61,7 +61,7 @@ class PieceEncoder:
     string, go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 350_000, end_id: int = END_ID):
+    def __init__(self, path: str, most: int = 250_000, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -176,7 +176,7 @@ def _encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def _slices(texts: pa.Array, most: int = 12_000_000) -> Iterator[tuple[int, pa.Array]]:
+def _slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Runs of texts with about `most` bytes, one text at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     start = 0
