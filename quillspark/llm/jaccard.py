@@ -19,12 +19,11 @@ takes its pivots in subspaces, where the same inequality separates texts:
   results (`signatures` says why).
 
 Texts with equal sets are one vertex from the start. Regions with two vertices or more are then
-joined recursively: a pivot document, the others' exact distances to it, links within r. Regions
-whose vertices are all connected are done. The others take more pivots each round, four times as
-many as before; pairs the inequality rules out or that are connected already are not looked at; once
-a region has as many pivots as vertices it is joined exactly. A region's pairs are never listed but
-for pivots, and a region is never one task: pivots join its members by an equi-join that
-adaptive execution splits.
+joined recursively and exactly. First, each vertex meets one pivot document of its regions (small regions: all
+pairs); sizes and parity sketches rule pairs out, exact distances decide the rest. Regions whose vertices are
+all connected are done. Vertices of the others are divided again, by their rarest shingles, and
+gather around pivot documents; blocks of these regions meet two by two in tasks of bounded size, where the triangle
+inequality and sketches rule out pairs before any is listed, and exact distances decide.
 
 Rows with one doc_id are one document; where their texts differ, the set with the least fingerprint
 is its set (n_shingles is each row's own). A null doc_id links with nothing and has no component. A
@@ -48,9 +47,10 @@ from .shingles import fingerprint, mix, shingle_sets
 
 NUM, DEN, WORDS = 80, 100, 5
 #: Rows whose shingles tell which are frequent, at most about, and in how many of them.
-SAMPLE_ROWS = 3000
-FREQUENT = 4
+SAMPLE_ROWS = 20_000
+FREQUENT = 3
 PIVOTS = 4
+BLOCK = 256
 
 
 def band_of(n: int) -> int:
@@ -210,40 +210,110 @@ def _members(reps: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, members: DataFrame, sketches: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b) links that connect all that is linked."""
-    spark = docs.sparkSession
-    known = decided = sets = None
-    active, pivots = members, PIVOTS
-    while True:
-        u = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-        chosen = active.where(u * F.col("size") < pivots).select("region", F.col("id").alias("p"), *([F.col("component").alias("p_component")] if known is not None else []))
-        if known is None:  # every region has a pivot that its regions' vertices have in common
-            chosen = chosen.unionByName(active.groupBy("region").agg(F.min("id").alias("p"))).distinct()
-        pairs = active.join(chosen, "region").where("id <> p")
-        if known is not None:
-            pairs = pairs.where("component <> p_component")
-        pairs = pairs.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
-        if known is not None:
-            pairs = _not_ruled_out(pairs.join(decided, ["a", "b"], "left_anti"), known, num, den)
-        pairs = staged(pairs, "jaccard-pairs")
-        near = staged(_alike(pairs, sketches, num, den), "jaccard-near")
-        ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        new = ids if sets is None else ids.join(sets.select("id"), "id", "left_anti")
-        more = staged(sets_of(docs.join(new.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k), "jaccard-shingles")
-        sets = more if sets is None else sets.unionByName(more)
-        found = staged(measured(near, sets.join(ids, "id", "left_semi")), "jaccard-known")
-        known = found if known is None else known.unionByName(found)
-        decided = pairs if decided is None else decided.unionByName(pairs)
-        links = known.where(F.col("inter") * den >= F.col("total") * num).select("a", "b")
-        open_regions = active.where(F.col("size") > pivots).select("region", "id", "size")
-        if open_regions.isEmpty():
-            return links
-        named = open_regions.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = named.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
-        active = staged(named.join(mixed, "region", "left_semi"), "jaccard-open")
-        if active.isEmpty():
-            return links
-        pivots *= 4
-        reclaim(spark)
+    near = staged(_alike(staged(_first_pairs(members), "jaccard-pairs"), sketches, num, den), "jaccard-near")
+    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+    sets = staged(sets_of(docs.join(ids, "doc_id", "left_semi"), k), "jaccard-shingles")
+    known = staged(measured(near, sets), "jaccard-known")
+    links = lambda: known.where(F.col("inter") * den >= F.col("total") * num).select("a", "b")
+    active = _mixed(members.where(F.col("size") > PIVOTS), links())
+    if active.isEmpty():
+        return links()
+    # Again, by other pivots: what is left is divided by its rarest shingles, and each region of
+    # these goes to its least vertex.
+    ids = active.select("id").distinct()
+    sets = staged(sets_of(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k), "jaccard-shingles")
+    fine = _members(_by_rarest(sets, num, den))
+    around = fine.join(fine.groupBy("region").agg(F.min("id").alias("p")), "region").select(F.col("p").alias("region"), "id").distinct()
+    sizes = around.groupBy("region").agg(F.count("*").alias("size"))
+    active = _mixed(staged(around.join(sizes, "region"), "jaccard-around"), links())
+    if not active.isEmpty():
+        near = staged(_block_pairs(active, sketches, num, den).join(known.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-near")
+        known = known.unionByName(staged(measured(near, sets), "jaccard-known"))
+    return links()
+
+
+def _block_pairs(regions: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components in a region that sizes and sketches leave possible.
+
+    A region's vertices are dealt to blocks of about BLOCK; each two blocks meet in a task of their own, which
+    sees 2 * BLOCK sketches or so, and only pairs that may be linked come out. Sketches compare at
+    the smaller length of a band and the next. In a block pair, one vertex is the pivot: distances to
+    it that differ by more than R rule pairs out by the triangle inequality.
+    """
+    rows = regions.join(sketches, "id").withColumn("band", F.length(F.bin("n")) - 1)
+    half = F.greatest(F.size("sketch") / 2, F.lit(1)).cast("int")
+    folded = F.when(F.size("sketch") > 1, F.zip_with(F.slice("sketch", F.lit(1), half), F.slice("sketch", half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col("sketch"))
+    below = rows.where(F.col("n") * num <= (F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band")) - 1) * den)
+    # Bands that share the least length of a sketch are not folded.
+    shorter = below.withColumn("sketch", F.when(F.col("band") > 5, folded).otherwise(F.col("sketch"))).withColumn("band", F.col("band") - 1)
+    both = rows.withColumn("own", F.lit(True)).unionByName(shorter.withColumn("own", F.lit(False)))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(9)), blocks).cast("int")
+    dealt = both.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    units = dealt.select("region", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "sketch", "own")
+
+    def meet(unit: pa.Table) -> pa.Table:
+        n, ids, parts = (unit.column(c).to_numpy() for c in ("n", "id", "component"))
+        own_ = unit.column("own").to_numpy()
+        x = np.array(unit.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(n), -1)
+        to_pivot = np.bitwise_count(x ^ x[0]).sum(1, dtype=np.int64)
+        a, b = [], []
+        for k in range(len(n) - 1):
+            m = np.arange(k + 1, len(n))
+            most = (n[k] + n[m]) * (den - num)
+            m = m[(parts[m] != parts[k]) & (np.minimum(n[m], n[k]) * den >= np.maximum(n[m], n[k]) * num) & (np.abs(to_pivot[m] - to_pivot[k]) * (den + num) <= most) & (own_[m] | own_[k])]
+            if len(m):
+                apart = np.bitwise_count(x[m] ^ x[k]).sum(1, dtype=np.int64)
+                m = m[apart * (den + num) <= (n[k] + n[m]) * (den - num)]
+                a += np.maximum(ids[m], ids[k]).tolist()
+                b += np.minimum(ids[m], ids[k]).tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return units.groupBy("region", "band", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _mixed(regions: DataFrame, links: DataFrame) -> DataFrame:
+    """(region, id, size, component) of the regions with vertices of several components."""
+    if regions.isEmpty():
+        return regions.withColumn("component", F.col("id"))
+    named = regions.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = named.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
+    return staged(named.join(mixed, "region", "left_semi"), "jaccard-open")
+
+
+def ring(n: int) -> int:
+    """Sizes that differ by 6 % at most share a ring."""
+    return int(np.log(n) / np.log(1.06) + 1e-9)
+
+
+def _by_rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, s) -> (id, regions): a region for a shingle and two rings of sizes.
+
+    Sets of sizes m and n that are linked share o = t / (1 + t) * (m + n) shingles at least. In any
+    common order, the first m - o + 1 of one and n - o + 1 of the other have one in common. Rare
+    shingles come first, so texts that share a passage, or copies that were each changed in their own
+    places, seldom meet. For each ring that a partner may be in, o is that of the ring's least size.
+    """
+    rows = sets.select("id", F.explode("s").alias("x"))
+    counts = rows.groupBy("x").agg(F.count("*").alias("c"))
+    ordered = rows.join(counts, "x").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda e: e["x"]).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s in batch.column(1).to_pylist():
+                own, n = np.array(s, np.int64).view(np.uint64), len(s)
+                here, keys = ring(n), []
+                for other in range(ring(-(-n * num // den)) - 1, ring(n * den // num) + 2):
+                    least = max(-(-n * num // den), int(np.ceil(1.06**other * (1 - 1e-9))))
+                    o = -(-num * (n + least) // (num + den))
+                    if other >= 0 and n - o + 1 > 0:
+                        with np.errstate(over="ignore"):
+                            keys.append(mix(own[: n - o + 1] + mix(np.array([(min(here, other) << 20) | max(here, other)], np.uint64))))
+                out.append(np.unique(np.concatenate(keys)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "regions"])
+
+    return ordered.select("id", "s").mapInArrow(run, "id long, regions array<long>")
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -261,13 +331,19 @@ def _alike(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFra
     return both.where(apart * (den + num) <= (den - num) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _not_ruled_out(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs without a common pivot whose distances to it differ by more than r = 1 - num / den."""
-    d = 1 - F.col("inter") / F.col("total")
-    both = known.select(F.col("a").alias("v"), F.col("b").alias("q"), d.alias("d")).union(known.select("b", "a", d))
-    to_a, to_b = (both.select(F.col("v").alias(x), F.col("q").alias(f"q_{x}"), F.col("d").alias(f"d_{x}")) for x in "ab")
-    far = pairs.join(to_a, "a").join(to_b, "b").where((F.col("q_a") == F.col("q_b")) & (F.abs(F.col("d_a") - F.col("d_b")) > 1 - num / den + 1e-9))
-    return pairs.join(far.select("a", "b").distinct(), ["a", "b"], "left_anti")
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of the regions with PIVOTS vertices or fewer; in others each vertex and its home.
+
+    A vertex's home is the least vertex of a region, that with which it shares most regions. One
+    home each keeps the first round linear in the number of vertices, however large a group is.
+    """
+    small, large = members.where(F.col("size") <= PIVOTS), members.where(F.col("size") > PIVOTS)
+    least = large.groupBy("region").agg(F.min("id").alias("p"))
+    shared = large.join(least, "region").where("id <> p").groupBy("id", "p").count()
+    homes = shared.groupBy("id").agg(F.max_by("p", F.struct("count", -F.col("p"))).alias("home"))
+    other = small.select("region", F.col("id").alias("other"))
+    pairs = small.join(other, "region").where("id > other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return pairs.unionByName(homes.select(F.col("id").alias("a"), F.col("home").alias("b"))).distinct()
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
