@@ -82,3 +82,11 @@ def ascii_lower(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text as an array; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]+"), "")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

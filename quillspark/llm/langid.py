@@ -195,18 +195,19 @@ def train(docs: DataFrame, **names: str) -> ByteCnn | None:
     return model
 
 
-def identified(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score."""
+def identified(docs: DataFrame, model: ByteCnn | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """docs with the language and its score in columns of these names; columns that had them go."""
+    docs = docs.drop(*names)
     if model is None:
-        return docs.withColumn("lang_pred", F.lit("und")).withColumn("lang_score", F.lit(0.0))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+        return docs.withColumn(names[0], F.lit("und")).withColumn(names[1], F.lit(0.0))
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, names = model.tables(), pa.array([*model.labels, "und"])
+        tables, labels = model.tables(), pa.array([*model.labels, "und"])
         for batch in batches:
             best, score = model.predict(batch.column(at), tables)
-            yield pa.RecordBatch.from_arrays([*batch.columns, names.take(pa.array(np.where(best < 0, len(names) - 1, best))), pa.array(score)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, labels.take(pa.array(np.where(best < 0, len(labels) - 1, best))), pa.array(score)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -123,10 +123,12 @@ WITH body AS (
 ), split AS (
   SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM body
+), three AS (
+  SELECT doc_id, list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS t FROM split WHERE len(w) >= 3
 ), place AS (
-  SELECT doc_id, unnest(range(len(w) - 2)) AS i, w FROM split WHERE len(w) >= 3
+  SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS t FROM three
 ), windowed AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i + 1], w[i + 2], w[i + 3]) AS n FROM place
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM place
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + d) AS n FROM windowed, (SELECT unnest(range(3)) AS d) WHERE windowed.n > 1 GROUP BY doc_id
 ), counts AS (
