@@ -23,8 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops `und` (no text, no letters) and texts that fit no learned language."""
     held_out = F.coalesce(langid.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     model = langid.train(docs.where(~held_out))
-    found = langid.identified(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = common.free_name(docs, "lang_pred"), common.free_name(docs, "lang_score")
+    found = langid.identified(docs, model, names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +46,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents that share an id are one to the mix: the copies of one of them are those of all.
     """
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    copies = copies.withColumnRenamed("doc_id", "_id")
-    repeated = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_copies > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    ident, n, copy = (common.free_name(docs, x) for x in ("_id", "_copies", "_copy"))
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias(ident)).agg(F.max("copies").alias(n))
+    repeated = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(ident))).where(F.col(n) > 0)
+    return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
