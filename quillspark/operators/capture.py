@@ -81,7 +81,7 @@ _JVM = (
 LEXERS: dict[str, Lexer] = {
     "Rust": Lexer(_c_comments("comment.line", "comment.block"), (r'r(?P<h>\#*)"(?P<s>[\s\S]*?)"(?P=h)', r'"(?P<s>(?:\\[\s\S]|[^"\\])*)"', r"'(?:\\.|[^'\\\n])'"), (
         ("identifier.function", rf"\bfn\s+(?P<n>{I})"), ("identifier.type", rf"\bstruct\s+(?P<n>{I})"), ("identifier.variable", rf"\blet\s+(?:mut\s+)?(?P<n>{I})"),
-        ("identifier.field", rf"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?P<n>{I})\s*:(?!:)"), ("identifier.parameter", rf"\bfn\s+{I}(?:<[^>]*>)?\s*\((?P<n>[^)]*)\)"),
+        ("identifier.field", rf"(?m)(?:^|[{{,])\s*(?:pub(?:\([^)]*\))?\s+)?(?P<n>{I})\s*:(?!:)"), ("identifier.parameter", rf"\bfn\s+{I}(?:<[^>]*>)?\s*\((?P<n>[^)]*)\)"),
     ), exclude=r"\bimpl\b[^{};]*\bfor\b[^{};]*\{"),
     "C": Lexer(_c_comments(), C_STRINGS, _C),
     "Cpp": Lexer(_c_comments(), (r'R"(?P<h>[^(]*)\((?P<s>[\s\S]*?)\)(?P=h)"', *C_STRINGS), _C),
