@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..plans.registry import language_of_id
 from ..schema import REGION
-from .ranges import byte_offsets
+from .ranges import byte_offsets, listed
 
 I = r"[A-Za-z_][A-Za-z0-9_]*"  # noqa: E741
 C_STRINGS = (r'"(?P<s>(?:\\.|[^"\\\n])*)"',)
@@ -366,9 +366,9 @@ def regions(text: str, language: str, depth: int = 0) -> list[tuple[str, str, in
 def region_array(text: Column, language: Column) -> Column:
     """An array of regions for each text; Arrow-batched."""
 
-    @F.pandas_udf(T.ArrayType(REGION))
-    def run(texts: pd.Series, languages: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(REGION.names, r, strict=True)) for r in regions(t or "", x)] for t, x in zip(texts, languages, strict=True)])
+    @F.arrow_udf(T.ArrayType(REGION))
+    def run(texts: pa.Array, languages: pa.Array) -> pa.Array:
+        return listed([regions(t or "", x) for t, x in zip(texts.to_pylist(), languages.to_pylist(), strict=True)], REGION)
 
     return run(text, language)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import RANGES
+from ..schema import RANGE, RANGES
 
 #: What is skipped by default, in order. `\\s` and `\\b` are Unicode's.
 DEFAULT_SKIP = (
@@ -61,15 +62,23 @@ def scan(text: str, patterns: tuple[str, ...]) -> list[tuple[int, int]]:
     return [(at[a], at[b]) for a, b in out]
 
 
+def listed(rows: list[list[tuple]], fields: T.StructType) -> pa.Array:
+    """Lists of tuples as an Arrow array of lists of structs."""
+    flat = [x for r in rows for x in r]
+    columns = list(zip(*flat, strict=True)) if flat else [()] * len(fields)
+    kinds = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int64() for f in fields]
+    structs = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], fields.names)
+    return pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, rows))], pa.int32()), structs)
+
+
 def skip_ranges(text: Column, patterns: tuple[str, ...] = DEFAULT_SKIP, user: tuple[str, ...] = ()) -> Column:
     """An array of merged ranges; `user` patterns come after the defaults, with ^ and $ at lines."""
     every = (*patterns, *(f"(?m){p}" for p in user))
     compiled(every)
 
-    @F.pandas_udf(RANGES)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda x: [{"start_byte": a, "end_byte": b} for a, b in scan(x, every)] if x else [])
+    @F.arrow_udf(RANGES)
+    def run(texts: pa.Array) -> pa.Array:
+        return listed([scan(x, every) if x else [] for x in texts.to_pylist()], RANGE)
 
     return run(text)
 

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..schema import CANDIDATE
-from .ranges import byte_offsets
+from .ranges import byte_offsets, listed
 
 _tools: dict[str, object] = {}
 
@@ -30,13 +30,19 @@ def _regex(name: str, pattern: str, flags: str = ""):
 
 def segments(text: str) -> Iterator[tuple[int, str]]:
     """(first character, token) between Unicode word boundaries, cut again at white space."""
-    cuts = [m.start() for m in _regex("bounds", r"\b", "(?Vw)".replace("V", "V1")).finditer(text)]
-    ends = [0, *cuts, len(text)]
     plain = _regex("plain", r"[^\p{White_Space}]+")
-    for a, b in zip(ends, ends[1:], strict=False):
-        if a < b:
-            for m in plain.finditer(text, a, b):
-                yield m.start(), m[0]
+    a = 0
+    for m in _regex("bounds", r"\b", "(?V1w)").finditer(text):
+        b = m.start()
+        token = text[a:b]
+        if token.isalnum():
+            yield a, token
+        elif not token.isspace():
+            for x in plain.finditer(token):
+                yield a + x.start(), x[0]
+        a = b
+    for x in plain.finditer(text, a):
+        yield x.start(), x[0]
 
 
 def parts(token: str) -> Iterator[tuple[int, str]]:
@@ -51,6 +57,11 @@ def parts(token: str) -> Iterator[tuple[int, str]]:
         yield at, token[at:]
 
 
+def is_plain(token: str) -> bool:
+    """Letters in small or title case: nothing to split, and no numeric sign."""
+    return token.isalpha() and (token.islower() or (token[0].isupper() and token[1:].islower()))
+
+
 def within(a: int, b: int, ranges: list[tuple[int, int]]) -> bool:
     return any(a >= s and b <= e for s, e in ranges)
 
@@ -63,27 +74,35 @@ def candidates(text: str, skip: list[tuple[int, int]], regions: list[tuple[int,
     """
     letter, spaceless, number = _regex("letter", r"\p{Alphabetic}"), _regex("spaceless", r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]"), _regex("number", r"\p{N}")
     raw = text.encode()
+    strange = not text.isascii() and spaceless.search(text) is not None
     out = []
     for first, last in regions if regions is not None else [(0, len(raw))]:
-        piece = raw[first:last].decode("utf-8", "ignore")
+        piece = text if (first, last) == (0, len(raw)) else raw[first:last].decode("utf-8", "ignore")
         at = byte_offsets(piece)
         for start, token in segments(piece):
+            if not (token.isalpha() or letter.search(token)) or (strange and spaceless.search(token)):
+                continue
             a, b = first + at[start], first + at[start + len(token)]
-            if letter.search(token) and not spaceless.search(token) and not within(a, b, skip):
-                for k, part in parts(token):
-                    a, b = first + at[start + k], first + at[start + k + len(part)]
-                    if not number.search(part) and not within(a, b, skip):
-                        out.append((part, a, b))
+            if skip and within(a, b, skip):
+                continue
+            if is_plain(token):
+                out.append((token, a, b))
+                continue
+            for k, part in parts(token):
+                a, b = first + at[start + k], first + at[start + k + len(part)]
+                if not number.search(part) and not (skip and within(a, b, skip)):
+                    out.append((part, a, b))
     return out
 
 
 def token_rows(docs: DataFrame, text: str, skip: Column, keep: list[str], regions: Column | None = None) -> DataFrame:
     """docs -> keep columns, word, start_byte, end_byte. `skip`, `regions`: arrays of ranges."""
 
-    @F.pandas_udf(T.ArrayType(CANDIDATE))
-    def run(texts: pd.Series, skips: pd.Series, areas: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(CANDIDATE))
+    def run(texts: pa.Array, skips: pa.Array, areas: pa.Array) -> pa.Array:
         pairs = lambda rs: [(r["start_byte"], r["end_byte"]) for r in rs]
-        return pd.Series([[{"word": w, "start_byte": a, "end_byte": b} for w, a, b in candidates(t or "", pairs(s), None if r is None else pairs(r))] for t, s, r in zip(texts, skips, areas, strict=True)])
+        rows = [candidates(t or "", pairs(s), None if r is None else pairs(r)) for t, s, r in zip(texts.to_pylist(), skips.to_pylist(), areas.to_pylist(), strict=True)]
+        return listed(rows, CANDIDATE)
 
     areas = F.lit(None).cast("array<struct<start_byte:bigint,end_byte:bigint>>") if regions is None else regions
     return docs.select(*keep, F.inline(run(F.col(text), skip, areas)))

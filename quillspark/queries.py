@@ -31,7 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_words(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    return tokens.word_rows(table(spark, sf_dir, "documents"), "text", list(keep))
+    docs = table(spark, sf_dir, "documents").select(*dict.fromkeys((*keep, "text")))
+    return tokens.word_rows(files.spread(docs), "text", list(keep))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def skip_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skip_ranges_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("skip", ranges.skip_ranges(F.col("text")))
+    docs = files.spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumn("skip", ranges.skip_ranges(F.col("text")))
     return docs.select("doc_id", F.inline("skip")).select("doc_id", "start_byte", "end_byte")
 
 
@@ -131,7 +132,7 @@ def dictionary_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_text_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), F.lit("HTML").alias("language"))
+    pages = files.spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), F.lit("HTML").alias("language")))
     return capture.region_rows(pages, ["page_id"])
 
 
@@ -142,7 +143,7 @@ def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings_with_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte ranges, lines and columns of the words of documents that no lexicon has."""
-    docs = table(spark, sf_dir, "documents").withColumn("skip", ranges.skip_ranges(F.col("text")))
+    docs = files.spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumn("skip", ranges.skip_ranges(F.col("text")))
     rows = tokens.token_rows(docs, "text", F.col("skip"), ["doc_id"])
     bad = check.findings(rows, corpus(spark, sf_dir))
     return report.placed(bad, docs, "doc_id", ("source",))
@@ -150,7 +151,7 @@ def findings_with_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in the checked regions of pages."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
+    pages = files.spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))
     pages = pages.withColumn("skip", ranges.skip_ranges(F.col("text"))).withColumn("area", capture.region_array(F.col("text"), F.lit("HTML")))
     spans = F.transform("area", lambda r: F.struct(r["start_byte"].alias("start_byte"), r["end_byte"].alias("end_byte")))
     rows = tokens.token_rows(pages, "text", F.col("skip"), ["page_id"], spans).distinct()

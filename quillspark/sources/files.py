@@ -125,6 +125,16 @@ def read_tree(spark: SparkSession, folder: str, glob: str | None = None) -> Data
     return raw.select("path", F.when(good, F.col("content").cast("string")).alias("text"), F.lit("checked").alias("state"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, at least.
+
+    A small table may be one unsplittable file; then the work on its texts is worth a shuffle. A table of many
+    files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def one_text(spark: SparkSession, text: str, language: str | None = None, path: str | None = None) -> DataFrame:
     return spark.createDataFrame([(0, path, language, text)], DOCUMENT)
 
