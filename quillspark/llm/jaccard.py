@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_dir, fresh_dir, staged, table
+from .common import drop_dir, fresh_dir, give_back, staged, table
 from .components import components
 from .shingles import fingerprint, mix, shingle_sets
 
@@ -135,12 +135,13 @@ def signed(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 sets = shingle_sets(part.column(1), k)
                 marks = [fingerprint(s) for s in sets]
                 regions = pa.array([signatures(s, frequent, num, den) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), regions, pa.array([sketch(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "f1", "f2", "regions", "sketch"])
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, regions array<long>, sketch array<long>")
 
@@ -150,11 +151,12 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 sets = shingle_sets(part.column(1), k)
                 marks = [fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "f1", "f2", "s"])
+            give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, f1 long, f2 long, s array<long>").where(F.size("s") > 0)
     return rows.groupBy("id").agg(F.min_by("s", F.struct("f1", "f2")).alias("s"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import own_texts, table
+from .common import give_back, own_texts, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -208,6 +208,7 @@ def identified(docs: DataFrame, model: ByteCnn | None, text: str = "text", names
         for batch in batches:
             best, score = model.predict(batch.column(at), tables)
             yield pa.RecordBatch.from_arrays([*batch.columns, labels.take(pa.array(np.where(best < 0, len(labels) - 1, best))), pa.array(score)], names=schema.names)
+            give_back()
 
     return docs.mapInArrow(run, schema)
 
