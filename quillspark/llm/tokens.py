@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import fresh_dir, own_texts, staged, table
-from .huffman import LIMIT, Code, code_lengths
+from .common import fresh_dir, give_back, own_texts, staged, table
+from .huffman import LIMIT, STEP, Code, code_lengths
 
 BLOCK = 1 << 16
 #: Ids in a file, about: files stay near 20 MB and a task near 1 s of work a million ids.
@@ -44,6 +44,7 @@ IDS_PER_FILE = 1 << 23
 SAMPLE_ROWS = 200
 MAGIC = b"QHUF1\n"
 END_ID = 0
+CODED_AT_ONCE = 1 << 18
 
 #: Punctuation that often ends a word.
 ENDINGS = ".,;:!?"
@@ -61,7 +62,7 @@ class PieceEncoder:
     string, go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000, end_id: int = END_ID):
+    def __init__(self, path: str, most: int = 1_000_000, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -70,9 +71,8 @@ class PieceEncoder:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.end = most, self.kind.type(end_id).tobytes()
-        #: By lead and by generation, young and old.
-        self.cores: dict[str, tuple[dict, dict]] = {"": ({}, {}), " ": ({}, {})}
-        self.tails: tuple[dict, dict] = ({}, {})
+        #: Texts and their codes, last asked first.
+        self.known: dict[str, tuple[pa.Array, pa.Array]] = {}
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         self.spaced = np.zeros(self.size, bool)
         self.spaced[[i for x, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if x.startswith(space)]] = True
@@ -98,19 +98,17 @@ class PieceEncoder:
         rest = iter(self._coded([x for x, s in zip(texts, spaced, strict=True) if not s]))
         return [next(words) if s else next(rest) for s in spaced]
 
-    def _recall(self, texts: pa.Array, known: tuple[dict, dict], code) -> list[bytes]:
-        """Codes of distinct texts. What was not asked for since the last change of generations goes."""
-        young, old = known
-        texts = texts.to_pylist()
-        new = set(texts).difference(young)
-        young.update((x, old[x]) for x in new.intersection(old))
-        new = list(new.difference(old))
-        young.update(zip(new, code(new), strict=True))
-        out = [young[x] for x in texts]
-        if len(young) > self.most:
-            old.clear()
-            old.update(young)
-            young.clear()
+    def _recall(self, texts: pa.Array, kind: str, code) -> pa.Array:
+        """Codes of distinct texts. The `most` texts that were asked for last are kept, in Arrow arrays."""
+        known, codes = self.known.get(kind, (pa.array([], texts.type), pa.array([], pa.large_binary())))
+        at = pc.index_in(texts, value_set=known)
+        missing = pc.is_null(at)
+        new = pa.array(code(texts.filter(missing).to_pylist()), pa.large_binary())
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        place[missing.to_numpy(zero_copy_only=False)] = len(codes) + np.arange(len(new))
+        out = pa.concat_arrays([codes, new]).take(pa.array(place))
+        rest = np.flatnonzero(~pc.is_in(known, value_set=texts).to_numpy(zero_copy_only=False))[: max(0, self.most - len(texts))]
+        self.known[kind] = tuple(pa.concat_arrays([a, b.take(pa.array(rest))]) for a, b in ((texts, known), (out, codes)))
         return out
 
     def _pieces(self, pieces: pa.Array, lead: str) -> list[bytes | None]:
@@ -123,13 +121,13 @@ class PieceEncoder:
         worded = pc.utf8_is_alpha(pc.utf8_ltrim(core, "\n"))
         out = np.empty(len(pieces), object)
         if len(words := pieces.filter(worded)):
-            cores, tails = core.filter(worded).dictionary_encode(), pc.replace_substring_regex(words, r"^\n?\pL+", "").dictionary_encode()
-            kinds = [(cores, self.cores[""], self._coded)]
+            cores, tails = core.filter(worded).dictionary_encode(), _tails(words, core.filter(worded)).dictionary_encode()
+            kinds = [(cores, "first", self._coded)]
             if lead:
                 cores = pa.DictionaryArray.from_arrays(cores.indices, pc.if_else(pc.starts_with(cores.dictionary, "\n"), cores.dictionary, pc.binary_join_element_wise(pa.scalar(lead, pieces.type), cores.dictionary, pa.scalar("", pieces.type))))
-                kinds = [(cores, self.cores[lead], self._coded_mixed)]
-            kinds.append((tails, self.tails, self._coded))
-            parts = [pa.array(self._recall(x.dictionary, known, code), pa.large_binary()).take(x.indices) for x, known, code in kinds]
+                kinds = [(cores, "inner", self._coded_mixed)]
+            kinds.append((tails, "tails", self._coded))
+            parts = [self._recall(x.dictionary, kind, code).take(x.indices) for x, kind, code in kinds]
             out[worded.to_numpy(zero_copy_only=False)] = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary())).to_pylist()
         rest = np.flatnonzero(~worded.to_numpy(zero_copy_only=False))
         plain = [x for x in pieces.take(pa.array(rest)).to_pylist()]
@@ -170,6 +168,15 @@ class PieceEncoder:
         return np.frombuffer(joined.buffers()[2], self.kind)[: ends[-1]], np.diff(ends)
 
 
+def _tails(words: pa.Array, cores: pa.Array) -> pa.Array:
+    """What follows the core of each word: mostly nothing or one sign."""
+    left = pc.subtract(pc.binary_length(words), pc.binary_length(cores))
+    out = pc.if_else(pc.equal(left, 0), pa.scalar("", words.type), pc.utf8_slice_codeunits(words, -1))
+    if (more := pc.greater(left, 1)).true_count:
+        out = pc.if_else(more, pc.replace_substring_regex(words, r"^\n?\pL+", ""), out)
+    return out
+
+
 def _encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
@@ -178,11 +185,16 @@ def _encoder(path: str) -> PieceEncoder:
 
 def _slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Runs of texts with about `most` bytes, one text at least."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most, "right")))
+    for start, stop in _runs(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), most):
         yield start, texts.slice(start, stop - start)
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs with about `most` in sum, one at least."""
+    total, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, "right")))
+        yield start, stop
         start = stop
 
 
@@ -201,17 +213,24 @@ def tokenized(docs: DataFrame, path: str, lengths: np.ndarray) -> DataFrame:
         counts = np.zeros(len(lengths), np.int64)
         for batch in batches:
             for start, texts in _slices(batch.column(1)):
-                ids, n = encoder(texts)
-                counts += np.bincount(ids, minlength=len(counts))
-                data, first, marks = code.encode(ids, n)
-                bounds = np.concatenate([[0], np.cumsum((n + 255) // 256)]) * 4
-                raw = marks.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(n)), pa.array(n), pa.array([data[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.nulls(len(n), TOKENS.field("counts").type)], schema=TOKENS
-                )
+                all_ids, all_n = encoder(texts)
+                counts += np.bincount(all_ids, minlength=len(counts))
+                at = 0
+                # The codec works on wide integers, so it gets some documents at a time.
+                for first_doc, last_doc in _runs(all_n, CODED_AT_ONCE):
+                    n = all_n[first_doc:last_doc]
+                    ids = all_ids[at : at + n.sum()].astype(np.int64)
+                    at += len(ids)
+                    data, first, marks = code.encode(ids, n)
+                    bounds = np.concatenate([[0], np.cumsum((n + STEP - 1) // STEP)]) * 4
+                    raw = marks.tobytes()
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(start + first_doc, len(n)), pa.array(n), pa.array([data[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.nulls(len(n), TOKENS.field("counts").type)], schema=TOKENS
+                    )
         used = np.flatnonzero(counts)
         if len(used):
             yield pa.RecordBatch.from_pylist([{"doc_id": None, "n": -1, "ids": b"", "marks": b"", "counts": [{"id": int(i), "n": int(counts[i])} for i in used]}], schema=TOKENS)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TOKENS_DDL)
 
@@ -264,7 +283,7 @@ class FileWriter:
         data, first, marks = self.code.encode(ids[:n], np.array(units, np.int64))
         raw, k = marks.tobytes(), 0
         for a, size in zip(first, units, strict=False):
-            own = (size + 255) // 256 * 4
+            own = (size + STEP - 1) // STEP * 4
             self.blocks.append((self.at + int(a), size, raw[k : k + own]))
             k += own
         self._put(data)
@@ -355,6 +374,7 @@ def write_files(coded: DataFrame, provisional: np.ndarray, lengths: np.ndarray,
                     n_docs, total = n_docs + len(n), total + int(n.sum())
                 batch = next(batches, None)
             writer.close()
+        give_back()
         yield pa.RecordBatch.from_pylist([{"file": name, "first_doc": first.column(0)[0].as_py(), "n_docs": n_docs, "n_ids": total}], schema=pa.schema([("file", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     ranged = coded.where("n >= 0").select("doc_id", "n", "ids", "marks").repartitionByRange(n_files, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
