@@ -31,6 +31,7 @@ SHARE_NUM, SHARE_DEN = 3, 2  # the mix has 150% of all words
 MOST_COPIES = 2
 
 BUCKETS = 1024
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -64,6 +65,18 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
+def with_group(rows: DataFrame, groups: DataFrame, column: str, group: str, how: str, spread: str = "doc_id") -> DataFrame:
+    """rows joined to the one row of their group, null groups too.
+
+    A group may hold a third of all rows, so its row is there SALTS times and its rows are dealt to
+    these by a hash: no task gets more than a SALTS part of a group.
+    """
+    many = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_own", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(many, (F.col("_own") == F.col("_salt")) & dealt[column].eqNullSafe(many[group]), how)
+    return joined.drop("_own", "_salt", group)
+
+
 def pareto_copies(docs: DataFrame, group: str, size: str, multiplicity: str, ident: str = "doc_id", seed: str = "mix", buckets: int = BUCKETS) -> DataFrame:
     """docs with `copies`: whole copies for certain, one more where the Pareto sample takes it.
 
@@ -89,14 +102,14 @@ def pareto_copies(docs: DataFrame, group: str, size: str, multiplicity: str, ide
         .select("_group", F.col("_b").alias("_cut"), "_need", "_before")
     )
     # One row a group; with no cut row the whole remainder is taken (nothing is left over).
-    joined = ranked.join(cut, ranked[group].eqNullSafe(cut["_group"]), "left")
+    joined = with_group(ranked, cut, group, "_group", "left", ident)
     there = F.col("_bucket") == F.col("_cut")
     inside = joined.filter(there)
-    order = Window.partitionBy("_group").orderBy("_rank", ident, size).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(group).orderBy("_rank", ident, size).rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("_extra", (F.col("_before") + F.coalesce(F.sum(size).over(order), F.lit(0)) + F.col(size) / 2 <= F.col("_need")).cast("long"))
     outside = joined.filter(~F.coalesce(there, F.lit(False))).withColumn("_extra", F.when(F.col("_p") > 0, F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(True)).cast("long")).otherwise(0))
     both = inside.unionByName(outside).withColumn("copies", F.col("_whole") + F.col("_extra"))
-    return both.drop("_whole", "_p", "_rank", "_bucket", "_group", "_cut", "_need", "_before", "_extra")
+    return both.drop("_whole", "_p", "_rank", "_bucket", "_cut", "_need", "_before", "_extra")
 
 
 def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
@@ -106,7 +119,7 @@ def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str
     """
     sizes = staged(docs.select(F.col(ident).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix-sizes")
     targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "_source")
-    known = sizes.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    known = with_group(sizes, targets, "source", "_source", "inner")
     known = known.withColumn("multiplicity", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     return pareto_copies(known, "source", "size", "multiplicity", seed=seed).drop("multiplicity")
 
