@@ -61,6 +61,13 @@ def diagnostics(findings: DataFrame, docs: DataFrame, key: str, level: str = "in
     return rows.select(key, "word", start.alias("s"), end.alias("e")).select(key, "word", F.col("s.line").alias("start_line"), F.col("s.col").alias("start_col"), F.col("e.line").alias("end_line"), F.col("e.col").alias("end_col"), X.severity(F.lit(level)).alias("severity"), F.concat(F.lit("Possible spelling issue '"), "word", F.lit("'.")).alias("message"))
 
 
+def quick_fixes(places: DataFrame, suggestions: DataFrame, most: int = 5) -> DataFrame:
+    """places with `actions`: up to `most` replacements, then adding the word to the project's or the global list."""
+    fix = F.transform(F.slice(F.coalesce("suggestions", F.array().cast("array<string>")), 1, most), lambda x: F.struct(F.lit("replace").alias("action"), x.alias("text")))
+    adds = F.array(*[F.struct(F.lit(a).alias("action"), F.col("word").alias("text")) for a in ("add_to_project", "add_to_global")])
+    return places.join(suggestions, "word", "left").withColumn("actions", F.concat(fix, adds)).drop("suggestions")
+
+
 def ordered(findings: DataFrame, key: str) -> DataFrame:
     """Findings by first place."""
     return findings.withColumn("_at", F.element_at("locations", 1)["start_byte"]).orderBy(key, "_at").drop("_at")

@@ -12,6 +12,7 @@ from .functions import text as X
 from .functions.variants import german_variants
 from .operators import capture, check, lexicon, ranges, report, suggest, tokens
 from .plans import registry
+from .plans.engine import Engine
 from .plans.policy import Override, Settings, resolved_lists
 from .sources import files
 from .streaming import sessions
@@ -204,10 +205,53 @@ def word_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("lang", X.word_case(F.col("word")).alias("case")).agg(F.count("*").alias("n"))
 
 
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back-off, environment flags, severities, HTTP dates and cache names over the events."""
+    e = table(spark, sf_dir, "events")
+    flag = F.element_at(F.array(F.lit("0"), F.lit("False"), F.lit(""), F.lit("yes"), F.lit("1")), (F.col("event_id") % 5 + 1).cast("int"))
+    level = F.element_at(F.array(F.lit("Error"), F.lit("warning"), F.lit("HINT"), F.lit("else")), (F.col("event_id") % 4 + 1).cast("int"))
+    sent = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    return e.select("event_id", X.back_off(F.col("event_id") % 12).alias("wait"), X.env_flag(flag).alias("flag"), X.severity(level).cast("long").alias("severity"), F.unix_timestamp(X.http_date(sent)).alias("epoch"), X.cache_name(F.col("event_type")).alias("file"))
+
+
+def text_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-16 slices, lines by number and cuts by bytes."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", X.utf16_slice(F.col("text"), F.lit(3), F.lit(40)).alias("slice"), X.nth_line(F.col("text"), F.col("doc_id") % 3).alias("line"), X.at_bytes(F.col("text"), F.lit(0), F.octet_length(F.substring_index("text", " ", 2)).cast("long")).alias("head"))
+
+
+def suggestions_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions from two lexicons in turns: words of many documents, and words of the benchmark."""
+    frequent = corpus(spark, sf_dir)
+    items = lexicon.with_keys(tokens.word_rows(table(spark, sf_dir, "benchmark"), "text", []).select(F.lower("word").alias("word")).distinct(), "items")
+    asked = tokens.word_rows(table(spark, sf_dir, "conversations"), "text", []).where(F.char_length("word") >= 5).distinct()
+    return suggest.suggestions(asked, frequent.unionByName(items), ["corpus", "items"])
+
+
+def engine_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole check with path settings: documents as files of several languages, an override for one source."""
+    settings = Settings(ignore_paths=("src19/**",), flag_words=("never",), min_word_length=4, overrides=(Override(("src0/**",), extra_words=("ouen", "thandere")),))
+    engine = Engine(spark, settings)
+    engine.add_lexicon("corpus", corpus(spark, sf_dir), primary=True)
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("txt", "md", "py", "html")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), suffix).alias("path"), F.lit(None).cast("string").alias("language"), "text")
+    return engine.spell_check(files.spread(docs))
+
+
+def diagnostics_and_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's findings in editor coordinates, with replacements."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    rows = tokens.token_rows(items.withColumn("skip", ranges.skip_ranges(F.col("text"))), "text", F.col("skip"), ["doc_id"])
+    bad = check.findings(rows, corpus(spark, sf_dir))
+    hints = suggest.suggestions(bad.select("word"), corpus(spark, sf_dir), ["corpus"])
+    return report.quick_fixes(report.diagnostics(bad, items, "doc_id", "warning"), hints)
+
+
 QUERIES = {f.__name__: f for f in (
     unknown_words_topk, token_counts_by_lang, unknown_words, findings_per_document, flag_words_override, identifier_split, skip_pattern_hits, skip_ranges_merged, interval_merge, interval_merge_arrays,
     containment_anti_join, first_occurrence_unique, lint_summary, language_of_path, override_resolution, dictionary_sets, html_text_regions, tag_filter, findings_with_ranges, html_findings,
     german_variant_words, suggest_topk, line_col, latest_turn_state, session_documents, content_hash_dedup, common_word_list, word_cases,
+    scalar_functions, text_slices, suggestions_round_robin, engine_findings, diagnostics_and_fixes,
 )}
 
 _KEY = "replace(replace(lower({0}), 'ς', 'σ'), 'ß', 'ss')"
@@ -293,6 +337,10 @@ SELECT doc_id, start_byte, nl + 1 AS line, length(tail) + 1 AS col, nl AS line0,
   SELECT *, row_number() OVER (PARTITION BY word ORDER BY abs(length(key) - length(known)), known) AS rank FROM near
 )
 SELECT word, rank, CASE WHEN regexp_full_match(word, '\p{{Lu}}+') THEN translate(known, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE known END AS suggestion FROM ranked WHERE rank <= 5""",
+    "scalar_functions": """SELECT event_id, CAST(least(30 * pow(2, least(event_id % 12, 7)), 3600) AS BIGINT) AS wait, event_id % 5 >= 3 AS flag, [1, 2, 4, 3][event_id % 4 + 1]::BIGINT AS severity,
+  CAST(floor(epoch(ts)) AS BIGINT) AS epoch, sha256(event_type) AS file FROM events""",
+    "text_slices": """SELECT doc_id, text[4 : 40] AS slice, string_split(text, chr(10))[doc_id % 3 + 1] AS line,
+  CASE WHEN strpos(text, ' ') = 0 THEN text ELSE array_to_string(string_split(text, ' ')[1 : 2], ' ') END AS head FROM documents WHERE text IS NOT NULL""",
     "latest_turn_state": "SELECT CAST(conv_id AS VARCHAR) AS uri, turn AS version, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
     "session_documents": """SELECT CAST(conv_id AS VARCHAR) AS uri, turn AS version, text FROM conversations c
 WHERE EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.turn = 0) AND NOT EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND c.conv_id % 7 = 0 AND o.turn = 3)

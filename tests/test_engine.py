@@ -108,6 +108,14 @@ def test_reports(spark):
     assert [r.word for r in report.ordered(bad.where("doc_id = 2"), "doc_id").collect()] == ["teh", "Teh"]
 
 
+def test_quick_fixes(spark):
+    places = spark.createDataFrame([("teh", 1), ("xx", 2)], "word string, at int")
+    hints = spark.createDataFrame([("teh", list("abcdefg"))], "word string, suggestions array<string>")
+    got = {r.word: [(a.action, a.text) for a in r.actions] for r in report.quick_fixes(places, hints).collect()}
+    adds = lambda w: [("add_to_project", w), ("add_to_global", w)]
+    assert got == {"teh": [("replace", x) for x in "abcde"] + adds("teh"), "xx": adds("xx")}
+
+
 def test_written_report(spark, tmp_path):
     lines = spark.createDataFrame([("b", 5, "  b:2"), ("a", 0, "  a:1"), ("b", 1, "  b:1")], "path string, start_byte long, value string")
     report.write_report(lines, f"file://{tmp_path}/r")
