@@ -52,16 +52,16 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     bare = F.length(F.translate(body, SPACE, ""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     df = docs.withColumn("_w", words(F.col(text))).withColumn("_lines", lines)
-    df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("_lower", F.split(ascii_lower(F.array_join("_w", " ")), " "))
     df = (
-        df.withColumn("word_chars", bare.cast("long"))
+        df.withColumn("n_words", F.size("_w").cast("long"))
+        .withColumn("word_chars", bare.cast("long"))
         .withColumn("n_symbols", (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"))
         .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("n_stop_words", F.regexp_count(ascii_lower(F.array_join("_w", " ")), F.lit(r"(?<!\S)(?:" + "|".join(STOP_WORDS) + r")(?!\S)")).cast("long"))
         .withColumn("n_letter_words", F.regexp_count(F.array_join("_w", " "), F.lit(r"(?<!\S)\P{L}*+\p{L}\S*+")).cast("long"))
     )
-    return repeated(df).drop("_w", "_lines", "_lower")
+    return repeated(df).drop("_w", "_lines")
 
 
 def repeated(df: DataFrame) -> DataFrame:
