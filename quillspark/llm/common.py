@@ -35,7 +35,7 @@ def shared_root(spark: SparkSession) -> str:
     temporary folder of this process serves, and goes with it.
     """
     global _own_root
-    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+    if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
