@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,6 +23,7 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE = " \t\n\x0b\x0c\r"
 
 _own_root: str | None = None
+_staged: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +38,9 @@ def shared_root(spark: SparkSession) -> str:
     """
     global _own_root
     if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+        return re.sub("^file:/+", "file:///", whole)
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_root is None or not os.path.isdir(_own_root):
@@ -54,14 +58,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
     The written copy cuts the lineage and outlives lost executors, and what made it runs once
-    however often the result is read. Columns of lists and digests hardly repeat, so the
-    dictionary encoding is left to parquet's own judgement.
+    however often the result is read. It goes when the application's driver ends.
     """
     path = fresh_dir(df.sparkSession, name)
+    if not _staged:
+        atexit.register(_clear)
+    _staged.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _clear() -> None:
+    """Delete this driver's staged tables; Spark may have stopped already, so by pyarrow."""
+    from pyarrow import fs
+
+    for path in _staged:
+        with contextlib.suppress(OSError, pa.ArrowException):
+            store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            store.delete_dir(at)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a staged folder by Spark's own file system layer."""
     jvm = spark.sparkContext._jvm
