@@ -197,22 +197,20 @@ class Gru:
             h = states[-1]
         return lanes.by_text(values)
 
-    def train(self, lanes: Lanes, rate: float, window: int = 16, every: int = 1, memory: dict | None = None) -> dict:
+    def train(self, lanes: Lanes, rate: float, window: int = 16, memory: dict | None = None) -> dict:
         """One pass of truncated BPTT with Adagrad.
 
-        The state goes through all windows; each `every`-th updates the parameters. Returns
-        Adagrad's memory, to go on with.
+        The state goes through all windows, and each updates the parameters. Returns Adagrad's
+        memory, to go on with.
         """
         memory = memory or {k: np.full_like(v, 1e-5) for k, v in self.p.items()}
         h = np.zeros((lanes.want.shape[1], self.hidden), np.float32)
-        for k, (_, want, past) in enumerate(lanes.windows(window)):
-            learns = k % every == 0
-            states, kept = self._run(past, h[: want.shape[1]], lanes.start_id, learns)
+        for _, want, past in lanes.windows(window):
+            states, kept = self._run(past, h[: want.shape[1]], lanes.start_id, True)
             h = states[-1]
-            if learns:
-                for name, g in self._gradients(states, kept, want, past).items():
-                    memory[name] += g * g
-                    self.p[name] = self.p[name] - np.float32(rate) * g / np.sqrt(memory[name])
+            for name, g in self._gradients(states, kept, want, past).items():
+                memory[name] += g * g
+                self.p[name] = self.p[name] - np.float32(rate) * g / np.sqrt(memory[name])
         return memory
 
     def _gradients(self, states: np.ndarray, kept: list, want: np.ndarray, past: np.ndarray) -> dict[str, np.ndarray]:

@@ -11,7 +11,7 @@ here), so a null or empty text has that one token.
    never seen. So P(text) is a proper product over all tokens, over an open vocabulary.
 4. It is trained by truncated BPTT: a warm start on the driver from a bounded sample of about
    `WARM_DOCS` texts, then one pass in parallel over all training texts. The state runs over whole
-   texts and every `EVERY`-th window updates. Tasks' parameters are averaged by tokens.
+   texts and every window updates. Tasks' parameters are averaged by tokens.
 5. Every text is scored with the state carried across windows. Words outside the head are returned
    by text and joined to the counts; the head is in memory, so no frequent word is ever a join key.
 
@@ -37,7 +37,6 @@ from .gru import Gru, Lanes, Shape, flat, initial, unflat
 HEAD = 1 << 18
 WORDS, WORD_CLASSES, REST = 1024, 32, 32
 WARM_DOCS = 1200
-EVERY = 4
 LANES, SCORE_LANES = 256, 512
 LOG10 = float(np.log(10))
 
@@ -154,7 +153,7 @@ def trained(docs: DataFrame, head: Head, params: dict, start: dict) -> dict:
             for part in slices(batch):
                 lanes = _lanes(head, part.column(1), LANES)
                 n += int(lanes.sizes.sum())
-                memory = model.train(lanes, 0.05, every=EVERY, memory=memory)
+                memory = model.train(lanes, 0.05, memory=memory)
         if n:
             yield pa.RecordBatch.from_pydict({"n": [n], "sums": [(flat(model.p).astype(np.float64) * n).tobytes()]})
 

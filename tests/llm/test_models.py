@@ -85,6 +85,17 @@ def test_lm_scores_against_brute_force(spark):
     assert all(r.score < 0 for r in got)
 
 
+def test_training_learns_from_every_window(spark):
+    """Word k stands in window k of a long text only, so its vector moves only if that window learns."""
+    words = [b""] + [f"w{k}".encode() for k in range(8)]
+    head = lm.Head(words, [1] + [16] * 8, Shape(9, 3, 2))
+    params = initial(head.shape, np.ones(11))
+    text = " ".join(w.decode() for w in words[1:] for _ in range(16))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = lm.trained(df, head, params, {k: np.full_like(v, 1e-5) for k, v in params.items()})
+    assert [bool((got["x"][k] != params["x"][k]).any()) for k in range(1, 9)] == [True] * 8
+
+
 def test_lm_on_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert lm.lm_scores(empty, F.lit(True)).count() == 0
