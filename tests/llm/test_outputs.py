@@ -205,6 +205,19 @@ def test_licences_and_inheritance(spark):
     assert licences.licensed(df.limit(0)).count() == 0
 
 
+def test_every_licence_line_has_its_licence(spark):
+    """The four licence lines of the tables' documents, and others that are near each other."""
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Released under the BSD 2-Clause License.": "BSD-2-Clause",
+        "Released under the BSD 3-Clause License.": "BSD-3-Clause", "Licensed under the Terms of Nobody.": None,
+    }
+    df = spark.createDataFrame([(str(k), None, f"text before\n{x}\nand after") for k, x in enumerate(lines)], "file string, path string, text string")
+    got = {r.file: r.licence for r in licences.licensed(df).collect()}
+    assert [got[str(k)] for k in range(len(lines))] == list(lines.values())
+
+
 def test_cosines_against_brute_force(spark):
     import math
     import re
