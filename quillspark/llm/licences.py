@@ -1,7 +1,10 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance down the directories.
 
-Files are (path, text). Passages are the lines that carry a licence cue, and all such lines of
-a file together, so both a one-line header and a notice over many lines can match. A passage and a
+Files are (path, text). Passages are the lines that carry a licence cue, all such lines of a file
+together, the sentences with a cue, whole lines or over line ends and comment marks, and windows of `SIZES`
+words, cue lines and others alike, wherever a cue word is. So a one-line header, a line with prose
+behind it and a notice wrapped over many lines can match in a file of any length. Windows begin at
+every third of their size, so a word is in three of each size however many cues a file has. A passage and a
 template are vectors of term frequency times idf; idf is that of the templates (a bounded table that
 ships with this module), terms of no template weigh most. The cosine comes from an equi-join on the
 few terms the two share. The best template at `LEAST` or more is the file's own licence.
@@ -26,7 +29,12 @@ from .common import staged, table
 
 LEAST = 0.55
 MOSTLY = 0.5
-CUE = r"(?i)licen[sc]|copyright|\(c\)|spdx|warrant|redistribut|permission is hereby|public domain"
+CUE = r"(?i)licen[sc]|copyright|\(c\)|spdx|warrant|redistribut|permission[\s\W]+is[\s\W]+hereby|public[\s\W]+domain"
+CUE_TERM = "licen[sc]|copyright|^c$|spdx|warrant|redistribut|^hereby$|^domain$"
+#: Words of a window; templates have 2 to 80.
+SIZES = (12, 18, 27, 42, 63, 96)
+#: A line end with the comment marks around it, unless the next line is empty.
+WRAP = r"[^\S\n]*\n[^\S\n]*(?:[#*;%>|!]+|//+|--+|<!--)?[^\S\n]*(?=[^\s#*;%>|!/-])"
 NAMED = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)(\.[a-z]+)?$"
 
 #: Short public notices, by SPDX identifier.
@@ -109,12 +117,35 @@ def template_vectors(spark: SparkSession, templates: tuple = TEMPLATES) -> tuple
 def cued(files: DataFrame) -> DataFrame:
     """(file, path, n_words, lines): files with cue lines, and these."""
     has = files.where(F.col("text").rlike(CUE))
-    return has.select("file", "path", F.size(F.split("text", r"\s+")).alias("n_words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE)).alias("lines"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
+    return has.select("file", "path", F.size(F.split("text", r"\s+")).alias("n_words"), lines.alias("lines"), sentences(F.col("text")).alias("sentences"), terms(F.col("text")).alias("terms")).select(
+        "file", "path", "n_words", "lines", "sentences", windows(F.col("terms")).alias("windows")
+    )
+
+
+def sentences(text: Column) -> Column:
+    """Sentences with a cue; one ends with its mark, or at an empty line."""
+    whole = F.regexp_replace(text, WRAP, " ")
+    return F.filter(F.split(whole, r"(?<=[.;:!?])\s+|\n"), lambda x: x.rlike(CUE))
+
+
+def windows(words: Column) -> Column:
+    """Windows of each size around cue words, at every third of the size."""
+    cues = F.filter(F.transform(words, lambda x, i: F.when(x.rlike(CUE_TERM), i)), lambda i: i.isNotNull())
+
+    def of(size: int) -> Column:
+        step = size // 3
+        last = F.transform(cues, lambda p: F.floor(p / step).cast("int"))
+        at = F.array_distinct(F.flatten(F.transform(last, lambda k: F.sequence(F.greatest(k - 2, F.lit(0)), k))))
+        return F.transform(at, lambda k: F.array_join(F.slice(words, k * step + 1, F.lit(size)), " "))
+
+    return F.array_distinct(F.concat(*[of(size) for size in SIZES]))
 
 
 def passages(cues: DataFrame) -> DataFrame:
-    """(file, part, passage): cue lines by number, and all of a file's together as -1."""
-    both = F.concat(F.transform("lines", lambda x, i: F.struct(i.alias("part"), x.alias("passage"))), F.array(F.struct(F.lit(-1).alias("part"), F.array_join("lines", " ").alias("passage"))))
+    """(file, part, passage): a file's passages by number, and all its cue lines together as -1."""
+    each = F.array_distinct(F.concat("lines", "sentences", "windows"))
+    both = F.concat(F.transform(each, lambda x, i: F.struct(i.alias("part"), x.alias("passage"))), F.array(F.struct(F.lit(-1).alias("part"), F.array_join("lines", " ").alias("passage"))))
     return cues.select("file", F.inline(both))
 
 

@@ -1,6 +1,7 @@
 """Token files, archives, pseudonyms, licences and the pipeline."""
 
 import io
+import textwrap
 import zlib
 from collections import Counter
 
@@ -218,6 +219,26 @@ def test_every_licence_line_has_its_licence(spark):
     assert [got[str(k)] for k in range(len(lines))] == list(lines.values())
 
 
+def test_wrapped_notices(spark):
+    """Notices over many lines, in comments, in long files with other cue lines, and with prose on their line."""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    wrapped = {spdx: "\n".join(textwrap.wrap(licences.TEMPLATES[k][1], 70)) for k, spdx in ((1, "Apache-2.0"), (4, "BSD-3-Clause"), (13, "ISC"), (16, "MIT"), (19, "Unlicense"))} | {"MPL-2.0": mpl}
+    code = "\n".join(f"x{k} = f{k}(y{k})" for k in range(200))
+    noise = "\n".join(f"print copyright{k} of licence number q{k} and r{k} by s{k}" for k in range(60))
+    prose = " ".join(f"Thon q{k} haheble erre." for k in range(30))
+    rows, want = [], {}
+    for spdx, text in wrapped.items():
+        commented = "\n".join(f"# {x}" for x in text.split("\n"))
+        for how, whole in {"plain": text, "code": f"{commented}\n{code}", "noise": f"{noise}\n{commented}\n{noise}", "late": f"{code}\n{text}\n{code}"}.items():
+            rows.append((f"{spdx} {how}", None, whole))
+            want[rows[-1][0]] = spdx
+    for name, text, spdx in (("prose", f"x\nLicensed under CC BY-NC 4.0. {prose}", "CC-BY-NC-4.0"), ("short", f"{code}\n\n// Released under\n// the MIT License.\n{code}", "MIT"), ("none", f"{noise}\n{prose}", None)):
+        rows.append((name, None, text))
+        want[name] = spdx
+    df = spark.createDataFrame(rows, "file string, path string, text string")
+    assert {r.file: r.licence for r in licences.licensed(df).collect()} == want
+
+
 def test_cosines_against_brute_force(spark):
     import math
     import re
