@@ -1,8 +1,10 @@
 """Ranked suggestions for unknown words.
 
 Candidates share a deletion key with the word: one edit away means that deleting at most one letter
-from each gives the same string, two edits at most two. Keys are exploded and joined, so no word
-meets the whole lexicon; `levenshtein` then ranks, ties by frequency and spelling.
+from each gives the same string, two edits at most two; so all within the distance are found. Known
+words of more than `LONG` letters, which have very many deletions, are cut in one piece more than there
+can be edits instead; one piece is whole in the word, moved by the distance at most. Keys are exploded and
+joined, so no word meets the whole lexicon; `levenshtein` then ranks, ties by length and spelling.
 """
 
 from __future__ import annotations
@@ -15,12 +17,40 @@ from ..functions.variants import german_variants
 
 MOST = 5
 VARIANT_QUERIES = 4
+LONG = 20
 
 
-def deletions(word: Column) -> Column:
-    """The word and all it becomes without one letter."""
+def deletions(word: Column, distance: int = 1) -> Column:
+    """The word and all it becomes without one letter, or up to two."""
+    if distance not in (1, 2):
+        raise ValueError("distance is 1 or 2")
     n = F.char_length(word)
-    return F.array_distinct(F.concat(F.array(word), F.when(n > 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, n)))).otherwise(F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    one = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, n)))).otherwise(none)
+    both = [F.array(word), one]
+    if distance == 2:
+        pair = lambda i, j: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, j - i - 1), F.substr(word, j + 1, n))
+        both.append(F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: pair(i, j))))).otherwise(none))
+    return F.array_distinct(F.concat(*both))
+
+
+def pieces(word: Column, distance: int) -> Column:
+    """Keys of a known word: its length and `distance` + 1 pieces by place, one of which no edit touches."""
+    n = F.char_length(word)
+    return F.array(*[_piece(word, n, k, distance, F.lit(0)) for k in range(distance + 1)])
+
+
+def _piece(word: Column, n: Column, k: int, distance: int, shift: Column) -> Column:
+    """Piece k of known words with n letters, at its own place or moved."""
+    start, stop = F.floor(n * k / (distance + 1)).cast("int"), F.floor(n * (k + 1) / (distance + 1)).cast("int")
+    return F.concat_ws(" ", n.cast("string"), F.lit(str(k)), F.substr(word, start + shift + 1, stop - start))
+
+
+def shifted_pieces(word: Column, distance: int) -> Column:
+    """Keys of a word asked: where a piece of a known word of about its length can be."""
+    by = range(-distance, distance + 1)
+    n = F.char_length(word)
+    return F.array_distinct(F.array(*[_piece(word, n + more, k, distance, F.lit(shift)) for more in by for k in range(distance + 1) for shift in by if k or shift >= 0]))
 
 
 def ranked(queries: DataFrame, lexicon: DataFrame, distance: int = 2, most: int = MOST) -> DataFrame:
@@ -28,10 +58,17 @@ def ranked(queries: DataFrame, lexicon: DataFrame, distance: int = 2, most: int
     asked = queries.select("word").distinct().withColumn("_key", X.fold_key(F.col("word")))
     known = lexicon.where("suggested") if "suggested" in lexicon.columns else lexicon
     known = known.select("dictionary", F.col("word").alias("suggestion"), F.col("fold_key").alias("_known")).distinct()
-    near = asked.select("word", "_key", F.explode(deletions(F.col("_key"))).alias("_cut")).join(known.select("dictionary", "suggestion", "_known", F.explode(deletions(F.col("_known"))).alias("_cut")), "_cut").drop("_cut").distinct()
-    near = near.withColumn("_d", F.levenshtein("_key", "_known")).where((F.col("_d") <= distance) & (F.col("_key") != F.col("_known")))
-    # Both sides were cut once at most, so everything within one edit and much within two is there.
-    order = Window.partitionBy("word", "dictionary").orderBy("_d", F.abs(F.char_length("_key") - F.char_length("_known")), "suggestion")
+    n, m = F.char_length("_key"), F.char_length("_known")
+    no = F.array().cast("array<string>")
+    # Known words of up to LONG letters meet by deletions, longer ones by pieces.
+    asked_keys = F.concat(F.when(n <= LONG + distance, deletions(F.col("_key"), distance)).otherwise(no), F.when(n > LONG - distance, shifted_pieces(F.col("_key"), distance)).otherwise(no))
+    known_keys = F.when(m <= LONG, deletions(F.col("_known"), distance)).otherwise(pieces(F.col("_known"), distance))
+    # Hashes are enough to meet by: pairs are verified before they are made distinct.
+    left = asked.select("word", "_key", F.explode(asked_keys).alias("_cut")).withColumn("_cut", F.xxhash64("_cut"))
+    right = known.select("dictionary", "suggestion", "_known", F.explode(known_keys).alias("_cut")).withColumn("_cut", F.xxhash64("_cut"))
+    near = left.join(right, "_cut").drop("_cut").where((F.abs(n - m) <= distance) & (F.col("_key") != F.col("_known")))
+    near = near.withColumn("_d", F.levenshtein("_key", "_known", distance)).where(F.col("_d") >= 0).distinct()
+    order = Window.partitionBy("word", "dictionary").orderBy("_d", F.abs(n - m), "suggestion")
     top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return top.select("word", "dictionary", "rank", X.recased(F.col("suggestion"), F.col("word")).alias("suggestion"))
 

@@ -92,6 +92,37 @@ def test_suggestions(spark):
     assert hits["Buecher"][0] == "Bücher" and "bücher" in [x.lower() for x in hits["buechr"]]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_ranked_against_all_pairs(spark, distance):
+    rng = random.Random(distance)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+
+    def changed(w):
+        for _ in range(rng.randrange(4)):
+            at, kind = rng.randrange(len(w) + 1), rng.randrange(3)
+            w = w[:at] + (rng.choice("abcd") if kind else "") + w[at + (kind != 1) :]
+        return w or "d"
+
+    known = {word(rng.choice((1, 2, 3, 4, 7, 9, 17, 18, 19, 20, 21, 22, 23, 24, 40))) for _ in range(150)} | {"abcd", "cab"}
+    asked = {changed(w) for w in known for _ in range(2)} | {"axyd", "zcabz"}
+    lex = lexicon.from_words(spark, sorted(known), "d")
+    got = suggest.ranked(spark.createDataFrame([(w,) for w in asked], "word string"), lex, distance=distance, most=1000)
+    want = set()
+    for w in asked:
+        near = sorted((d, abs(len(w) - len(k)), k) for k in known if 0 < (d := edits(w, k)) <= distance)
+        want |= {(w, rank, k) for rank, (_, _, k) in enumerate(near, 1)}
+    assert {(r.word, r.rank, r.suggestion) for r in got.collect()} == want and len(want) > 100
+
+
 def test_reports(spark):
     docs = spark.createDataFrame([(1, "./b.txt", "one\nteh é teh"), (2, "a.txt", "teh Teh")], "doc_id long, path string, text string")
     bad = spark.createDataFrame([(1, "teh", [(4, 7), (11, 14)]), (2, "teh", [(0, 3)]), (2, "Teh", [(4, 7)])], "doc_id long, word string, locations array<struct<start_byte:bigint,end_byte:bigint>>")
