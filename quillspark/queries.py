@@ -171,6 +171,14 @@ def suggest_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.ranked(asked, lex, distance=1).select("word", F.col("rank").cast("long").alias("rank"), "suggestion")
 
 
+def suggest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions within two edits for every unknown word of documents."""
+    lex = corpus(spark, sf_dir)
+    asked = doc_words(spark, sf_dir, ("doc_id",)).where(F.char_length("word") >= 3).select("word").distinct()
+    asked = asked.withColumn("fold_key", X.fold_key(F.col("word"))).join(lex.select("fold_key"), "fold_key", "left_anti")
+    return suggest.ranked(asked, lex).select("word", F.col("rank").cast("long").alias("rank"), "suggestion")
+
+
 def line_col(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("instr(text, 'est') > 0")
     at = F.octet_length(F.substring_index("text", "est", 1)).cast("long")
@@ -250,7 +258,7 @@ def diagnostics_and_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     unknown_words_topk, token_counts_by_lang, unknown_words, findings_per_document, flag_words_override, identifier_split, skip_pattern_hits, skip_ranges_merged, interval_merge, interval_merge_arrays,
     containment_anti_join, first_occurrence_unique, lint_summary, language_of_path, override_resolution, dictionary_sets, html_text_regions, tag_filter, findings_with_ranges, html_findings,
-    german_variant_words, suggest_topk, line_col, latest_turn_state, session_documents, content_hash_dedup, common_word_list, word_cases,
+    german_variant_words, suggest_topk, suggest_documents, line_col, latest_turn_state, session_documents, content_hash_dedup, common_word_list, word_cases,
     scalar_functions, text_slices, suggestions_round_robin, engine_findings, diagnostics_and_fixes,
 )}
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark import cli
+from quillspark import cli, queries
 from quillspark.operators import check, lexicon, report, suggest, tokens
 from quillspark.plans.engine import Engine
 from quillspark.plans.policy import Override, Settings
@@ -123,6 +123,20 @@ def test_ranked_against_all_pairs(spark, distance):
     assert {(r.word, r.rank, r.suggestion) for r in got.collect()} == want and len(want) > 100
 
 
+def test_suggestions_for_all_unknown_words_of_documents(spark, tmp_path):
+    known = ["hello", "help", "world", "abcd", "stone"]
+    unknown = {1: "helo wrlod axyd", 2: "stoooe Hlelo zzzzzzz", 3: "HELPPP stne"}
+    rows = [(k, " ".join(known), "en") for k in range(10, 10 + queries.LEAST_DOCS)] + [(k, x, "en") for k, x in unknown.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for w in " ".join(unknown.values()).split():
+        near = sorted((d, abs(len(w) - len(k)), k) for k in known if (d := edits(w.lower(), k)) <= 2)
+        want |= {(w, rank, k.upper() if w.isupper() else k) for rank, (_, _, k) in enumerate(near[: suggest.MOST], 1)}
+    got = {(r.word, r.rank, r.suggestion.lower() if r.word == "Hlelo" else r.suggestion) for r in queries.QUERIES["suggest_documents"](spark, str(tmp_path)).collect()}
+    assert got == want and {w for w, _, _ in want} >= {"axyd", "stoooe", "HELPPP", "Hlelo"}
+
+
 def test_reports(spark):
     docs = spark.createDataFrame([(1, "./b.txt", "one\nteh é teh"), (2, "a.txt", "teh Teh")], "doc_id long, path string, text string")
     bad = spark.createDataFrame([(1, "teh", [(4, 7), (11, 14)]), (2, "teh", [(0, 3)]), (2, "Teh", [(4, 7)])], "doc_id long, word string, locations array<struct<start_byte:bigint,end_byte:bigint>>")
