@@ -1,39 +1,42 @@
 """Exact Jaccard join of documents by word shingles, as a metric-space join with pivots.
 
-Jaccard distance 1 - |x & y| / |x | y| is a metric. Regions gather documents around pivots; the
-triangle inequality says which documents near a region's border have to be in two regions, and
-which pairs of a region need no look: if |d(x, p) - d(y, p)| > r, then d(x, y) > r.
-
-Unrelated texts are all at distance 1 from each other and from any document taken as a pivot, so
-document pivots alone leave nearly the whole corpus in one region. The first division therefore
-takes its pivots in subspaces, where the same inequality separates texts:
-
-* Rings around the empty set. With symmetric difference as the distance, a text of n shingles is
-  n from the empty set and its partners are within n / t. Rings double in size; a text that may
-  have a partner in the next ring is replicated there (`band_of`).
-* In a ring, hashing deals a text's shingles into m parts. Linked texts differ in at most R =
-  (1 - t) / t * n shingles, hence in R parts. Each part is a subspace, and its distinct contents are
-  pivots of Voronoi regions with radius 0. A text goes to the regions of its first R + 1 non-empty
-  parts: linked texts meet in one at least. Parts that hold nothing but shingles frequent in
-  a bounded sample are passed over where enough others are left; that changes costs, never
-  results (`signatures` says why).
-
-Texts with equal sets are one vertex from the start. Regions with two vertices or more are then
-joined recursively and exactly. First, each vertex meets one pivot document of its regions (small regions: all
-pairs); sizes and parity sketches rule pairs out, exact distances decide the rest. Regions whose vertices are
-all connected are done. Vertices of the others are divided again, by their rarest shingles, and
-gather around pivot documents; blocks of these regions meet two by two in tasks of bounded size, where the triangle
-inequality and sketches rule out pairs before any is listed, and exact distances decide.
+Jaccard distance 1 - |x & y| / |x | y| is a metric, and so is the symmetric difference |x ^ y|, in which
+linked sets of m and n shingles are within R = (1 - t) / (1 + t) * (m + n), so a set of n and any partner
+within (1 - t) / t * n. A parity sketch maps sets to bits and never lengthens a distance, so what the
+triangle inequality rules out between sketches it rules out between sets.
+
+1. Equal sets are one vertex.
+2. Unrelated texts are all at distance 1 from each other and from any document taken as a pivot, and no
+   window parts them. The first division therefore takes its pivots in subspaces (`signatures`): rings of
+   sizes around the empty set, a text near a ring's border being in both, and in a ring hashed parts of
+   the shingles. Linked texts differ in R parts at most and meet in one of the first R + 1 at least. Parts
+   that hold nothing but shingles frequent in a bounded sample are passed over where enough others are
+   left; that changes costs, never results. The least vertex of a region is its pivot, and regions with
+   one pivot are one region (`gathered`).
+3. Each vertex has distances to the pivots of its regions; it is linked to the nearest one if exact
+   Jaccard says so. Regions whose vertices are all connected are done.
+4. Others are joined recursively (`divided`): `PIVOTS` of a region's vertices are pivots of Voronoi cells, a
+   vertex goes to the cell of its nearest pivot, and to each other cell whose pivot is farther
+   by 2R at most: if x and y are linked and y is in the cell of q, then d(x, q) <= d(y, q) + R <=
+   d(y, p) + R <= d(x, p) + 2R for x's own pivot p. Cells are regions of the next round, until they have
+   `BLOCK` vertices or fewer and list the pairs that sizes and sketches leave possible.
+5. Where windows put most vertices into most cells (texts that share a passage and no more are all equally
+   far from each other), pivots cannot part them. Such vertices are divided by their rarest shingles instead, and what
+   is still large there meets block by block, two blocks a task.
+
+Exact distances decide each pair that is listed. A region that holds very many vertices is never one key: the
+heaviest regions of the first division never shuffle by region (`heavy_regions`), later ones are dealt
+to `SALTS` or to blocks.
 
 Rows with one doc_id are one document; where their texts differ, the set with the least fingerprint
-is its set (n_shingles is each row's own). A null doc_id links with nothing and has no component. A
-text that is null or has no words has an empty set and is its own component. An empty table gives
-no rows.
+is its set (n_shingles is each row's own; of equal fingerprints either will do, the sets are equal). A null
+doc_id links with nothing and has no component. A text that is null or has no words has an empty set and is its own
+component. Only the columns doc_id and text are read, and columns of other names do no harm; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,16 +44,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_dir, fresh_dir, give_back, staged, table
+from .common import give_back, staged, table
 from .components import components
 from .shingles import fingerprint, mix, shingle_sets
 
 NUM, DEN, WORDS = 80, 100, 5
 #: Rows whose shingles tell which are frequent, at most about, and in how many of them.
 SAMPLE_ROWS = 20_000
-FREQUENT = 3
-PIVOTS = 4
-BLOCK = 256
+FREQUENT, MOST_FREQUENT = 3, 1 << 18
+#: Regions of the first division that are dealt apart for their weight, at most (16 bytes each).
+HEAVY = 1 << 16
+#: Pivots of a round, vertices of a leaf or block, and of a leaf whose pairs meet by a plain join.
+PIVOTS, BLOCK, FEW = 16, 256, 16
+SALTS = 64
 
 
 def band_of(n: int) -> int:
@@ -66,6 +72,11 @@ def parts_of(band: int) -> int:
     return 1 << 16 if band < 5 else (7 << band) // 10 + 4
 
 
+def banded(codes: np.ndarray, band: int) -> np.ndarray:
+    """Regions with their band in the low bits; its vertices are of this band or the one below."""
+    return (codes & ~np.uint64(63)) | np.uint64(band)
+
+
 def signatures(s: np.ndarray, frequent: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """The regions of a sorted set of hashes.
 
@@ -93,12 +104,13 @@ def signatures(s: np.ndarray, frequent: np.ndarray, num: int = NUM, den: int = D
         telling = ~np.logical_and.reduceat(known, starts)
         full = np.flatnonzero(telling)
         if len(full) >= need:
-            out.append(code[full[:need]])
+            own = code[full[:need]]
         else:
             telling[:need] = True
-            out.append(code[telling])
+            own = code[telling]
             if len(starts) < need:
-                out.append(mix(np.array([b], np.uint64)))
+                own = np.append(own, mix(np.array([b], np.uint64)))
+        out.append(banded(own, b))
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
@@ -114,7 +126,10 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Hashes that several different sets of a bounded sample share, sorted."""
+    """Hashes that several different sets of a bounded sample share, sorted: the MOST_FREQUENT first of them.
+
+    What a table of bounded size leaves out costs time and changes no result.
+    """
     total = docs.count()
     if not total:
         return np.zeros(0, np.uint64)
@@ -126,7 +141,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             sets = shingle_sets(batch.column(1), WORDS)
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["f", "s"])
 
-    rows = chosen.select("doc_id", "text").mapInArrow(run, "f long, s array<long>").dropDuplicates(["f"]).select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT).select("s")
+    rows = chosen.select("doc_id", "text").mapInArrow(run, "f long, s array<long>").dropDuplicates(["f"]).select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(MOST_FREQUENT)
     return np.sort(np.array([r["s"] for r in rows.toLocalIterator()], np.int64).view(np.uint64))
 
 
@@ -162,12 +177,6 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by("s", F.struct("f1", "f2")).alias("s"))
 
 
-def reclaim(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of jobs whose results are staged."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) -> (a, b, inter, total) with the exact sizes of intersection and union."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
@@ -178,109 +187,282 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id), one row for each row."""
-    spark = docs.sparkSession
-    path = fresh_dir(spark, "jaccard-signed")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed(docs, frequent_shingles(docs), k, num, den).write.parquet(path)
-    all_signed = spark.read.parquet(path)
+    all_signed = staged(signed(docs, frequent_shingles(docs), k, num, den), "jaccard-signed")
     one = all_signed.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("f")).select("doc_id", "f.*")
     rep_of = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     lists = all_signed.where("n > 0").groupBy("f1", "f2").agg(F.first(F.struct("n", "regions", "sketch")).alias("x"))
     reps = staged(rep_of.join(lists, ["f1", "f2"]).select(F.col("rep").alias("id"), "x.*"), "jaccard-sets")
     rows = all_signed.select("doc_id", "n").join(one.join(rep_of, ["f1", "f2"]).select("doc_id", "rep"), "doc_id", "left")
     docs_reps = staged(rows, "jaccard-docs")
-    drop_dir(spark, path)
-    reclaim(spark)
-    members = _members(reps)
-    reclaim(spark)
-    links = _links(docs, members, reps.select("id", "n", "sketch"), k, num, den)
-    found = components(links)
+    found = components(_links(docs, reps, k, num, den))
     named = docs_reps.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def _members(reps: DataFrame) -> DataFrame:
-    """(region, id, size) of the regions with two vertices or more; of regions with the same vertices, one."""
-    rows = reps.select(F.explode("regions").alias("region"), "id")
-    crowded = staged(rows.groupBy("region").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("region"), "jaccard-crowded")
-    reclaim(reps.sparkSession)
-    found = staged(rows.join(crowded, "region"), "jaccard-regions")
-    marks = found.groupBy("region").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    kept = marks.groupBy("size", "x", "y").agg(F.min("region").alias("region")).select("region", "size")
-    return staged(found.join(kept, "region"), "jaccard-regions")
+def heavy_regions(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(region, pivot) of the regions that hold much of all vertices, by region.
 
+    A region with a hundredth of the vertices has its share of nearly every batch, and batches count
+    theirs. Only the HEAVY heaviest come to the driver, so what is left has a bounded part of all rows.
+    """
 
-def _links(docs: DataFrame, members: DataFrame, sketches: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b) links that connect all that is linked."""
-    near = staged(_alike(staged(_first_pairs(members), "jaccard-pairs"), sketches, num, den), "jaccard-near")
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = staged(sets_of(docs.join(ids, "doc_id", "left_semi"), k), "jaccard-shingles")
-    known = staged(measured(near, sets), "jaccard-known")
-    links = lambda: known.where(F.col("inter") * den >= F.col("total") * num).select("a", "b")
-    active = _mixed(members.where(F.col("size") > PIVOTS), links())
-    if active.isEmpty():
-        return links()
-    # Again, by other pivots: what is left is divided by its rarest shingles, and each region of
-    # these goes to its least vertex.
-    ids = active.select("id").distinct()
-    sets = staged(sets_of(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k), "jaccard-shingles")
-    fine = _members(_by_rarest(sets, num, den))
-    around = fine.join(fine.groupBy("region").agg(F.min("id").alias("p")), "region").select(F.col("p").alias("region"), "id").distinct()
-    sizes = around.groupBy("region").agg(F.count("*").alias("size"))
-    active = _mixed(staged(around.join(sizes, "region"), "jaccard-around"), links())
-    if not active.isEmpty():
-        near = staged(_block_pairs(active, sketches, num, den).join(known.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-near")
-        known = known.unionByName(staged(measured(near, sets), "jaccard-known"))
-    return links()
-
-
-def _block_pairs(regions: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in a region that sizes and sketches leave possible.
-
-    A region's vertices are dealt to blocks of about BLOCK; each two blocks meet in a task of their own, which
-    sees 2 * BLOCK sketches or so, and only pairs that may be linked come out. Sketches compare at
-    the smaller length of a band and the next. In a block pair, one vertex is the pivot: distances to
-    it that differ by more than R rule pairs out by the triangle inequality.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            region, ids = _exploded(batch)
+            codes, first, n = np.unique(region, return_index=True, return_counts=True)
+            some = n >= max(4, batch.num_rows // 64)
+            yield pa.RecordBatch.from_arrays([pa.array(codes[some]), pa.array(ids[first[some]]), pa.array(n[some])], names=["region", "pivot", "n"])
+
+    found = rows.select("id", "regions").mapInArrow(run, "region long, pivot long, n long").groupBy("region").agg(F.sum("n").alias("n"), F.min("pivot").alias("pivot"))
+    kept = sorted((r["region"], r["pivot"]) for r in found.orderBy(F.desc("n"), "region").limit(HEAVY).toLocalIterator())
+    return np.array([x[0] for x in kept], np.int64), np.array([x[1] for x in kept], np.int64)
+
+
+def _exploded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(region, id) of (id, regions)."""
+    lists = batch.column(1)
+    sizes = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+
+
+def _gathered_batch(pivot: np.ndarray, band: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    rows = np.unique(np.stack([pivot, band, ids], 1)[pivot != ids], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2])], names=["pivot", "band", "id"])
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """(id, regions) -> distinct (pivot, band, id) with pivot <> id.
+
+    Regions are read in order from one shuffle; the first vertex of each is its pivot. The rows of
+    heavy regions know theirs beforehand and stay where they are.
     """
-    rows = regions.join(sketches, "id").withColumn("band", F.length(F.bin("n")) - 1)
-    half = F.greatest(F.size("sketch") / 2, F.lit(1)).cast("int")
-    folded = F.when(F.size("sketch") > 1, F.zip_with(F.slice("sketch", F.lit(1), half), F.slice("sketch", half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col("sketch"))
-    below = rows.where(F.col("n") * num <= (F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band")) - 1) * den)
-    # Bands that share the least length of a sketch are not folded.
-    shorter = below.withColumn("sketch", F.when(F.col("band") > 5, folded).otherwise(F.col("sketch"))).withColumn("band", F.col("band") - 1)
-    both = rows.withColumn("own", F.lit(True)).unionByName(shorter.withColumn("own", F.lit(False)))
+    heavy, pivots = heavy_regions(rows)
+
+    def is_heavy(region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(heavy, region), max(0, len(heavy) - 1))
+        return (heavy[at] == region if len(heavy) else np.zeros(len(region), bool)), at
+
+    def heavy_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            region, ids = _exploded(batch)
+            there, at = is_heavy(region)
+            yield _gathered_batch(pivots[at[there]], region[there] & 63, ids[there])
+
+    def other_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            region, ids = _exploded(batch)
+            there = ~is_heavy(region)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(region[there]), pa.array(ids[there])], names=["region", "id"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pivot = None, 0
+        for batch in batches:
+            region, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+            if not len(region):
+                continue
+            fresh = np.append(last is None or region[0] != last, region[1:] != region[:-1])
+            starts = np.maximum.accumulate(np.where(fresh, np.arange(len(region)), -1))
+            own = np.where(starts < 0, pivot, ids[starts])
+            yield _gathered_batch(own, region & 63, ids)
+            last, pivot = region[-1], own[-1]
+
+    rows, schema = rows.select("id", "regions"), "pivot long, band int, id long"
+    dealt = rows.mapInArrow(other_rows, "region long, id long").repartition("region").sortWithinPartitions("region", "id").mapInArrow(runs, schema)
+    return dealt.unionByName(rows.mapInArrow(heavy_rows, schema)).distinct() if len(heavy) else dealt.distinct()
+
+
+def folded(sketch: str, band: str) -> Column:
+    """Half a sketch xor the other half where it has the length of `band`, as the band below has half of it."""
+    half = (F.size(sketch) / 2).cast("int")
+    longs = F.greatest(F.call_function("shiftright", F.call_function("shiftleft", F.lit(1), F.col(band)), F.lit(6)), F.lit(1))
+    return F.when(F.size(sketch) > longs, F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(sketch))
+
+
+def apart(a: Column, b: Column) -> Column:
+    """The bits in which two sketches of one length differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+
+
+def least_apart(a: str, b: str, band: str) -> Column:
+    """The bits in which two sketches differ, at their own length if it is one, else at that of the band below."""
+    return F.when(F.size(a) == F.size(b), apart(F.col(a), F.col(b))).otherwise(apart(folded(a, band), folded(b, band)))
+
+
+def possible(d: Column, n: str, m: str, num: int, den: int) -> Column:
+    """Whether sizes and the distance of sketches leave a link possible."""
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (d * (den + num) <= (F.col(n) + F.col(m)) * (den - num))
+
+
+def _region(pivot: str, band: str) -> Column:
+    return F.xxhash64(pivot, band)
+
+
+def _salted(regions: DataFrame) -> DataFrame:
+    return regions.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS)).cast("int")
+
+
+def _flagged(members: DataFrame) -> DataFrame:
+    """(region, band, id) with `large`: whether the region has more than BLOCK vertices."""
+    sizes = members.groupBy("region").count().where(F.col("count") > BLOCK).select("region", F.lit(True).alias("_l"))
+    rows = members.withColumn("_salt", _salt()).join(_salted(sizes), ["region", "_salt"], "left")
+    return staged(rows.select("region", "band", "id", F.coalesce("_l", F.lit(False)).alias("large")), "jaccard-members")
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(region, band, id, large, component, size) of the regions with vertices of several components."""
+    named = members.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = staged(named.select("region", "band", "id", "large", "component"), "jaccard-named")
+    stats = named.groupBy("region", "large").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+    few = named.where("NOT large").join(stats.where("NOT large").select("region", "size"), "region")
+    many = named.where("large").withColumn("_salt", _salt()).join(_salted(stats.where("large").select("region", "size")), ["region", "_salt"])
+    return staged(few.unionByName(many.select(*few.columns)), "jaccard-open")
+
+
+def _nearest(star: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(pivot, band, id) -> pairs (a, b) of each vertex and its nearest pivot, where they may be linked."""
+    side = lambda v, c: sketches.select(F.col("id").alias(v), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    # A pivot of very many vertices has its sketch SALTS times.
+    many = _salted(star.groupBy("pivot").count().where(F.col("count") > BLOCK).select("pivot").join(side("pivot", "p"), "pivot"))
+    met = star.withColumn("_salt", _salt()).join(many, ["pivot", "_salt"], "left").drop("_salt")
+    met = met.where("n_p IS NOT NULL").unionByName(met.where("n_p IS NULL").drop("n_p", "s_p").join(side("pivot", "p"), "pivot").select(*met.columns))
+    met = met.join(side("id", "x"), "id").withColumn("d", least_apart("s_x", "s_p", "band"))
+    home = met.where(possible(F.col("d"), "n_x", "n_p", num, den)).groupBy("id").agg(F.min_by("pivot", F.struct("d", "pivot")).alias("p"))
+    return home.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
+
+
+def divided(regions: DataFrame, sketches: DataFrame, turn: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Large regions by Voronoi cells: (members of the cells, vertices that pivots cannot part, pairs with the nearest pivot).
+
+    Pivots are PIVOTS vertices of a region, the least by a hash of each share. They go to the region's blocks,
+    so a task has the vertices of a block and as many pivots. A region counts as parted if its vertices are in two
+    cells on average at most, and no cell has more than three quarters of them; so rounds end.
+    """
+    looks = sketches.select("id", "n", "sketch")
+    share, order = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(PIVOTS)), F.xxhash64("id", F.lit(turn), F.lit(1))
+    chosen = regions.groupBy("region", "band", "size", share.alias("_share")).agg(F.min_by("id", F.struct(order, "id")).alias("id"))
+    pivots = chosen.join(looks, "id").select("region", "size", F.struct(F.col("id").alias("pivot"), F.col("n").alias("m"), folded("sketch", "band").alias("s")).alias("p"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    lists = pivots.groupBy("region", "size").agg(F.collect_list("p").alias("pivots")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("size")
+    rows = regions.join(looks, "id").withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), blocks).cast("int"))
+    met = rows.join(lists, ["region", "block"]).withColumn("sketch", folded("sketch", "band"))
+    met = met.withColumn("far", F.transform("pivots", lambda p: F.struct(apart(F.col("sketch"), p["s"]).alias("d"), p["pivot"].alias("pivot"), p["m"].alias("m")))).withColumn("home", F.array_min("far"))
+    window = F.col("home.d") + 2 * F.col("n") * (den - num) / num
+    cells = F.transform(F.filter("far", lambda x: x["d"] <= window), lambda x: x["pivot"])
+    met = staged(met.select("region", "band", "id", "size", "n", "home", cells.alias("cells")), "jaccard-cells")
+    by_cell = met.select("region", "size", F.explode("cells").alias("cell")).groupBy("region", "size", "cell").agg(F.count("*").alias("c"))
+    stats = by_cell.groupBy("region", "size").agg(F.sum("c").alias("total"), F.max("c").alias("most"))
+    verdicts = stats.select("region", ((F.col("total") <= 2 * F.col("size")) & (F.col("most") * 4 <= F.col("size") * 3)).alias("parted"))
+    judged = met.withColumn("_salt", _salt()).join(_salted(verdicts), ["region", "_salt"])
+    cells = judged.where("parted").select(F.explode("cells").alias("cell"), "region", "band", "id").select(F.xxhash64("region", "cell").alias("region"), "band", "id")
+    pairs = met.where(F.col("id") != F.col("home.pivot")).withColumn("m", F.col("home.m")).where(possible(F.col("home.d"), "n", "m", num, den))
+    pairs = pairs.select(F.greatest("id", "home.pivot").alias("a"), F.least("id", "home.pivot").alias("b")).distinct()
+    return cells, judged.where("NOT parted").select("id").distinct(), pairs
+
+
+def _listed(regions: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of different components in a region that sizes and sketches leave possible.
+
+    The pairs of regions with FEW vertices or fewer meet in a join. Others' vertices are dealt to blocks of about
+    BLOCK, and each two blocks meet in a task of their own, which sees 2 * BLOCK sketches or so; only pairs that may
+    be linked come out. One vertex of a task is its pivot: distances to it that differ by more than R rule
+    pairs out by the triangle inequality.
+    """
+    rows = regions.join(sketches.select("id", "n", "sketch"), "id")
+    few = rows.where(F.col("size") <= FEW)
+    other = few.select("region", F.col("id").alias("id_"), F.col("component").alias("component_"), F.col("n").alias("n_"), F.col("sketch").alias("sketch_"))
+    near = few.join(other, "region").where("id > id_ AND component <> component_").where(possible(least_apart("sketch", "sketch_", "band"), "n", "n_", num, den))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(9)), blocks).cast("int")
-    dealt = both.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    units = dealt.select("region", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "sketch", "own")
+    dealt = rows.where(F.col("size") > FEW).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    units = dealt.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "sketch", folded("sketch", "band").alias("short"))
 
     def meet(unit: pa.Table) -> pa.Table:
         n, ids, parts = (unit.column(c).to_numpy() for c in ("n", "id", "component"))
-        own_ = unit.column("own").to_numpy()
-        x = np.array(unit.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(n), -1)
+        x, whole = (unit.column(c).combine_chunks() for c in ("short", "sketch"))
+        x = x.flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+        longer = np.diff(whole.offsets.to_numpy()) > x.shape[1]
+        whole, place = whole.filter(pa.array(longer)).flatten().to_numpy().view(np.uint64).reshape(-1, 2 * x.shape[1]), np.cumsum(longer) - 1
         to_pivot = np.bitwise_count(x ^ x[0]).sum(1, dtype=np.int64)
         a, b = [], []
         for k in range(len(n) - 1):
             m = np.arange(k + 1, len(n))
             most = (n[k] + n[m]) * (den - num)
-            m = m[(parts[m] != parts[k]) & (np.minimum(n[m], n[k]) * den >= np.maximum(n[m], n[k]) * num) & (np.abs(to_pivot[m] - to_pivot[k]) * (den + num) <= most) & (own_[m] | own_[k])]
+            m = m[(parts[m] != parts[k]) & (np.minimum(n[m], n[k]) * den >= np.maximum(n[m], n[k]) * num) & (np.abs(to_pivot[m] - to_pivot[k]) * (den + num) <= most)]
             if len(m):
-                apart = np.bitwise_count(x[m] ^ x[k]).sum(1, dtype=np.int64)
-                m = m[apart * (den + num) <= (n[k] + n[m]) * (den - num)]
+                far = np.bitwise_count(x[m] ^ x[k]).sum(1, dtype=np.int64)
+                m = m[far * (den + num) <= (n[k] + n[m]) * (den - num)]
+                if longer[k]:  # two long sketches say more
+                    far = np.where(longer[m], np.bitwise_count(whole[place[m]] ^ whole[place[k]]).sum(1, dtype=np.int64), 0)
+                    m = m[far * (den + num) <= (n[k] + n[m]) * (den - num)]
                 a += np.maximum(ids[m], ids[k]).tolist()
                 b += np.minimum(ids[m], ids[k]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return units.groupBy("region", "band", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    listed = units.groupBy("region", "i", "j").applyInArrow(meet, "a long, b long")
+    return near.select(F.col("id").alias("a"), F.col("id_").alias("b")).unionByName(listed).distinct()
 
 
-def _mixed(regions: DataFrame, links: DataFrame) -> DataFrame:
-    """(region, id, size, component) of the regions with vertices of several components."""
-    if regions.isEmpty():
-        return regions.withColumn("component", F.col("id"))
-    named = regions.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
-    return staged(named.join(mixed, "region", "left_semi"), "jaccard-open")
+class _Known:
+    """Pairs with their exact sizes; no pair is measured twice."""
+
+    def __init__(self, docs: DataFrame, k: int, num: int, den: int):
+        self.docs, self.k, self.num, self.den, self.pairs = docs, k, num, den, None
+
+    def measure(self, pairs: DataFrame) -> None:
+        fresh = staged(pairs if self.pairs is None else pairs.join(self.pairs.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
+        if fresh.isEmpty():
+            self.pairs = self.pairs if self.pairs is not None else fresh.withColumn("inter", F.lit(0).cast("long")).withColumn("total", F.lit(1).cast("long"))
+            return
+        sets = staged(self.sets(fresh.select("a").union(fresh.select("b")).distinct().toDF("id")), "jaccard-shingles")
+        found = staged(measured(fresh, sets), "jaccard-known")
+        self.pairs = found if self.pairs is None else self.pairs.unionByName(found)
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        return sets_of(self.docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), self.k)
+
+    def links(self) -> DataFrame:
+        return self.pairs.where(F.col("inter") * self.den >= F.col("total") * self.num).select("a", "b")
+
+
+def _links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) links that connect all that is linked."""
+    sketches, known = reps.select("id", "n", "sketch"), _Known(docs, k, num, den)
+    star = staged(gathered(reps), "jaccard-star")
+    known.measure(_nearest(star, sketches, num, den))
+    hard = _joined(_members(star), sketches, known, True)
+    if hard is not None:
+        star = staged(gathered(_by_rarest(staged(known.sets(hard), "jaccard-shingles"), num, den)), "jaccard-star")
+        _joined(_members(star), sketches, known, False)
+    return known.links()
+
+
+def _members(star: DataFrame) -> DataFrame:
+    """(region, band, id) of the pivots' regions, pivots included."""
+    both = star.select("pivot", "band", "id").unionByName(star.select("pivot", "band", F.col("pivot").alias("id")).distinct())
+    return both.select(_region("pivot", "band").alias("region"), "band", "id")
+
+
+def _joined(members: DataFrame, sketches: DataFrame, known: _Known, dividing: bool) -> DataFrame | None:
+    """Measure all pairs in regions that may connect components; returns vertices (id) that pivots cannot part."""
+    turn, hard, num, den = 0, None, known.num, known.den
+    while True:
+        active = _open(_flagged(members), known.links())
+        if active.isEmpty():
+            return hard
+        known.measure(_listed(active.where("NOT large") if dividing else active, sketches, num, den))
+        large = active.where("large")
+        if not dividing or large.isEmpty():
+            return hard
+        members, rest, pairs = divided(large, sketches, turn, num, den)
+        known.measure(pairs)
+        if not rest.isEmpty():
+            hard = staged(rest if hard is None else hard.union(rest).distinct(), "jaccard-hard")
+        turn += 1
 
 
 def ring(n: int) -> int:
@@ -288,6 +470,11 @@ def ring(n: int) -> int:
     return int(np.log(n) / np.log(1.06) + 1e-9)
 
 
+def least_of(ring: int) -> int:
+    """No set of the ring is smaller."""
+    return max(1, int(np.ceil(1.06**ring * (1 - 1e-9))))
+
+
 def _by_rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(id, s) -> (id, regions): a region for a shingle and two rings of sizes.
 
@@ -307,47 +494,18 @@ def _by_rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
                 own, n = np.array(s, np.int64).view(np.uint64), len(s)
                 here, keys = ring(n), []
                 for other in range(ring(-(-n * num // den)) - 1, ring(n * den // num) + 2):
-                    least = max(-(-n * num // den), int(np.ceil(1.06**other * (1 - 1e-9))))
+                    least = max(-(-n * num // den), least_of(other))
                     o = -(-num * (n + least) // (num + den))
                     if other >= 0 and n - o + 1 > 0:
                         with np.errstate(over="ignore"):
-                            keys.append(mix(own[: n - o + 1] + mix(np.array([(min(here, other) << 20) | max(here, other)], np.uint64))))
+                            codes = mix(own[: n - o + 1] + mix(np.array([(min(here, other) << 20) | max(here, other)], np.uint64)))
+                        keys.append(banded(codes, band_of(least_of(min(here, other))) + 1))
                 out.append(np.unique(np.concatenate(keys)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "regions"])
 
     return ordered.select("id", "s").mapInArrow(run, "id long, regions array<long>")
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that sizes and sketches leave possible: sketches differ in R bits at most."""
-    side = lambda v: sketches.select(F.col("id").alias(v), F.col("n").alias(f"n_{v}"), F.col("sketch").alias(f"s_{v}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    both = both.where(least * den >= most * num)
-
-    def folded(s: str, other: str) -> Column:
-        half = F.greatest(F.size(s) / 2, F.lit(1)).cast("int")
-        return F.when(F.size(s) > F.size(other), F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(s))
-
-    apart = F.aggregate(F.zip_with(folded("s_a", "s_b"), folded("s_b", "s_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return both.where(apart * (den + num) <= (den - num) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-
-
-def _first_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of the regions with PIVOTS vertices or fewer; in others each vertex and its home.
-
-    A vertex's home is the least vertex of a region, that with which it shares most regions. One
-    home each keeps the first round linear in the number of vertices, however large a group is.
-    """
-    small, large = members.where(F.col("size") <= PIVOTS), members.where(F.col("size") > PIVOTS)
-    least = large.groupBy("region").agg(F.min("id").alias("p"))
-    shared = large.join(least, "region").where("id <> p").groupBy("id", "p").count()
-    homes = shared.groupBy("id").agg(F.max_by("p", F.struct("count", -F.col("p"))).alias("home"))
-    other = small.select("region", F.col("id").alias("other"))
-    pairs = small.join(other, "region").where("id > other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    return pairs.unionByName(homes.select(F.col("id").alias("a"), F.col("home").alias("b"))).distinct()
-
-
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -136,3 +136,45 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(1, 41)}, **{k: 100 for k in range(101, 140)}, 200: 199}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_cells_keep_every_link(spark, monkeypatch):
+    """Tight groups fall into cells of their own; any two linked sets share a cell, or pivots do not part them."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = np.random.default_rng(21)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 2**63, 150).astype(np.uint64)
+        for _ in range(10):
+            own = base.copy()
+            at = rng.choice(150, rng.integers(0, 14), replace=False)
+            own[at] = rng.integers(0, 2**63, len(at))
+            sets.append(np.unique(own))
+    sketches = spark.createDataFrame([(k, len(s), jaccard.sketch(s).tolist()) for k, s in enumerate(sets)], "id long, n long, sketch array<long>")
+    regions = spark.createDataFrame([(5, 7, k, True, k, len(sets)) for k in range(len(sets))], "region long, band int, id long, large boolean, component long, size long")
+    cells, rest, pairs = jaccard.divided(regions, sketches, 0, 80, 100)
+    held = {}
+    for r in cells.collect():
+        held.setdefault(r.id, set()).add(r.region)
+    assert rest.count() == 0 and len({r for x in held.values() for r in x}) > 5
+    linked = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            inter = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * inter >= 80 * (len(sets[a]) + len(sets[b]) - inter):
+                linked += 1
+                assert held[a] & held[b]
+    assert linked > 100 and all(p.a > p.b for p in pairs.collect())
+
+
+def test_a_region_of_a_third_of_all_texts(spark):
+    """Its rows know their pivot without a shuffle, and the result is that of all pairs."""
+    rng = np.random.default_rng(2)
+    base = [f"b{k}" for k in range(60)]
+    rows = [(i, " ".join([*base[: 58 - i % 3], f"t{i % 40}"]), "") for i in range(200)] + [(1000 + i, " ".join(f"o{rng.integers(10**6)}" for _ in range(40)), "") for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, jaccard.jaccard_components(docs).collect()))
+    assert got == plain(rows)
+    signed = jaccard.signed(docs, np.zeros(0, np.uint64), 5, 80, 100).withColumnRenamed("doc_id", "id")
+    heavy, pivots = jaccard.heavy_regions(signed)
+    assert len(heavy) and set(pivots) <= {r[0] for r in rows}
