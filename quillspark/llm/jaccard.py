@@ -18,7 +18,8 @@ triangle inequality rules out between sketches it rules out between sets.
 4. Others are joined recursively (`divided`): `PIVOTS` of a region's vertices are pivots of Voronoi cells, a
    vertex goes to the cell of its nearest pivot, and to each other cell whose pivot is farther
    by 2R at most: if x and y are linked and y is in the cell of q, then d(x, q) <= d(y, q) + R <=
-   d(y, p) + R <= d(x, p) + 2R for x's own pivot p. Cells are regions of the next round, until they have
+   d(y, p) + R <= d(x, p) + 2R for x's own pivot p. What is near no pivot is a cell of its own, its
+   vertices replicated to the cells whose radius and R reach them. Cells are regions of the next round, until they have
    `BLOCK` vertices or fewer and list the pairs that sizes and sketches leave possible.
 5. Where windows put most vertices into most cells (texts that share a passage and no more are all equally
    far from each other), pivots cannot part them. Such vertices are divided by their rarest shingles instead, and what
@@ -115,12 +116,13 @@ def signatures(s: np.ndarray, frequent: np.ndarray, num: int = NUM, den: int = D
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of the shingles by their low bits, 2 ** (band + 1) of them and 64 at least.
+    """Parities of the shingles by their low bits, 2 ** (band + 3) of them and 256 at least.
 
     Each shingle that only one of two sets has flips one bit, so sketches differ in no more bits
-    than the sets do in shingles. Half a sketch xor the other half is that of the next lower band.
+    than the sets do in shingles, and with four bits a shingle or more unrelated sets are much farther
+    from each other than linked ones. Half a sketch xor the other half is that of the next lower band.
     """
-    size = max(64, 2 << band_of(len(s)))
+    size = max(256, 8 << band_of(len(s)))
     odd = (np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
@@ -275,7 +277,7 @@ def gathered(rows: DataFrame) -> DataFrame:
 def folded(sketch: str, band: str) -> Column:
     """Half a sketch xor the other half where it has the length of `band`, as the band below has half of it."""
     half = (F.size(sketch) / 2).cast("int")
-    longs = F.greatest(F.call_function("shiftright", F.call_function("shiftleft", F.lit(1), F.col(band)), F.lit(6)), F.lit(1))
+    longs = F.greatest(F.call_function("shiftright", F.call_function("shiftleft", F.lit(4), F.col(band)), F.lit(6)), F.lit(4))
     return F.when(F.size(sketch) > longs, F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(sketch))
 
 
@@ -339,8 +341,11 @@ def divided(regions: DataFrame, sketches: DataFrame, turn: int, num: int, den: i
     """Large regions by Voronoi cells: (members of the cells, vertices that pivots cannot part, pairs with the nearest pivot).
 
     Pivots are PIVOTS vertices of a region, the least by a hash of each share. They go to the region's blocks,
-    so a task has the vertices of a block and as many pivots. A region counts as parted if its vertices are in two
-    cells on average at most, and no cell has more than three quarters of them; so rounds end.
+    so a task has the vertices of a block and as many pivots. Vertices whose window has two cells at most go to
+    these. Others, near no pivot, are the rest, a cell without a pivot; they also go to a cell if its
+    pivot is farther by R at most than the cell's radius, as no partner of theirs lies outside it. A region
+    counts as parted if its vertices are in two cells on average at most, and no cell has more than three quarters of
+    them; so rounds end.
     """
     looks = sketches.select("id", "n", "sketch")
     share, order = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(PIVOTS)), F.xxhash64("id", F.lit(turn), F.lit(1))
@@ -351,14 +356,22 @@ def divided(regions: DataFrame, sketches: DataFrame, turn: int, num: int, den: i
     rows = regions.join(looks, "id").withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), blocks).cast("int"))
     met = rows.join(lists, ["region", "block"]).withColumn("sketch", folded("sketch", "band"))
     met = met.withColumn("far", F.transform("pivots", lambda p: F.struct(apart(F.col("sketch"), p["s"]).alias("d"), p["pivot"].alias("pivot"), p["m"].alias("m")))).withColumn("home", F.array_min("far"))
-    window = F.col("home.d") + 2 * F.col("n") * (den - num) / num
-    cells = F.transform(F.filter("far", lambda x: x["d"] <= window), lambda x: x["pivot"])
-    met = staged(met.select("region", "band", "id", "size", "n", "home", cells.alias("cells")), "jaccard-cells")
-    by_cell = met.select("region", "size", F.explode("cells").alias("cell")).groupBy("region", "size", "cell").agg(F.count("*").alias("c"))
+    reach = F.col("n") * (den - num) / num
+    window = F.transform(F.filter("far", lambda x: x["d"] <= F.col("home.d") + 2 * reach), lambda x: x["pivot"])
+    met = staged(met.select("region", "band", "id", "size", "n", "home", "far", window.alias("window")), "jaccard-distances")
+    near = F.size("window") <= 2
+    radii = met.where(near).groupBy("region", F.col("home.pivot").alias("pivot")).agg(F.max("home.d").alias("radius"))
+    radii = radii.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "radius"))).alias("radii"))
+    placed = met.withColumn("_salt", _salt()).join(_salted(radii), ["region", "_salt"], "left").drop("_salt")
+    around = F.filter("far", lambda x: x["d"] <= F.element_at("radii", x["pivot"]) + reach)
+    code = lambda p: F.xxhash64("region", p)
+    cells = F.when(near, F.transform("window", code)).otherwise(F.concat(F.array(code(F.lit("rest"))), F.coalesce(F.transform(around, lambda x: code(x["pivot"])), F.array().cast("array<bigint>"))))
+    placed = staged(placed.select("region", "band", "id", "size", cells.alias("cells")), "jaccard-cells")
+    by_cell = placed.select("region", "size", F.explode("cells").alias("cell")).groupBy("region", "size", "cell").agg(F.count("*").alias("c"))
     stats = by_cell.groupBy("region", "size").agg(F.sum("c").alias("total"), F.max("c").alias("most"))
     verdicts = stats.select("region", ((F.col("total") <= 2 * F.col("size")) & (F.col("most") * 4 <= F.col("size") * 3)).alias("parted"))
-    judged = met.withColumn("_salt", _salt()).join(_salted(verdicts), ["region", "_salt"])
-    cells = judged.where("parted").select(F.explode("cells").alias("cell"), "region", "band", "id").select(F.xxhash64("region", "cell").alias("region"), "band", "id")
+    judged = placed.withColumn("_salt", _salt()).join(_salted(verdicts), ["region", "_salt"])
+    cells = judged.where("parted").select(F.explode("cells").alias("region"), "band", "id")
     pairs = met.where(F.col("id") != F.col("home.pivot")).withColumn("m", F.col("home.m")).where(possible(F.col("home.d"), "n", "m", num, den))
     pairs = pairs.select(F.greatest("id", "home.pivot").alias("a"), F.least("id", "home.pivot").alias("b")).distinct()
     return cells, judged.where("NOT parted").select("id").distinct(), pairs

@@ -157,6 +157,7 @@ def test_cells_keep_every_link(spark, monkeypatch):
     for r in cells.collect():
         held.setdefault(r.id, set()).add(r.region)
     assert rest.count() == 0 and len({r for x in held.values() for r in x}) > 5
+    assert sum(map(len, held.values())) <= 2 * len(sets)
     linked = 0
     for a in range(len(sets)):
         for b in range(a):
