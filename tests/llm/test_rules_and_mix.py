@@ -95,6 +95,33 @@ def test_inclusion_follows_unequal_probabilities(spark):
     assert mixing.pareto_copies(df, "g", "n", "m").agg(F.sum("copies")).first()[0] == 2000 * 1.9
 
 
+def test_probabilities_differ_inside_a_source(spark):
+    """Longer texts have the higher multiplicity, and the sample follows it at the same total."""
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(["w"] * int(2 ** rng.uniform(0, 9))), "ab"[k % 2]) for k in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    own = [r for r in got if r.source == "b" and 0 < r["size"]]
+    assert own[0].target < 2 * own[0].source_size
+    by_digits = {}
+    for r in own:
+        by_digits.setdefault(r["size"].bit_length(), []).append(r)
+    means = {d: (rs[0].multiplicity, sum(r.copies for r in rs) / len(rs), len(rs)) for d, rs in by_digits.items()}
+    assert len({m for m, _, _ in means.values()}) == len(means) > 5
+    assert sorted(means, key=lambda d: means[d][0]) == sorted(means)
+    assert all(abs(mean - m) < 4 * (0.25 / n) ** 0.5 + 0.01 for m, mean, n in means.values())
+    expected = sum(r.multiplicity * r["size"] for r in own)
+    assert abs(expected - own[0].target) < 1e-6 * expected
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = "rank bucket p u g id whole cut need before extra row _salt _own size_".split()
+    df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("s").alias("grp"), F.lit(2).cast("long").alias("n"), F.lit(0.5).alias("m"), F.lit("old").alias("copies"), *[F.lit(k).alias(k) for k in names if k != "id"])
+    got = mixing.pareto_copies(df, "grp", "n", "m")
+    assert got.columns == [c for c in df.columns if c != "copies"] + ["copies"]
+    rows = got.collect()
+    assert len(rows) == 50 and sum(r.copies for r in rows) == 25 and all(r["rank"] == "rank" and r["row"] == "row" for r in rows)
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0
