@@ -5,8 +5,11 @@ offset filename length`. A file starts with a version block, `filedesc://name IP
 length` and in its body the version, its definition of record lines and a blank line; that tells
 how later lines are read. A record is its line, as many bytes as it declares, and a line end.
 
-WARC 1.1: named fields, a block of the declared length, two line ends. Every record is a gzip
-member of its own, so a reader may begin at any record's offset.
+WARC 1.1: named fields, a block of the declared length, two line ends.
+
+Declared lengths alone delimit records. A file may be plain, one gzip member, a member for each record, or
+members that begin and end anywhere; `Stream` gives its bytes in order, a chunk at a time. What breaks off, or is
+neither a record nor a blank line between two, raises ValueError. The files written here have a member a record.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ ARC_FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNK = 1 << 16
+CHUNK, LONGEST_LINE = 1 << 16, 1 << 20
 
 
 def packed(data: bytes, level: int = 1) -> bytes:
@@ -34,26 +37,79 @@ def packed(data: bytes, level: int = 1) -> bytes:
     return engine.compress(data) + engine.flush()
 
 
-def members(file) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each gzip member of a stream."""
-    at, data = 0, file.read(CHUNK)
-    while data:
-        engine, out, start = zlib.decompressobj(31), [], at
+class Stream:
+    """The content of a file in order, unpacked if it is gzip; `at` counts its bytes."""
+
+    def __init__(self, file):
+        self.file, self.at = file, 0
+        self.raw = file.read(CHUNK)
+        self.gzip = self.raw.startswith(b"\x1f\x8b")
+        self.engine = None
+        self.held, self.place = b"", 0
+
+    def _chunk(self) -> bytes:
+        """Some more content, empty at the end."""
         while True:
-            out.append(engine.decompress(data))
-            if engine.eof:
-                at += len(data) - len(engine.unused_data)
-                data = engine.unused_data or file.read(CHUNK)
-                break
-            at += len(data)
-            data = file.read(CHUNK)
+            data, self.raw = self.raw or self.file.read(CHUNK), b""
+            if not self.gzip:
+                return data
             if not data:
-                raise ValueError(f"the member at {start} breaks off")
-        yield start, at - start, b"".join(out)
-
+                if self.engine is not None:
+                    raise ValueError("the last gzip member breaks off")
+                return b""
+            if self.engine is None:
+                data = data.lstrip(b"\0")  # some writers pad with zeros
+                if not data:
+                    continue
+                if not data.startswith(b"\x1f"):
+                    raise ValueError("bytes after a gzip member that are no member")
+            self.engine = self.engine or zlib.decompressobj(31)
+            try:
+                out = self.engine.decompress(data)
+            except zlib.error as e:
+                raise ValueError(f"not gzip: {e}") from e
+            if self.engine.eof:
+                self.raw, self.engine = self.engine.unused_data, None
+            if out:
+                return out
+
+    def _fill(self) -> bool:
+        more = self._chunk()
+        self.held, self.place = self.held[self.place :] + more, 0
+        return bool(more)
+
+    def line(self) -> bytes | None:
+        """A line without its end, None at the end of the content."""
+        sought = self.place
+        while (end := self.held.find(b"\n", sought)) < 0:
+            sought = len(self.held) - self.place
+            if sought > LONGEST_LINE:
+                raise ValueError("a line without an end")
+            if not self._fill():
+                if self.place < len(self.held):
+                    raise ValueError("a line breaks off")
+                return None
+        out, self.at = self.held[self.place : end], self.at + end + 1 - self.place
+        self.place = end + 1
+        return out.removesuffix(b"\r")
+
+    def text(self) -> tuple[int, bytes] | None:
+        """(where it starts, the line) of the next line that is not blank."""
+        while True:
+            at, line = self.at, self.line()
+            if line is None or line:
+                return None if line is None else (at, line)
 
-def member_at(file, offset: int, length: int) -> bytes:
-    return zlib.decompress(file.read_at(length, offset), 31)
+    def take(self, n: int) -> bytes:
+        parts, left = [], n
+        while True:
+            part = self.held[self.place : self.place + left]
+            parts.append(part)
+            left, self.place, self.at = left - len(part), self.place + len(part), self.at + len(part)
+            if not left:
+                return b"".join(parts)
+            if not self._fill():
+                raise ValueError(f"{n} bytes declared, {n - left} there")
 
 
 def clean_url(url: str | None, ident: object) -> str:
@@ -78,6 +134,8 @@ def arc_record(url: str, date: str, content: bytes, version: int, name: str, off
 
 @dataclass(frozen=True)
 class ArcRecord:
+    at: int
+    version: int
     url: str
     ip: str
     date: str
@@ -85,35 +143,44 @@ class ArcRecord:
     status: str | None
     content: bytes
 
+    @property
+    def is_http(self) -> bool:
+        """An HTTP response; other records (of dns: and the like) are resources as they are."""
+        return self.content.startswith(b"HTTP/")
 
-class ArcReader:
-    """Reads records in order; the first one has to be the version block."""
-
-    def __init__(self) -> None:
-        self.fields: tuple[str, ...] | None = None
 
-    def read(self, data: bytes) -> ArcRecord | None:
-        """The record, or None for the version block."""
-        line, _, rest = data.partition(b"\n")
-        if self.fields is None:
-            if not line.startswith(b"filedesc://"):
-                raise ValueError("an ARC file starts with its version block")
-            length = int(line.rsplit(b" ", 1)[1])
-            version = int(rest[:length].split(b" ", 1)[0])
+def arc_records(file) -> Iterator[ArcRecord]:
+    """The records of an ARC file; files that were joined have a version block each."""
+    stream, fields, version = Stream(file), (), 0
+    while (found := stream.text()) is not None:
+        at, line = found
+        if line.startswith(b"filedesc://"):
+            body = stream.take(_length(line.rsplit(b" ", 1)[-1], line))
+            version = _length(body.split(b" ", 1)[0], body[:40])
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version} is not known")
-            declared = tuple(rest[:length].split(b"\n")[1].decode().split())
-            self.fields = declared or ARC_FIELDS[version]
-            return None
+            declared = body.split(b"\n")[1].decode().split() if b"\n" in body else []
+            fields = tuple(declared) or ARC_FIELDS[version]
+            continue
+        if not fields:
+            raise ValueError("an ARC file starts with its version block")
         # The URL may hold spaces in old files: all other fields are counted from the right.
-        values = line.decode("utf-8", "replace").rsplit(" ", len(self.fields) - 1)
-        if len(values) != len(self.fields):
-            raise ValueError(f"{len(values)} fields in a record line of {len(self.fields)}")
-        got = dict(zip(self.fields, values, strict=True))
-        length = int(got["Archive-length"])
-        if len(rest) < length:
-            raise ValueError(f"{got['URL']}: {length} bytes declared, {len(rest)} there")
-        return ArcRecord(got["URL"], got["IP-address"], got["Archive-date"], got["Content-type"], got.get("Result-code"), rest[:length])
+        values = line.decode("utf-8", "replace").rsplit(" ", len(fields) - 1)
+        if len(values) != len(fields):
+            raise ValueError(f"{len(values)} fields in a record line of {len(fields)}")
+        got = dict(zip(fields, values, strict=True))
+        content = stream.take(_length(got["Archive-length"], line))
+        yield ArcRecord(at, version, got["URL"], got["IP-address"], got["Archive-date"], got["Content-type"], got.get("Result-code"), content)
+
+
+def _length(text: bytes | str, line: bytes) -> int:
+    try:
+        n = int(text)
+    except ValueError:
+        n = -1
+    if n < 0:
+        raise ValueError(f"no number where one is declared: {line[:80]!r}")
+    return n
 
 
 def http_response(payload: bytes, page_id: int | None) -> bytes:
@@ -152,14 +219,25 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
-def read_warc(data: bytes) -> tuple[dict[str, str], bytes]:
-    """(fields by lower-case name, block); the block has the declared length."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise ValueError("not a WARC record")
-    fields = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-    block = rest[: int(fields["content-length"])]
-    if sha1(block) != fields["warc-block-digest"]:
-        raise ValueError(f"{fields['warc-record-id']}: the block does not fit its digest")
-    return fields, block
+def warc_records(file) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields by lower-case name, block) of each record; blocks have their declared lengths and digests."""
+    stream = Stream(file)
+    while (found := stream.text()) is not None:
+        if not found[1].startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        fields: dict[str, str] = {}
+        name = ""
+        while line := stream.line():
+            text = line.decode()
+            if text[0] in " \t" and name:  # a field may go on in the next line
+                fields[name] += " " + text.strip()
+                continue
+            name, _, value = text.partition(":")
+            name = name.lower()
+            fields[name] = value.strip()
+        if line is None or "content-length" not in fields:
+            raise ValueError("a record without its length")
+        block = stream.take(_length(fields["content-length"], found[1]))
+        if "warc-block-digest" in fields and sha1(block) != fields["warc-block-digest"]:
+            raise ValueError(f"{fields.get('warc-record-id')}: the block does not fit its digest")
+        yield fields, block

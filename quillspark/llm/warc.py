@@ -1,9 +1,10 @@
 """Pages to legacy archives, these to WARC, and back to rows.
 
 `write_arc` writes pages as ARC files, of version 1 and 2 by turns. `convert` parses these by their
-version's record lines and declared lengths and writes WARC files: identifiers from what a record
-says (so a repeated task gives the same), ISO timestamps, SHA-1 digests, and types. Of
-records with equal payloads of `SMALL` bytes or more, the one with the largest page_id (of rows that
+version's record lines and declared lengths, whether they are plain or gzip and wherever its members end,
+and writes WARC files: identifiers from what a record says (so a repeated task gives the same), ISO timestamps,
+SHA-1 digests, and types. What is no HTTP response (dns: records and the like) is a resource, its whole content the
+block. Of responses with equal payloads of `SMALL` bytes or more, the one with the largest page_id (of rows that
 repeat it, the last by file and place) is a response and others are revisits that refer to it.
 `read_warc_files` reads and checks the records.
 
@@ -12,11 +13,14 @@ pages share is one row after partial aggregation, and the join that tells its co
 hundred bytes a page. Files roll at `FILE_BYTES` of content; tasks hold a record at a time.
 
 A null html is an empty payload, a null url is `urn:page:<page_id>`; a null page_id comes back as
-null and counts as the smallest. An empty table gives no files and no rows.
+null and counts as the smallest. Rows that repeat are records each. Payloads of any length are whole; columns
+other than page_id, url and html are not read. An empty table gives no files and no rows. A file that breaks off
+or is no ARC raises ValueError.
 """
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import hashlib
 from collections.abc import Iterator
@@ -94,33 +98,36 @@ def write_arc(pages: DataFrame, folder: str) -> DataFrame:
     return staged(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "file string, records long"), "arc-manifest")
 
 
+INDEX = "file string, at long, kind string, page_id long, url string, date string, digest string, payload_bytes long"
+
+
 def arc_index(manifest: DataFrame, folder: str, n_files: int) -> DataFrame:
-    """A row for each ARC record: where it is, and what WARC needs to know of it."""
-    schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("length", pa.int64()), ("version", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64())])
+    """(file) -> a row for each ARC record: where it is, and what WARC needs to know of it."""
+    schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                rows, reader = [], A.ArcReader()
+                rows = []
                 with files.reading(folder, name) as file:
-                    for at, length, data in A.members(file):
-                        record = reader.read(data)
-                        if record is not None:
-                            head, _, payload = A.http_parts(record.content)
-                            page_id = head.get("x-page-id")
-                            rows.append({"file": name, "at": at, "length": length, "version": 2 if len(reader.fields) > 5 else 1, "page_id": None if page_id is None else int(page_id), "url": record.url, "date": record.date, "digest": hashlib.sha1(payload).hexdigest(), "payload_bytes": len(payload)})
-                for k in range(0, len(rows), 5000):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 5000], schema=schema)
+                    for record in A.arc_records(file):
+                        head, _, payload = A.http_parts(record.content) if record.is_http else ({}, b"", record.content)
+                        page_id = head.get("x-page-id")
+                        rows.append({"file": name, "at": record.at, "kind": "response" if record.is_http else "resource", "page_id": None if page_id is None else int(page_id), "url": record.url, "date": record.date, "digest": hashlib.sha1(payload).hexdigest(), "payload_bytes": len(payload)})
+                        if len(rows) == 5000:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return staged(manifest.select("file").repartition(max(1, n_files)).mapInArrow(run, "file string, at long, length long, version int, page_id long, url string, date string, digest string, payload_bytes long"), "arc-index")
+    return staged(manifest.select("file").repartition(max(1, n_files)).mapInArrow(run, INDEX), "arc-index")
 
 
 def typed(index: DataFrame, small: int = SMALL) -> DataFrame:
     """index with `response`, the record that a revisit refers to, null for responses."""
-    large = index.where(F.col("payload_bytes") >= small)
+    large = index.where((F.col("payload_bytes") >= small) & (F.col("kind") == "response"))
     last = F.max(F.struct("page_id", "file", "at", "url", "date"))
-    shared = large.groupBy("digest", "payload_bytes").agg(F.count("*").alias("n"), last.alias("response")).where("n > 1").select(F.col("digest").alias("d"), F.col("payload_bytes").alias("b"), "response")
-    both = index.join(shared, (F.col("digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left").drop("d", "b")
+    shared = large.groupBy("digest", "payload_bytes").agg(F.count("*").alias("n"), last.alias("response")).where("n > 1").select(F.col("digest").alias("d"), F.col("payload_bytes").alias("b"), F.lit("response").alias("k"), "response")
+    both = index.join(shared, (F.col("digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")) & (F.col("kind") == F.col("k")), "left").drop("d", "b", "k")
     self_ = (F.col("response.file") == F.col("file")) & (F.col("response.at") == F.col("at"))
     return both.withColumn("response", F.when(~self_, F.col("response")))
 
@@ -133,38 +140,32 @@ def convert(rows: DataFrame, arc_folder: str, folder: str, n_files: int) -> Data
             block = b"software: quillspark\r\nformat: WARC File Format 1.1\r\n"
             return A.warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", A.record_id(name)), ("WARC-Date", A.warc_date(crawl_date(0))), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], block)
 
-        out, now, file, close = _Rolling(folder, "pages", "warc.gz", info), None, None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["file"] != now:
-                    if close:
-                        close.__exit__(None, None, None)
-                    now, close = row["file"], files.reading(arc_folder, row["file"])
-                    file = close.__enter__()
-                record = _reader(row["version"]).read(A.member_at(file, row["at"], row["length"]))
-                out.add(lambda name, at, record=record, row=row: _warc(record, row))
-        if close:
-            close.__exit__(None, None, None)
+        out, now = _Rolling(folder, "pages", "warc.gz", info), None
+        with contextlib.ExitStack() as opened:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["file"] != now:
+                        opened.close()
+                        now, records = row["file"], A.arc_records(opened.enter_context(files.reading(arc_folder, row["file"])))
+                    # The index has all records of the file, in its order.
+                    record = next(r for r in records if r.at == row["at"])
+                    out.add(lambda name, at, record=record, row=row: _warc(record, row))
         yield out.manifest()
 
     ordered = rows.repartition(max(1, n_files), "file").sortWithinPartitions("file", "at")
     return staged(ordered.mapInArrow(run, "file string, records long"), "warc-manifest")
 
 
-def _reader(version: int) -> A.ArcReader:
-    reader = A.ArcReader()
-    reader.fields = A.ARC_FIELDS[version]
-    return reader
-
-
 def _warc(record: A.ArcRecord, row: dict) -> bytes:
-    _, head, payload = A.http_parts(record.content)
+    _, head, payload = A.http_parts(record.content) if record.is_http else ({}, b"", record.content)
     ident = lambda r, digest: A.record_id(r["url"], r["date"], r["page_id"], r["file"], r["at"], digest)
     fields = [
         ("WARC-Type", "response"), ("WARC-Record-ID", ident(row, row["digest"])), ("WARC-Date", A.warc_date(record.date)),
         ("WARC-Target-URI", record.url), ("WARC-IP-Address", record.ip), ("WARC-Payload-Digest", A.sha1(payload)), ("Content-Type", "application/http;msgtype=response"),
     ]
     target = row["response"]
+    if not record.is_http:
+        fields[0], fields[-1] = ("WARC-Type", "resource"), ("Content-Type", record.kind)
     if target is None:
         return A.warc_record(fields, record.content)
     fields[0] = ("WARC-Type", "revisit")
@@ -175,7 +176,7 @@ def _warc(record: A.ArcRecord, row: dict) -> bytes:
 
 
 def read_warc_files(manifest: DataFrame, folder: str, n_files: int) -> DataFrame:
-    """Rows of the response and revisit records; digests of responses are checked."""
+    """Rows of the response, revisit and resource records; digests of payloads are checked."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("url", pa.string())])
 
     def number(text: str | None) -> int | None:
@@ -186,28 +187,33 @@ def read_warc_files(manifest: DataFrame, folder: str, n_files: int) -> DataFrame
             for name in batch.column(0).to_pylist():
                 rows = []
                 with files.reading(folder, name) as file:
-                    for _, _, data in A.members(file):
-                        fields, block = A.read_warc(data)
+                    for fields, block in A.warc_records(file):
                         kind = fields["warc-type"]
-                        if kind in ("response", "revisit"):
-                            head, _, payload = A.http_parts(block)
-                            if kind == "response" and A.sha1(payload) != fields["warc-payload-digest"]:
+                        if kind in ("response", "revisit", "resource"):
+                            head, _, payload = A.http_parts(block) if kind != "resource" else ({}, b"", block)
+                            if kind != "revisit" and A.sha1(payload) != fields["warc-payload-digest"]:
                                 raise ValueError(f"{fields['warc-record-id']}: the payload does not fit its digest")
-                            rows.append({"page_id": number(head.get("x-page-id")), "payload_bytes": int(head["content-length"]), "payload_digest": A.hex_digest(fields["warc-payload-digest"]), "record_type": kind, "refers_to": number(fields.get("x-refers-to-page-id")), "record_id": fields["warc-record-id"], "url": fields["warc-target-uri"]})
-                for k in range(0, len(rows), 5000):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 5000], schema=schema)
+                            size = int(head.get("content-length", len(payload))) if kind == "revisit" else len(payload)
+                            rows.append({"page_id": number(head.get("x-page-id")), "payload_bytes": size, "payload_digest": A.hex_digest(fields["warc-payload-digest"]), "record_type": kind, "refers_to": number(fields.get("x-refers-to-page-id")), "record_id": fields["warc-record-id"], "url": fields["warc-target-uri"]})
+                        if len(rows) == 5000:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return manifest.select("file").repartition(max(1, n_files)).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string")
 
 
+def converted(manifest: DataFrame, arc_folder: str) -> DataFrame:
+    """ARC files (file) of a folder, converted to WARC and read back."""
+    warc, n = fresh_dir(manifest.sparkSession, "warc"), manifest.count()
+    written = convert(typed(arc_index(manifest, arc_folder, n)), arc_folder, warc, n)
+    return read_warc_files(written, warc, written.count())
+
+
 def converted_pages(pages: DataFrame) -> DataFrame:
     """Write pages as ARC, convert to WARC, read the WARC files back."""
-    spark = pages.sparkSession
-    arc, warc = fresh_dir(spark, "arc"), fresh_dir(spark, "warc")
-    manifest = write_arc(pages, arc)
-    n = manifest.count()
-    written = convert(typed(arc_index(manifest, arc, n)), arc, warc, n)
-    return read_warc_files(written, warc, written.count())
+    arc = fresh_dir(pages.sparkSession, "arc")
+    return converted(write_arc(pages, arc), arc)
 
 
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,27 +124,65 @@ def test_archive_conversion_equals_its_sql(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(found)
 
 
+def layouts(parts):
+    """The same content as files: plain, one member, a member a part, and members that end anywhere."""
+    whole = b"".join(parts)
+    cuts = [0, 1, len(whole) // 3, len(whole) // 2 + 1, len(whole)]
+    return {"plain": whole, "whole": archive.packed(whole), "each": b"".join(map(archive.packed, parts)), "anywhere": b"".join(archive.packed(whole[i:j]) for i, j in zip(cuts, cuts[1:])) + b"\0" * 9}
+
+
 @pytest.mark.parametrize("version", [1, 2])
-def test_arc_versions(version):
-    reader = archive.ArcReader()
-    assert reader.read(archive.arc_version_block("f.arc", version, "2024")) is None
-    record = reader.read(archive.arc_record("http://a/b", "20240102030405", b"HTTP/1.1 200 OK\r\n\r\nbody\n\n", version, "f.arc", 9))
-    assert (record.url, record.date, record.content, record.status) == ("http://a/b", "20240102030405", b"HTTP/1.1 200 OK\r\n\r\nbody\n\n", "200" if version == 2 else None)
+def test_arc_versions(version, monkeypatch):
+    monkeypatch.setattr(archive, "CHUNK", 7)
+    body = b"HTTP/1.1 200 OK\r\n\r\nbody\n\n"
+    head = archive.arc_version_block("f.arc", version, "2024")
+    parts = [head, archive.arc_record("http://a/b c", "20240102030405", body, version, "f.arc", 9), archive.arc_record("http://e", "2024", b"", version, "f.arc", 9), archive.arc_record("dns:a.org", "2024", b"20240101 1.2.3.4\n", version, "f", 0)]
+    for layout, data in layouts(parts + [head] + parts[1:2]).items():
+        got = list(archive.arc_records(io.BytesIO(data)))
+        assert [(r.url, r.date, r.content, r.is_http) for r in got] == [("http://a/b c", "20240102030405", body, True), ("http://e", "2024", b"", False), ("dns:a.org", "2024", b"20240101 1.2.3.4\n", False), ("http://a/b c", "20240102030405", body, True)], layout
+        assert {r.status for r in got} == {"200" if version == 2 else None}
+        assert len({r.at for r in got}) == 4
+        with pytest.raises(ValueError):
+            list(archive.arc_records(io.BytesIO(data[: -12 if layout == "anywhere" else -9])))
     with pytest.raises(ValueError, match="declared"):
-        reader.read(archive.arc_record("http://a/b", "2024", b"0123456789", version, "f", 0)[:-5])
+        list(archive.arc_records(io.BytesIO(head + archive.arc_record("http://a/b", "2024", b"0123456789", version, "f", 0)[:-5])))
     with pytest.raises(ValueError, match="version block"):
-        archive.ArcReader().read(b"http://a 0 2024 text/html 0\n")
+        list(archive.arc_records(io.BytesIO(b"http://a 0 2024 text/html 0\n")))
+    with pytest.raises(ValueError, match="no number"):
+        list(archive.arc_records(io.BytesIO(head + archive.arc_record("http://a", "2024", b"", version, "f", 0).replace(b" 0\n", b" -1\n"))))
+    with pytest.raises(ValueError, match="after a gzip member"):
+        list(archive.arc_records(io.BytesIO(archive.packed(head) + b"more")))
+    assert list(archive.arc_records(io.BytesIO(b""))) == []
     assert archive.warc_date("2024") == "2024-01-01T00:00:00Z" and archive.warc_date("20240203040506") == "2024-02-03T04:05:06Z"
 
 
-def test_gzip_members_over_chunks(monkeypatch):
+def test_warc_records_in_every_layout(monkeypatch):
     monkeypatch.setattr(archive, "CHUNK", 7)
-    parts = [b"one" * 50, b"", b"three"]
-    data = b"".join(map(archive.packed, parts))
-    got = list(archive.members(io.BytesIO(data)))
-    assert [g[2] for g in got] == parts and sum(g[1] for g in got) == len(data)
-    with pytest.raises(ValueError):
-        list(archive.members(io.BytesIO(data[:-3])))
+    blocks = [b"one\r\n\r\nWARC/1.1\r\n" * 50, b"", b"three"]
+    parts = [archive.warc_record([("WARC-Type", "resource"), ("WARC-Record-ID", f"<{k}>"), ("Note", "a\r\n b")], b) for k, b in enumerate(blocks)]
+    for layout, data in layouts(parts).items():
+        got = list(archive.warc_records(io.BytesIO(data)))
+        assert [b for _, b in got] == blocks and got[0][0]["note"] == "a b", layout
+        with pytest.raises(ValueError):
+            list(archive.warc_records(io.BytesIO(data[: -12 if layout == "anywhere" else -7])))
+    with pytest.raises(ValueError, match="digest"):
+        list(archive.warc_records(io.BytesIO(parts[2].replace(b"three", b"threE"))))
+
+
+def test_archives_of_others_are_converted(spark, tmp_path):
+    """ARC files in all layouts and both versions, with dns records: types, identifiers and digests."""
+    rows = []
+    for version in (1, 2):
+        page = archive.http_response(b"p" * 1500, version)
+        parts = [archive.arc_version_block("x", version, "2003"), archive.arc_record("dns:a.org", "20030101", b"20030101 1.2.3.4\n" * 90, version, "x", 0), archive.arc_record("http://a.org", "20030102", page, version, "x", 0)]
+        for layout, data in layouts(parts).items():
+            name = f"{layout}-{version}.arc"
+            (tmp_path / name).write_bytes(data)
+            rows.append((name,))
+    got = warc.converted(spark.createDataFrame(rows, "file string"), f"file://{tmp_path}").collect()
+    kinds = Counter((r.record_type, r.payload_bytes, r.refers_to) for r in got)
+    assert kinds == {("resource", 1530, None): 8, ("response", 1500, None): 1, ("revisit", 1500, 2): 7}
+    assert len({r.record_id for r in got}) == 16
 
 
 def luhn(s):
