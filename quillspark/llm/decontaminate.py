@@ -6,7 +6,9 @@ is held against, or the whole text if that is shorter.
 
 1. Every shingle of every text meets the items' shingles by a join on a 64-bit hash. A meeting at
    word p of the text and word j of the item proposes the window from p - j on, moved inside the
-   text. A window without a common shingle has similarity 0, so no window that counts is lost.
+   text. A window without a common shingle has similarity 0. Where words were put in or left out, the best window may begin
+   between two proposed ones, so all starts between two neighbours of an item's length or less are proposed too. The
+   window that is returned is the best of those proposed; a start a few words off may be better by a little.
 2. A window's and an item's fingerprint is a weighted 64-bit SimHash. `RADIUS` + 1 blocks of bits
    index it: two fingerprints within the radius agree in one block at least, so joining windows and
    items of one size by (block, value) finds all of them. The distance decides who stays.
@@ -15,22 +17,26 @@ is held against, or the whole text if that is shorter.
 At similarity 0.8 a bit differs with a chance of 0.15, so 64 bits differ in 10 places, give or take
 3; the radius is over four deviations beyond that, and equal passages have distance 0.
 
-The items' side is broadcast only below `BROADCAST` rows, which is counted; beyond, joins shuffle
-and adaptive execution splits frequent shingles. A null or empty text or item has no shingle and
-matches nothing; rows with one doc_id are one document with several texts, and the best window
-counts. Empty tables give no rows.
+An items' table is broadcast only below `BROADCAST` rows of some 40 bytes, counted for each: the items' shingles by
+place, and the items' fingerprints by block. Beyond, joins shuffle and adaptive execution splits frequent
+shingles. Shingles of items join only the pairs that fingerprints leave, by item.
+
+A null or empty text or item has no shingle and matches nothing. Rows with one doc_id are one document with several
+texts, and the best window counts, of equal ones the first; so are rows with a null doc_id. `ident` may be a column of any
+type. Texts of any length are read whole. Columns but the id and the text are not read. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table, words
 
 WORDS, LEAST = 5, 0.8
 BITS, RADIUS = 64, 23
-#: Rows of item shingles that may be broadcast (24 bytes each).
+#: Rows of a table of the items that may be broadcast.
 BROADCAST = 400_000
 
 
@@ -75,11 +81,11 @@ def items_of(benchmark: DataFrame, ident: str = "item_id", text: str = "text") -
 
 
 def text_shingles(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, p, k, h) of every shingle of every text; docs has words `_w`."""
+    """(doc, n, p, k, h) of every shingle of every text; docs has words `_w`."""
     m = F.greatest(F.size("_w") - (k - 1), F.lit(0))
     runs = F.arrays_zip(*[F.slice("_w", F.lit(j + 1), m).alias(f"w{j}") for j in range(k)])
-    rows = docs.where(m > 0).select("doc_id", F.size("_w").alias("n"), F.posexplode(runs).alias("p", "run"))
-    return rows.select("doc_id", "n", "p", F.lit(k).alias("k"), F.xxhash64(F.concat_ws(" ", *[F.col("run")[f"w{j}"] for j in range(k)])).alias("h"))
+    rows = docs.where(m > 0).select("doc", F.size("_w").alias("n"), F.posexplode(runs).alias("p", "run"))
+    return rows.select("doc", "n", "p", F.lit(k).alias("k"), F.xxhash64(F.concat_ws(" ", *[F.col("run")[f"w{j}"] for j in range(k)])).alias("h"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -89,30 +95,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", t
     anchors = items.select("item_id", "size", "k").join(item_words, "item_id")
     anchors = anchors.select("item_id", "size", "k", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size") - F.col("k") + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.col("k")), " ")))).alias("j", "h"))
     anchors = staged(anchors, "bench-anchors")
-    few = anchors.count() <= BROADCAST
-    small = F.broadcast if few else lambda df: df
-    known = docs.select(F.col(ident).alias("doc_id"), words(F.lower(F.col(text))).alias("_w"))
+    prints = staged(items.select("item_id", F.col("size").alias("size_i"), F.col("fingerprint").alias("fingerprint_i"), F.inline(blocks("fingerprint")).alias("block_i", "value_i")), "bench-prints")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST else df
+    # Inside a struct a null id equals itself.
+    known = docs.select(F.struct(F.col(ident).alias("doc_id")).alias("doc"), words(F.lower(F.col(text))).alias("_w"))
     rows = None
     for k in sorted({WORDS} | {r["k"] for r in items.select("k").distinct().collect()}):
         one = text_shingles(known, k)
         rows = one if rows is None else rows.unionByName(one)
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("j"), F.col("n") - F.col("size")))
-    windows = rows.join(small(anchors), ["k", "h"]).select("doc_id", "size", "k", start.alias("start")).distinct()
+    met = rows.join(small(anchors), ["k", "h"]).select("doc", "n", "item_id", "size", "k", start.alias("start")).distinct()
+    before = F.lag("start").over(Window.partitionBy("doc", "n", "item_id").orderBy("start"))
+    first = F.when(F.col("start") - F.col("before") <= F.col("size"), F.col("before") + 1).otherwise(F.col("start"))
+    windows = met.withColumn("before", before).select("doc", "size", "k", F.explode(F.sequence(F.coalesce(first, F.col("start")), F.col("start"))).alias("start")).distinct()
     windows = staged(windows, "bench-windows")
-    cut = windows.join(known, "doc_id").select("doc_id", "size", "k", "start", F.slice("_w", F.col("start") + 1, F.col("size")).alias("_v")).where(F.size("_v") >= F.col("k"))
-    cut = cut.withColumn("shingles", shingle_array("_v", F.col("k"))).select("doc_id", "size", "start", "shingles")
+    cut = windows.join(known, "doc").select("doc", "size", "k", "start", F.slice("_w", F.col("start") + 1, F.col("size")).alias("_v")).where(F.size("_v") >= F.col("k"))
+    cut = cut.withColumn("shingles", shingle_array("_v", F.col("k"))).select("doc", "size", "start", "shingles")
     cut = staged(cut.withColumn("weight", weight_of("shingles")).withColumn("fingerprint", simhash("shingles")), "bench-cut")
-    left = cut.select("doc_id", "size", "start", "shingles", "weight", "fingerprint", F.inline(blocks("fingerprint")).alias("block", "value"))
-    right = items.select("item_id", F.col("size").alias("size_i"), F.col("shingles").alias("shingles_i"), F.col("weight").alias("weight_i"), F.col("fingerprint").alias("fingerprint_i"), F.inline(blocks("fingerprint")).alias("block_i", "value_i"))
-    met = left.join(small(right), (F.col("size") == F.col("size_i")) & (F.col("block") == F.col("block_i")) & (F.col("value") == F.col("value_i")))
+    left = cut.select("doc", "size", "start", "shingles", "weight", "fingerprint", F.inline(blocks("fingerprint")).alias("block", "value"))
+    met = left.join(small(prints), (F.col("size") == F.col("size_i")) & (F.col("block") == F.col("block_i")) & (F.col("value") == F.col("value_i")))
     apart = F.col("fingerprint").bitwiseXOR(F.col("fingerprint_i"))
     # Of the blocks a pair agrees in, the first alone passes the pair on.
     first = F.coalesce(*[F.when(F.call_function("shiftrightunsigned", apart, F.lit(a)).bitwiseAND(F.lit((1 << n) - 1).cast("long")) == 0, F.lit(b)) for b, (a, n) in enumerate(block_bounds())])
     near = met.where((F.bit_count(apart) <= RADIUS) & (F.col("block") == first))
+    near = near.join(items.select("item_id", F.col("shingles").alias("shingles_i"), F.col("weight").alias("weight_i")), "item_id")
     common = F.aggregate(F.array_intersect("shingles", "shingles_i"), F.lit(0).cast("long"), lambda acc, x: acc + x["weight"])
     near = near.withColumn("common", common).withColumn("similarity", F.col("common") / (F.col("weight") + F.col("weight_i") - F.col("common")))
-    best = near.where(F.col("similarity") >= least).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("at"))).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.at")).cast("long").alias("start"), F.col("b.similarity").alias("similarity"))
+    best = near.where(F.col("similarity") >= least).groupBy("doc", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("at"))).alias("b"))
+    return best.select("doc.doc_id", "item_id", (-F.col("b.at")).cast("long").alias("start"), F.col("b.similarity").alias("similarity"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,9 +143,13 @@ WITH d AS (
   SELECT item_id, size, k, unnest(range(size - k + 1)) AS j, w FROM i
 ), si AS (
   SELECT item_id, size, k, j, array_to_string(w[j + 1 : j + k], ' ') AS s FROM ii
-), win AS (
+), aligned AS (
   SELECT DISTINCT ds.doc_id, si.item_id, si.size, si.k, greatest(0, least(p - j, n - si.size)) AS start
   FROM ds JOIN si ON ds.s = si.s AND ds.k = si.k
+), neighbours AS (
+  SELECT *, lag(start) OVER (PARTITION BY doc_id, item_id ORDER BY start) AS earlier FROM aligned
+), win AS (
+  SELECT DISTINCT doc_id, item_id, size, k, unnest(range(CASE WHEN start - earlier <= size THEN earlier + 1 ELSE start END, start + 1)) AS start FROM neighbours
 ), sets AS (
   SELECT win.doc_id, win.item_id, start,
          list_distinct(list_transform(range(least(win.size, len(d.w) - start) - win.k + 1), lambda x: array_to_string(d.w[start + x + 1 : start + x + win.k], ' '))) AS a,

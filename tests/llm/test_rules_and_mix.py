@@ -165,6 +165,37 @@ def test_decontamination_with_repeated_ids_and_without_broadcast(spark, monkeypa
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_windows_between_alignments_and_null_ids(spark, tmp_path):
+    """Items with words put in or left out, held to a try of every start; a null id is a document too."""
+    rng = np.random.default_rng(17)
+    items = [(k, " ".join(f"w{rng.integers(10**6)}" for _ in range(rng.integers(30, 160)))) for k in range(40)]
+    rows = []
+    for k, text in items:
+        words = text.split()
+        for _ in range(k % 4):
+            at = int(rng.integers(len(words)))
+            words[at:at] = [f"x{rng.integers(10**6)}"] if k % 2 else []
+            del words[at + k % 2 : at + 1 + (k % 3 == 0)]
+        rows.append((k if k else None, f"lead in {' '.join(words)} and out", "s"))
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    weight = lambda x: sum(len("".join(g)) for g in x)
+    want = {}
+    for d, text, _ in rows:
+        w = text.split()
+        for k, item in items:
+            v = item.split()
+            t = sets(v)
+            for start in range(max(1, len(w) - len(v) + 1)):
+                s = sets(w[start : start + len(v)])
+                if s & t and weight(s & t) / weight(s | t) >= max(0.8, want.get((d, k), (0,))[0] + 1e-12):
+                    want[d, k] = (weight(s & t) / weight(s | t), start)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("x")).withColumn("doc", F.lit("y"))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == set(want) and (None, 0) in got and 15 < len(got) < 40
+    # Another start may be better by a little than the best of those proposed.
+    assert all(want[p][0] - 0.02 < got[p][0] <= want[p][0] for p in got) and sum(got[p] == want[p] for p in got) > 0.8 * len(got)
+
+
 def test_simhash_finds_windows_within_the_similarity(spark):
     """Windows with one word changed: all whose exact similarity suffices are found."""
     rng = np.random.default_rng(5)
