@@ -1,5 +1,7 @@
 """The pipeline: stages keep columns and take effect; the queries are registered."""
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -48,6 +50,39 @@ def test_stages(spark, tmp_path):
     assert sum(r.n_tokens for r in last) == len(encoder(pa.array([rows[i][1] for i in mixed]))[0])
 
 
+def test_null_and_repeated_ids_through_the_stages(spark, tmp_path):
+    docs, rows = sources(tmp_path, spark)
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    odd = [(None, rows[5][1] + " kaone", "aa", "s0"), (None, f"ka1 {item}", "aa", "s0"), (7, rows[8][1], "aa", "s1"), (7, rows[7][1], "bb", "s1"), (11, f"ka9 {item} ka9", "aa", "s1")]
+    more = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).withColumn("lang_pred", F.lit("own")).withColumn("_copies", F.lit(3))
+    both = docs.unionByName(more).withColumn("_key", F.lit("k")).withColumn("r", F.lit("own"))
+    once = corpus_pipeline.one_of_each(spark, both, str(tmp_path))
+    assert once.columns == both.columns
+    got = once.select("doc_id", "text").collect()
+    ids = [r.doc_id for r in got]
+    assert ids.count(7) == ids.count(11) == 1 and ids.count(None) == 2
+    kept = corpus_pipeline.decontaminated(spark, both, str(tmp_path)).select("doc_id", "text", "_key").collect()
+    texts = Counter((r.doc_id, r.text) for r in kept)
+    assert texts == Counter((i, t) for i, t, _, _ in [*rows, *odd] if item not in (t or ""))
+    assert {r._key for r in kept} == {"k"}
+
+
+def test_empty_documents_through_the_stages(spark, tmp_path):
+    docs, _ = sources(tmp_path, spark)
+    docs = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_language_stage_drops_what_is_no_better_than_chance(spark, tmp_path, monkeypatch):
+    docs, rows = sources(tmp_path, spark)
+    clear = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()}
+    monkeypatch.setattr(corpus_pipeline, "LEAST_MARGIN", 1.1)
+    assert clear and corpus_pipeline.language_id(spark, docs, str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered_once_each():
     import __spark_entry__
 
