@@ -11,7 +11,10 @@ these and no more. Prediction is one pass over the texts with no shuffle. Embedd
 fold into tables by byte pairs, so a filter's answer is one or two look-ups.
 
 A null text, or one without a letter, is `und` with score 0; so is every text if nothing is
-labelled. Rows that repeat are judged alike; lang, source and doc_id are never inputs.
+labelled. Of languages with equal probabilities the first by name wins. Rows that repeat are judged alike; lang,
+source and doc_id are never inputs. Extra columns pass through; those named as the two results are replaced. An empty
+table gives no rows. The sample takes DOCS_PER_LANG texts of the LANGUAGES languages with the most texts, so it has a bound
+however many there are; languages beyond these are not learned.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-DOCS_PER_LANG = 400
+DOCS_PER_LANG, LANGUAGES = 400, 64
 WINDOWS_PER_DOC = 6
 STEPS = 700
 BATCH = 96
@@ -163,7 +166,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def training_windows(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id") -> list:
     """Rows (lang, doc_id, windows) of the bounded sample; the rest of each text stays where it is."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(ident).alias("doc_id"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().toLocalIterator()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).toLocalIterator()}
     if not counts:
         return []
     parts = 1 << 20

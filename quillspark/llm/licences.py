@@ -16,8 +16,10 @@ directory, so a directory with very many files is a join key once.
 
 DataFrame functions only. A null or empty text has no licence of its own; a null path is in no
 directory and inherits nothing. Of equal cosines the template first in the alphabet wins; of several
-licence files in a directory the best, then the first by path. Rows that repeat are judged alike. An
-empty table gives no rows.
+licence files in a directory the best, then the first by path. Rows that repeat are judged alike; rows that share a
+file are one file with all their passages, which speaks for the directory of its least path. Only file, path and text are
+read. Texts of any length are scanned whole: what holds no cue word in reach of a window cannot match. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -161,8 +163,8 @@ def cosines(parts: DataFrame, vectors: DataFrame, other: float) -> DataFrame:
 
 
 def directory(path: Column) -> Column:
-    """All up to the last slash, '' for a file at the top."""
-    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("")).alias("dir")
+    """All up to the last slash, '' for a file at the top, null for a null path."""
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit("")).alias("dir")
 
 
 def ancestors(path: Column) -> Column:
@@ -184,7 +186,8 @@ def licensed(files: DataFrame) -> DataFrame:
     own = cosines(passages(cues), vectors, other).where(F.col("score") >= LEAST)
     cue_words = F.size(F.split(F.array_join("lines", " "), r"\s+"))
     sized = cues.select("file", "path", ((cue_words >= MOSTLY * F.col("n_words")) | F.coalesce(F.col("path").rlike(NAMED), F.lit(False))).alias("speaks"))
-    own = staged(own.join(sized, "file").dropDuplicates(["file"]), "licence-own")
+    # Rows that share a file are one file, at the least of their paths.
+    own = staged(own.join(sized.groupBy("file").agg(F.min("path").alias("path"), F.max("speaks").alias("speaks")), "file"), "licence-own")
     said = own.where("speaks AND path IS NOT NULL").groupBy(directory(F.col("path"))).agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "licence")).alias("b")).select(F.col("dir").alias("above"), F.col("b.licence").alias("dir_licence"))
     dirs = files.where("path IS NOT NULL").select(directory(F.col("path"))).distinct()
     nearest = dirs.select("dir", F.inline(ancestors(F.col("dir")))).join(said, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "dir_licence")).alias("b")).select("dir", F.col("b.above").alias("from_dir"), F.col("b.dir_licence").alias("dir_licence"))

@@ -2,7 +2,8 @@
 
 A value is found by pattern, validated, read as an array of small integers with a radix each, and
 permuted by a keyed Feistel network over that mixed-radix domain: in each round one half is moved,
-radix by radix, by digits of SHA-512 of key, kind, round and the other half. Whatever the radices, that is
+radix by radix, by digits of SHA-512 of key, kind, round and the other half (of these and a number for each 24 values
+beyond the first 24). Whatever the radices, that is
 a permutation of the kind's valid values, so equal values get equal pseudonyms in all documents
 and different values different ones, and a pseudonym passes the same validation:
 
@@ -20,7 +21,9 @@ is not valid stays as it is.
 
 One narrow pass: a text without a digit or an at sign is not touched; others are cut at all matches
 of one pattern, and only the cuts' values are computed. A null text stays null; an empty one stays
-empty. Extra columns pass through; rows that repeat get the same pseudonyms.
+empty; texts and values of any length are rewritten whole. Where patterns overlap, the match that begins first wins, of
+those that begin together the first kind in the order above. Extra columns pass through, but for one named `found`,
+which is replaced; rows that repeat get the same pseudonyms. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 ROUNDS = 8
+#: Values that one digest moves, by five of its digits each.
+STEPS = 24
 #: Patterns of what may be a value, by kind; first match wins.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}",
@@ -61,10 +66,11 @@ def feistel(values: Column, radices: Column, kind: str, key: str) -> Column:
         def one_round(acc: Column, k: Column) -> Column:
             first = k % 2 == 0
             other = F.when(first, F.slice(acc, half + 1, F.size(acc) - half)).otherwise(F.slice(acc, F.lit(1), half))
-            digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), k.cast("string"), other.cast("string")), 512)
+            blocks = F.sequence(F.lit(0), F.greatest(((F.size(acc) - 1) / STEPS).cast("int"), F.lit(0)))
+            digest = F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), k.cast("string"), other.cast("string"), F.when(b > 0, b.cast("string"))), 512))
 
             def moved(h: Column) -> Column:
-                step = lambda i: F.conv(F.substr(h, (i % 24) * 5 + 1, F.lit(5)), 16, 10).cast("long")
+                step = lambda i: F.conv(F.substr(F.get(h, (i / STEPS).cast("int")), (i % STEPS) * 5 + 1, F.lit(5)), 16, 10).cast("long")
                 return F.transform(acc, lambda v, i: F.when(first == (i < half), F.pmod(v + step(i), F.get(radix, i))).otherwise(v))
 
             return let(digest, moved)
@@ -157,7 +163,7 @@ def _classed(x: Column, kind: str, key: str) -> Column:
 def _email(x: Column, key: str) -> Column:
     """The first domain label goes along, so that a short local part has company."""
     head = F.regexp_extract(x, r"^([^@]+@[^.]+)", 1)
-    return F.concat(_classed(head, "email", key), F.substr(x, F.length(head) + 1, F.lit(1 << 20)))
+    return F.concat(_classed(head, "email", key), F.substr(x, F.length(head) + 1, F.length(x)))
 
 
 def _secret(x: Column, key: str) -> Column:
@@ -188,13 +194,14 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     body = F.col(text)
     marked = F.regexp_replace(F.replace(body, F.lit("\u0001"), F.lit(OWN)), f"({ANY})", f"{CUT}$1{CUT}")
     cuts = F.when(body.rlike("[0-9@\"]"), F.split(marked, CUT))
-    df = docs.withColumn("_cuts", cuts)
-    parts = F.transform("_cuts", lambda x, i: F.when(i % 2 == 1, pseudonym(x, key)))
-    df = df.withColumn("_new", F.when(F.size("_cuts") > 1, parts))
-    joined = F.array_join(F.zip_with("_cuts", "_new", lambda x, n: F.coalesce(n["text"], x)), "")
-    df = df.withColumn(text, F.when(F.col("_new").isNotNull(), F.replace(joined, F.lit(OWN), F.lit("\u0001"))).otherwise(body))
+    at, new = free_name(docs, "_cuts"), free_name(docs, "_new")
+    df = docs.withColumn(at, cuts)
+    parts = F.transform(at, lambda x, i: F.when(i % 2 == 1, pseudonym(x, key)))
+    df = df.withColumn(new, F.when(F.size(at) > 1, parts))
+    joined = F.array_join(F.zip_with(at, new, lambda x, n: F.coalesce(n["text"], x)), "")
+    df = df.withColumn(text, F.when(F.col(new).isNotNull(), F.replace(joined, F.lit(OWN), F.lit("\u0001"))).otherwise(body))
     none = F.array().cast("array<struct<kind:string,text:string>>")
-    return df.withColumn("found", F.coalesce(F.filter("_new", lambda n: n.isNotNull()), none)).drop("_cuts", "_new")
+    return df.withColumn("found", F.coalesce(F.filter(new, lambda n: n.isNotNull()), none)).drop(at, new)
 
 
 KEY = "an example key; pass your own"

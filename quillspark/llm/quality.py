@@ -10,7 +10,9 @@ windows, and gaps between these places say how many words they cover. That is ex
 n log n in the text's length.
 
 A null text counts as empty: all counts 0, `base_failed` true. A ratio over nothing is null and
-breaks no rule. Extra columns pass through; names that start with `_` are for this module.
+breaks no rule; a ratio equal to a limit keeps it. Texts of any length are judged whole, each row by itself, so rows that
+repeat get the same verdict. Extra columns pass through; one named like a count, `base_failed`, `kept` or
+`broke_<rule>` is replaced, and names that start with `_` are for this module. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,5 +1,7 @@
 """Token files, archives, pseudonyms, licences and the pipeline."""
 
+import datetime
+import hashlib
 import io
 import textwrap
 import zlib
@@ -211,6 +213,109 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert other != values[2][0]
 
 
+def plain_feistel(values, radices, kind, key):
+    half = len(values) // 2
+    for k in range(8):
+        other = values[half:] if k % 2 == 0 else values[:half]
+        text = f"{key}|{kind}|{k}|[{', '.join(map(str, other))}]"
+        hexed = [hashlib.sha512((text + (f"|{b}" if b else "")).encode()).hexdigest() for b in range(len(values) // 24 + 1)]
+        move = lambda i: int(hexed[i // 24][i % 24 * 5 :][:5], 16)
+        values = [(v + move(i)) % radices[i] if (k % 2 == 0) == (i < half) else v for i, v in enumerate(values)]
+    return values
+
+
+def plain_pseudonym(kind, x, key):
+    """A value's pseudonym by plain Python, None if it is not valid."""
+    digits = [int(c) for c in x if c.isdigit()]
+
+    def filled(new):
+        left = iter(new)
+        return "".join(str(next(left)) if c.isdigit() else c for c in x)
+
+    def moved(own, low, radices):
+        return [v + b for v, b in zip(plain_feistel([v - b for v, b in zip(own, low)], radices, kind, key), low)]
+
+    def classed(text):
+        of = lambda c: (48, 10) if "0" <= c <= "9" else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (ord(c), 1)
+        return "".join(map(chr, moved([ord(c) for c in text], [of(c)[0] for c in text], [of(c)[1] for c in text])))
+
+    if kind == "card":
+        if not luhn("".join(map(str, digits))):
+            return None
+        body = moved(digits[:-1], [2] + [0] * (len(digits) - 2), [5] + [10] * (len(digits) - 2))
+        return filled(body + [next(d for d in range(10) if luhn("".join(map(str, body)) + str(d)))])
+    if kind == "phone":
+        own = digits[-10:]
+        low = [2 if i in (0, 3) and v >= 2 else 0 for i, v in enumerate(own)]
+        return filled(digits[:-10] + moved(own, low, [10 if i not in (0, 3) else 8 if v >= 2 else 2 for i, v in enumerate(own)]))
+    if kind == "ssn":
+        area, group, serial = int(x[:3]), int(x[4:6]), int(x[7:])
+        if not 0 < area < 900 or area == 666 or not group or not serial:
+            return None
+        a, g, n = plain_feistel([area - (2 if area > 666 else 1), group - 1, serial - 1], [898, 99, 9999], kind, key)
+        return f"{a + (2 if a >= 665 else 1):03d}-{g + 1:02d}-{n + 1:04d}"
+    if kind == "ip":
+        own = [int(o) for o in x.split(".")]
+        return ".".join(map(str, plain_feistel(own, [256] * 4, kind, key))) if max(own) < 256 else None
+    if kind == "date":
+        form = f"%Y{x[4]}%m{x[4]}%d" if x[4] in "-/" else f"%d{x[2]}%m{x[2]}%Y"
+        try:
+            n = (datetime.datetime.strptime(x, form).date() - datetime.date(1800, 1, 1)).days
+        except ValueError:
+            return None
+        if not 0 <= n < 146097:
+            return None
+        a, b = plain_feistel([n // 773, n % 773], [189, 773], kind, key)
+        return (datetime.date(1800, 1, 1) + datetime.timedelta(a * 773 + b)).strftime(form)
+    if kind == "email":
+        at = x.index(".", x.index("@"))
+        return classed(x[:at]) + x[at:]
+    value = x[x.index('"') + 1 : -1]
+    if all(c in "0123456789abcdef" for c in value):
+        return x[: -len(value) - 1] + "".join(f"{v:x}" for v in plain_feistel([int(c, 16) for c in value], [16] * len(value), kind, key)) + '"'
+    return x[: -len(value) - 1] + classed(value) + '"'
+
+
+def test_pseudonyms_against_plain_python(spark):
+    """Random values of all kinds, valid and not, held to a second implementation."""
+    import re
+
+    rng = np.random.default_rng(12)
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    letters = lambda n: "".join(rng.choice(list("abcXYZ019_"), n))
+    make = [
+        lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"{rng.integers(200, 999)}-{rng.integers(200, 999)}-{d(4)}", lambda: f"{rng.integers(2, 7)}{d(15)}", lambda: f"4{d(3)} {d(4)} {d(4)} {d(4)}", lambda: f"{rng.integers(2, 7)}{d(12)}",
+        lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: ".".join(str(rng.integers(0, 300)) for _ in range(4)), lambda: f"{rng.integers(1700, 2300)}-{rng.integers(1, 14):02d}-{rng.integers(1, 32):02d}",
+        lambda: f"{rng.integers(1, 32):02d}.{rng.integers(1, 13):02d}.{rng.integers(1800, 2200)}", lambda: f"{rng.integers(1900, 2100)}/{rng.integers(1, 13):02d}/{rng.integers(1, 29):02d}", lambda: f"{letters(rng.integers(1, 60))}a.b9@Mail{d(2)}.example.com",
+        lambda: f'token = "{d(8)}{"".join(rng.choice(list("abcdef0123456789"), rng.integers(0, 60)))}"', lambda: f'API_KEY: "{letters(rng.integers(8, 70))}"', lambda: "words in between",
+    ]
+    texts = ["; ".join(make[k]() for k in rng.integers(0, len(make), rng.integers(0, 9))) for _ in range(250)] + ["a@b.cc " + "x.y" * 10, 'password="' + "q" * 300 + '"', f"{'u' * 200}@{'h' * 200}.org", None, ""]
+
+    def plain(text):
+        found = []
+
+        def one(m):
+            kind = next(k for k, p in pii.PATTERNS.items() if re.fullmatch(p, m[0]))
+            new = plain_pseudonym(kind, m[0], "k")
+            if new is not None:
+                found.append((kind, new))
+            return m[0] if new is None else new
+
+        return (re.sub(pii.ANY, one, text) if text else text), found
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_cuts", F.lit("own")).withColumn("found", F.lit("theirs"))
+    got = {r.doc_id: r for r in pii.pseudonymised(df, "k").collect()}
+    kinds = Counter()
+    for k, text in enumerate(texts):
+        want, found = plain(text)
+        assert (got[k].text, [tuple(f) for f in got[k].found]) == (want, found), text
+        kinds.update(f[0] for f in found)
+        assert got[k]["_cuts"] == "own"
+    assert min(kinds[k] for k in pii.PATTERNS) > 5
+    empty = pii.pseudonymised(df.limit(0), "k")
+    assert empty.count() == 0 and empty.columns == df.columns
+
+
 @pytest.mark.parametrize("radices", [[7], [3, 2], [5, 4, 3], [189 // 9, 11]])
 def test_feistel_is_a_permutation(spark, radices):
     total = int(np.prod(radices))
@@ -244,6 +349,45 @@ def test_licences_and_inheritance(spark):
     assert licences.licensed(df.limit(0)).count() == 0
 
 
+def test_inheritance_against_a_walk_up_the_tree(spark):
+    """Random trees: the nearest directory above with a file that speaks for it; rows that share a file are one file."""
+    rng = np.random.default_rng(5)
+    spoken = {"MIT": licences.TEMPLATES[16][1], "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
+    rows, names = [], list(spoken)
+    for k in range(160):
+        folder = "/".join(rng.choice(["a", "b", "c"], rng.integers(0, 5)))
+        licence = names[rng.integers(3)] if rng.random() < 0.15 else None
+        own = (f"f{k:03d}", f"{folder}/f{k:03d}".lstrip("/") if k % 23 else None, spoken[licence] if licence else f"plain text {k}")
+        rows += [own] * (1 + (k % 9 == 0))
+    rows += [("twice", "b/z", "plain"), ("twice", "a/y", spoken["MIT"])]
+    df = spark.createDataFrame(rows, "file string, path string, text string").withColumn("dir", F.lit("own")).withColumn("licence", F.lit("x"))
+    said = {}
+    files_ = {}
+    for f, path, text in rows:
+        files_.setdefault(f, []).append((path, text))
+    own = {f: next((n for n, t in spoken.items() if t in [x[1] for x in xs]), None) for f, xs in files_.items()}
+    score = {r.file: r.score for r in licences.licensed(df).collect()}
+    for f, xs in sorted(files_.items()):
+        paths = sorted(p for p, _ in xs if p is not None)
+        if own[f] and paths:
+            at = paths[0].rpartition("/")[0]
+            said[at] = min(said.get(at, (1, "", "")), (-score[f], paths[0], own[f]))
+
+    def wanted(f, path):
+        if own[f]:
+            return own[f], "file", None
+        at = path.rpartition("/")[0] if path is not None else None
+        while at is not None:
+            if at in said:
+                return said[at][2], "inherited", at
+            at = at.rpartition("/")[0] if at else None
+        return None, None, None
+
+    got = Counter((r.file, r.path, r.licence, r.how, r.from_dir) for r in licences.licensed(df.repartition(5)).collect())
+    assert got == Counter((f, p, *wanted(f, p)) for f, p, _ in rows)
+    assert len(said) > 8
+
+
 def test_every_licence_line_has_its_licence(spark):
     """The four licence lines of the tables' documents, and others that are near each other."""
     lines = {

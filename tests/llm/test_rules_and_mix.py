@@ -39,6 +39,13 @@ def test_repeated_words_by_hand(spark):
     assert [r.n_repeat_words for r in quality.judged(df).orderBy("doc_id").collect()] == list(texts.values())
 
 
+def test_rules_on_empty_tables_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d", 9, "mine")] * 2, "doc_id long, text string, n_words int, other string")
+    got = quality.judged(df)
+    assert [(r.n_words, r.other, r.kept) for r in got.collect()] == [(4, "mine", False)] * 2
+    assert sorted(got.columns) == sorted(set(got.columns)) and quality.judged(df.limit(0)).count() == 0
+
+
 def test_rules_are_a_table(spark):
     rules = (quality.Rule("short", "word_chars / n_words", most=2.0),)
     df = spark.createDataFrame([(1, "ab " * 60), (2, "abc " * 60)], "doc_id long, text string")
