@@ -71,8 +71,22 @@ def unflat(vector: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def sigmoid(z: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * z) + np.float32(0.5)
+def softmax(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log-probabilities of the chosen columns, exponentials, their sums by row); logits are used up.
+
+    One shift for all rows is enough but where a row lies far below the largest; rows are shifted each then.
+    """
+    logits -= logits.max()
+    here = logits[np.arange(len(logits)), chosen]
+    ones = np.ones(logits.shape[1], logits.dtype)
+    e = np.exp(logits)
+    total = e @ ones
+    if total.min() < 1e-20:
+        logits -= logits.max(1, keepdims=True)
+        here = logits[np.arange(len(logits)), chosen]
+        e = np.exp(logits)
+        total = e @ ones
+    return here - np.log(total), e, total
 
 
 class Lanes:
@@ -129,21 +143,32 @@ class Gru:
         self.hidden = params["u"].shape[0]
 
     def _run(self, past: np.ndarray, h: np.ndarray, start_id: int, keep: bool):
-        """States after each step; with keep, what back-propagation needs."""
-        x, u, n = self.p["x"], self.p["u"], self.hidden
-        states, kept = np.empty((len(past), *h.shape), np.float32), []
-        for t, ids in enumerate(past):
-            fresh = ids == start_id
-            if fresh.any():
-                h = np.where(fresh[:, None], np.float32(0), h)
-            a, e = h @ u, x[ids]
-            zr = sigmoid(e[:, : 2 * n] + a[:, : 2 * n])
+        """States after each step; with keep, what back-propagation needs: by step, the state before, z, r, q and the candidate."""
+        u, n = self.p["u"], self.hidden
+        e, fresh = self.p["x"][past], past == start_id
+        e[..., : 2 * n] *= np.float32(0.5)
+        half = u.copy()
+        half[:, : 2 * n] *= np.float32(0.5)  # sigmoid(v) = tanh(v / 2) / 2 + 1 / 2
+        some = fresh.any(1).tolist()
+        states = np.empty((len(past), *h.shape), np.float32)
+        kept = [np.empty((len(past), *h.shape), np.float32) for _ in range(5)] if keep else []
+        for t in range(len(past)):
+            if some[t]:
+                h = np.where(fresh[t][:, None], np.float32(0), h)
+            a = h @ half
+            zr = np.tanh(e[t, :, : 2 * n] + a[:, : 2 * n])
+            zr += np.float32(1)
+            zr *= np.float32(0.5)
             z, r, q = zr[:, :n], zr[:, n:], a[:, 2 * n :]
-            new = np.tanh(e[:, 2 * n :] + r * q)
+            new = r * q
+            new += e[t, :, 2 * n :]
+            np.tanh(new, out=new)
             if keep:
-                kept.append((h, z, r, q, new, fresh))
-            h = new + z * (h - new)
-            states[t] = h
+                for store, value in zip(kept, (h, z, r, q, new), strict=True):
+                    store[t] = value
+            h = np.subtract(h, new, out=states[t])
+            h *= z
+            h += new
         return states, kept
 
     def _outputs(self, states: np.ndarray, want: np.ndarray, grad: bool):
@@ -152,15 +177,14 @@ class Gru:
         s, y = states.reshape(-1, self.hidden), want.ravel()
         real = y >= 0
         cls = shape.class_of(np.maximum(y, 0))
-        logits = s @ p["c"] + p["c_b"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        out = logits[np.arange(len(y)), cls] - np.log(total)
+        logits = s @ p["c"]
+        logits += p["c_b"]
+        out, e, total = softmax(logits, cls)
         grads: dict[str, np.ndarray] = {}
         ds = None
         if grad:
-            d = e / total[:, None]
+            d = e
+            d /= total[:, None]
             d[np.arange(len(y)), cls] -= 1
             d[~real] = 0
             grads["c"], grads["c_b"] = s.T @ d, d.sum(0)
@@ -173,14 +197,13 @@ class Gru:
             at = words[bounds[k] : bounds[k + 1]]
             if len(at):
                 own = s[at]
-                logits = own @ p["w"][k] + p["w_b"][k]
-                logits -= logits.max(1, keepdims=True)
-                e = np.exp(logits)
-                total = e.sum(1)
+                logits = own @ p["w"][k]
+                logits += p["w_b"][k]
                 place = y[at] - k * shape.per_class
-                out[at] += logits[np.arange(len(at)), place] - np.log(total)
+                value, d, total = softmax(logits, place)
+                out[at] += value
                 if grad:
-                    d = e / total[:, None]
+                    d /= total[:, None]
                     d[np.arange(len(at)), place] -= 1
                     grads["w"][k], grads["w_b"][k] = own.T @ d, d.sum(0)
                     ds[at] += d @ p["w"][k].T
@@ -218,22 +241,26 @@ class Gru:
         n, u = self.hidden, self.p["u"]
         _, grads, ds = self._outputs(states, want, True)
         ds = ds.reshape(states.shape)
-        dh = np.zeros_like(states[0])
-        dx = np.empty((len(want), want.shape[1], 3 * n), np.float32)
-        du = np.zeros_like(u)
+        before, z, r, q, new = kept
+        # All that does not depend on later steps, for the whole window at once.
+        by_new, by_q = (1 - z) * (1 - new * new), q * r * (1 - r)
+        by_z = (before - new) * z * (1 - z)
+        dh, fresh = np.zeros_like(states[0]), past == self.shape.tokens - 1
+        some = fresh.any(1).tolist()
+        da, ut = np.empty((len(want), want.shape[1], 3 * n), np.float32), np.ascontiguousarray(u.T)
+        dx = np.empty_like(da)
         for t in range(len(want) - 1, -1, -1):
-            h, z, r, q, new, fresh = kept[t]
-            dh = dh + ds[t]
-            d_new = dh * (1 - z) * (1 - new * new)
-            dq = d_new * r
-            dx[t, :, :n] = dh * (h - new) * z * (1 - z)
-            dx[t, :, n : 2 * n] = d_new * q * r * (1 - r)
-            dx[t, :, 2 * n :] = d_new
-            da = np.concatenate([dx[t, :, : 2 * n], dq], 1)
-            du += h.T @ da
-            dh = dh * z + da @ u.T
-            if fresh.any():
-                dh[fresh] = 0
+            dh += ds[t]
+            d_new = np.multiply(dh, by_new[t], out=dx[t, :, 2 * n :])
+            np.multiply(dh, by_z[t], out=da[t, :, :n])
+            np.multiply(d_new, by_q[t], out=da[t, :, n : 2 * n])
+            np.multiply(d_new, r[t], out=da[t, :, 2 * n :])
+            dh *= z[t]
+            dh += da[t] @ ut
+            if some[t]:
+                dh[fresh[t]] = 0
+        dx[..., : 2 * n] = da[..., : 2 * n]
+        du = before.reshape(-1, n).T @ da.reshape(-1, 3 * n)
         ids, rows = past.ravel(), dx.reshape(-1, 3 * n)
         order = np.argsort(ids, kind="stable")
         starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
