@@ -10,12 +10,15 @@ here), so a null or empty text has that one token.
    probability (count + 1) / (all counts + distinct words + 1), the one left over being for words
    never seen. So P(text) is a proper product over all tokens, over an open vocabulary.
 4. It is trained by truncated BPTT: a warm start on the driver from a bounded sample of about
-   `WARM_DOCS` texts, then one pass in parallel over all training texts. The state runs over whole
+   `WARM_DOCS` texts of `WARM_LONGEST` tokens at most, then one pass in parallel over all training texts. The state runs over whole
    texts and every window updates. Tasks' parameters are averaged by tokens.
 5. Every text is scored with the state carried across windows. Words outside the head are returned
    by text and joined to the counts; the head is in memory, so no frequent word is ever a join key.
 
-Rows that repeat are scored alike. A null doc_id is scored too, and is in training if the caller's
+Texts of any length run whole, their state going from window to window; a task holds some megabytes of text at
+a time. Tasks learn from the rows that the scan gives them, so another layout of the input's files
+gives slightly other parameters and scores; the same layout gives the same. Only doc_id and text are read, so other
+columns do no harm. Rows that repeat are scored alike. A null doc_id is scored too, and is in training if the caller's
 condition says so. With no training text all counts are 0. An empty table gives no rows.
 """
 
@@ -36,7 +39,9 @@ from .gru import Gru, Lanes, Shape, flat, initial, unflat
 
 HEAD = 1 << 18
 WORDS, WORD_CLASSES, REST = 1024, 32, 32
-WARM_DOCS = 1200
+TIES = 1024
+#: Texts of the warm start, about, and the longest of them in tokens.
+WARM_DOCS, WARM_LONGEST = 1200, 1 << 14
 LANES, SCORE_LANES = 256, 512
 LOG10 = float(np.log(10))
 
@@ -100,14 +105,27 @@ class Head:
 
 
 def read_head(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
-    """All words from some count on, as many as `most` allows, and the end token."""
+    """The words of the highest counts, as many as `most` allows, and the end token.
+
+    Of words tied at the last count, those come first whose hash is less; they are cut at one of TIES bounds.
+    """
     cut, total = None, 0
     for row in counts.groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
         total += row["count"]
+        cut = row["c"]
         if total > most:
+            total -= row["count"]
             break
-        cut = row["c"]
-    found = {} if cut is None else {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= cut).select("word", "c").toLocalIterator()}
+    else:
+        cut = 0
+    place, bound = F.pmod(F.xxhash64("word"), F.lit(TIES)), 0
+    if cut:
+        for row in counts.where(F.col("c") == cut).groupBy(place.alias("place")).count().orderBy("place").collect():
+            total += row["count"]
+            if total > most:
+                break
+            bound = row["place"] + 1
+    found = {} if cut is None else {bytes(r["word"]): r["c"] for r in counts.where((F.col("c") > cut) | ((F.col("c") == cut) & (place < bound))).select("word", "c").toLocalIterator()}
     if b"" not in found:
         found[b""] = next((r["c"] for r in counts.where(F.length("word") == 0).select("c").collect()), 0)
     order = sorted(found, key=lambda w: (-found[w], w))
@@ -130,7 +148,7 @@ def warm_start(docs: DataFrame, head: Head, params: dict, n_docs: int) -> tuple[
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)], pa.binary())], names=["doc_id", "ids"])
 
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < -(-WARM_DOCS * parts // max(1, n_docs)))
-    rows = sorted((r["doc_id"] or 0, bytes(r["ids"])) for r in chosen.mapInArrow(run, "doc_id long, ids binary").toLocalIterator())
+    rows = sorted((r["doc_id"] or 0, bytes(r["ids"])) for r in chosen.mapInArrow(run, "doc_id long, ids binary").where(F.length("ids") <= 4 * WARM_LONGEST).toLocalIterator())
     memory = {k: np.full_like(v, 1e-5) for k, v in params.items()}
     if not rows:
         return params, memory

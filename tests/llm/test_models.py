@@ -130,6 +130,45 @@ def test_language_identification(spark):
     assert all(0 <= r.lang_score <= 1 for r in got.values())
 
 
+def test_predictions_against_a_plain_network(spark):
+    """Whole texts by a convolution written out, window after window, weighted by bytes."""
+    rows = documents(40) + [(2000 + k, "ü" * n, "bb") for k, n in enumerate((1, 127, 128, 129, 300))]
+    df = spark.createDataFrame(rows, DOCS)
+    model = langid.train(df)
+    p = {k: v.astype(np.float64) for k, v in model.params.items()}
+
+    def plain(text):
+        data = text.encode()
+        total = np.zeros(len(model.labels))
+        for at in range(0, len(data), langid.WINDOW):
+            part = data[at : at + langid.WINDOW]
+            e = p["embed"][list(part.ljust(langid.WINDOW, b"\0"))]
+            pooled = [max(e[k : k + w].ravel() @ p[f"conv{w}"][:, f] for k in range(langid.WINDOW - w + 1)) + p[f"conv{w}_b"][f] for w in langid.WIDTHS for f in range(langid.FILTERS)]
+            total += langid.softmax((np.maximum(pooled, 0) @ p["out"] + p["out_b"])[None])[0] * len(part)
+        return total / len(data)
+
+    for r in langid.identified(df, model).collect():
+        if r.text and any(c.isalpha() for c in r.text) and len(r.text) < 5000:
+            want = plain(r.text)
+            assert r.lang_score == pytest.approx(want.max(), abs=1e-4)
+            assert want[model.labels.index(r.lang_pred)] == pytest.approx(want.max(), abs=1e-4)
+    empty = langid.identified(df.limit(0), model)
+    assert empty.count() == 0 and empty.columns == [*df.columns, "lang_pred", "lang_score"]
+
+
+def test_the_sample_has_a_bound_in_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    df = spark.createDataFrame([(k, "some text", f"l{min(k % 5, 2)}") for k in range(50)], DOCS)
+    assert sorted({r["lang"] for r in langid.training_windows(df)}) == ["l0", "l2"]
+
+
+def test_words_tied_at_the_heads_last_count(spark):
+    counts = spark.createDataFrame([(f"w{k}".encode(), 0, 5) for k in range(3000)] + [(b"", 0, 9), (b"the", 0, 7)], "word binary, rest int, c long")
+    words, c = lm.read_head(counts, 1000)
+    assert words[:2] == [b"", b"the"] and c[:2] == [9, 7] and 900 < len(words) <= 1000 and words == lm.read_head(counts.repartition(7), 1000)[0]
+    assert len(lm.read_head(counts, 5000)[0]) == 3002
+
+
 def test_language_identification_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], DOCS)
     assert langid.train(df) is None
