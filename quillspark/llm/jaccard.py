@@ -195,13 +195,25 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     rep_of = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     lists = all_signed.where("n > 0").groupBy("f1", "f2").agg(F.first(F.struct("n", "regions", "sketch")).alias("x"))
     reps = staged(rep_of.join(lists, ["f1", "f2"]).select(F.col("rep").alias("id"), "x.*"), "jaccard-sets")
-    rows = all_signed.select("doc_id", "n").join(one.join(rep_of, ["f1", "f2"]).select("doc_id", "rep"), "doc_id", "left")
+    rows = all_signed.select("doc_id", "n").join(_represented(one), "doc_id", "left")
     docs_reps = staged(rows, "jaccard-docs")
     found = components(_links(docs, reps, k, num, den))
     named = docs_reps.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def _represented(one: DataFrame) -> DataFrame:
+    """(doc_id, f1, f2) -> (doc_id, rep): the least of the documents with equal sets.
+
+    A set of very many documents is in its table SALTS times, and its documents are dealt to these.
+    """
+    sets = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    many = _salted(sets.where(F.col("size") > BLOCK).select("f1", "f2", "rep"))
+    met = one.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(many, ["f1", "f2", "_salt"], "left")
+    few = met.where("rep IS NULL").select("doc_id", "f1", "f2").join(sets.where(F.col("size") <= BLOCK).select("f1", "f2", "rep"), ["f1", "f2"])
+    return few.select("doc_id", "rep").unionByName(met.where("rep IS NOT NULL").select("doc_id", "rep"))
+
+
 def heavy_regions(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(region, pivot) of the regions that hold much of all vertices, by region.
 
