@@ -50,9 +50,8 @@ def findings(words: DataFrame, lexicon: DataFrame, key: str = "doc_id", flag: tu
     return located.groupBy(key, "word").agg(F.array_sort(F.collect_set(F.struct("start_byte", "end_byte"))).alias("locations"))
 
 
-def counted(words: DataFrame, lexicon: DataFrame, by: list[str], flag: tuple[str, ...] = (), allow: tuple[str, ...] = (), min_length: int = 3) -> DataFrame:
-    """(doc_id, by..., word) -> (by..., word, n_docs, n_occurrences) of the findings."""
-    per_doc = words.groupBy("doc_id", *by, "word").agg(F.count("*").alias("n"))
+def counted(per_doc: DataFrame, lexicon: DataFrame, by: list[str], flag: tuple[str, ...] = (), allow: tuple[str, ...] = (), min_length: int = 3) -> DataFrame:
+    """(doc_id, by..., word, n) -> (by..., word, n_docs, n_occurrences) of the findings."""
     totals = per_doc.groupBy(*by, "word").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_occurrences"))
     keyed = totals.withColumn("fold_key", X.fold_key(F.col("word")))
     flagged = folded_in(F.col("fold_key"), flag)

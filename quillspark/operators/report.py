@@ -2,17 +2,56 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..schema import CANDIDATE
+from .ranges import listed
+
+
+PLACE = T.StructType([*CANDIDATE.fields, T.StructField("line", T.LongType()), T.StructField("col", T.LongType()), T.StructField("end_line", T.LongType()), T.StructField("end_col", T.LongType())])
+
+
+def lines_and_columns(text: str, at: np.ndarray, utf16: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and columns from 0 of byte offsets, all in one pass over the text.
+
+    Columns are characters, or UTF-16 units: every byte that begins a character counts, a lead of four bytes twice.
+    """
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = np.minimum(at, len(data))
+    starts = np.append(0, np.flatnonzero(data == 10) + 1)
+    line = np.searchsorted(starts, at, "right") - 1
+    if text.isascii():
+        return line, at - starts[line]
+    units = ((data & 0xC0) != 0x80).astype(np.int64) + ((data >= 0xF0) if utf16 else 0)
+    before = np.append(0, np.cumsum(units))
+    return line, before[at] - before[starts[line]]
+
+
+def _located(findings: DataFrame, docs: DataFrame, key: str, keep: tuple[str, ...], utf16: bool) -> DataFrame:
+    """(key, keep..., places) with all places of a document in its one row, so each text is read once."""
+
+    @F.arrow_udf(T.ArrayType(PLACE))
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = []
+        for text, places in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
+            start, end = (np.array([p[c] for p in places], np.int64) for c in ("start_byte", "end_byte"))
+            found = [*lines_and_columns(text, start, utf16), *lines_and_columns(text, end, utf16)]
+            rows.append([(p["word"], p["start_byte"], p["end_byte"], *x) for p, x in zip(places, zip(*[f.tolist() for f in found], strict=True), strict=True)])
+        return listed(rows, PLACE)
+
+    at = findings.select(key, "word", F.explode("locations").alias("at")).groupBy(key).agg(F.collect_list(F.struct("word", "at.start_byte", "at.end_byte")).alias("places"))
+    return at.join(docs.select(key, *keep, "text"), key).select(key, *keep, F.inline(run(F.col("text"), F.col("places"))))
 
 
 def placed(findings: DataFrame, docs: DataFrame, key: str, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """One row a place: keep columns, word, start_byte, end_byte, line, col."""
-    text = docs.select(key, *keep, "text")
-    rows = findings.join(text, key)
-    return rows.select(key, *keep, "word", F.explode("locations").alias("at"), "text").select(key, *keep, "word", "at.*", X.line_col(F.col("text"), F.col("at.start_byte")).alias("p")).select(key, *keep, "word", "start_byte", "end_byte", "p.line", "p.col")
+    rows = _located(findings, docs, key, keep, False)
+    return rows.select(key, *keep, "word", "start_byte", "end_byte", (F.col("line") + 1).alias("line"), (F.col("col") + 1).alias("col"))
 
 
 def first_only(places: DataFrame, path: str = "path") -> DataFrame:
@@ -56,9 +95,8 @@ def summary(files: DataFrame, errors: DataFrame) -> DataFrame:
 
 def diagnostics(findings: DataFrame, docs: DataFrame, key: str, level: str = "information") -> DataFrame:
     """Places in the editor's coordinates: lines and UTF-16 columns from 0, severity, message."""
-    rows = findings.join(docs.select(key, "text"), key).select(key, "word", F.explode("locations").alias("at"), "text")
-    start, end = (X.utf16_line_col(F.col("text"), F.col(f"at.{c}")) for c in ("start_byte", "end_byte"))
-    return rows.select(key, "word", start.alias("s"), end.alias("e")).select(key, "word", F.col("s.line").alias("start_line"), F.col("s.col").alias("start_col"), F.col("e.line").alias("end_line"), F.col("e.col").alias("end_col"), X.severity(F.lit(level)).alias("severity"), F.concat(F.lit("Possible spelling issue '"), "word", F.lit("'.")).alias("message"))
+    rows = _located(findings, docs, key, (), True)
+    return rows.select(key, "word", F.col("line").alias("start_line"), F.col("col").alias("start_col"), "end_line", "end_col", X.severity(F.lit(level)).alias("severity"), F.concat(F.lit("Possible spelling issue '"), "word", F.lit("'.")).alias("message"))
 
 
 def quick_fixes(places: DataFrame, suggestions: DataFrame, most: int = 5) -> DataFrame:

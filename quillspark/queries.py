@@ -15,6 +15,7 @@ from .plans import registry
 from .plans.engine import Engine
 from .plans.policy import Override, Settings, resolved_lists
 from .sources import files
+from .sources.stage import staged
 from .streaming import sessions
 
 LEAST_DOCS = 6
@@ -36,8 +37,13 @@ def doc_words(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("doc_id
     return tokens.word_rows(files.spread(docs), "text", list(keep))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.corpus_lexicon(doc_words(spark, sf_dir), "doc_id", LEAST_DOCS)
+def doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, word, n), staged: texts are cut into words once, whatever is made of them."""
+    return staged(doc_words(spark, sf_dir).groupBy("doc_id", "lang", "word").agg(F.count("*").alias("n")))
+
+
+def corpus(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
+    return staged(lexicon.corpus_lexicon(doc_words(spark, sf_dir) if counts is None else counts, "doc_id", LEAST_DOCS))
 
 
 def token_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +52,8 @@ def token_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.counted(doc_words(spark, sf_dir), corpus(spark, sf_dir), ["lang"])
+    counts = doc_counts(spark, sf_dir)
+    return check.counted(counts, corpus(spark, sf_dir, counts), ["lang"])
 
 
 def unknown_words_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,16 +61,17 @@ def unknown_words_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = doc_words(spark, sf_dir, ("doc_id",)).withColumn("fold_key", X.fold_key(F.col("word")))
-    bad = w.groupBy("doc_id", "word", "fold_key").agg(F.count("*").alias("n")).where(F.char_length("word") >= 3)
-    bad = bad.join(check.sized(corpus(spark, sf_dir).select("fold_key").distinct()), "fold_key", "left_anti")
+    per_doc = doc_counts(spark, sf_dir)
+    bad = per_doc.where(F.char_length("word") >= 3).withColumn("fold_key", X.fold_key(F.col("word")))
+    bad = bad.join(check.sized(corpus(spark, sf_dir, per_doc).select("fold_key").distinct()), "fold_key", "left_anti")
     counts = bad.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum("n").alias("n_places"))
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return docs.join(counts, "doc_id", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("n_places", F.lit(0)).cast("long").alias("n_places"))
 
 
 def flag_words_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.counted(doc_words(spark, sf_dir), corpus(spark, sf_dir), ["lang"], FLAGGED, ALLOWED, min_length=4)
+    counts = doc_counts(spark, sf_dir)
+    return check.counted(counts, corpus(spark, sf_dir, counts), ["lang"], FLAGGED, ALLOWED, min_length=4)
 
 
 def identifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +154,7 @@ def findings_with_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte ranges, lines and columns of the words of documents that no lexicon has."""
     docs = files.spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumn("skip", ranges.skip_ranges(F.col("text")))
     rows = tokens.token_rows(docs, "text", F.col("skip"), ["doc_id"])
-    bad = check.findings(rows, corpus(spark, sf_dir))
+    bad = check.findings(staged(rows), corpus(spark, sf_dir))
     return report.placed(bad, docs, "doc_id", ("source",))
 
 
@@ -155,7 +163,7 @@ def html_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = files.spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))
     pages = pages.withColumn("skip", ranges.skip_ranges(F.col("text"))).withColumn("area", capture.region_array(F.col("text"), F.lit("HTML")))
     spans = F.transform("area", lambda r: F.struct(r["start_byte"].alias("start_byte"), r["end_byte"].alias("end_byte")))
-    rows = tokens.token_rows(pages, "text", F.col("skip"), ["page_id"], spans).distinct()
+    rows = staged(tokens.token_rows(pages, "text", F.col("skip"), ["page_id"], spans).distinct())
     return check.findings(rows, corpus(spark, sf_dir), "page_id").select("page_id", "word", F.size("locations").cast("long").alias("n"))
 
 
@@ -173,8 +181,9 @@ def suggest_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suggest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions within two edits for every unknown word of documents."""
-    lex = corpus(spark, sf_dir)
-    asked = doc_words(spark, sf_dir, ("doc_id",)).where(F.char_length("word") >= 3).select("word").distinct()
+    counts = doc_counts(spark, sf_dir)
+    lex = corpus(spark, sf_dir, counts)
+    asked = counts.where(F.char_length("word") >= 3).select("word").distinct()
     asked = asked.withColumn("fold_key", X.fold_key(F.col("word"))).join(lex.select("fold_key"), "fold_key", "left_anti")
     return suggest.ranked(asked, lex).select("word", F.col("rank").cast("long").alias("rank"), "suggestion")
 
@@ -250,8 +259,9 @@ def diagnostics_and_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's findings in editor coordinates, with replacements."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     rows = tokens.token_rows(items.withColumn("skip", ranges.skip_ranges(F.col("text"))), "text", F.col("skip"), ["doc_id"])
-    bad = check.findings(rows, corpus(spark, sf_dir))
-    hints = suggest.suggestions(bad.select("word"), corpus(spark, sf_dir), ["corpus"])
+    lex = corpus(spark, sf_dir)
+    bad = check.findings(rows, lex)
+    hints = suggest.suggestions(bad.select("word"), lex, ["corpus"])
     return report.quick_fixes(report.diagnostics(bad, items, "doc_id", "warning"), hints)
 
 
