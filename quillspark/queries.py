@@ -16,6 +16,7 @@ from .plans.engine import Engine
 from .plans.policy import Override, Settings, resolved_lists
 from .sources import files
 from .sources.stage import staged
+from .sql import LINE_COL, candidates, skipped
 from .streaming import sessions
 
 LEAST_DOCS = 6
@@ -158,6 +159,23 @@ def findings_with_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.placed(bad, docs, "doc_id", ("source",))
 
 
+def plain_settings() -> Settings:
+    return Settings(
+        words=("Elle", "NICHT"), flag_words=("und", "Ered"), ignore_paths=("src1*/**",), include_paths=("src?/**", "none/*", "src[2-4]*/*"), ignore_patterns=("^Le[^ ]*", "[a-z]+eau[a-z]*"), min_word_length=4,
+        overrides=(Override(("src0/**",), extra_words=("ouen", "the"), flag_words=("die",)), Override(("src?/*",), extra_flag_words=("Ouen",), ignore_patterns=("mit [a-z]+",)), Override(("none/**",), extra_ignore_patterns=("des[a-z]*",))),
+    )
+
+
+def engine_text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine over all documents as plain-text files, with all settings that depend on a path."""
+    engine = Engine(spark, plain_settings())
+    engine.add_lexicon("corpus", corpus(spark, sf_dir), primary=True)
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.lit(None).cast("string").alias("language"), "text")
+    found = engine.spell_check(files.spread(docs))
+    return found.select("doc_id", "word", F.inline("locations"))
+
+
 def html_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in the checked regions of pages."""
     pages = files.spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))
@@ -269,7 +287,7 @@ QUERIES = {f.__name__: f for f in (
     unknown_words_topk, token_counts_by_lang, unknown_words, findings_per_document, flag_words_override, identifier_split, skip_pattern_hits, skip_ranges_merged, interval_merge, interval_merge_arrays,
     containment_anti_join, first_occurrence_unique, lint_summary, language_of_path, override_resolution, dictionary_sets, html_text_regions, tag_filter, findings_with_ranges, html_findings,
     german_variant_words, suggest_topk, suggest_documents, line_col, latest_turn_state, session_documents, content_hash_dedup, common_word_list, word_cases,
-    scalar_functions, text_slices, suggestions_round_robin, engine_findings, diagnostics_and_fixes,
+    scalar_functions, text_slices, suggestions_round_robin, engine_findings, diagnostics_and_fixes, engine_text_findings,
 )}
 
 _KEY = "replace(replace(lower({0}), 'ς', 'σ'), 'ß', 'ss')"
@@ -305,6 +323,27 @@ GROUP BY l_orderkey, island
 _INTERVALS = "(SELECT l_orderkey, l_partkey % 200 AS s, l_partkey % 200 + CAST(l_quantity AS BIGINT) AS e FROM lineitem)"
 _STATE = "CASE WHEN regexp_matches(source, '^src1') THEN 'ignored' WHEN NOT (regexp_matches(source, '^src.$') OR regexp_matches(source, '^src2.*/') OR regexp_matches(source, '^src[3-5]')) THEN 'excluded' ELSE 'checked' END"
 
+
+
+def _engine_sql() -> str:
+    """Each path's lists and patterns by hand: sources src0, other src?, and src2 to src4 of more digits or none."""
+    docs = "docs AS (SELECT doc_id, coalesce(source, 'none') AS src, text FROM documents WHERE NOT starts_with(coalesce(source, 'none'), 'src1') AND regexp_matches(coalesce(source, 'none'), '^(src.|none|src[2-4].*)$'))"
+    out = []
+    base = ("^Le[^ ]*", "[a-z]+eau[a-z]*")
+    for where, flags, allowed, patterns in (
+        ("src = 'src0'", ("die", "ouen"), ("elle", "nicht", "ouen", "the"), ("mit [a-z]+",)),
+        ("src <> 'src0' AND regexp_matches(src, '^src.$')", ("und", "ered", "ouen"), ("elle", "nicht"), ("mit [a-z]+",)),
+        ("src = 'none'", ("und", "ered"), ("elle", "nicht"), (*base, "des[a-z]*")),
+        ("regexp_matches(src, '^src..+$')", ("und", "ered"), ("elle", "nicht"), base),
+    ):
+        listed = lambda xs: ", ".join(f"'{x}'" for x in xs)
+        key = _KEY.format("word")
+        out.append(f"""SELECT * FROM (WITH mine AS (SELECT doc_id, text FROM docs WHERE {where}), {candidates('mine', 'doc_id', patterns)}
+SELECT doc_id, word, CAST(b AS BIGINT) AS start_byte, CAST(b + strlen(word) AS BIGINT) AS end_byte FROM candidate
+WHERE {key} IN ({listed(flags)}) OR (length(word) >= 4 AND {key} NOT IN ({listed(allowed)}) AND {key} NOT IN (SELECT fold_key FROM lex)))""")
+    return f"WITH {_WORDS}, {docs} " + " UNION ALL ".join(out)
+
+
 SQL = {
     "token_counts_by_lang": f"WITH {_WORDS} SELECT lang, count(*) AS n_tokens, count(DISTINCT word) AS n_words, CAST(sum(length(word)) AS BIGINT) AS n_chars FROM words GROUP BY lang",
     "unknown_words": f"WITH {_WORDS} {_UNKNOWN}",
@@ -366,4 +405,14 @@ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1""",
     "content_hash_dedup": "SELECT sha256(text) AS content_hash, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1",
     "common_word_list": r"SELECT DISTINCT word FROM (SELECT lower(regexp_replace(unnest(string_split_regex(text, '[_\W]')), '[^a-zA-Z]', '', 'g')) AS word FROM documents) WHERE length(word) > 1",
     "word_cases": f"""WITH {_WORDS} SELECT lang, CASE WHEN regexp_matches(word, '^\\p{{Lu}}+$') THEN 'all_caps' WHEN regexp_matches(word, '^\\p{{Ll}}+$') THEN 'all_lower' WHEN regexp_matches(word, '^\\p{{Lu}}') THEN 'title' ELSE 'unknown' END AS "case", count(*) AS n FROM words GROUP BY 1, 2""",
+    "skip_ranges_merged": f"WITH {skipped('documents', 'doc_id')} SELECT doc_id, CAST(s AS BIGINT) AS start_byte, CAST(e AS BIGINT) AS end_byte FROM skip",
+    "findings_with_ranges": f"""WITH {_WORDS}, {candidates('documents', 'doc_id')}
+SELECT c.doc_id, d.source, word, CAST(b AS BIGINT) AS start_byte, CAST(b + strlen(word) AS BIGINT) AS end_byte, {LINE_COL} FROM candidate c JOIN documents d ON d.doc_id = c.doc_id
+WHERE length(word) >= 3 AND {_KEY.format('word')} NOT IN (SELECT fold_key FROM lex)""",
+    "engine_text_findings": _engine_sql(),
+    "german_variant_words": rf"""WITH {_WORDS}, w AS (SELECT DISTINCT word FROM words WHERE lang = 'de'),
+cut AS (SELECT word, string_split(regexp_replace(word, '(ae|Ae|AE|oe|Oe|OE|ue|Ue|UE|ss)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM w),
+m AS (SELECT word, p, unnest(range(1, CAST(pow(2, (len(p) - 1) // 2) AS BIGINT))) AS mask FROM cut WHERE (len(p) - 1) // 2 BETWEEN 1 AND 4)
+SELECT word, mask, array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 AND (mask >> CAST(i // 2 - 1 AS BIGINT)) & 1 = 1
+  THEN map {{'ae': 'ä', 'Ae': 'Ä', 'AE': 'Ä', 'oe': 'ö', 'Oe': 'Ö', 'OE': 'Ö', 'ue': 'ü', 'Ue': 'Ü', 'UE': 'Ü', 'ss': 'ß'}}[x] ELSE x END), '') AS variant FROM m""",
 }
