@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_settings
 from .functions import text as X
 from .functions.variants import german_variants
 from .operators import capture, check, lexicon, ranges, report, suggest, tokens
@@ -16,7 +17,7 @@ from .plans.engine import Engine
 from .plans.policy import Override, Settings, resolved_lists
 from .sources import files
 from .sources.stage import staged
-from .sql import LINE_COL, candidates, skipped
+from .sql import LINE_COL, candidates, html_regions, skipped
 from .streaming import sessions
 
 LEAST_DOCS = 6
@@ -190,6 +191,22 @@ def german_variant_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("word", F.posexplode(german_variants(F.col("word"))).alias("mask", "variant")).select("word", (F.col("mask") + 1).cast("long").alias("mask"), "variant")
 
 
+def german_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """German words that the lexicon has neither as they are nor in a reading with umlauts."""
+    counts = doc_counts(spark, sf_dir)
+    lex = corpus(spark, sf_dir, counts)
+    asked = counts.where("lang = 'de'").select("word").distinct().withColumn("fold_key", X.fold_key(F.col("word")))
+    return check.unknown(asked, lex, lex).select("word")
+
+
+def suggest_within_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions within two edits for the unknown words of the benchmark."""
+    asked = tokens.word_rows(table(spark, sf_dir, "benchmark"), "text", ["item_id"]).where(F.char_length("word") >= 3).select("word").distinct()
+    lex = corpus(spark, sf_dir)
+    asked = asked.withColumn("fold_key", X.fold_key(F.col("word"))).join(lex.select("fold_key"), "fold_key", "left_anti")
+    return suggest.ranked(asked, lex).select("word", F.col("rank").cast("long").alias("rank"), "suggestion")
+
+
 def suggest_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = tokens.word_rows(table(spark, sf_dir, "benchmark"), "text", ["item_id"]).where(F.char_length("word") >= 3).select("word").distinct()
     lex = corpus(spark, sf_dir)
@@ -260,7 +277,8 @@ def suggestions_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     frequent = corpus(spark, sf_dir)
     items = lexicon.with_keys(tokens.word_rows(table(spark, sf_dir, "benchmark"), "text", []).select(F.lower("word").alias("word")).distinct(), "items")
     asked = tokens.word_rows(table(spark, sf_dir, "conversations"), "text", []).where(F.char_length("word") >= 5).distinct()
-    return suggest.suggestions(asked, frequent.unionByName(items), ["corpus", "items"])
+    hints = suggest.suggestions(asked, frequent.unionByName(items), ["corpus", "items"])
+    return hints.select("word", F.array_join("suggestions", ",").alias("suggestions"))
 
 
 def engine_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +305,7 @@ QUERIES = {f.__name__: f for f in (
     unknown_words_topk, token_counts_by_lang, unknown_words, findings_per_document, flag_words_override, identifier_split, skip_pattern_hits, skip_ranges_merged, interval_merge, interval_merge_arrays,
     containment_anti_join, first_occurrence_unique, lint_summary, language_of_path, override_resolution, dictionary_sets, html_text_regions, tag_filter, findings_with_ranges, html_findings,
     german_variant_words, suggest_topk, suggest_documents, line_col, latest_turn_state, session_documents, content_hash_dedup, common_word_list, word_cases,
-    scalar_functions, text_slices, suggestions_round_robin, engine_findings, diagnostics_and_fixes, engine_text_findings,
+    scalar_functions, text_slices, suggestions_round_robin, engine_findings, diagnostics_and_fixes, engine_text_findings, german_unknown, suggest_within_two,
 )}
 
 _KEY = "replace(replace(lower({0}), 'ς', 'σ'), 'ß', 'ss')"
@@ -324,6 +342,18 @@ _INTERVALS = "(SELECT l_orderkey, l_partkey % 200 AS s, l_partkey % 200 + CAST(l
 _STATE = "CASE WHEN regexp_matches(source, '^src1') THEN 'ignored' WHEN NOT (regexp_matches(source, '^src.$') OR regexp_matches(source, '^src2.*/') OR regexp_matches(source, '^src[3-5]')) THEN 'excluded' ELSE 'checked' END"
 
 
+_PAGE = "page AS (SELECT page_id AS owner, html AS text FROM pages)"
+#: From words `w`: all readings of their pairs of letters, by mask.
+_READINGS = r"""cut AS (SELECT word, string_split(regexp_replace(word, '(ae|Ae|AE|oe|Oe|OE|ue|Ue|UE|ss)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM w),
+masked AS (SELECT word, p, unnest(range(1, CAST(pow(2, (len(p) - 1) // 2) AS BIGINT))) AS mask FROM cut WHERE (len(p) - 1) // 2 BETWEEN 1 AND 4),
+reading AS (SELECT word, mask, array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 AND (mask >> CAST(i // 2 - 1 AS BIGINT)) & 1 = 1
+  THEN map {'ae': 'ä', 'Ae': 'Ä', 'AE': 'Ä', 'oe': 'ö', 'Oe': 'Ö', 'OE': 'Ö', 'ue': 'ü', 'Ue': 'Ü', 'UE': 'Ü', 'ss': 'ß'}[x] ELSE x END), '') AS variant FROM masked)""".replace("\\\\", "\\")
+
+
+def _one_byte(word: str) -> str:
+    """Letters with marks as signs that words do not have: the distance counts bytes."""
+    return f"translate({word}, 'éèêëçàâîïôöûüùäñóíúá', '0123456789!@#$%&+=<>')"
+
 
 def _engine_sql() -> str:
     """Each path's lists and patterns by hand: sources src0, other src?, and src2 to src4 of more digits or none."""
@@ -410,9 +440,44 @@ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1""",
 SELECT c.doc_id, d.source, word, CAST(b AS BIGINT) AS start_byte, CAST(b + strlen(word) AS BIGINT) AS end_byte, {LINE_COL} FROM candidate c JOIN documents d ON d.doc_id = c.doc_id
 WHERE length(word) >= 3 AND {_KEY.format('word')} NOT IN (SELECT fold_key FROM lex)""",
     "engine_text_findings": _engine_sql(),
-    "german_variant_words": rf"""WITH {_WORDS}, w AS (SELECT DISTINCT word FROM words WHERE lang = 'de'),
-cut AS (SELECT word, string_split(regexp_replace(word, '(ae|Ae|AE|oe|Oe|OE|ue|Ue|UE|ss)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM w),
-m AS (SELECT word, p, unnest(range(1, CAST(pow(2, (len(p) - 1) // 2) AS BIGINT))) AS mask FROM cut WHERE (len(p) - 1) // 2 BETWEEN 1 AND 4)
-SELECT word, mask, array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 AND (mask >> CAST(i // 2 - 1 AS BIGINT)) & 1 = 1
-  THEN map {{'ae': 'ä', 'Ae': 'Ä', 'AE': 'Ä', 'oe': 'ö', 'Oe': 'Ö', 'OE': 'Ö', 'ue': 'ü', 'Ue': 'Ü', 'UE': 'Ü', 'ss': 'ß'}}[x] ELSE x END), '') AS variant FROM m""",
+    "html_text_regions": f"WITH {_PAGE}, {html_regions()} SELECT owner AS page_id, tag, language, CAST(s AS BIGINT) AS start_byte, CAST(e AS BIGINT) AS end_byte FROM region",
+    "tag_filter": f"""WITH {_PAGE}, {html_regions()} SELECT owner AS page_id, tag, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS bytes FROM region
+WHERE tag = 'string' OR tag = 'comment' OR starts_with(tag, 'string.') OR (starts_with(tag, 'comment.') AND tag <> 'comment.line' AND NOT starts_with(tag, 'comment.line.')) GROUP BY 1, 2""",
+    "html_findings": f"""WITH {_WORDS}, {_PAGE}, {html_regions()}, area AS (
+  SELECT row_number() OVER () AS rid, owner, s AS base, decode(encode(text)[s + 1 : e]) AS text FROM (SELECT DISTINCT owner, s, e FROM region) JOIN page USING (owner)
+), {candidates('area', 'rid', parts_of='page')}
+SELECT owner AS page_id, word, count(DISTINCT base + b) AS n FROM candidate JOIN area USING (rid) WHERE length(word) >= 3 AND {_KEY.format('word')} NOT IN (SELECT fold_key FROM lex) GROUP BY 1, 2""",
+    "suggestions_round_robin": rf"""WITH {_WORDS}, item AS (
+  SELECT DISTINCT lower(w) AS suggestion FROM (SELECT unnest(regexp_extract_all(text, '{X.WORD_PATTERN.replace("'", "''")}')) AS w FROM benchmark)
+), known AS (
+  SELECT 0 AS source, fold_key AS suggestion, fold_key AS known FROM lex UNION SELECT 1, suggestion, {_KEY.format('suggestion')} FROM item
+), asked AS (
+  SELECT DISTINCT word, {_KEY.format('word')} AS key FROM (SELECT unnest(regexp_extract_all(text, '{X.WORD_PATTERN.replace("'", "''")}')) AS word FROM conversations) WHERE length(word) >= 5
+), near AS (
+  SELECT word, key, known.*, levenshtein({_one_byte('key')}, {_one_byte('known')}) AS d FROM asked JOIN known ON abs(length(key) - length(known)) <= 2
+  WHERE key NOT IN (SELECT known FROM known) AND levenshtein({_one_byte('key')}, {_one_byte('known')}) <= 2
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY word, source ORDER BY d, abs(length(key) - length(known)), suggestion) AS rank FROM near
+), cased AS (
+  SELECT word, source, rank, CASE WHEN regexp_full_match(word, '\p{{Lu}}+') THEN translate(suggestion, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE suggestion END AS item FROM ranked WHERE rank <= 5
+), firsts AS (
+  SELECT word, item, min((rank, source)) AS spot FROM cased GROUP BY 1, 2
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY spot, item) AS n FROM firsts
+) SELECT word, string_agg(item, ',' ORDER BY n) AS suggestions FROM numbered WHERE n <= 5 GROUP BY word""",
+    "german_unknown": f"""WITH {_WORDS}, w AS (SELECT DISTINCT word, {_KEY.format('word')} AS key FROM words WHERE lang = 'de'), {_READINGS}
+SELECT word FROM w WHERE key NOT IN (SELECT fold_key FROM lex) AND word NOT IN (SELECT word FROM reading WHERE {_KEY.format('variant')} IN (SELECT fold_key FROM lex))""",
+    "suggest_within_two": rf"""WITH {_WORDS}, asked AS (
+  SELECT DISTINCT word, {_KEY.format('word')} AS key FROM (SELECT unnest(regexp_extract_all(text, '{X.WORD_PATTERN.replace("'", "''")}')) AS word FROM benchmark) WHERE length(word) >= 3
+), near AS (
+  SELECT a.word, a.key, l.fold_key AS known, levenshtein({_one_byte('a.key')}, {_one_byte('l.fold_key')}) AS d FROM asked a JOIN lex l ON abs(length(a.key) - length(l.fold_key)) <= 2
+  WHERE a.key NOT IN (SELECT fold_key FROM lex) AND levenshtein({_one_byte('a.key')}, {_one_byte('l.fold_key')}) <= 2
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, abs(length(key) - length(known)), known) AS rank FROM near
+)
+SELECT word, rank, CASE WHEN regexp_full_match(word, '\p{{Lu}}+') THEN translate(known, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE known END AS suggestion FROM ranked WHERE rank <= 5""",
+    "german_variant_words": f"WITH {_WORDS}, w AS (SELECT DISTINCT word FROM words WHERE lang = 'de'), {_READINGS} SELECT word, mask, variant FROM reading",
 }
+
+QUERIES |= queries_settings.QUERIES
+SQL |= queries_settings.SQL

@@ -20,14 +20,17 @@ def _quoted(pattern: str) -> str:
 
 
 def matches(name: str, table: str, key: str, pattern: str, having: str = "") -> str:
-    """CTEs whose last, `name`, has (key, k, hit, c, b): the hit's first character and byte, from 0."""
+    """CTEs whose last, `name`, has (key, k, hit, gap, c, b): the hit's first character and byte from 0, and the text behind it.
+
+    `name`_at also has what is before the first hit, as a gap of place 0.
+    """
     return rf"""
 {name}_cut AS (
   SELECT {key}, string_split(regexp_replace(text, '({pattern})', chr(2) || '\1' || chr(3), 'g'), chr(2)) AS p FROM {table}
 ), {name}_piece AS (
   SELECT {key}, unnest(range(len(p))) AS k, unnest(p) AS p FROM {name}_cut
 ), {name}_at AS (
-  SELECT {key}, k, CASE WHEN k > 0 THEN string_split(p, chr(3))[1] END AS hit,
+  SELECT {key}, k, CASE WHEN k > 0 THEN string_split(p, chr(3))[1] END AS hit, CASE WHEN k > 0 THEN string_split(p, chr(3))[2] ELSE p END AS gap,
          sum(length(replace(p, chr(3), ''))) OVER w - length(replace(p, chr(3), '')) AS c,
          sum(strlen(replace(p, chr(3), ''))) OVER w - strlen(replace(p, chr(3), '')) AS b
   FROM {name}_piece WINDOW w AS (PARTITION BY {key} ORDER BY k)
@@ -54,13 +57,20 @@ def skipped(table: str, key: str, more: tuple[str, ...] = ()) -> str:
 )"""
 
 
-def candidates(table: str, key: str, more: tuple[str, ...] = ()) -> str:
-    """CTEs whose last, `candidate`, has (key, word, c, b): all words that are checked, outside skipped ranges."""
+def candidates(table: str, key: str, more: tuple[str, ...] = (), parts_of: str | None = None) -> str:
+    """CTEs whose last, `candidate`, has (key, word, c, b): all words that are checked, outside skipped ranges.
+
+    With `parts_of`, `table` (key, owner, base, text) has regions of the texts of that table (owner, text), each cut
+    by itself; ranges are those of whole texts.
+    """
     marked = "hit"
     for p in _CUTS:
         marked = rf"regexp_replace({marked}, '{p}', '\1' || chr(1) || '\2', 'g')"
-    outside = lambda row, length: f"NOT EXISTS (SELECT 1 FROM skip WHERE skip.{key} = {row}.{key} AND {row}.b >= skip.s AND {row}.b + {length} <= skip.e)"
-    return rf"""{skipped(table, key, more)}, {matches("token", table, key, TOKEN, r"AND regexp_matches(hit, '\p{L}')")}, kept AS (
+    if parts_of:
+        outside = lambda row, length: f"NOT EXISTS (SELECT 1 FROM skip, {table} a WHERE a.{key} = {row}.{key} AND skip.owner = a.owner AND a.base + {row}.b >= skip.s AND a.base + {row}.b + {length} <= skip.e)"
+    else:
+        outside = lambda row, length: f"NOT EXISTS (SELECT 1 FROM skip WHERE skip.{key} = {row}.{key} AND {row}.b >= skip.s AND {row}.b + {length} <= skip.e)"
+    return rf"""{skipped(parts_of or table, 'owner' if parts_of else key, more)}, {matches("token", table, key, TOKEN, r"AND regexp_matches(hit, '\p{L}')")}, kept AS (
   SELECT * FROM token WHERE {outside('token', 'strlen(hit)')}
 ), parts AS (
   SELECT {key}, k, c, b, regexp_extract_all({marked}, '\x01|[_.:]+|[^\x01_.:]+') AS p FROM kept
@@ -76,3 +86,24 @@ def candidates(table: str, key: str, more: tuple[str, ...] = ()) -> str:
 
 #: Line and column from 1 of a place that begins after `c` characters of `text`.
 LINE_COL = r"length(text[1 : c]) - length(replace(text[1 : c], chr(10), '')) + 1 AS line, length(regexp_extract(text[1 : c], '[^\n]*$')) + 1 AS col"
+
+
+def html_regions() -> str:
+    """CTEs whose last, `region`, has (owner, tag, language, s, e) of `page` (owner, text).
+
+    Text between elements that is not blank, comments, and quoted values of attributes; in scripts and styles of the
+    pages' kind, the declared variable, its string, and the properties.
+    """
+    element = matches("element", "page", "owner", "(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<[!/?a-zA-Z][^>]*>")
+    return element + r""", quoted AS (
+  SELECT owner, k, b, unnest(range(len(q))) AS i, unnest(q) AS v FROM (SELECT owner, k, b, string_split(hit, '"') AS q FROM element WHERE NOT regexp_matches(hit, '^<(!--|script|style)'))
+), valued AS (
+  SELECT owner, i, v, b + i + sum(strlen(v)) OVER (PARTITION BY owner, k ORDER BY i) - strlen(v) AS s FROM quoted
+), region AS (
+  SELECT owner, 'string' AS tag, 'HTML' AS language, b + strlen(coalesce(hit, '')) AS s, b + strlen(coalesce(hit, '')) + strlen(gap) AS e FROM element_at WHERE regexp_matches(gap, '\S')
+  UNION SELECT owner, 'comment', 'HTML', b, b + strlen(hit) FROM element WHERE hit LIKE '<!--%'
+  UNION SELECT owner, 'string', 'HTML', s, s + strlen(v) FROM valued WHERE i % 2 = 1 AND v <> ''
+  UNION SELECT owner, 'identifier.variable', 'Typescript', b + strpos(hit, 'var ') + 3, b + strpos(hit, 'var ') + 3 + strlen(regexp_extract(hit, 'var (\w+)', 1)) FROM element WHERE hit LIKE '<script>var %'
+  UNION SELECT owner, 'string', 'Typescript', b + strpos(hit, '"'), b + strpos(hit, '"') + strlen(regexp_extract(hit, '"([^"]*)"', 1)) FROM element WHERE hit LIKE '<script>%"%'
+  UNION SELECT owner, 'identifier.field', 'Css', b + strpos(hit, '{'), b + strpos(hit, '{') + strlen(regexp_extract(hit, '\{([\w-]+):', 1)) FROM element WHERE hit LIKE '<style>%{%'
+)""".replace("\\\\", "\\")
