@@ -4,6 +4,8 @@
     python -m quillspark.cli [--root DIR] add [-g] WORDS...
     python -m quillspark.cli clean [--cache DIR]
     python -m quillspark.cli regions FILE
+    python -m quillspark.cli [--root DIR] settings [PATH]
+    python -m quillspark.cli [--root DIR] serve [--lexicon FILE]
 
 lint exits with 0 if nothing was found, 1 if something was, 2 if something failed.
 """
@@ -35,6 +37,11 @@ def main(argv: list[str] | None = None) -> int:
     clean.add_argument("--cache", default=os.path.join(os.path.expanduser("~"), ".cache", "quillspark"))
     regions = commands.add_parser("regions")
     regions.add_argument("file")
+    settings = commands.add_parser("settings")
+    settings.add_argument("path", nargs="?", help="with the overrides for this path")
+    serve = commands.add_parser("serve")
+    serve.add_argument("--lexicon", action="append", default=[], help="a word list; the first is primary")
+    serve.add_argument("--dictionaries", help="a folder of <id>.txt or <id>.aff and <id>.dic")
     args = parser.parse_args(argv)
 
     if args.command == "add":
@@ -48,12 +55,18 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{Cache(args.cache, None).clean()} files deleted" if Path(args.cache).is_dir() else "no cache")
         return 0
     if args.command == "regions":
-        from .operators.capture import regions as found
+        from .operators.capture import outline
         from .plans.registry import language_of_path
 
-        text = Path(args.file).read_text(encoding="utf-8")
-        for tag, language, a, b in found(text, language_of_path(args.file)):
-            print(f"{tag or 'text'} {language} [{a}-{b}] {text.encode()[a:b].decode(errors='replace')[:60]!r}")
+        print("\n".join(outline(Path(args.file).read_text(encoding="utf-8"), language_of_path(args.file))))
+        return 0
+    if args.command == "settings":
+        from .plans.policy import render
+
+        policy = Policy(args.root)
+        for name, watched in (("project", policy.project), ("global", policy.everywhere)):
+            print(f"# {name}: {watched.path}{'' if watched.settings else ' (not there)'}")
+        print(render(policy.for_path(args.path)), end="")
         return 0
 
     from pyspark.sql import SparkSession
@@ -62,9 +75,14 @@ def main(argv: list[str] | None = None) -> int:
     from .plans.engine import Engine
 
     spark = SparkSession.builder.appName("quillspark").getOrCreate()
-    engine = Engine(spark, Policy(args.root), args.dictionaries)
+    policy = Policy(args.root)
+    engine = Engine(spark, policy, args.dictionaries, embedded=True)
     for k, path in enumerate(args.lexicon):
         engine.add_lexicon(f"list{k}", read_word_list(spark, f"file://{Path(path).resolve()}", f"list{k}"), primary=k == 0)
+    if args.command == "serve":
+        from .streaming.server import of_engine
+
+        return of_engine(engine, policy, sys.stdin.buffer, sys.stdout.buffer).run()
     if not engine.warm()["available"]:
         print("no primary lexicon", file=sys.stderr)
         return 2

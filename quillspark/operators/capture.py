@@ -345,24 +345,41 @@ def latex(text: str) -> Iterator[tuple[str, int, int, str | None]]:
 
 
 MARKUP = {"HTML": html, "Markdown": markdown, "Just": just, "Latex": latex}
-DEEPEST = 8
-
-
-def regions(text: str, language: str, depth: int = 0) -> list[tuple[str, str, int, int]]:
-    """(tag, language, first byte, last byte); Text is one region with an empty tag."""
-    raw = byte_offsets(text)
-    if language not in LEXERS or depth > DEEPEST:
-        return [("", "Text", 0, raw[len(text)])] if text else []
-    found = MARKUP[language](text) if language in MARKUP else ((t, a, b, None) for t, a, b in lexed(text, language))
-    out = set()
-    for tag, a, b, inner in found:
-        if inner is None:
-            out.add((tag, language, raw[a], raw[b]))
-        else:
-            out |= {(t, x, raw[a] + s, raw[a] + e) for t, x, s, e in regions(text[a:b], inner, depth + 1)}
+
+
+def regions(text: str, language: str) -> list[tuple[str, str, int, int]]:
+    """(tag, language, first byte, last byte); Text is one region with an empty tag.
+
+    What is injected is looked into as deep as it goes; a region that would inject all of itself again in its own
+    language ends there.
+    """
+    out, open_ = set(), [(text, language, 0)]
+    while open_:
+        text, language, first = open_.pop()
+        raw = byte_offsets(text)
+        if language not in LEXERS:
+            if text:
+                out.add(("", "Text", first, first + raw[len(text)]))
+            continue
+        for tag, a, b, inner in MARKUP[language](text) if language in MARKUP else ((t, a, b, None) for t, a, b in lexed(text, language)):
+            if inner is None:
+                out.add((tag, language, first + raw[a], first + raw[b]))
+            elif (inner, b - a) != (language, len(text)):
+                open_.append((text[a:b], inner, first + raw[a]))
     return sorted(out, key=lambda r: (r[2], r[3], r[0]))
 
 
+def outline(text: str, language: str) -> list[str]:
+    """Regions as lines `tag language [first-last] text`, indented by the regions around them."""
+    raw, lines, around = text.encode(), [], []
+    for tag, own, a, b in sorted(regions(text, language), key=lambda r: (r[2], -r[3])):
+        while around and around[-1] < b:
+            around.pop()
+        lines.append(f"{'  ' * len(around)}{tag or 'text'} {own} [{a}-{b}] {raw[a:b].decode(errors='replace')[:60]!r}")
+        around.append(b)
+    return lines
+
+
 def region_array(text: Column, language: Column) -> Column:
     """An array of regions for each text; Arrow-batched."""
 

@@ -33,6 +33,18 @@ def from_words(spark: SparkSession, words: list[str], dictionary: str) -> DataFr
     return with_keys(spark.createDataFrame([(w,) for w in words], "word string"), dictionary)
 
 
+def builtin(spark: SparkSession) -> DataFrame:
+    """The list that ships with the engine: parts of the public names of Python, its standard modules and Spark's functions."""
+    import builtins
+    import keyword
+    import re
+    import sys
+
+    names = {*keyword.kwlist, *keyword.softkwlist, *dir(builtins), *sys.stdlib_module_names, *dir(F)}
+    words = {w.lower() for n in names for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", n) if len(w) > 1}
+    return from_words(spark, sorted(words), "builtin")
+
+
 def corpus_lexicon(rows: DataFrame, doc: str, least_docs: int, dictionary: str = "corpus") -> DataFrame:
     """Words that are in `least_docs` documents at least; counts are partial before the shuffle."""
     keyed = rows.select(F.col(doc).alias("_doc"), X.fold_key(F.col("word")).alias("fold_key")).distinct()

@@ -99,10 +99,15 @@ def diagnostics(findings: DataFrame, docs: DataFrame, key: str, level: str = "in
     return rows.select(key, "word", F.col("line").alias("start_line"), F.col("col").alias("start_col"), "end_line", "end_col", X.severity(F.lit(level)).alias("severity"), F.concat(F.lit("Possible spelling issue '"), "word", F.lit("'.")).alias("message"))
 
 
-def quick_fixes(places: DataFrame, suggestions: DataFrame, most: int = 5) -> DataFrame:
-    """places with `actions`: up to `most` replacements, then adding the word to the project's or the global list."""
+def quick_fixes(places: DataFrame, suggestions: DataFrame, most: int = 5, path: str | None = None) -> DataFrame:
+    """places with `actions`: up to `most` replacements, then adding the word to the project's or the global list.
+
+    With the column `path`, the last one is to ignore the file.
+    """
     fix = F.transform(F.slice(F.coalesce("suggestions", F.array().cast("array<string>")), 1, most), lambda x: F.struct(F.lit("replace").alias("action"), x.alias("text")))
     adds = F.array(*[F.struct(F.lit(a).alias("action"), F.col("word").alias("text")) for a in ("add_to_project", "add_to_global")])
+    if path is not None:
+        adds = F.concat(adds, F.array(F.struct(F.lit("ignore_file").alias("action"), F.col(path).alias("text"))))
     return places.join(suggestions, "word", "left").withColumn("actions", F.concat(fix, adds)).drop("suggestions")
 
 

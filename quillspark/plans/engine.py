@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,36 +15,72 @@ from . import registry
 from .policy import Policy, Settings, path_matches
 
 
+class Memo:
+    """The last answers by word, MOST of them; empty ones are not kept, as a dictionary may come."""
+
+    MOST = 10_000
+
+    def __init__(self) -> None:
+        self.held: collections.OrderedDict[str, list[str]] = collections.OrderedDict()
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.held
+
+    def get(self, word: str) -> list[str] | None:
+        if word in self.held:
+            self.held.move_to_end(word)
+        return self.held.get(word)
+
+    def put(self, word: str, answer: list[str]) -> None:
+        if answer:
+            self.held[word] = answer
+            self.held.move_to_end(word)
+            while len(self.held) > self.MOST:
+                self.held.popitem(last=False)
+
+    def clear(self) -> None:
+        self.held.clear()
+
+
 class Engine:
     """Settings and lexicons, applied to tables of documents.
 
     A lexicon is any relation (dictionary, word, fold_key); `add_lexicon` registers one. Without a primary
-    lexicon (an affix dictionary, a local one, or one marked so) every result is empty.
+    lexicon (an affix dictionary, a local one, or one marked so) every result is empty. With `embedded`, the list that ships
+    with the engine serves as the dictionary `builtin`, which is never primary.
     """
 
-    def __init__(self, spark: SparkSession, policy: Policy | Settings | None = None, local_dir: str | None = None):
-        self.spark, self.local_dir = spark, local_dir
+    def __init__(self, spark: SparkSession, policy: Policy | Settings | None = None, local_dir: str | None = None, embedded: bool = False):
+        self.spark, self.local_dir, self.embedded = spark, local_dir, embedded
         self.policy = policy if isinstance(policy, Policy) else None
         self._settings = policy if isinstance(policy, Settings) else Settings()
         self.lexicons: dict[str, DataFrame] = {}
         self.primary: set[str] = set()
         self.missing: set[str] = set()
+        self.epoch, self.memo = 0, Memo()
 
     @property
     def settings(self) -> Settings:
         return self.policy.snapshot if self.policy else self._settings
 
-    def add_lexicon(self, name: str, words: DataFrame, primary: bool = False) -> None:
+    def add_lexicon(self, name: str, words: DataFrame, primary: bool = False, epoch: int | None = None) -> bool:
+        """Register a lexicon; one that was made before the last `invalidate` (of an earlier epoch) is not taken."""
+        if epoch is not None and epoch != self.epoch:
+            return False
         self.lexicons[name] = words
         self.missing.discard(name)
+        self.memo.clear()
         if primary or registry.dictionary_kind(name) == "affix":
             self.primary.add(name)
+        return True
 
     def load(self, name: str) -> DataFrame | None:
-        """From memory, then the local folder; what is not there is remembered as missing."""
+        """From memory, then the local folder, then what ships with the engine; what is not there is remembered as missing."""
         if name not in self.lexicons and name not in self.missing:
             found = lexicon.local_dictionary(self.spark, self.local_dir, name) if self.local_dir else None
-            if found is None:
+            if found is None and self.embedded and name == "builtin":
+                self.lexicons[name] = lexicon.builtin(self.spark)
+            elif found is None:
                 self.missing.add(name)
             else:
                 self.add_lexicon(name, found, primary=True)
@@ -58,7 +95,9 @@ class Engine:
     def invalidate(self, name: str) -> None:
         if found := self.lexicons.pop(name, None):
             found.unpersist()
-        self.missing.discard(name)
+        self.missing.clear()
+        self.memo.clear()
+        self.epoch += 1
 
     def wanted(self) -> list[str]:
         """All ids that any path or language may ask for."""
@@ -159,7 +198,18 @@ class Engine:
         lex = self._lexicon(list(dict.fromkeys(ids)))
         if lex is None or not self.has_primary():
             return self.spark.createDataFrame([], "word string, suggestions array<string>")
-        return suggest.suggestions(words, lex, list(dict.fromkeys(ids)))
+        return suggest.suggestions(words, lex, list(dict.fromkeys(ids)), german=tuple(x for x in dict.fromkeys(ids) if x in registry.TRANSLITERATED))
+
+    def suggested(self, words: list[str]) -> dict[str, list[str]]:
+        """Suggestions for a few words, as an editor asks for; those asked before come from memory."""
+        new = [w for w in dict.fromkeys(words) if w not in self.memo]
+        if new:
+            found = {r["word"]: list(r["suggestions"]) for r in self.suggestions(self.spark.createDataFrame([(w,) for w in new], "word string")).collect()}
+            for w, xs in found.items():
+                self.memo.put(w, xs)
+        else:
+            found = {}
+        return {w: found.get(w) or self.memo.get(w) or [] for w in words}
 
     def lint(self, patterns: list[str], root: str | Path = ".", unique: bool = False, suggesting: bool = False) -> tuple[DataFrame, DataFrame]:
         """(report lines, summary row) of files."""

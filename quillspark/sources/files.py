@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,15 +108,34 @@ def resolve_paths(patterns: list[str], root: str | Path) -> tuple[list[str], boo
 def relative_to(path: Column, root: str) -> Column:
     """Below the root, the part after it; else the path as it is."""
     lead = root.rstrip("/") + "/"
-    return F.when(path.startswith(lead), F.substring(path, len(lead) + 1, 1 << 20)).otherwise(path)
+    return F.when(path.startswith(lead), F.substr(path, F.lit(len(lead) + 1))).otherwise(path)
 
 
-def read_files(spark: SparkSession, paths: list[str] | str, root: str | None = None) -> DataFrame:
-    """(path, text, state) of files; those that are no UTF-8 have no text and count as clean."""
-    raw = spark.read.format("binaryFile").load(paths)
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    good = F.is_valid_utf8(F.col("content").cast("string"))
-    return raw.select((relative_to(plain, root) if root else plain).alias("path"), F.when(good, F.col("content").cast("string")).alias("text"), F.lit("checked").alias("state"))
+def read_files(spark: SparkSession, paths: list[str], root: str | None = None) -> DataFrame:
+    """(path, text, state) of files; those that are no UTF-8 have no text and count as clean.
+
+    A file that cannot be read is `failed` and the others go on. Paths may be URIs of any store that pyarrow reads.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                text, state = None, "checked"
+                try:
+                    store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                    with store.open_input_stream(at, compression=None) as file:
+                        text = file.read().decode("utf-8")
+                except UnicodeDecodeError:
+                    pass
+                except OSError:
+                    state = "failed"
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.string()), pa.array([state])], names=["path", "text", "state"])
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    read = spread(rows).mapInArrow(run, "path string, text string, state string")
+    return read.select((relative_to(F.col("path"), root) if root else F.col("path")).alias("path"), "text", "state")
 
 
 def read_tree(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:

@@ -115,14 +115,27 @@ class Cache:
 
     def commit(self, url: str, body: bytes, last_modified: str | None = None) -> Path:
         """Put a body in place; the file of an earlier version goes if its name differs."""
-        path = self.folder / f"{hashlib.sha256(url.encode()).hexdigest()}{Path(url).suffix}"
-        old = self.index.get(url)
-        self._replace(path, body)
-        if old and old.path != str(path):
-            Path(old.path).unlink(missing_ok=True)
-        self.index[url] = Entry(str(path), self.clock(), last_modified, hashlib.sha256(body).hexdigest())
+        return self._commit_all({url: (body, last_modified)})[url]
+
+    def _commit_all(self, bodies: dict[str, tuple[bytes, str | None]]) -> dict[str, Path]:
+        """Put several bodies in place as one: all are written beside their places first, and one index names them all."""
+        paths = {u: self.folder / f"{hashlib.sha256(u.encode()).hexdigest()}{Path(u).suffix}" for u in bodies}
+        parts = {u: p.with_name(f".{p.name}.{os.getpid()}.part") for u, p in paths.items()}
+        try:
+            for url, (body, _) in bodies.items():
+                parts[url].write_bytes(body)
+        except OSError:
+            for part in parts.values():
+                part.unlink(missing_ok=True)
+            raise
+        for url, (body, last_modified) in bodies.items():
+            old = self.index.get(url)
+            os.replace(parts[url], paths[url])
+            if old and old.path != str(paths[url]):
+                Path(old.path).unlink(missing_ok=True)
+            self.index[url] = Entry(str(paths[url]), self.clock(), last_modified, hashlib.sha256(body).hexdigest())
         self._save()
-        return path
+        return paths
 
     def get(self, url: str) -> Path:
         """The file, fetched if need be: a cold one is tried again twice, a cached one serves if that fails."""
@@ -141,15 +154,22 @@ class Cache:
     def pair(self, first: str, second: str) -> str:
         """Two files that belong together: both are put in place or neither. -> fresh, new or refreshed"""
         had = self.local(first) and self.local(second)
-        got = [self.fetch(u) for u in (first, second)]
+        modified: dict[str, str | None] = {}
+
+        def fetch(url: str, force: bool = False) -> tuple[Path | None, bytes | None]:
+            answer = self.fetch(url, force)
+            if answer[1] is not None:
+                modified[url] = self._modified
+            return answer
+
+        got = [fetch(u) for u in (first, second)]
         changed = [body is not None for _, body in got]
         if any(changed) and not all(changed) and had:
-            got = [g if c else self.fetch(u, force=True) for g, c, u in zip(got, changed, (first, second), strict=True)]
+            got = [g if c else fetch(u, force=True) for g, c, u in zip(got, changed, (first, second), strict=True)]
         if not any(changed):
             return "fresh"
-        for url, (_, body) in zip((first, second), got, strict=True):
-            if body is not None:
-                self.commit(url, body)
+        bodies = {u: body for u, (_, body) in zip((first, second), got, strict=True) if body is not None}
+        self._commit_all({u: (body, modified[u]) for u, body in bodies.items()})
         return "refreshed" if had else "new"
 
     def clean(self) -> int:
@@ -196,6 +216,24 @@ class BackOff:
         return min((max(0.0, at - now) for _, at in self.attempts.values()), default=IDLE_WAIT)
 
 
+def keep_prefetching(names, ensure, back_off: BackOff, wait, arrived, clock=time.time) -> int:
+    """Passes over what `names()` wants until `wait(seconds)` says to stop; the number of passes.
+
+    `wait` returns True for a kick (all that failed for now is tried at once), False when its time is over,
+    and None to stop. `arrived` is called after a pass that brought a dictionary that was not there.
+    """
+    passes = 0
+    while True:
+        if prefetch(names(), ensure, back_off, clock()):
+            arrived()
+        passes += 1
+        kicked = wait(back_off.next_wait(clock()))
+        if kicked is None:
+            return passes
+        if kicked:
+            back_off.kick()
+
+
 def prefetch(names: list[str], ensure, back_off: BackOff, now: float) -> bool:
     """One pass over wanted ids; whether a pair arrived that was not there (what calls for a recheck)."""
     new = False

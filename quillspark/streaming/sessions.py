@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-CURRENT = "uri string, version long, language_id string, text string, open boolean"
+CURRENT = "uri string, version long, language_id string, text string, open boolean, saved boolean"
 STATE = "version long, language_id string, text string, open boolean"
 
 
@@ -57,7 +57,10 @@ def step(state: tuple | None, rows: list[dict[str, Any]]) -> tuple | None:
 
 
 def tracked(events: DataFrame, order: str = "version") -> DataFrame:
-    """A stream of events -> a stream of documents as they are after each micro-batch; closed ones with open = false."""
+    """A stream of events -> a stream of documents as they are after each micro-batch; closed ones with open = false.
+
+    `saved` says whether the batch had a save.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
@@ -66,10 +69,10 @@ def tracked(events: DataFrame, order: str = "version") -> DataFrame:
         if now is None:
             if state.exists:
                 state.remove()
-            yield pd.DataFrame([{"uri": key[0], "version": rows[-1]["version"], "language_id": None, "text": None, "open": False}])
+            yield pd.DataFrame([{"uri": key[0], "version": rows[-1]["version"], "language_id": None, "text": None, "open": False, "saved": False}])
         else:
             state.update(now)
-            yield pd.DataFrame([{"uri": key[0], "version": now[0], "language_id": now[1], "text": now[2], "open": True}])
+            yield pd.DataFrame([{"uri": key[0], "version": now[0], "language_id": now[1], "text": now[2], "open": True, "saved": any(e["op"] == "save" for e in rows)}])
 
     return events.groupBy("uri").applyInPandasWithState(run, CURRENT, STATE, "update", GroupStateTimeout.NoTimeout)
 
@@ -82,22 +85,39 @@ def still_current(results: DataFrame, now: DataFrame) -> DataFrame:
 class Published:
     """What is published, by uri: each batch replaces all of a document's findings, an empty set included.
 
-    `check` makes findings (uri, version, ...) from open documents. `reload` runs before each batch, so changed settings
-    and lexicons take effect; if it says that something changed, all open documents are checked again.
+    `check` makes findings (uri, version, ...) from open documents. Without `typing`, only saves call for a check. `reload`
+    runs before each batch, so changed settings and lexicons take effect. With a `folder`, all open documents are kept there
+    as a table for each batch, and if `reload` says that something changed, every one of them is checked
+    again: so what was published empty before any lexicon was there is published anew once one arrives. Findings of versions
+    that are no longer current are dropped.
     """
 
-    def __init__(self, check: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, DataFrame, int], None], reload: Callable[[], bool] | None = None):
-        self.check, self.sink, self.reload = check, sink, reload
+    def __init__(self, check: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, DataFrame, int], None], reload: Callable[[], bool] | None = None, folder: str | None = None, typing: bool = True):
+        self.check, self.sink, self.reload, self.folder, self.typing = check, sink, reload, folder, typing
+        self.last: DataFrame | None = None
 
     def __call__(self, docs: DataFrame, batch: int) -> None:
-        if self.reload:
-            self.reload()
+        changed = bool(self.reload and self.reload())
         docs = docs.persist()
         try:
-            self.sink(docs.select("uri", "version", "open"), self.check(docs.where("open").drop("open")), batch)
+            now = self._open(docs, batch) if self.folder else docs.where("open").drop("saved")
+            due = docs.where("NOT open OR saved") if not self.typing else docs
+            if changed and self.folder:
+                due = due.where("NOT open").drop("saved").unionByName(now)
+            findings = still_current(self.check(due.where("open").select("uri", "version", "language_id", "text")), now)
+            self.sink(due.select("uri", "version", "open"), findings, batch)
         finally:
             docs.unpersist()
 
+    def _open(self, docs: DataFrame, batch: int) -> DataFrame:
+        now = docs.where("open").drop("saved")
+        if self.last is not None:
+            now = now.unionByName(self.last.join(docs.select("uri"), "uri", "left_anti").select(*now.columns))
+        path = f"{self.folder}/open-{batch}"
+        now.write.mode("overwrite").parquet(path)
+        self.last = docs.sparkSession.read.schema(now.schema).parquet(path)
+        return self.last
+
 
 def start(events: DataFrame, published: Published, checkpoint: str, trigger: dict[str, Any] | None = None):
     """Run a session stream; the trigger's interval is also how often settings are looked at."""
