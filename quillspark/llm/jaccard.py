@@ -227,6 +227,7 @@ def heavy_regions(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             codes, first, n = np.unique(region, return_index=True, return_counts=True)
             some = n >= max(4, batch.num_rows // 64)
             yield pa.RecordBatch.from_arrays([pa.array(codes[some]), pa.array(ids[first[some]]), pa.array(n[some])], names=["region", "pivot", "n"])
+        give_back()
 
     found = rows.select("id", "regions").mapInArrow(run, "region long, pivot long, n long").groupBy("region").agg(F.sum("n").alias("n"), F.min("pivot").alias("pivot"))
     kept = sorted((r["region"], r["pivot"]) for r in found.orderBy(F.desc("n"), "region").limit(HEAVY).toLocalIterator())
@@ -262,12 +263,14 @@ def gathered(rows: DataFrame) -> DataFrame:
             region, ids = _exploded(batch)
             there, at = is_heavy(region)
             yield _gathered_batch(pivots[at[there]], region[there] & 63, ids[there])
+        give_back()
 
     def other_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             region, ids = _exploded(batch)
             there = ~is_heavy(region)[0]
             yield pa.RecordBatch.from_arrays([pa.array(region[there]), pa.array(ids[there])], names=["region", "id"])
+        give_back()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot = None, 0
@@ -280,6 +283,7 @@ def gathered(rows: DataFrame) -> DataFrame:
             own = np.where(starts < 0, pivot, ids[starts])
             yield _gathered_batch(own, region & 63, ids)
             last, pivot = region[-1], own[-1]
+        give_back()
 
     rows, schema = rows.select("id", "regions"), "pivot long, band int, id long"
     dealt = rows.mapInArrow(other_rows, "region long, id long").repartition("region").sortWithinPartitions("region", "id").mapInArrow(runs, schema)

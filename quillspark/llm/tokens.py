@@ -227,6 +227,7 @@ def tokenized(docs: DataFrame, path: str, lengths: np.ndarray) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(start + first_doc, len(n)), pa.array(n), pa.array([data[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.nulls(len(n), TOKENS.field("counts").type)], schema=TOKENS
                     )
+            give_back()
         used = np.flatnonzero(counts)
         if len(used):
             yield pa.RecordBatch.from_pylist([{"doc_id": None, "n": -1, "ids": b"", "marks": b"", "counts": [{"id": int(i), "n": int(counts[i])} for i in used]}], schema=TOKENS)
@@ -372,6 +373,7 @@ def write_files(coded: DataFrame, provisional: np.ndarray, lengths: np.ndarray,
                     ids = before.decode(b"".join(data), np.cumsum(size) - size, n, np.frombuffer(b"".join(part.column(3).to_pylist()), "<u4"))
                     writer.add(part.column(0), n, ids)
                     n_docs, total = n_docs + len(n), total + int(n.sum())
+                give_back()
                 batch = next(batches, None)
             writer.close()
         give_back()
