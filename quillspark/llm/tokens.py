@@ -348,12 +348,16 @@ class FileReader:
             yield doc_id, n, crc
 
 
-MANIFEST_DDL = "file string, first_doc long, n_docs long, n_ids long"
+MANIFEST_DDL = "file string, first_doc long, first_n long, first_key long, n_docs long, n_ids long"
 
 
-def write_files(coded: DataFrame, provisional: np.ndarray, lengths: np.ndarray, folder: str, n_ids: int, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
-    """Write coded rows as files in doc_id order; returns the manifest (file, n_docs, n_ids, start)."""
-    n_files = max(1, -(-n_ids // ids_per_file))
+def write_files(coded: DataFrame, provisional: np.ndarray, lengths: np.ndarray, folder: str, n_ids: int) -> DataFrame:
+    """Write coded rows as files in doc_id order; returns the manifest (file, n_docs, n_ids, start).
+
+    Documents that share an id, or have none, go by their number of ids and a hash of these, so they too are dealt to
+    as many files as they fill.
+    """
+    n_files = max(1, -(-n_ids // IDS_PER_FILE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
@@ -377,14 +381,16 @@ def write_files(coded: DataFrame, provisional: np.ndarray, lengths: np.ndarray,
                 batch = next(batches, None)
             writer.close()
         give_back()
-        yield pa.RecordBatch.from_pylist([{"file": name, "first_doc": first.column(0)[0].as_py(), "n_docs": n_docs, "n_ids": total}], schema=pa.schema([("file", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        at = [first.column(c)[0].as_py() for c in (0, 1, 4)]
+        yield pa.RecordBatch.from_pylist([{"file": name, "first_doc": at[0], "first_n": at[1], "first_key": at[2], "n_docs": n_docs, "n_ids": total}], schema=pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("first_doc", "first_n", "first_key", "n_docs", "n_ids"))]))
 
-    ranged = coded.where("n >= 0").select("doc_id", "n", "ids", "marks").repartitionByRange(n_files, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n").asc(), F.col("key").asc()]
+    ranged = coded.where("n >= 0").select("doc_id", "n", "ids", "marks", F.xxhash64("ids").alias("key")).repartitionByRange(n_files, *order).sortWithinPartitions(*order)
     manifest = staged(ranged.mapInArrow(run, MANIFEST_DDL), "ids-manifest")
     from pyspark.sql import Window
 
     # One row a file.
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "first_n", "first_key").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 

@@ -74,6 +74,19 @@ def test_token_files_return_what_the_tokenizer_gives(spark, monkeypatch):
     assert tokens.op9_token_files(spark, "", df.limit(0)).count() == 0
 
 
+def test_documents_of_one_id_fill_many_files(spark, monkeypatch):
+    """Very many rows without an id, and with one: they are dealt to files like others, in one order."""
+    monkeypatch.setattr(tokens, "IDS_PER_FILE", 200)
+    rows = [(None if k % 3 else 7, f"word{k} " * (1 + k % 20)) for k in range(300)] + [(9, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest, folder = tokens.token_files(df, tokens.default_tokenizer())
+    files_ = manifest.orderBy("start").collect()
+    assert len(files_) > 15 and max(f.n_ids for f in files_) < 0.2 * sum(f.n_ids for f in files_)
+    got = sorted(map(tuple, tokens.read_files(manifest, folder, len(files_)).collect()), key=lambda r: r[1])
+    assert [g[0] for g in got] == [None] * 200 + [7] * 100 + [9]
+    assert [g[1] for g in got] == np.concatenate([[0], np.cumsum([g[2] for g in got])])[:-1].tolist()
+
+
 def test_blocks_read_by_themselves(tmp_path, monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK", 300)
     rng = np.random.default_rng(0)
