@@ -68,6 +68,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are staged inside go at the end, but for those made by the function it gives."""
+    start, kept = len(_staged), set()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        kept.add(_staged[-1])
+        return out
+
+    yield keep
+    for path in [p for p in _staged[start:] if p not in kept]:
+        drop_dir(spark, path)
+        _staged.remove(path)
+
+
 def _clear() -> None:
     """Delete this driver's staged tables; Spark may have stopped already, so by pyarrow."""
     from pyarrow import fs

@@ -38,14 +38,14 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, staged, table
+from .common import give_back, scratch, staged, table
 from .components import components
 from .shingles import fingerprint, mix, shingle_sets
 
@@ -189,17 +189,25 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id), one row for each row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with scratch(spark) as keep:
+        with scratch(spark) as keep_sets:
+            docs_reps, reps = _vertices(docs, keep_sets, k, num, den)
+        docs_reps = keep(docs_reps, "jaccard-rows")
+        found = keep(components(_links(docs, reps, k, num, den)), "jaccard-components")
+    named = docs_reps.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def _vertices(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame], k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, rep) of every row, and (id, n, regions, sketch) of each distinct set, by its least document."""
     all_signed = staged(signed(docs, frequent_shingles(docs), k, num, den), "jaccard-signed")
     one = all_signed.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("f")).select("doc_id", "f.*")
     rep_of = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     lists = all_signed.where("n > 0").groupBy("f1", "f2").agg(F.first(F.struct("n", "regions", "sketch")).alias("x"))
-    reps = staged(rep_of.join(lists, ["f1", "f2"]).select(F.col("rep").alias("id"), "x.*"), "jaccard-sets")
+    reps = keep(rep_of.join(lists, ["f1", "f2"]).select(F.col("rep").alias("id"), "x.*"), "jaccard-sets")
     rows = all_signed.select("doc_id", "n").join(_represented(one), "doc_id", "left")
-    docs_reps = staged(rows, "jaccard-docs")
-    found = components(_links(docs, reps, k, num, den))
-    named = docs_reps.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return keep(rows, "jaccard-docs"), reps
 
 
 def _represented(one: DataFrame) -> DataFrame:

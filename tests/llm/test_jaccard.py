@@ -179,3 +179,13 @@ def test_a_region_of_a_third_of_all_texts(spark):
     signed = jaccard.signed(docs, np.zeros(0, np.uint64), 5, 80, 100).withColumnRenamed("doc_id", "id")
     heavy, pivots = jaccard.heavy_regions(signed)
     assert len(heavy) and set(pivots) <= {r[0] for r in rows}
+
+
+def test_staged_tables_go_when_the_join_is_done(spark, tmp_path, monkeypatch):
+    from quillspark.llm import common
+
+    monkeypatch.setattr(common, "shared_root", lambda spark: f"file://{tmp_path}")
+    docs = spark.createDataFrame(corpus(3, families=2, extra=5), SCHEMA)
+    found = jaccard.jaccard_components(docs)
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["jaccard-components", "jaccard-rows"]
+    assert sorted(map(tuple, found.collect())) == plain(corpus(3, families=2, extra=5))
