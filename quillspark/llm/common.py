@@ -84,6 +84,18 @@ def scratch(spark: SparkSession):
         _staged.remove(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Batches of at most so many rows for what runs inside: executors and workers hold a batch each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _clear() -> None:
     """Delete this driver's staged tables; Spark may have stopped already, so by pyarrow."""
     from pyarrow import fs

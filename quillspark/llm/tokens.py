@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import fresh_dir, give_back, own_texts, staged, table
+from .common import arrow_rows, fresh_dir, give_back, own_texts, staged, table
 from .huffman import LIMIT, STEP, Code, code_lengths
 
 BLOCK = 1 << 16
@@ -45,6 +45,8 @@ SAMPLE_ROWS = 200
 MAGIC = b"QHUF1\n"
 END_ID = 0
 CODED_AT_ONCE = 1 << 18
+#: Texts and bytes of texts that a task holds at a time.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 2500, 4_000_000
 
 #: Punctuation that often ends a word.
 ENDINGS = ".,;:!?"
@@ -183,7 +185,7 @@ def _encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def _slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
+def _slices(texts: pa.Array, most: int = BYTES_AT_ONCE) -> Iterator[tuple[int, pa.Array]]:
     """Runs of texts with about `most` bytes, one text at least."""
     for start, stop in _runs(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), most):
         yield start, texts.slice(start, stop - start)
@@ -209,6 +211,7 @@ def tokenized(docs: DataFrame, path: str, lengths: np.ndarray) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what other tasks of this worker have left
         encoder, code = _encoder(path), Code(lengths)
         counts = np.zeros(len(lengths), np.int64)
         for batch in batches:
@@ -227,7 +230,7 @@ def tokenized(docs: DataFrame, path: str, lengths: np.ndarray) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(start + first_doc, len(n)), pa.array(n), pa.array([data[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.nulls(len(n), TOKENS.field("counts").type)], schema=TOKENS
                     )
-            give_back()
+            pa.default_memory_pool().release_unused()
         used = np.flatnonzero(counts)
         if len(used):
             yield pa.RecordBatch.from_pylist([{"doc_id": None, "n": -1, "ids": b"", "marks": b"", "counts": [{"id": int(i), "n": int(counts[i])} for i in used]}], schema=TOKENS)
@@ -419,7 +422,8 @@ def token_files(docs: DataFrame, path: str, folder: str | None = None) -> tuple[
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "ids")
     provisional = sample_lengths(docs, path)
-    coded = staged(tokenized(docs, path, provisional), "ids-coded")
+    with arrow_rows(spark, ROWS_AT_ONCE):
+        coded = staged(tokenized(docs, path, provisional), "ids-coded")
     n_ids = coded.where("n >= 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return write_files(coded, provisional, global_lengths(coded, len(provisional)), folder, n_ids), folder
 
