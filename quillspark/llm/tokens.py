@@ -64,7 +64,7 @@ class PieceEncoder:
     string, go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000, end_id: int = END_ID):
+    def __init__(self, path: str, most: int = 300_000, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -230,7 +230,7 @@ def tokenized(docs: DataFrame, path: str, lengths: np.ndarray) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(start + first_doc, len(n)), pa.array(n), pa.array([data[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.nulls(len(n), TOKENS.field("counts").type)], schema=TOKENS
                     )
-            pa.default_memory_pool().release_unused()
+                pa.default_memory_pool().release_unused()
         used = np.flatnonzero(counts)
         if len(used):
             yield pa.RecordBatch.from_pylist([{"doc_id": None, "n": -1, "ids": b"", "marks": b"", "counts": [{"id": int(i), "n": int(counts[i])} for i in used]}], schema=TOKENS)
