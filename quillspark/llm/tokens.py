@@ -46,7 +46,7 @@ MAGIC = b"QHUF1\n"
 END_ID = 0
 CODED_AT_ONCE = 1 << 18
 #: Texts and bytes of texts that a task holds at a time.
-ROWS_AT_ONCE, BYTES_AT_ONCE = 2500, 4_000_000
+ROWS_AT_ONCE, BYTES_AT_ONCE = 5000, 8_000_000
 
 #: Punctuation that often ends a word.
 ENDINGS = ".,;:!?"
