@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.variants import german_variants
+from .compounds import known_compounds
 
 #: Rows of a lexicon that may be broadcast; beyond, the equi-join on fold keys shuffles.
 BROADCAST = 2_000_000
@@ -25,16 +26,18 @@ def folded_in(key: Column, words: tuple[str, ...]) -> Column:
     return functools.reduce(lambda a, b: a | b, (key == k for k in keys), F.lit(False))
 
 
-def unknown(distinct: DataFrame, lexicon: DataFrame, german: DataFrame | None = None) -> DataFrame:
-    """Distinct words (word, fold_key) that no lexicon has; with `german`, nor by a spelling without umlauts."""
+def unknown(distinct: DataFrame, lexicon: DataFrame, german: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """Distinct words (word, fold_key) that no lexicon has; with `german`, nor by a spelling without umlauts; with `parts`, nor as compounds."""
     left = distinct.join(sized(lexicon.select("fold_key").distinct()), "fold_key", "left_anti")
+    if parts is not None:
+        left = left.join(known_compounds(left, parts), "word", "left_anti")
     if german is None:
         return left
     known = left.select("word", F.explode(german_variants(F.col("word"))).alias("variant")).select("word", X.fold_key(F.col("variant")).alias("fold_key")).join(sized(german.select("fold_key").distinct()), "fold_key", "left_semi").select("word").distinct()
     return left.join(known, "word", "left_anti")
 
 
-def findings(words: DataFrame, lexicon: DataFrame, key: str = "doc_id", flag: tuple[str, ...] = (), allow: tuple[str, ...] = (), min_length: int = 3, german: DataFrame | None = None) -> DataFrame:
+def findings(words: DataFrame, lexicon: DataFrame, key: str = "doc_id", flag: tuple[str, ...] = (), allow: tuple[str, ...] = (), min_length: int = 3, german: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
     """(key, word, start_byte, end_byte) -> (key, word, locations).
 
     Each distinct word is looked up once: distinct words are formed by partial aggregation, cut by the
@@ -43,7 +46,7 @@ def findings(words: DataFrame, lexicon: DataFrame, key: str = "doc_id", flag: tu
     distinct = words.select("word").distinct().withColumn("fold_key", X.fold_key(F.col("word")))
     flagged = folded_in(F.col("fold_key"), flag)
     plain = distinct.where(~flagged & (F.char_length("word") >= min_length) & ~folded_in(F.col("fold_key"), allow))
-    bad = unknown(plain, lexicon, german).select("word")
+    bad = unknown(plain, lexicon, german, parts).select("word")
     if flag:
         bad = bad.unionByName(distinct.where(flagged).select("word"))
     located = words.join(bad, "word", "left_semi")

@@ -62,18 +62,25 @@ def common_words(texts: DataFrame, text: str) -> DataFrame:
     return parts.select(F.lower(F.regexp_replace("part", "[^a-zA-Z]", "")).alias("word")).where(F.char_length("word") > 1).distinct().orderBy("word")
 
 
+#: Commands that name the flag of a part of compounds, and its place.
+COMPOUND_FLAGS = {"COMPOUNDFLAG": "any", "COMPOUNDBEGIN": "first", "COMPOUNDMIDDLE": "inner", "COMPOUNDEND": "last", "COMPOUNDLAST": "last"}
+
+
 @dataclass
 class AffixRules:
     """Parsed .aff: flags to (strip, add, condition) by side, and the switches."""
 
-    prefixes: dict[str, tuple[bool, list[tuple[str, str, re.Pattern]]]] = field(default_factory=dict)
-    suffixes: dict[str, tuple[bool, list[tuple[str, str, re.Pattern]]]] = field(default_factory=dict)
+    prefixes: dict[str, tuple[bool, list[tuple[str, str, re.Pattern, str]]]] = field(default_factory=dict)
+    suffixes: dict[str, tuple[bool, list[tuple[str, str, re.Pattern, str]]]] = field(default_factory=dict)
     tries: str = ""
     replacements: list[tuple[str, str]] = field(default_factory=list)
     conversions: list[tuple[str, str]] = field(default_factory=list)
     compounds: list[str] = field(default_factory=list)
     compound_min: int = 3
     only_in_compound: str = ""
+    #: Flags of parts of compounds by the place they may have: any, first, inner, last; and of affixes that may be inside.
+    places: dict[str, str] = field(default_factory=dict)
+    permit: str = ""
     no_suggest: str = ""
     flag_kind: str = "short"
 
@@ -84,7 +91,8 @@ class AffixRules:
 
 
 def parse_affixes(text: str) -> AffixRules:
-    """The commands SET, FLAG, TRY, REP, ICONV, PFX, SFX, COMPOUNDRULE, COMPOUNDMIN, ONLYINCOMPOUND and NOSUGGEST."""
+    """The commands SET, FLAG, TRY, REP, ICONV, PFX, SFX, COMPOUNDRULE, COMPOUNDMIN, COMPOUNDFLAG, -BEGIN, -MIDDLE, -LAST and -END,
+    COMPOUNDPERMITFLAG, ONLYINCOMPOUND and NOSUGGEST."""
     rules = AffixRules()
     for raw in text.splitlines():
         words = raw.split("#")[0].split() if not raw.startswith(("PFX", "SFX", "REP", "ICONV", "TRY")) else raw.split()
@@ -100,8 +108,9 @@ def parse_affixes(text: str) -> AffixRules:
             elif len(args) >= 3:
                 condition = args[3] if len(args) > 3 and not args[3].startswith("#") else "."
                 strip, add = ("" if x == "0" else x for x in (args[1], args[2].split("/")[0]))
+                more = args[2].partition("/")[2]
                 body = condition.replace("-", "\\-")
-                table[args[0]][1].append((strip, add, re.compile(f"^{body}" if name == "PFX" else f"{body}$")))
+                table[args[0]][1].append((strip, add, re.compile(f"^{body}" if name == "PFX" else f"{body}$"), more))
         elif name == "TRY":
             rules.tries = args[0]
         elif name == "FLAG":
@@ -112,6 +121,10 @@ def parse_affixes(text: str) -> AffixRules:
             rules.compounds.append(args[0])
         elif name == "COMPOUNDMIN":
             rules.compound_min = int(args[0])
+        elif name in COMPOUND_FLAGS:
+            rules.places[args[0]] = COMPOUND_FLAGS[name]
+        elif name == "COMPOUNDPERMITFLAG":
+            rules.permit = args[0]
         elif name == "ONLYINCOMPOUND":
             rules.only_in_compound = args[0]
         elif name == "NOSUGGEST":
@@ -125,22 +138,50 @@ def expand(rules: AffixRules, stem: str, flags: list[str]) -> set[str]:
     crossing = set(plain) or {stem}
     out = set(plain)
     for flag in flags:
-        cross, forms = rules.suffixes.get(flag, (False, []))
-        for strip, add, condition in forms:
+        cross, entries = rules.suffixes.get(flag, (False, []))
+        for strip, add, condition, more in entries:
             if stem.endswith(strip) and condition.search(stem):
                 word = stem[: len(stem) - len(strip)] + add
+                if rules.only_in_compound and rules.only_in_compound in rules.flags(more):
+                    continue
                 out.add(word)
                 if cross:
                     crossing.add(word)
     for flag in flags:
-        cross, forms = rules.prefixes.get(flag, (False, []))
-        for strip, add, condition in forms:
+        cross, entries = rules.prefixes.get(flag, (False, []))
+        for strip, add, condition, more in entries:
+            if rules.only_in_compound and rules.only_in_compound in rules.flags(more):
+                continue
             for word in crossing if cross else ([stem] if plain else []):
                 if word.startswith(strip) and condition.search(word):
                     out.add(add + word[len(strip) :])
     return out
 
 
+def forms(rules: AffixRules, stem: str, flags: list[str]) -> dict[str, set[str]]:
+    """Forms of a stem with the places (first, inner, last) they may have in compounds.
+
+    A stem has the places of its flags, a prefixed form the first of them and a suffixed one the last, and the others too
+    where the affix is permitted inside; flags of the affix itself add theirs.
+    """
+
+    def places(own: list[str]) -> set[str]:
+        found = {rules.places[x] for x in own if x in rules.places}
+        return {"first", "inner", "last"} if "any" in found else found
+
+    base = places(flags)
+    out = {stem: set(base)}
+    for table, edge in ((rules.suffixes, "last"), (rules.prefixes, "first")):
+        for flag in flags:
+            for strip, add, condition, more in table.get(flag, (False, []))[1]:
+                own = rules.flags(more)
+                if (stem.endswith(strip) if edge == "last" else stem.startswith(strip)) and condition.search(stem):
+                    word = stem[: len(stem) - len(strip)] + add if edge == "last" else add + stem[len(strip) :]
+                    may = base if rules.permit and rules.permit in own else base & {edge}
+                    out.setdefault(word, set()).update(may | places(own))
+    return out
+
+
 def compound_forms(rules: AffixRules) -> list[str]:
     return [f"^(?:{r})$" for r in rules.compounds]
 
@@ -164,11 +205,16 @@ def affixes(stems: DataFrame, rules: AffixRules, dictionary: str) -> DataFrame:
     return rows.select(F.lit(dictionary).alias("dictionary"), "word", X.fold_key(F.col("word")).alias("fold_key"), "suggested").groupBy("dictionary", "word", "fold_key").agg(F.max("suggested").alias("suggested"))
 
 
-def read_affix_dictionary(spark: SparkSession, aff: str, dic: str, dictionary: str) -> DataFrame:
-    """An .aff and .dic pair; the first line of the latter is a count."""
+def read_pair(spark: SparkSession, aff: str, dic: str) -> tuple[AffixRules, DataFrame]:
+    """The rules of an .aff file and the lines of its .dic file, whose first line is a count."""
     text = "\n".join(r["value"] for r in spark.read.text(aff).toLocalIterator())
-    rules = parse_affixes(text.removeprefix("﻿"))
     lines = spark.read.text(dic).where("trim(value) <> '' AND NOT value RLIKE '^[0-9]+\\\\s*$' AND NOT startswith(value, '#')")
+    return parse_affixes(text.removeprefix("\ufeff")), lines
+
+
+def read_affix_dictionary(spark: SparkSession, aff: str, dic: str, dictionary: str) -> DataFrame:
+    """The words of an .aff and .dic pair, without compounds (`compounds.parts` has their parts)."""
+    rules, lines = read_pair(spark, aff, dic)
     return affixes(lines, rules, dictionary)
 
 

@@ -80,14 +80,14 @@ def round_robin(lists: DataFrame, keys: list[str], most: int = MOST) -> DataFram
     return first.groupBy(*keys).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]), 1, most).alias("items"))
 
 
-def suggestions(queries: DataFrame, lexicon: DataFrame, order: list[str], most: int = MOST, german: tuple[str, ...] = ()) -> DataFrame:
+def suggestions(queries: DataFrame, lexicon: DataFrame, order: list[str], most: int = MOST, german: tuple[str, ...] = (), parts: DataFrame | None = None) -> DataFrame:
     """(word) -> (word, suggestions) over all dictionaries in their order; words that a lexicon has get none.
 
     `german` names the dictionaries that also know words by readings with umlauts, and are asked for these.
     """
     read = F.col("dictionary").isin(*german) if german else F.lit(False)
     asked = queries.select("word").distinct().withColumn("fold_key", X.fold_key(F.col("word")))
-    asked = unknown(asked, lexicon, lexicon.where(read) if german else None)
+    asked = unknown(asked, lexicon, lexicon.where(read) if german else None, parts)
     place = F.create_map(*[F.lit(v) for k, d in enumerate(order) for v in (d, k)])
     lists = ranked(asked, lexicon.where(~read), most=most).select("word", place[F.col("dictionary")].alias("source"), "rank", F.col("suggestion").alias("item"))
     for name in german:

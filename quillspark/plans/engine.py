@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import capture, check, lexicon, ranges, report, suggest, tokens
+from ..operators import capture, check, compounds, lexicon, ranges, report, suggest, tokens
 from ..schema import FINDING
 from ..sources import files
 from . import registry
@@ -55,6 +55,7 @@ class Engine:
         self.policy = policy if isinstance(policy, Policy) else None
         self._settings = policy if isinstance(policy, Settings) else Settings()
         self.lexicons: dict[str, DataFrame] = {}
+        self.parts: dict[str, DataFrame] = {}
         self.primary: set[str] = set()
         self.missing: set[str] = set()
         self.epoch, self.memo = 0, Memo()
@@ -63,11 +64,14 @@ class Engine:
     def settings(self) -> Settings:
         return self.policy.snapshot if self.policy else self._settings
 
-    def add_lexicon(self, name: str, words: DataFrame, primary: bool = False, epoch: int | None = None) -> bool:
-        """Register a lexicon; one that was made before the last `invalidate` (of an earlier epoch) is not taken."""
+    def add_lexicon(self, name: str, words: DataFrame, primary: bool = False, epoch: int | None = None, parts: DataFrame | None = None) -> bool:
+        """Register a lexicon; one that was made before the last `invalidate` (of an earlier epoch) is not taken. `parts` are those of compounds."""
         if epoch is not None and epoch != self.epoch:
             return False
         self.lexicons[name] = words
+        self.parts.pop(name, None)
+        if parts is not None:
+            self.parts[name] = parts
         self.missing.discard(name)
         self.memo.clear()
         if primary or registry.dictionary_kind(name) == "affix":
@@ -83,7 +87,7 @@ class Engine:
             elif found is None:
                 self.missing.add(name)
             else:
-                self.add_lexicon(name, found, primary=True)
+                self.add_lexicon(name, found, primary=True, parts=compounds.local_parts(self.spark, self.local_dir, name))
         return self.lexicons.get(name)
 
     def ensure(self, name: str) -> str:
@@ -95,6 +99,7 @@ class Engine:
     def invalidate(self, name: str) -> None:
         if found := self.lexicons.pop(name, None):
             found.unpersist()
+        self.parts.pop(name, None)
         self.missing.clear()
         self.memo.clear()
         self.epoch += 1
@@ -119,6 +124,14 @@ class Engine:
                 out = part if out is None else out.unionByName(part)
         return out
 
+    def _parts(self, ids: list[str]) -> DataFrame | None:
+        """Parts of compounds of those dictionaries that form any."""
+        out = None
+        for name in dict.fromkeys(ids):
+            if name in self.parts:
+                out = self.parts[name] if out is None else out.unionByName(self.parts[name])
+        return out
+
     def dictionary_ids(self, settings: Settings, languages: list[str]) -> list[str]:
         own = [d for x in registry.LANGUAGES if x.name in languages for d in x.dictionaries]
         extra = [x for x in self.lexicons if registry.dictionary_kind(x) is None]
@@ -179,7 +192,7 @@ class Engine:
         special = [(x.name, d) for x in registry.LANGUAGES for d in x.dictionaries if d in self.lexicons or self.load(d) is not None]
         german = [d for d in ids if d in registry.TRANSLITERATED and d in self.lexicons]
         lex = base if base is not None else lexicon.from_words(self.spark, [], "none")
-        bad = check.findings(rows.drop("languages"), lex, "doc_id", s.flag_words, s.words, s.min_length(), self._lexicon(german) if german else None)
+        bad = check.findings(rows.drop("languages"), lex, "doc_id", s.flag_words, s.words, s.min_length(), self._lexicon(german) if german else None, self._parts(ids))
         for name, d in special:
             own = self.lexicons[d].select("fold_key").distinct()
             has = rows.where(F.array_contains("languages", name)).select("doc_id").distinct()
@@ -198,7 +211,7 @@ class Engine:
         lex = self._lexicon(list(dict.fromkeys(ids)))
         if lex is None or not self.has_primary():
             return self.spark.createDataFrame([], "word string, suggestions array<string>")
-        return suggest.suggestions(words, lex, list(dict.fromkeys(ids)), german=tuple(x for x in dict.fromkeys(ids) if x in registry.TRANSLITERATED))
+        return suggest.suggestions(words, lex, list(dict.fromkeys(ids)), german=tuple(x for x in dict.fromkeys(ids) if x in registry.TRANSLITERATED), parts=self._parts(ids))
 
     def suggested(self, words: list[str]) -> dict[str, list[str]]:
         """Suggestions for a few words, as an editor asks for; those asked before come from memory."""

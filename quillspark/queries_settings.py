@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import capture, lexicon, ranges, report, suggest, tokens
+from .operators import capture, compounds, lexicon, ranges, report, suggest, tokens
 from .plans import policy, registry
 from .schema import TAGS
 from .sources import files, resources
@@ -157,6 +157,20 @@ def affix_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.affixes(lines, lexicon.parse_affixes(AFFIXES), "forms").select("word", "fold_key", "suggested")
 
 
+COMPOUNDS = "COMPOUNDFLAG C\nCOMPOUNDBEGIN B\nCOMPOUNDEND E\nONLYINCOMPOUND O\nCOMPOUNDMIN 3\nSFX F Y 1\nSFX F 0 s/BO .\n"
+
+
+def compound_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words written together from part names are compounds, where words may stand anywhere, first, or last and with an s first."""
+    names = table(spark, sf_dir, "part").where("p_name LIKE '% %'").select(F.split("p_name", " ").alias("x")).distinct()
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    flags = F.when(F.length("w") % 3 == 0, "C").when(F.length("w") % 3 == 1, "B").otherwise("EF")
+    known = compounds.parts(words.select(F.concat_ws("/", "w", flags).alias("value")), lexicon.parse_affixes(COMPOUNDS), "parts")
+    one, two = F.col("x")[0], F.col("x")[1]
+    asked = names.select(F.explode(F.array(one, F.concat(one, two), F.concat(two, one), F.concat(one, F.lit("s"), two), F.concat(two, F.lit("s"), one, one), F.concat(one, two, one, two))).alias("word"))
+    return compounds.known_compounds(asked.withColumn("fold_key", X.fold_key(F.col("word"))), known)
+
+
 def editor_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options from JSON payloads: whole, partial, malformed and absent."""
     payload = nth(('{"checkWhileTyping": false, "diagnosticSeverity": "ERROR", "logLevel": "Debug", "globalConfigPath": "~/q.toml"}', '{"diagnosticSeverity": "hint", "extra": [1]}', "{}", "no json", "", None), F.col("event_id"))
@@ -263,7 +277,7 @@ def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    settings_merged, glob_cases, tag_cases, language_resolution, dictionary_kinds, files_as_documents, word_list_lexicon, combined_word_list, affix_forms, editor_options, report_lines,
+    settings_merged, glob_cases, tag_cases, language_resolution, dictionary_kinds, files_as_documents, word_list_lexicon, combined_word_list, affix_forms, compound_words, editor_options, report_lines,
     round_robin_lists, back_off_by_user, unicode_tokens, markdown_regions, languages_of_pages, due_events, current_results, streamed_documents,
 )}
 
@@ -291,6 +305,13 @@ SELECT 'site' || site || '/' || folder || '/page' || page_id || '.html' AS path,
 WHERE (site = 1 AND folder = 'keep' AND (page_id NOT BETWEEN 10 AND 19 OR page_id = 13)) OR (site = 2 AND folder = 'keep') OR (site = 3 AND page_id % 10 = 7) OR page_id = 4""",
     "word_list_lexicon": f"""SELECT 'parts' AS dictionary, word, lower(word) AS fold_key FROM ({_LIST('w')}), LATERAL (SELECT unnest([upper(w[1]) || lower(w[2 :]), ' ' || w]) AS word)""",
     "combined_word_list": f"SELECT DISTINCT lower(word) AS word FROM ({_LIST('word')} UNION ALL SELECT n_name FROM nation) WHERE length(word) > 1",
+    "compound_words": f"""WITH RECURSIVE w AS ({_LIST('w')}), p AS (
+  SELECT w AS part, length(w) % 3 <= 1 AS f, length(w) % 3 = 0 AS i, length(w) % 3 <> 1 AS l FROM w UNION SELECT w || 's', true, false, false FROM w WHERE length(w) % 3 = 2
+), n AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part WHERE p_name LIKE '% %'),
+asked AS (SELECT DISTINCT unnest([a, a || b, b || a, a || 's' || b, b || 's' || a || a, a || b || a || b]) AS word FROM n), r AS (
+  SELECT word, 1 + length(part) AS pos FROM asked JOIN p ON f AND length(part) >= 3 AND length(part) < length(word) AND starts_with(word, part)
+  UNION SELECT word, pos + length(part) FROM r JOIN p ON length(part) >= 3 AND word[pos : pos + length(part) - 1] = part AND ((i AND pos + length(part) <= length(word)) OR (l AND pos + length(part) = length(word) + 1))
+) SELECT DISTINCT word FROM r WHERE pos = length(word) + 1""",
     "affix_forms": f"""WITH w AS ({_LIST('w')}), s AS (
   SELECT w, length(w) % 4 AS kind, CASE WHEN regexp_matches(w, '[^aeiou]y$') THEN w[1 : length(w) - 1] || 'ies' WHEN regexp_matches(w, '[^sy]$') THEN w || 's' WHEN regexp_matches(w, 's$') THEN w || 'es' END AS plural FROM w
 ), f AS (

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import cli, queries
-from quillspark.operators import check, lexicon, report, suggest, tokens
+from quillspark.operators import check, compounds, lexicon, report, suggest, tokens
 from quillspark.plans.engine import Engine
 from quillspark.plans.policy import Override, Settings
 from quillspark.sources import files, resources
@@ -47,6 +47,48 @@ def test_affixes(spark, tmp_path):
         lexicon.parse_affixes("SFX Q 0 s .")
 
 
+GERMAN = """COMPOUNDBEGIN x
+COMPOUNDMIDDLE y
+COMPOUNDEND z
+COMPOUNDPERMITFLAG c
+ONLYINCOMPOUND o
+COMPOUNDMIN 3
+SFX N Y 1
+SFX N 0 n .
+SFX j Y 1
+SFX j 0 s/xyoc .
+"""
+
+
+def test_compound_parts(spark):
+    rules = lexicon.parse_affixes(GERMAN)
+    assert lexicon.expand(rules, "arbeit", ["j"]) == {"arbeit"}
+    assert lexicon.forms(rules, "arbeit", ["j", "z"]) == {"arbeit": {"last"}, "arbeits": {"last", "first", "inner"}}
+    assert lexicon.forms(rules, "suche", ["N", "x", "z"]) == {"suche": {"first", "last"}, "suchen": {"last"}}
+    lines = spark.createDataFrame([("Arbeit/jz",), ("Platz/xyz",), ("Suche/Nz",), ("ab/xyz",), ("frei",), ("",), ("Platz/z",)], "value string")
+    known = compounds.parts(lines, rules, "de")
+    rows = {(r.part, r.first, r.inner, r.last) for r in known.collect()}
+    assert rows == {("arbeit", False, False, True), ("arbeits", True, True, True), ("platz", True, True, True), ("suche", False, False, True), ("suchen", False, False, True)}
+    ask = ["Arbeitsplatz", "Arbeitsplatzsuche", "Arbeitplatz", "Platzfrei", "Platzsucheplatz", "platzplatzplatz", "Platz", "abplatz", "", "arbeits", "platz" * 300, "platz" * 300 + "x"]
+    words = spark.createDataFrame([(w, w.lower()) for w in ask * 2], "word string, fold_key string")
+    assert {r.word for r in compounds.known_compounds(words, known).collect()} == {"Arbeitsplatz", "Arbeitsplatzsuche", "platzplatzplatz", "platz" * 300}
+    assert compounds.known_compounds(words, known.limit(0)).count() == 0 and compounds.known_compounds(words.limit(0), known).count() == 0
+    two = known.where("part = 'arbeits'").unionByName(known.where("part = 'platz'").withColumn("dictionary", F.lit("other")))
+    assert compounds.known_compounds(words, two).where("word = 'Arbeitsplatz'").count() == 0  # parts of two dictionaries make no word
+
+
+def test_an_engine_knows_compounds(spark, tmp_path):
+    (tmp_path / "de.aff").write_text(GERMAN)
+    (tmp_path / "de.dic").write_text("3\nArbeit/jz\nPlatz/xyz\nSuche/Nz\n")
+    engine = Engine(spark, Settings(dictionaries=("de",)), local_dir=str(tmp_path))
+    found = engine.spell_check_text("Arbeitsplatz Arbeitplatz Platz Arbeitsplatzsuche Platzz", "text")
+    assert {r.word for r in found.collect()} == {"Arbeitplatz", "Platzz"}
+    asked = spark.createDataFrame([("Arbeitsplatz",), ("Platzz",)], "word string")
+    assert {r.word for r in engine.suggestions(asked).collect()} == {"Platzz"}
+    engine.invalidate("de")
+    assert not engine.parts
+
+
 def test_word_lists(spark, tmp_path):
     (tmp_path / "own.txt").write_text("# head\nFoo\n\n bar\nfoo\n")
     got = lexicon.local_dictionary(spark, str(tmp_path), "own")
