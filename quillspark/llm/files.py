@@ -43,3 +43,15 @@ def reading(folder: str, name: str):
     store, at = _open(folder)
     with store.open_input_file(f"{at}/{name}") as file:
         yield file
+
+
+def read_columns(paths: tuple[str, ...], columns: list[str]):
+    """Columns of the Parquet files of a table in the shared folder, as one Arrow table."""
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    found = []
+    for path in paths:
+        store, at = _open(path)
+        found.append(parquet.read_table(at, columns=columns, filesystem=store))
+    return pa.concat_tables(found)

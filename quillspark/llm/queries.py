@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lm", "langid", "quality", "warc", "jaccard", "pii", "licences", "decontaminate", "tokens", "mixing", "chat", "whitening")
+MODULES = ("lm", "langid", "quality", "warc", "jaccard", "pii", "licences", "decontaminate", "tokens", "mixing", "chat", "whitening", "align")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
