@@ -62,7 +62,10 @@ def common_words(texts: DataFrame, text: str) -> DataFrame:
     return parts.select(F.lower(F.regexp_replace("part", "[^a-zA-Z]", "")).alias("word")).where(F.char_length("word") > 1).distinct().orderBy("word")
 
 
-#: Commands that name the flag of a part of compounds, and its place.
+#: Commands that name a flag, switches, commands that are not applied, and the flags of parts of compounds with their places.
+FLAG_NAMES = {"NEEDAFFIX": "need_affix", "PSEUDOROOT": "need_affix", "FORBIDDENWORD": "forbidden", "KEEPCASE": "keep_case", "CIRCUMFIX": "circumfix"}
+SWITCHES = ("CHECKCOMPOUNDDUP", "CHECKCOMPOUNDCASE", "CHECKCOMPOUNDTRIPLE")
+NOT_APPLIED = ("COMPLEXPREFIXES", "IGNORE", "CHECKSHARPS", "SIMPLIFIEDTRIPLE", "CHECKCOMPOUNDREP", "COMPOUNDFORBIDFLAG", "COMPOUNDROOT", "COMPOUNDSYLLABLE", "FORCEUCASE", "AF")
 COMPOUND_FLAGS = {"COMPOUNDFLAG": "any", "COMPOUNDBEGIN": "first", "COMPOUNDMIDDLE": "inner", "COMPOUNDEND": "last", "COMPOUNDLAST": "last"}
 
 
@@ -83,6 +86,19 @@ class AffixRules:
     permit: str = ""
     no_suggest: str = ""
     flag_kind: str = "short"
+    #: Flags of stems and affixes that `affix` heeds.
+    need_affix: str = ""
+    forbidden: str = ""
+    keep_case: str = ""
+    circumfix: str = ""
+    full_strip: bool = False
+    #: What compounds may not be: letters that may not meet as (end, its flag, beginning, its flag), and switches by name.
+    meetings: list[tuple[str, str, str, str]] = field(default_factory=list)
+    switches: set[str] = field(default_factory=set)
+    most_parts: int = 0
+    related: list[list[str]] = field(default_factory=list)
+    #: Commands that change which words are right and are not applied.
+    unapplied: list[str] = field(default_factory=list)
 
     def flags(self, text: str) -> list[str]:
         if self.flag_kind == "num":
@@ -91,8 +107,7 @@ class AffixRules:
 
 
 def parse_affixes(text: str) -> AffixRules:
-    """The commands SET, FLAG, TRY, REP, ICONV, PFX, SFX, COMPOUNDRULE, COMPOUNDMIN, COMPOUNDFLAG, -BEGIN, -MIDDLE, -LAST and -END,
-    COMPOUNDPERMITFLAG, ONLYINCOMPOUND and NOSUGGEST."""
+    """The commands of an .aff file; `unapplied` names those that would change which words are right and are not heeded."""
     rules = AffixRules()
     for raw in text.splitlines():
         words = raw.split("#")[0].split() if not raw.startswith(("PFX", "SFX", "REP", "ICONV", "TRY")) else raw.split()
@@ -129,6 +144,23 @@ def parse_affixes(text: str) -> AffixRules:
             rules.only_in_compound = args[0]
         elif name == "NOSUGGEST":
             rules.no_suggest = args[0]
+        elif name in FLAG_NAMES:
+            setattr(rules, FLAG_NAMES[name], args[0])
+        elif name == "FULLSTRIP":
+            rules.full_strip = True
+        elif name in SWITCHES:
+            rules.switches.add(name)
+        elif name == "COMPOUNDWORDMAX":
+            rules.most_parts = int(args[0])
+        elif name == "CHECKCOMPOUNDPATTERN" and len(args) == 2:
+            (end, _, end_flag), (start, _, start_flag) = (x.partition("/") for x in args)
+            rules.meetings.append((end, end_flag, start, start_flag))
+        elif name == "CHECKCOMPOUNDPATTERN" and len(args) > 2:
+            rules.unapplied.append("CHECKCOMPOUNDPATTERN with a replacement")
+        elif name == "MAP" and not args[0].isdigit():
+            rules.related.append([x.strip("()") for x in re.findall(r"\([^)]*\)|.", args[0])])
+        elif name in NOT_APPLIED and name not in rules.unapplied:
+            rules.unapplied.append(name)
     return rules
 
 
