@@ -164,9 +164,8 @@ def readings(words: DataFrame, known: Affixed) -> DataFrame:
     columns = ["word", "stem", p["flag"].alias("prefix"), s["flag"].alias("suffix"), t["flag"].alias("second"), "form"]
     if not rules.forbidden:
         return made.select(*columns)
-    bare = met.where(mark(rules.forbidden) & s.isNull() & p.isNull() & stands_for(F.col("said"), F.col("stem"), mark(rules.keep_case)))
-    no = bare.select("word", F.col("stem").alias("form")).distinct()
-    return made.where(~mark(rules.forbidden)).select(*columns).join(no, ["word", "form"], "left_anti").select("word", "stem", "prefix", "suffix", "second", "form")
+    no = known.stems.where(mark(rules.forbidden)).select(F.col("stem").alias("form")).distinct()
+    return made.where(~mark(rules.forbidden)).select(*columns).join(no, "form", "left_anti").select("word", "stem", "prefix", "suffix", "second", "form")
 
 
 def accepted(words: DataFrame, known: Affixed) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.variants import german_variants
+from ..sources.stage import staged
+from . import affix, compound_rules
+from .affix import Affixed
 from .compounds import known_compounds
 
 #: Rows of a lexicon that may be broadcast; beyond, the equi-join on fold keys shuffles.
@@ -26,18 +29,38 @@ def folded_in(key: Column, words: tuple[str, ...]) -> Column:
     return functools.reduce(lambda a, b: a | b, (key == k for k in keys), F.lit(False))
 
 
-def unknown(distinct: DataFrame, lexicon: DataFrame, german: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
-    """Distinct words (word, fold_key) that no lexicon has; with `german`, nor by a spelling without umlauts; with `parts`, nor as compounds."""
+def known_by(words: DataFrame, dictionary: Affixed) -> DataFrame:
+    """The distinct words (word) that an affix dictionary has: by stripping, or as compounds by rule."""
+    found = affix.accepted(words, dictionary)
+    return found.unionByName(compound_rules.accepted(words, dictionary)) if dictionary.rules.compounds else found
+
+
+def unknown(distinct: DataFrame, lexicon: DataFrame, german: DataFrame | None = None, parts: DataFrame | None = None, affixed: tuple[Affixed, ...] = (), german_affixed: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct words (word, fold_key) that no lexicon has, nor a dictionary of `affixed`; with `german`, nor by a spelling without umlauts; with `parts`, nor as compounds.
+
+    `german_affixed` names the dictionaries of `affixed` that know such spellings too.
+    """
     left = distinct.join(sized(lexicon.select("fold_key").distinct()), "fold_key", "left_anti")
+    if affixed:
+        left = staged(left)  # some words of the text's; each dictionary asks for them
+    for dictionary in affixed:
+        left = left.join(known_by(left, dictionary), "word", "left_anti")
     if parts is not None:
         left = left.join(known_compounds(left, parts), "word", "left_anti")
-    if german is None:
+    read = [d for d in affixed if d.dictionary in german_affixed]
+    if german is None and not read:
         return left
-    known = left.select("word", F.explode(german_variants(F.col("word"))).alias("variant")).select("word", X.fold_key(F.col("variant")).alias("fold_key")).join(sized(german.select("fold_key").distinct()), "fold_key", "left_semi").select("word").distinct()
-    return left.join(known, "word", "left_anti")
+    variants = left.select("word", F.explode(german_variants(F.col("word"))).alias("variant"))
+    if german is not None:
+        known = variants.select("word", X.fold_key(F.col("variant")).alias("fold_key")).join(sized(german.select("fold_key").distinct()), "fold_key", "left_semi").select("word").distinct()
+        left = left.join(known, "word", "left_anti")
+    for dictionary in read:
+        found = known_by(variants.select(F.col("variant").alias("word")), dictionary).withColumnRenamed("word", "variant")
+        left = left.join(variants.join(found, "variant").select("word").distinct(), "word", "left_anti")
+    return left
 
 
-def findings(words: DataFrame, lexicon: DataFrame, key: str = "doc_id", flag: tuple[str, ...] = (), allow: tuple[str, ...] = (), min_length: int = 3, german: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+def findings(words: DataFrame, lexicon: DataFrame, key: str = "doc_id", flag: tuple[str, ...] = (), allow: tuple[str, ...] = (), min_length: int = 3, german: DataFrame | None = None, parts: DataFrame | None = None, affixed: tuple[Affixed, ...] = (), german_affixed: tuple[str, ...] = ()) -> DataFrame:
     """(key, word, start_byte, end_byte) -> (key, word, locations).
 
     Each distinct word is looked up once: distinct words are formed by partial aggregation, cut by the
@@ -46,7 +69,7 @@ def findings(words: DataFrame, lexicon: DataFrame, key: str = "doc_id", flag: tu
     distinct = words.select("word").distinct().withColumn("fold_key", X.fold_key(F.col("word")))
     flagged = folded_in(F.col("fold_key"), flag)
     plain = distinct.where(~flagged & (F.char_length("word") >= min_length) & ~folded_in(F.col("fold_key"), allow))
-    bad = unknown(plain, lexicon, german, parts).select("word")
+    bad = unknown(plain, lexicon, german, parts, affixed, german_affixed).select("word")
     if flag:
         bad = bad.unionByName(distinct.where(flagged).select("word"))
     located = words.join(bad, "word", "left_semi")

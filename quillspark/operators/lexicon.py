@@ -250,14 +250,22 @@ def read_affix_dictionary(spark: SparkSession, aff: str, dic: str, dictionary: s
     return affixes(lines, rules, dictionary)
 
 
+def local_pair(folder: str, dictionary: str) -> tuple[str, str] | None:
+    """The .aff and .dic files of a dictionary; None if one is missing, or if there is a word list, which goes first."""
+    base = Path(folder) / dictionary
+    pair = base.with_suffix(".aff"), base.with_suffix(".dic")
+    if base.with_suffix(".txt").is_file() or not all(x.is_file() for x in pair):
+        return None
+    return tuple(f"file://{x.resolve()}" for x in pair)
+
+
 def local_dictionary(spark: SparkSession, folder: str, dictionary: str) -> DataFrame | None:
     """`<id>.txt`, else the pair `<id>.aff` and `<id>.dic`; None if neither is there."""
     base = Path(folder) / dictionary
     if base.with_suffix(".txt").is_file():
         return read_word_list(spark, f"file://{base.with_suffix('.txt').resolve()}", dictionary)
-    if base.with_suffix(".aff").is_file() and base.with_suffix(".dic").is_file():
-        return read_affix_dictionary(spark, f"file://{base.with_suffix('.aff').resolve()}", f"file://{base.with_suffix('.dic').resolve()}", dictionary)
-    return None
+    pair = local_pair(folder, dictionary)
+    return read_affix_dictionary(spark, *pair, dictionary) if pair else None
 
 
 def has_primary(lexicon: DataFrame | None) -> bool:

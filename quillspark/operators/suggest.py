@@ -3,8 +3,9 @@
 Candidates share a deletion key with the word: one edit away means that deleting at most one letter
 from each gives the same string, two edits at most two; so all within the distance are found. Known
 words of more than `LONG` letters, which have very many deletions, are cut in one piece more than there
-can be edits instead; one piece is whole in the word, moved by the distance at most. Keys are exploded and
-joined, so no word meets the whole lexicon; `levenshtein` then ranks, ties by length and spelling.
+can be edits instead; one piece is whole in the word, moved by the distance at most. Keys are hashed, exploded and
+joined, so no word meets the whole lexicon; where the known words' keys are few enough to broadcast, others never reach the
+shuffle. `levenshtein` then ranks, ties by length and spelling.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.variants import german_variants
+from .affix import Affixed
 from .check import unknown
 
 MOST = 5
 VARIANT_QUERIES = 4
 LONG = 20
+#: Keys of known words, 8 bytes each, that may be broadcast to leave out others of the words asked.
+BROADCAST = 6_000_000
 
 
 def deletions(word: Column, distance: int = 1) -> Column:
@@ -64,10 +68,14 @@ def ranked(queries: DataFrame, lexicon: DataFrame, distance: int = 2, most: int
     # Known words of up to LONG letters meet by deletions, longer ones by pieces.
     asked_keys = F.concat(F.when(n <= LONG + distance, deletions(F.col("_key"), distance)).otherwise(no), F.when(n > LONG - distance, shifted_pieces(F.col("_key"), distance)).otherwise(no))
     known_keys = F.when(m <= LONG, deletions(F.col("_known"), distance)).otherwise(pieces(F.col("_known"), distance))
-    # Hashes are enough to meet by: pairs are verified before they are made distinct.
-    left = asked.select("word", "_key", F.explode(asked_keys).alias("_cut")).withColumn("_cut", F.xxhash64("_cut"))
-    right = known.select("dictionary", "suggestion", "_known", F.explode(known_keys).alias("_cut")).withColumn("_cut", F.xxhash64("_cut"))
-    near = left.join(right, "_cut").drop("_cut").where((F.abs(n - m) <= distance) & (F.col("_key") != F.col("_known")))
+    hashed = lambda keys: F.explode(F.transform(keys, lambda x: F.xxhash64(x))).alias("_cut")
+    # Hashes are enough to meet by: pairs are verified before they are made distinct. Rows carry no more than their words.
+    left = asked.select("word", hashed(asked_keys))
+    right = known.select("dictionary", "suggestion", "_known", hashed(known_keys))
+    cuts = right.select("_cut").distinct()
+    if cuts.limit(BROADCAST + 1).count() <= BROADCAST:
+        left = left.join(F.broadcast(cuts), "_cut", "left_semi")  # most keys of unknown words are no known word's, and stay here
+    near = left.join(right, "_cut").drop("_cut").withColumn("_key", X.fold_key(F.col("word"))).where((F.abs(n - m) <= distance) & (F.col("_key") != F.col("_known")))
     near = near.withColumn("_d", F.levenshtein("_key", "_known", distance)).where(F.col("_d") >= 0).distinct()
     order = Window.partitionBy("word", "dictionary").orderBy("_d", F.abs(n - m), "suggestion")
     top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
@@ -80,14 +88,15 @@ def round_robin(lists: DataFrame, keys: list[str], most: int = MOST) -> DataFram
     return first.groupBy(*keys).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]), 1, most).alias("items"))
 
 
-def suggestions(queries: DataFrame, lexicon: DataFrame, order: list[str], most: int = MOST, german: tuple[str, ...] = (), parts: DataFrame | None = None) -> DataFrame:
+def suggestions(queries: DataFrame, lexicon: DataFrame, order: list[str], most: int = MOST, german: tuple[str, ...] = (), parts: DataFrame | None = None, affixed: tuple[Affixed, ...] = ()) -> DataFrame:
     """(word) -> (word, suggestions) over all dictionaries in their order; words that a lexicon has get none.
 
     `german` names the dictionaries that also know words by readings with umlauts, and are asked for these.
     """
     read = F.col("dictionary").isin(*german) if german else F.lit(False)
     asked = queries.select("word").distinct().withColumn("fold_key", X.fold_key(F.col("word")))
-    asked = unknown(asked, lexicon, lexicon.where(read) if german else None, parts)
+    checked = lexicon.where(~F.col("dictionary").isin(*[d.dictionary for d in affixed])) if affixed else lexicon
+    asked = unknown(asked, checked, checked.where(read) if german else None, parts, affixed, german)
     place = F.create_map(*[F.lit(v) for k, d in enumerate(order) for v in (d, k)])
     lists = ranked(asked, lexicon.where(~read), most=most).select("word", place[F.col("dictionary")].alias("source"), "rank", F.col("suggestion").alias("item"))
     for name in german:

@@ -8,9 +8,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import capture, check, compounds, lexicon, ranges, report, suggest, tokens
+from ..operators import affix, capture, check, compounds, lexicon, ranges, report, suggest, tokens
 from ..schema import FINDING
 from ..sources import files
+from ..sources.stage import staged
 from . import registry
 from .policy import Policy, Settings, path_matches
 
@@ -46,7 +47,8 @@ class Engine:
     """Settings and lexicons, applied to tables of documents.
 
     A lexicon is any relation (dictionary, word, fold_key); `add_lexicon` registers one. Without a primary
-    lexicon (an affix dictionary, a local one, or one marked so) every result is empty. With `embedded`, the list that ships
+    lexicon (an affix dictionary, a local one, or one marked so) every result is empty. Affix dictionaries check words by
+    stripping; their expanded lexicon only serves suggestions. With `embedded`, the list that ships
     with the engine serves as the dictionary `builtin`, which is never primary.
     """
 
@@ -56,6 +58,7 @@ class Engine:
         self._settings = policy if isinstance(policy, Settings) else Settings()
         self.lexicons: dict[str, DataFrame] = {}
         self.parts: dict[str, DataFrame] = {}
+        self.affixed: dict[str, affix.Affixed] = {}
         self.primary: set[str] = set()
         self.missing: set[str] = set()
         self.epoch, self.memo = 0, Memo()
@@ -64,14 +67,20 @@ class Engine:
     def settings(self) -> Settings:
         return self.policy.snapshot if self.policy else self._settings
 
-    def add_lexicon(self, name: str, words: DataFrame, primary: bool = False, epoch: int | None = None, parts: DataFrame | None = None) -> bool:
-        """Register a lexicon; one that was made before the last `invalidate` (of an earlier epoch) is not taken. `parts` are those of compounds."""
+    def add_lexicon(self, name: str, words: DataFrame, primary: bool = False, epoch: int | None = None, parts: DataFrame | None = None, affixed: affix.Affixed | None = None) -> bool:
+        """Register a lexicon; one that was made before the last `invalidate` (of an earlier epoch) is not taken.
+
+        `parts` are those of compounds; with `affixed`, words are checked by its rules and not by `words`.
+        """
         if epoch is not None and epoch != self.epoch:
             return False
         self.lexicons[name] = words
         self.parts.pop(name, None)
         if parts is not None:
             self.parts[name] = parts
+        self.affixed.pop(name, None)
+        if affixed is not None:
+            self.affixed[name] = affixed
         self.missing.discard(name)
         self.memo.clear()
         if primary or registry.dictionary_kind(name) == "affix":
@@ -87,7 +96,10 @@ class Engine:
             elif found is None:
                 self.missing.add(name)
             else:
-                self.add_lexicon(name, found, primary=True, parts=compounds.local_parts(self.spark, self.local_dir, name))
+                pair = lexicon.local_pair(self.local_dir, name)
+                rules, lines = lexicon.read_pair(self.spark, *pair) if pair else (None, None)
+                known = affix.read_stems(lines, rules, name) if pair else None
+                self.add_lexicon(name, found, primary=True, parts=compounds.local_parts(self.spark, self.local_dir, name), affixed=known)
         return self.lexicons.get(name)
 
     def ensure(self, name: str) -> str:
@@ -100,6 +112,7 @@ class Engine:
         if found := self.lexicons.pop(name, None):
             found.unpersist()
         self.parts.pop(name, None)
+        self.affixed.pop(name, None)
         self.missing.clear()
         self.memo.clear()
         self.epoch += 1
@@ -132,6 +145,9 @@ class Engine:
                 out = self.parts[name] if out is None else out.unionByName(self.parts[name])
         return out
 
+    def _affixed(self, ids: list[str]) -> tuple[affix.Affixed, ...]:
+        return tuple(self.affixed[x] for x in dict.fromkeys(ids) if x in self.affixed)
+
     def dictionary_ids(self, settings: Settings, languages: list[str]) -> list[str]:
         own = [d for x in registry.LANGUAGES if x.name in languages for d in x.dictionaries]
         extra = [x for x in self.lexicons if registry.dictionary_kind(x) is None]
@@ -186,13 +202,13 @@ class Engine:
         finally:
             self._settings, self.policy = held, self_settings
         ids = self.dictionary_ids(s, [])
-        base = self._lexicon(ids)
+        base = self._lexicon([x for x in ids if x not in self.affixed])
         # Lexicons of a language count for documents that have it; all others for every document.
-        rows = self.words(areas, ["doc_id", "languages"])
+        rows = staged(self.words(areas, ["doc_id", "languages"]))  # segmentation runs once, whatever asks for words
         special = [(x.name, d) for x in registry.LANGUAGES for d in x.dictionaries if d in self.lexicons or self.load(d) is not None]
-        german = [d for d in ids if d in registry.TRANSLITERATED and d in self.lexicons]
+        german = [d for d in ids if d in registry.TRANSLITERATED and d in self.lexicons and d not in self.affixed]
         lex = base if base is not None else lexicon.from_words(self.spark, [], "none")
-        bad = check.findings(rows.drop("languages"), lex, "doc_id", s.flag_words, s.words, s.min_length(), self._lexicon(german) if german else None, self._parts(ids))
+        bad = check.findings(rows.drop("languages"), lex, "doc_id", s.flag_words, s.words, s.min_length(), self._lexicon(german) if german else None, self._parts(ids), self._affixed(ids), registry.TRANSLITERATED)
         for name, d in special:
             own = self.lexicons[d].select("fold_key").distinct()
             has = rows.where(F.array_contains("languages", name)).select("doc_id").distinct()
@@ -211,7 +227,7 @@ class Engine:
         lex = self._lexicon(list(dict.fromkeys(ids)))
         if lex is None or not self.has_primary():
             return self.spark.createDataFrame([], "word string, suggestions array<string>")
-        return suggest.suggestions(words, lex, list(dict.fromkeys(ids)), german=tuple(x for x in dict.fromkeys(ids) if x in registry.TRANSLITERATED), parts=self._parts(ids))
+        return suggest.suggestions(words, lex, list(dict.fromkeys(ids)), german=tuple(x for x in dict.fromkeys(ids) if x in registry.TRANSLITERATED), parts=self._parts(ids), affixed=self._affixed(ids))
 
     def suggested(self, words: list[str]) -> dict[str, list[str]]:
         """Suggestions for a few words, as an editor asks for; those asked before come from memory."""

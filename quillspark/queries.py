@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import queries_settings
+from . import queries_settings, queries_words
 from .functions import text as X
 from .functions.variants import german_variants
 from .operators import capture, check, lexicon, ranges, report, suggest, tokens
@@ -479,5 +479,5 @@ SELECT word, rank, CASE WHEN regexp_full_match(word, '\p{{Lu}}+') THEN translate
     "german_variant_words": f"WITH {_WORDS}, w AS (SELECT DISTINCT word FROM words WHERE lang = 'de'), {_READINGS} SELECT word, mask, variant FROM reading",
 }
 
-QUERIES |= queries_settings.QUERIES
-SQL |= queries_settings.SQL
+QUERIES |= queries_settings.QUERIES | queries_words.QUERIES
+SQL |= queries_settings.SQL | queries_words.sql(_WORDS, _KEY)

@@ -5,7 +5,6 @@ Each takes its cases from whole tables and runs the engine's own functions over
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +16,7 @@ from .operators import capture, compounds, lexicon, ranges, report, suggest, tok
 from .plans import policy, registry
 from .schema import TAGS
 from .sources import files, resources
-from .sources.stage import shared_dir
+from .sources.stage import own_dir
 from .streaming import sessions
 
 
@@ -104,7 +103,7 @@ def dictionary_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as files, found again by a directory, a file and globs, and read; ignore files and hidden names are heeded."""
-    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    root = own_dir(spark, "files")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -134,7 +133,7 @@ def files_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_list_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of part names as a word list with comments and blank lines, read as a lexicon."""
-    path = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
+    path = own_dir(spark, "words")
     words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
     lines = words.select(F.explode(F.array(F.initcap("w"), F.concat(F.lit("#"), "w"), F.lit(""), F.concat(F.lit(" "), "w"))).alias("value"))
     lines.write.text(path)
@@ -261,7 +260,7 @@ def current_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are open after a stream of turns, from keyed state, batch by batch."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = own_dir(spark, "stream")
     _turns(spark, sf_dir).write.parquet(f"{base}/events")
     schema = spark.read.parquet(f"{base}/events").schema
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/events")

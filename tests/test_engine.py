@@ -380,3 +380,13 @@ def test_options(spark):
 def test_identifier_rows(spark):
     df = spark.createDataFrame([(1, "fooBar2baz")], "k int, x string")
     assert [(r.pos, r.part) for r in tokens.identifier_rows(df, "x", ["k"]).collect()] == [(0, "foo"), (1, "Bar"), (3, "baz")]
+
+
+def test_an_engine_strips_affixes(spark, tmp_path):
+    (tmp_path / "en_us.aff").write_text("FLAG UTF-8\nNEEDAFFIX n\nFORBIDDENWORD x\nKEEPCASE k\nSFX B Y 1\nSFX B 0 able/S .\nSFX S Y 1\nSFX S 0 s .\nCOMPOUNDMIN 1\nCOMPOUNDRULE 1\nCOMPOUNDRULE a*b\n")
+    (tmp_path / "en_us.dic").write_text("8\ndrink/B\npseudo/nS\nParis\nwrong/xS\nkilo/k\nsun/a\nrain/a\nshine/b\n")
+    engine = Engine(spark, local_dir=str(tmp_path))
+    text = "drink drinkable drinkables drinks pseudo pseudos paris pARIS PARIS wrong wrongs kilo Kilo sunshine sunrainshine shinesun"
+    assert {r.word for r in engine.spell_check_text(text).collect()} == {"drinks", "pseudo", "pARIS", "wrong", "wrongs", "Kilo", "shinesun"}
+    got = {r.word: r.suggestions for r in engine.suggestions(spark.createDataFrame([("drinkible",), ("paris",)], "word string")).collect()}
+    assert got["drinkible"][0] == "drinkable" and "paris" not in got
