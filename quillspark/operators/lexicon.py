@@ -51,6 +51,13 @@ def corpus_lexicon(rows: DataFrame, doc: str, least_docs: int, dictionary: str =
     return keyed.groupBy("fold_key").count().where(F.col("count") >= least_docs).select(F.lit(dictionary).alias("dictionary"), F.col("fold_key").alias("word"), "fold_key")
 
 
+def text_lexicon(texts: DataFrame, text: str, least_docs: int, dictionary: str = "corpus") -> DataFrame:
+    """As `corpus_lexicon`, from texts that are a document each: a text's words are made distinct in its row, so only counts are shuffled."""
+    keys = F.array_distinct(F.transform(X.words(F.col(text)), X.fold_key))
+    counts = texts.select(F.explode(keys).alias("fold_key")).groupBy("fold_key").count().where(F.col("count") >= least_docs)
+    return counts.select(F.lit(dictionary).alias("dictionary"), F.col("fold_key").alias("word"), "fold_key")
+
+
 def combined_list(lists: DataFrame) -> DataFrame:
     """The build of the built-in list: all lists' words, lowered, longer than a sign, once, in order."""
     return lists.select(F.lower("word").alias("word")).where(F.char_length("word") > 1).distinct().orderBy("word")
@@ -131,7 +138,7 @@ def parse_affixes(text: str) -> AffixRules:
         elif name == "FLAG":
             rules.flag_kind = args[0]
         elif name in ("REP", "ICONV") and len(args) == 2:
-            (rules.replacements if name == "REP" else rules.conversions).append((args[0].strip("^$"), args[1].replace("_", " ")))
+            (rules.replacements if name == "REP" else rules.conversions).append((args[0], args[1].replace("_", " ")))
         elif name == "COMPOUNDRULE" and not args[0].isdigit():
             rules.compounds.append(args[0])
         elif name == "COMPOUNDMIN":

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.variants import german_variants
+from ..sources.stage import staged
+from . import similar
 from .affix import Affixed
 from .check import unknown
+from .lexicon import AffixRules
 
 MOST = 5
 VARIANT_QUERIES = 4
@@ -76,8 +79,9 @@ def ranked(queries: DataFrame, lexicon: DataFrame, distance: int = 2, most: int
     if cuts.limit(BROADCAST + 1).count() <= BROADCAST:
         left = left.join(F.broadcast(cuts), "_cut", "left_semi")  # most keys of unknown words are no known word's, and stay here
     near = left.join(right, "_cut").drop("_cut").withColumn("_key", X.fold_key(F.col("word"))).where((F.abs(n - m) <= distance) & (F.col("_key") != F.col("_known")))
-    near = near.withColumn("_d", F.levenshtein("_key", "_known", distance)).where(F.col("_d") >= 0).distinct()
-    order = Window.partitionBy("word", "dictionary").orderBy("_d", F.abs(n - m), "suggestion")
+    near = near.withColumn("_d", F.levenshtein("_key", "_known", distance)).where(F.col("_d") >= 0)
+    near = near.select("word", "dictionary", "suggestion", (F.col("_d") * 8 + F.abs(n - m)).cast("byte").alias("_far")).distinct()
+    order = Window.partitionBy("word", "dictionary").orderBy("_far", "suggestion")
     top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return top.select("word", "dictionary", "rank", X.recased(F.col("suggestion"), F.col("word")).alias("suggestion"))
 
@@ -88,9 +92,29 @@ def round_robin(lists: DataFrame, keys: list[str], most: int = MOST) -> DataFram
     return first.groupBy(*keys).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]), 1, most).alias("items"))
 
 
-def suggestions(queries: DataFrame, lexicon: DataFrame, order: list[str], most: int = MOST, german: tuple[str, ...] = (), parts: DataFrame | None = None, affixed: tuple[Affixed, ...] = ()) -> DataFrame:
+def by_dictionary(queries: DataFrame, lexicon: DataFrame, rules: dict[str, AffixRules], most: int = MOST) -> DataFrame:
+    """(word) -> (word, dictionary, rank, suggestion): rewritings by a dictionary's rules, then words within two edits, then two words in one; for
+    words with none of these in any dictionary, similar words."""
+    lists = [ranked(queries, lexicon, most=most), similar.split_in_two(queries, lexicon, most)]
+    lists = [x.withColumn("_stage", F.lit(k + 1)) for k, x in enumerate(lists)]
+    for name, own in rules.items():
+        lists.append(similar.rewritten(queries, lexicon.where(F.col("dictionary") == name), own, most).withColumn("_stage", F.lit(0)))
+    near = lists[0]
+    for other in lists[1:]:
+        near = near.unionByName(other)
+    near = staged(near)
+    far = similar.similar(queries.select("word").distinct().join(near.select("word").distinct(), "word", "left_anti"), lexicon, most=most)
+    rows = near.unionByName(far.withColumn("_stage", F.lit(3)))
+    first = rows.groupBy("word", "dictionary", "suggestion").agg(F.min(F.struct("_stage", "rank")).alias("_at"))
+    rank = F.row_number().over(Window.partitionBy("word", "dictionary").orderBy("_at", "suggestion"))
+    return first.withColumn("rank", rank).where(F.col("rank") <= most).select("word", "dictionary", "rank", "suggestion")
+
+
+def suggestions(queries: DataFrame, lexicon: DataFrame, order: list[str], most: int = MOST, german: tuple[str, ...] = (), parts: DataFrame | None = None, affixed: tuple[Affixed, ...] = (), rules: dict[str, AffixRules] | None = None) -> DataFrame:
     """(word) -> (word, suggestions) over all dictionaries in their order; words that a lexicon has get none.
 
+    Suggestions are known words within two edits; with `rules` (by dictionary, may be empty) also rewritings, two words in one and similar words.
+
     `german` names the dictionaries that also know words by readings with umlauts, and are asked for these.
     """
     read = F.col("dictionary").isin(*german) if german else F.lit(False)
@@ -98,7 +122,12 @@ def suggestions(queries: DataFrame, lexicon: DataFrame, order: list[str], most:
     checked = lexicon.where(~F.col("dictionary").isin(*[d.dictionary for d in affixed])) if affixed else lexicon
     asked = unknown(asked, checked, checked.where(read) if german else None, parts, affixed, german)
     place = F.create_map(*[F.lit(v) for k, d in enumerate(order) for v in (d, k)])
-    lists = ranked(asked, lexicon.where(~read), most=most).select("word", place[F.col("dictionary")].alias("source"), "rank", F.col("suggestion").alias("item"))
+    if rules is None:
+        found = ranked(asked, lexicon.where(~read), most=most)
+    else:
+        asked = staged(asked)
+        found = by_dictionary(asked, lexicon.where(~read), {k: r for k, r in rules.items() if k not in german}, most)
+    lists = found.select("word", place[F.col("dictionary")].alias("source"), "rank", F.col("suggestion").alias("item"))
     for name in german:
         own = german_suggestions(asked, lexicon.where(F.col("dictionary") == name), most)
         lists = lists.unionByName(own.select("word", place[F.lit(name)].alias("source"), F.posexplode("suggestions").alias("rank", "item")).withColumn("rank", F.col("rank") + 1))

@@ -227,7 +227,7 @@ class Engine:
         lex = self._lexicon(list(dict.fromkeys(ids)))
         if lex is None or not self.has_primary():
             return self.spark.createDataFrame([], "word string, suggestions array<string>")
-        return suggest.suggestions(words, lex, list(dict.fromkeys(ids)), german=tuple(x for x in dict.fromkeys(ids) if x in registry.TRANSLITERATED), parts=self._parts(ids), affixed=self._affixed(ids))
+        return suggest.suggestions(words, lex, list(dict.fromkeys(ids)), german=tuple(x for x in dict.fromkeys(ids) if x in registry.TRANSLITERATED), parts=self._parts(ids), affixed=self._affixed(ids), rules={x.dictionary: x.rules for x in self._affixed(ids)})
 
     def suggested(self, words: list[str]) -> dict[str, list[str]]:
         """Suggestions for a few words, as an editor asks for; those asked before come from memory."""

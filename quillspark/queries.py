@@ -216,11 +216,11 @@ def suggest_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suggest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions within two edits for every unknown word of documents."""
-    counts = doc_counts(spark, sf_dir)
-    lex = corpus(spark, sf_dir, counts)
-    asked = counts.where(F.char_length("word") >= 3).select("word").distinct()
-    asked = asked.withColumn("fold_key", X.fold_key(F.col("word"))).join(lex.select("fold_key"), "fold_key", "left_anti")
-    return suggest.ranked(asked, lex).select("word", F.col("rank").cast("long").alias("rank"), "suggestion")
+    texts = files.spread(table(spark, sf_dir, "documents").select("text"))
+    lex = staged(lexicon.text_lexicon(texts, "text", LEAST_DOCS))
+    words = texts.select(F.explode(F.array_distinct(X.words(F.col("text")))).alias("word")).where(F.char_length("word") >= 3).distinct()
+    asked = words.withColumn("fold_key", X.fold_key(F.col("word"))).join(check.sized(lex.select("fold_key")), "fold_key", "left_anti")
+    return suggest.ranked(staged(asked), lex).select("word", F.col("rank").cast("long").alias("rank"), "suggestion")
 
 
 def line_col(spark: SparkSession, sf_dir: str) -> DataFrame:
