@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import affix, compound_rules, lexicon, tokens
+from .operators import affix, compound_rules, lexicon
 from .sources import files
 from .sources.stage import staged
 
@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, word) of documents, each pair once, staged."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return staged(tokens.word_rows(files.spread(docs), "text", ["doc_id"]).select("doc_id", "word").distinct())
+def texts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.spread(table(spark, sf_dir, "documents").select("text"))
+
+
+def distinct_words(texts: DataFrame) -> DataFrame:
+    """Each word once; a text's own are made distinct in its row."""
+    return texts.select(F.explode(F.array_distinct(X.words(F.col("text")))).alias("word")).distinct()
 
 
 AFFIXES = """NEEDAFFIX n
@@ -70,9 +73,9 @@ def corpus_affixed(known: DataFrame) -> affix.Affixed:
 
 def affix_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of documents that the corpus's affix dictionary has, with its number of readings and the least form it stands for."""
-    words = doc_words(spark, sf_dir)
-    known = corpus_affixed(staged(lexicon.corpus_lexicon(words, "doc_id", LEAST_DOCS)))
-    found = affix.readings(words.select("word").distinct(), known)
+    texts = texts_of(spark, sf_dir)
+    known = corpus_affixed(staged(lexicon.text_lexicon(texts, "text", LEAST_DOCS)))
+    found = affix.readings(staged(distinct_words(texts)), known)
     return found.groupBy("word").agg(F.count("*").alias("n_readings"), F.min("form").alias("form"))
 
 
