@@ -28,7 +28,7 @@ ARC_FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNK, LONGEST_LINE = 1 << 16, 1 << 20
+CHUNK, LONGEST_LINE = 1 << 16, 1 << 28
 
 
 def packed(data: bytes, level: int = 1) -> bytes:
@@ -189,10 +189,15 @@ def http_response(payload: bytes, page_id: int | None) -> bytes:
 
 
 def http_parts(content: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """(headers by lower-case name, the head's bytes, the payload)."""
-    head, end, payload = content.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("latin-1").split("\r\n")[1:] if ": " in x)
-    return {k.lower(): v for k, v in fields.items()}, head + end, payload
+    """(headers by lower-case name, the head's bytes, the payload).
+
+    Lines end with or without a carriage return, as old servers sent them; a head that no blank line ends has no payload.
+    """
+    blank = re.search(rb"\r?\n\r?\n", content)
+    end = blank.end() if blank else len(content)
+    lines = content[: blank.start() if blank else end].decode("latin-1").split("\n")[1:]
+    fields = (x.partition(":") for x in lines if ":" in x)
+    return {k.strip().lower(): v.strip() for k, _, v in fields}, content[:end], content[end:]
 
 
 def sha1(data: bytes) -> str:

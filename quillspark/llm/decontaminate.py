@@ -97,8 +97,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", t
     anchors = staged(anchors, "bench-anchors")
     prints = staged(items.select("item_id", F.col("size").alias("size_i"), F.col("fingerprint").alias("fingerprint_i"), F.inline(blocks("fingerprint")).alias("block_i", "value_i")), "bench-prints")
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST else df
-    # Inside a struct a null id equals itself.
-    known = docs.select(F.struct(F.col(ident).alias("doc_id")).alias("doc"), words(F.lower(F.col(text))).alias("_w"))
+    # Rows that share an id, or have none, are told apart by their texts; inside a struct a null id equals itself.
+    key = F.struct(F.col(ident).alias("doc_id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    known = docs.select(key.alias("doc"), words(F.lower(F.col(text))).alias("_w"))
     rows = None
     for k in sorted({WORDS} | {r["k"] for r in items.select("k").distinct().collect()}):
         one = text_shingles(known, k)

@@ -136,7 +136,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     if not total:
         return np.zeros(0, np.uint64)
     parts = 1 << 20
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < -(-SAMPLE_ROWS * parts // total))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < -(-SAMPLE_ROWS * parts // total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

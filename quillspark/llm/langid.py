@@ -13,8 +13,8 @@ fold into tables by byte pairs, so a filter's answer is one or two look-ups.
 A null text, or one without a letter, is `und` with score 0; so is every text if nothing is
 labelled. Of languages with equal probabilities the first by name wins. Rows that repeat are judged alike; lang,
 source and doc_id are never inputs. Extra columns pass through; those named as the two results are replaced. An empty
-table gives no rows. The sample takes DOCS_PER_LANG texts of the LANGUAGES languages with the most texts, so it has a bound
-however many there are; languages beyond these are not learned.
+table gives no rows. The sample takes DOCS_PER_LANG texts of each language, fewer if that is more than MOST_DOCS in all, so it has a bound
+however many there are, and every language is learned; where ids repeat or are missing, texts tell rows apart.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-DOCS_PER_LANG, LANGUAGES = 400, 64
+DOCS_PER_LANG, MOST_DOCS = 400, 25_600
 WINDOWS_PER_DOC = 6
 STEPS = 700
 BATCH = 96
@@ -166,12 +166,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def training_windows(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id") -> list:
     """Rows (lang, doc_id, windows) of the bounded sample; the rest of each text stays where it is."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(ident).alias("doc_id"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).toLocalIterator()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().toLocalIterator()}
     if not counts:
         return []
     parts = 1 << 20
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, -(-DOCS_PER_LANG * parts // n))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share[F.col("lang")])
+    each = max(1, min(DOCS_PER_LANG, MOST_DOCS // len(counts)))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, -(-each * parts // n))])
+    # Ids may repeat or be missing, and texts may: whatever is chosen together, the limit holds.
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < share[F.col("lang")]).limit(2 * MOST_DOCS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,8 +1,9 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance down the directories.
 
-Files are (path, text). Passages are the lines that carry a licence cue, all such lines of a file
+Files are (path, text). Passages are the lines that carry a cue, all lines of a file that speak of a licence
 together, the sentences with a cue, whole lines or over line ends and comment marks, and windows of `SIZES`
-words, cue lines and others alike, wherever a cue word is. So a one-line header, a line with prose
+words wherever a cue is. The cues are derived from the templates' vectors (`cue_terms`): a passage without any of them cannot
+have a cosine of `LEAST` but by common words and numbers alone, which are no licence; so leaving it out loses nothing. So a one-line header, a line with prose
 behind it and a notice wrapped over many lines can match in a file of any length. Windows begin at
 every third of their size, so a word is in three of each size however many cues a file has. A passage and a
 template are vectors of term frequency times idf; idf is that of the templates (a bounded table that
@@ -18,7 +19,7 @@ DataFrame functions only. A null or empty text has no licence of its own; a null
 directory and inherits nothing. Of equal cosines the template first in the alphabet wins; of several
 licence files in a directory the best, then the first by path. Rows that repeat are judged alike; rows that share a
 file are one file with all their passages, which speaks for the directory of its least path. Only file, path and text are
-read. Texts of any length are scanned whole: what holds no cue word in reach of a window cannot match. An empty table
+read. Texts of any length are scanned whole: what holds no cue cannot match. An empty table
 gives no rows.
 """
 
@@ -31,8 +32,10 @@ from .common import staged, table
 
 LEAST = 0.55
 MOSTLY = 0.5
+#: Lines that make a file speak of its licence, for whether most of it does.
 CUE = r"(?i)licen[sc]|copyright|\(c\)|spdx|warrant|redistribut|permission[\s\W]+is[\s\W]+hereby|public[\s\W]+domain"
-CUE_TERM = "licen[sc]|copyright|^c$|spdx|warrant|redistribut|^hereby$|^domain$"
+#: Terms that texts are full of; they and numbers count in a cosine, but alone they are no licence.
+COMMON = frozenset("a above all an and any are as at be by can code copy either except file files following for form forms free from general has have http in including into is it its kind law list may must name names neither no nor not of on only or other person possible prior program public rights software source specific such terms that the this to under use used version with without work writing written you your".split())
 #: Words of a window; templates have 2 to 80.
 SIZES = (12, 18, 27, 42, 63, 96)
 #: A line end with the comment marks around it, unless the next line is empty.
@@ -116,24 +119,47 @@ def template_vectors(spark: SparkSession, templates: tuple = TEMPLATES) -> tuple
     return staged(out, "licence-templates"), math.log(n + 1.0) + 1.0
 
 
-def cued(files: DataFrame) -> DataFrame:
-    """(file, path, n_words, lines): files with cue lines, and these."""
-    has = files.where(F.col("text").rlike(CUE))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
-    return has.select("file", "path", F.size(F.split("text", r"\s+")).alias("n_words"), lines.alias("lines"), sentences(F.col("text")).alias("sentences"), terms(F.col("text")).alias("terms")).select(
-        "file", "path", "n_words", "lines", "sentences", windows(F.col("terms")).alias("windows")
-    )
+def distinct(term: str) -> bool:
+    return term not in COMMON and any(c.isalpha() for c in term)
 
 
-def sentences(text: Column) -> Column:
-    """Sentences with a cue; one ends with its mark, or at an empty line."""
-    whole = F.regexp_replace(text, WRAP, " ")
-    return F.filter(F.split(whole, r"(?<=[.;:!?])\s+|\n"), lambda x: x.rlike(CUE))
+def cue_terms(vectors: list[tuple[int, str, float]], least: float = LEAST) -> list[str]:
+    """(template, term, weight) -> terms of which every passage that is `least` like a template, and not in common terms alone, has one.
 
-
-def windows(words: Column) -> Column:
-    """Windows of each size around cue words, at every third of the size."""
-    cues = F.filter(F.transform(words, lambda x, i: F.when(x.rlike(CUE_TERM), i)), lambda i: i.isNotNull())
+    What shares only the other terms of a template is at most as like it as these terms' part of its length (by Cauchy and
+    Schwarz). They are left out only as long as that part is below `least`; a template with more common terms than that
+    has all its others among the cues.
+    """
+    by: dict[int, dict[str, float]] = {}
+    for template, term, weight in vectors:
+        by.setdefault(template, {})[term] = weight
+    chosen: set[str] = set()
+    for own in by.values():
+        left = sum(w * w for t, w in own.items() if t not in chosen)
+        for term in sorted((t for t in own if distinct(t)), key=lambda t: (-own[t], t)):
+            if left < least * least * 0.999:
+                break
+            if term not in chosen:
+                chosen.add(term)
+                left -= own[term] ** 2
+    return sorted(chosen)
+
+
+def cued(files: DataFrame, cues: list[str]) -> DataFrame:
+    """(file, path, n_words, lines, said, sentences, windows): files with a cue, and their passages with one; `said` are the lines that speak of a licence."""
+    # Substrings, so texts that pass may still have no such term.
+    any_cue = "(?iu)" + "|".join(x.replace(".", r"\.") for x in cues)
+    has = files.where(F.lower("text").rlike(any_cue))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(any_cue))
+    whole = F.regexp_replace("text", WRAP, " ")
+    sentences = F.filter(F.split(whole, r"(?<=[.;:!?])\s+|\n"), lambda x: x.rlike(any_cue))  # one ends with its mark, or at an empty line
+    rows = has.select("file", "path", F.size(F.split("text", r"\s+")).alias("n_words"), lines.alias("lines"), sentences.alias("sentences"), terms(F.col("text")).alias("terms"))
+    return rows.select("file", "path", "n_words", "lines", F.filter("lines", lambda x: x.rlike(CUE)).alias("said"), "sentences", windows(F.col("terms"), cues).alias("windows"))
+
+
+def windows(words: Column, cue: list[str]) -> Column:
+    """Windows of each size with a cue, at every third of the size."""
+    cues = F.filter(F.transform(words, lambda x, i: F.when(x.isin(*cue), i)), lambda i: i.isNotNull())
 
     def of(size: int) -> Column:
         step = size // 3
@@ -145,9 +171,9 @@ def windows(words: Column) -> Column:
 
 
 def passages(cues: DataFrame) -> DataFrame:
-    """(file, part, passage): a file's passages by number, and all its cue lines together as -1."""
+    """(file, part, passage): a file's passages by number, and all lines that speak of a licence together as -1."""
     each = F.array_distinct(F.concat("lines", "sentences", "windows"))
-    both = F.concat(F.transform(each, lambda x, i: F.struct(i.alias("part"), x.alias("passage"))), F.array(F.struct(F.lit(-1).alias("part"), F.array_join("lines", " ").alias("passage"))))
+    both = F.concat(F.transform(each, lambda x, i: F.struct(i.alias("part"), x.alias("passage"))), F.array(F.struct(F.lit(-1).alias("part"), F.array_join("said", " ").alias("passage"))))
     return cues.select("file", F.inline(both))
 
 
@@ -156,7 +182,7 @@ def cosines(parts: DataFrame, vectors: DataFrame, other: float) -> DataFrame:
     idf = F.broadcast(vectors.select("term", "idf").distinct())  # as many rows as the templates have terms
     tf = counts(parts, ["file", "part"], "passage").join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     norms = tf.groupBy("file", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.where("idf IS NOT NULL").drop("idf").join(F.broadcast(vectors), "term").groupBy("file", "part", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = tf.where("idf IS NOT NULL").drop("idf").join(F.broadcast(vectors), "term").groupBy("file", "part", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.max(~F.col("term").isin(*COMMON) & F.col("term").rlike("[a-z]")).alias("own")).where("own")
     scored = dots.join(norms, ["file", "part"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
     by_licence = scored.groupBy("file", "licence").agg(F.max("score").alias("score"))
     return by_licence.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("file", "b.licence", (-F.col("b.s")).alias("score"))
@@ -182,9 +208,11 @@ def licensed(files: DataFrame) -> DataFrame:
     """
     spark = files.sparkSession
     vectors, other = template_vectors(spark)
-    cues = staged(cued(files), "licence-cues")  # texts are read once; the rest works on their cue lines
+    # As many rows as the templates have terms.
+    rows = [(r["template"], r["term"], r["weight"]) for r in vectors.select("template", "term", "weight").collect()]
+    cues = staged(cued(files, cue_terms(rows)), "licence-cues")  # texts are read once; the rest works on their passages
     own = cosines(passages(cues), vectors, other).where(F.col("score") >= LEAST)
-    cue_words = F.size(F.split(F.array_join("lines", " "), r"\s+"))
+    cue_words = F.when(F.size("said") > 0, F.size(F.split(F.array_join("said", " "), r"\s+"))).otherwise(0)
     sized = cues.select("file", "path", ((cue_words >= MOSTLY * F.col("n_words")) | F.coalesce(F.col("path").rlike(NAMED), F.lit(False))).alias("speaks"))
     # Rows that share a file are one file, at the least of their paths.
     own = staged(own.join(sized.groupBy("file").agg(F.min("path").alias("path"), F.max("speaks").alias("speaks")), "file"), "licence-own")

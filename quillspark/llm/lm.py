@@ -147,7 +147,7 @@ def warm_start(docs: DataFrame, head: Head, params: dict, n_docs: int) -> tuple[
             ids, ends = head.ids(distinct)[0][which].astype(np.int32), np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)], pa.binary())], names=["doc_id", "ids"])
 
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < -(-WARM_DOCS * parts // max(1, n_docs)))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < -(-WARM_DOCS * parts // max(1, n_docs))).limit(2 * WARM_DOCS)
     rows = sorted((r["doc_id"] or 0, bytes(r["ids"])) for r in chosen.mapInArrow(run, "doc_id long, ids binary").where(F.length("ids") <= 4 * WARM_LONGEST).toLocalIterator())
     memory = {k: np.full_like(v, 1e-5) for k, v in params.items()}
     if not rows:

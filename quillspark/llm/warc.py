@@ -23,6 +23,7 @@ from __future__ import annotations
 import contextlib
 import datetime
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -113,7 +114,7 @@ def arc_index(manifest: DataFrame, folder: str, n_files: int) -> DataFrame:
                     for record in A.arc_records(file):
                         head, _, payload = A.http_parts(record.content) if record.is_http else ({}, b"", record.content)
                         page_id = head.get("x-page-id")
-                        rows.append({"file": name, "at": record.at, "kind": "response" if record.is_http else "resource", "page_id": None if page_id is None else int(page_id), "url": record.url, "date": record.date, "digest": hashlib.sha1(payload).hexdigest(), "payload_bytes": len(payload)})
+                        rows.append({"file": name, "at": record.at, "kind": "response" if record.is_http else "resource", "page_id": int(page_id) if page_id and re.fullmatch("-?[0-9]{1,18}", page_id) else None, "url": record.url, "date": record.date, "digest": hashlib.sha1(payload).hexdigest(), "payload_bytes": len(payload)})
                         if len(rows) == 5000:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows = []

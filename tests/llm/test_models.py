@@ -156,10 +156,14 @@ def test_predictions_against_a_plain_network(spark):
     assert empty.count() == 0 and empty.columns == [*df.columns, "lang_pred", "lang_score"]
 
 
-def test_the_sample_has_a_bound_in_languages(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LANGUAGES", 2)
-    df = spark.createDataFrame([(k, "some text", f"l{min(k % 5, 2)}") for k in range(50)], DOCS)
-    assert sorted({r["lang"] for r in langid.training_windows(df)}) == ["l0", "l2"]
+def test_the_sample_has_a_bound_and_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_DOCS", 60)
+    df = spark.createDataFrame([(k, f"some text {k}", f"l{k % 100}") for k in range(2000)], DOCS)
+    assert len({r["lang"] for r in langid.training_windows(df.where("doc_id < 100"))}) == 100
+    assert len(langid.training_windows(df)) <= 120
+    # Rows without an id, and copies of one text, are not chosen all together beyond the bound.
+    lost = spark.createDataFrame([(None, f"some text {k}" if k % 2 else "copy", "l0") for k in range(2000)], DOCS)
+    assert 0 < len(langid.training_windows(lost)) <= 120
 
 
 def test_words_tied_at_the_heads_last_count(spark):

@@ -455,3 +455,41 @@ def test_cosines_against_brute_force(spark):
         best = min((-cosine(line, t), spdx) for spdx, t in licences.TEMPLATES)
         if best[0]:
             assert got[k][0] == best[1] and got[k][1] == pytest.approx(-best[0], abs=1e-8)
+
+
+def test_passages_without_a_cue_word_of_old_keep_their_licence(spark):
+    lines = {
+        "CC BY-NC 4.0": "CC-BY-NC-4.0", "This work: Creative Commons Attribution-ShareAlike 4.0 International, under a deed": "CC-BY-SA-4.0",
+        "Text: Creative Commons Attribution-NonCommercial 4.0 International": "CC-BY-NC-4.0", "free and unencumbered software": "Unlicense", "GNU General Public v3, version 3": "GPL-3.0", "some software of the public, version 3": None,
+    }
+    df = spark.createDataFrame([(str(k), None, f"text before\n\n{x}\n\nand after") for k, x in enumerate(lines)], "file string, path string, text string")
+    assert {r.file: r.licence for r in licences.licensed(df).collect()} == {str(k): v for k, v in enumerate(lines.values())}
+
+
+def test_the_cues_lose_no_passage(spark):
+    """Random passages of template terms: none without a cue has the least cosine, and all that have it are found with the cues alone."""
+    vectors, other = licences.template_vectors(spark)
+    rows = [tuple(r) for r in vectors.select("template", "term", "weight").collect()]
+    cues = licences.cue_terms(rows)
+    every = sorted({t for _, t, _ in rows})
+    assert all(licences.distinct(t) for t in cues)
+    rng = np.random.default_rng(9)
+    by = {}
+    for k, t, _ in rows:
+        by.setdefault(k, []).append(t)
+    texts = []
+    for k in range(400):
+        own = by[k % len(by)]
+        texts.append(" ".join([*rng.choice(own, rng.integers(1, min(len(own), 12) + 1)), *rng.choice(["q1z", "nothing", "der"], rng.integers(0, 3))]))
+    texts += [" ".join(t for t in own if t not in cues) for own in by.values()]
+    df = spark.createDataFrame([(str(k), None, t) for k, t in enumerate(texts)], "file string, path string, text string")
+    found = [{(r.file, r.licence, r.score) for r in licences.cosines(licences.passages(licences.cued(df, some)), vectors, other).where(F.col("score") >= licences.LEAST).collect()} for some in (cues, every)]
+    assert found[0] == found[1] and len(found[0]) > 50
+
+
+def test_old_heads_of_responses():
+    """Heads with bare line ends and fields without a blank keep their payload; what is no number names no page."""
+    fields, head, payload = archive.http_parts(b"HTTP/1.0 200 OK\nContent-Length:5\nX-Page-Id: abc\n\n<html>\r\n\r\nx")
+    assert fields == {"content-length": "5", "x-page-id": "abc"} and payload == b"<html>\r\n\r\nx" and head.endswith(b"abc\n\n")
+    assert archive.http_parts(b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nbody\n\nmore")[1:] == (b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n", b"body\n\nmore")
+    assert archive.http_parts(b"HTTP/1.0 204 No\nA: b")[2] == b""

@@ -221,3 +221,16 @@ def test_simhash_finds_windows_within_the_similarity(spark):
 
     want = {(k, k) for (k, a), (_, d) in zip(items, docs) if any(similar(" ".join(d.split()[s : s + len(a.split())]), a) for s in range(len(d.split())))}
     assert found == want and len(want) > 10
+
+
+def test_texts_without_ids_are_judged_each_by_its_own_windows(spark):
+    """Windows of one text are not cut from others that have no id either."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    passage = " ".join(word() for _ in range(40))
+    texts = [f"{' '.join(word() for _ in range(k % 5))} {passage}" if k % 3 == 0 else " ".join(word() for _ in range(60)) for k in range(90)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = decontaminate.contaminated(df, bench).collect()
+    # Equal texts without an id are one.
+    assert len(got) == len({t for t in texts if passage in t}) and all(r.doc_id is None and r.similarity > 0.99 for r in got)
