@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import affix, compound_rules, lexicon
+from .operators import affix, ancestors, compound_rules, lexicon
 from .sources import files
 from .sources.stage import staged
 
@@ -179,4 +179,79 @@ def sql(words: str, key: str) -> dict[str, str]:
     return {
         "affix_check": f"WITH {words}, {_AFFIX_SQL.replace('KEY_WORD', key.format('word')).replace('KEY_FORM', key.format('form'))}",
         "rule_compounds": _COMPOUND_SQL,
+        "captures_without_ancestors": _CAPTURES_SQL,
     }
+
+
+def _sources(customers: DataFrame) -> DataFrame:
+    """A source for each customer, in one of four languages, with blocks as deep as its number says."""
+    key, name, segment = F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")
+    deep = F.repeat(F.lit("{ ("), (F.col("c_custkey") % 5).cast("int"))
+    back = F.repeat(F.lit(") }"), (F.col("c_custkey") % 5).cast("int"))
+    texts = (
+        ("Rust", F.concat(F.lit("impl Show for A { "), deep, F.lit("fn a"), key, F.lit('() { x("'), segment, F.lit('") }'), back, F.lit(' } #[doc = "no"]\nfn b'), key, F.lit('() { "'), name, F.lit('" } // "c"'))),
+        ("Go", F.concat(F.lit('import (\n "os" '), deep, F.lit('"no"'), back, F.lit(")\nfunc f"), key, F.lit('() { p("'), segment, F.lit('", "é") }'))),
+        ("Java", F.concat(F.lit('@N("no" '), deep, F.lit('"no"'), back, F.lit(") class C"), key, F.lit(' { String s = "'), name, F.lit('"; }'))),
+        ("Python", F.concat(F.lit("def f"), key, F.lit('(a: D["no"] = "'), name, F.lit('", b="yes", c: "no") -> "no":\n    return {"k": '), segment, F.lit('["v"]} # "c"'))),
+    )
+    text = None
+    for k, (_, made) in enumerate(texts):
+        text = F.when(F.col("c_custkey") % 4 == k, made) if text is None else text.when(F.col("c_custkey") % 4 == k, made)
+    language = F.element_at(F.array(*[F.lit(x) for x, _ in texts]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return customers.select("c_custkey", language.alias("language"), text.alias("text"))
+
+
+def captures_without_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is captured of a source made for each customer, but for captures inside what their language's rules name."""
+    docs = files.spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    return ancestors.kept_captures(_sources(docs), "c_custkey")
+
+
+_CAPTURES_SQL = rf"""
+WITH source AS (
+  SELECT c_custkey AS id, ['Rust', 'Go', 'Java', 'Python'][c_custkey % 4 + 1] AS language, repeat('{{ (', CAST(c_custkey % 5 AS INTEGER)) AS deep, repeat(') }}', CAST(c_custkey % 5 AS INTEGER)) AS back, c_name, c_mktsegment
+  FROM customer
+), written AS (
+  SELECT id, language, CASE language
+    WHEN 'Rust' THEN 'impl Show for A {{ ' || deep || 'fn a' || id || '() {{ x("' || c_mktsegment || '") }}' || back || ' }} #[doc = "no"]' || chr(10) || 'fn b' || id || '() {{ "' || c_name || '" }} // "c"'
+    WHEN 'Go' THEN 'import (' || chr(10) || ' "os" ' || deep || '"no"' || back || ')' || chr(10) || 'func f' || id || '() {{ p("' || c_mktsegment || '", "é") }}'
+    WHEN 'Java' THEN '@N("no" ' || deep || '"no"' || back || ') class C' || id || ' {{ String s = "' || c_name || '"; }}'
+    ELSE 'def f' || id || '(a: D["no"] = "' || c_name || '", b="yes", c: "no") -> "no":' || chr(10) || '    return {{"k": ' || c_mktsegment || '["v"]}} # "c"' END AS text
+  FROM source
+), cut AS (
+  SELECT id, language, regexp_extract_all(text, CASE WHEN language = 'Python' THEN '{ancestors.token_pattern("hash").replace("'", "''")}' ELSE '{ancestors.token_pattern("slashes").replace("'", "''")}' END) AS t FROM written
+), token AS (
+  SELECT id, language, unnest(t) AS token, generate_subscripts(t, 1) AS k FROM cut
+), placed AS (
+  SELECT *, sum(strlen(token)) OVER w AS e, sum(strlen(token)) OVER w - strlen(token) AS s, token IN ('{{', '(', '[') AS opens, token IN ('}}', ')', ']') AS closes,
+         sum(CASE WHEN token IN ('{{', '(', '[') THEN 1 WHEN token IN ('}}', ')', ']') THEN -1 ELSE 0 END) OVER w AS run,
+         regexp_extract(string_agg(token, '') OVER (PARTITION BY id ORDER BY k ROWS BETWEEN {ancestors.BEFORE} PRECEDING AND 1 PRECEDING), '[^;{{}}]*$') AS head
+  FROM token WINDOW w AS (PARTITION BY id ORDER BY k)
+), deep AS (
+  SELECT *, run + CASE WHEN closes THEN 1 ELSE 0 END AS depth, max(e) OVER (PARTITION BY id) AS text_end,
+         CASE WHEN language = 'Rust' AND token = '{{' AND regexp_matches(head, '\bimpl\b[^=]*\bfor\b') THEN 'trait_impl' WHEN language = 'Rust' AND token = '[' AND regexp_matches(head, '#!?$') THEN 'attribute'
+              WHEN language = 'Go' AND token = '(' AND regexp_matches(head, '\bimport\s*$') THEN 'import' WHEN language = 'Java' AND token = '(' AND regexp_matches(head, '@[A-Za-z_.]+\s*$') THEN 'annotation'
+              WHEN language = 'Python' AND token = '(' AND regexp_matches(head, '\bdef\s+[A-Za-z_0-9]+\s*$') THEN 'parameters' END AS kind
+  FROM placed
+), level AS (
+  SELECT *, min(CASE WHEN closes THEN e END) OVER later AS close_end, min(CASE WHEN closes OR token IN (',', '=') THEN s END) OVER later AS stop, min(CASE WHEN token = ':' THEN s END) OVER later AS colon,
+         last_value(CASE WHEN opens THEN coalesce(kind, '') END IGNORE NULLS) OVER (PARTITION BY id, depth ORDER BY k ROWS UNBOUNDED PRECEDING) AS inner_kind
+  FROM deep WINDOW later AS (PARTITION BY id, depth ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+), around AS (
+  SELECT id, kind, s, coalesce(close_end, text_end) AS e FROM level WHERE kind IS NOT NULL
+  UNION ALL SELECT id, 'type', s, coalesce(stop, text_end) FROM level WHERE language = 'Python' AND token = ':' AND inner_kind = 'parameters' AND depth > 0
+  UNION ALL SELECT id, 'type', s, coalesce(colon, text_end) FROM level WHERE language = 'Python' AND token = '->'
+), plain AS (
+  SELECT *, lag(token) OVER (PARTITION BY id ORDER BY k) AS before FROM placed
+  WHERE NOT regexp_matches(token, '^\s+$') AND NOT starts_with(token, '//') AND NOT (language = 'Python' AND starts_with(token, '#'))
+), tagged AS (
+  SELECT id, language, s, e, CASE WHEN regexp_matches(token, '^["''`]') AND length(token) > 2 THEN 'string'
+    WHEN (language, before) IN (('Rust', 'fn'), ('Go', 'func'), ('Python', 'def')) THEN 'identifier.function' WHEN (language, before) IN (('Java', 'class')) THEN 'identifier.type' END AS tag
+  FROM plain
+)
+SELECT id AS c_custkey, tag, CAST(s + CASE WHEN tag = 'string' THEN 1 ELSE 0 END AS BIGINT) AS start_byte, CAST(e - CASE WHEN tag = 'string' THEN 1 ELSE 0 END AS BIGINT) AS end_byte FROM tagged t
+WHERE tag IS NOT NULL AND NOT EXISTS (SELECT 1 FROM around a WHERE a.id = t.id AND a.s <= t.s AND t.e <= a.e AND (
+  (language = 'Rust' AND ((tag = 'identifier.function' AND kind = 'trait_impl') OR (tag = 'string' AND kind = 'attribute'))) OR (tag = 'string' AND (language, kind) IN (('Go', 'import'), ('Java', 'annotation'), ('Python', 'type')))))
+"""
+
+QUERIES |= {"captures_without_ancestors": captures_without_ancestors}
