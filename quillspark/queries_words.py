@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import affix, ancestors, compound_rules, lexicon
+from .operators import affix, ancestors, check, compound_rules, lexicon, similar
 from .sources import files
 from .sources.stage import staged
 
@@ -173,6 +173,10 @@ SELECT DISTINCT word FROM walk WHERE pos = length(word) + 1 AND next IN (3, 6, 9
 
 QUERIES = {f.__name__: f for f in (affix_check, rule_compounds)}
 
+#: A suggestion in the case of the word that it is for.
+_RECASED = r"""CASE WHEN regexp_full_match(word, '\p{Lu}+') THEN translate(suggestion, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
+  WHEN regexp_full_match(word, '\p{Ll}+') THEN translate(suggestion, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE suggestion END"""
+
 
 def sql(words: str, key: str) -> dict[str, str]:
     """`words` are CTEs of all words of documents and the corpus's lexicon; `key` the fold key of a column."""
@@ -180,7 +184,7 @@ def sql(words: str, key: str) -> dict[str, str]:
         "affix_check": f"WITH {words}, {_AFFIX_SQL.replace('KEY_WORD', key.format('word')).replace('KEY_FORM', key.format('form'))}",
         "rule_compounds": _COMPOUND_SQL,
         "captures_without_ancestors": _CAPTURES_SQL,
-    }
+    } | _similar_sql(words, key, _RECASED)
 
 
 def _sources(customers: DataFrame) -> DataFrame:
@@ -255,3 +259,77 @@ WHERE tag IS NOT NULL AND NOT EXISTS (SELECT 1 FROM around a WHERE a.id = t.id A
 """
 
 QUERIES |= {"captures_without_ancestors": captures_without_ancestors}
+
+#: Replacements and related letters, and the same with places as the operator numbers them.
+REWRITES = "REP 7\nREP en in\nREP on$ an\nREP ^th t\nREP ly lich\nREP ou u\nREP alot a_lot\nREP nand n_and\nMAP 2\nMAP aä\nMAP eéè\n"
+
+
+def rewritten_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every unknown word of documents, the known words that it is by a replacement or a related letter, or two of them in one."""
+    texts = texts_of(spark, sf_dir)
+    lex = staged(lexicon.text_lexicon(texts, "text", LEAST_DOCS))
+    asked = distinct_words(texts).where(F.char_length("word") >= 3).withColumn("fold_key", X.fold_key(F.col("word")))
+    asked = staged(asked.join(check.sized(lex.select("fold_key")), "fold_key", "left_anti"))
+    rules = lexicon.parse_affixes(REWRITES)
+    lists = similar.rewritten(asked, lex, rules).withColumn("source", F.lit("rewritten")).unionByName(similar.split_in_two(asked, lex).withColumn("source", F.lit("split")))
+    return lists.select("word", "source", F.col("rank").cast("long").alias("rank"), "suggestion")
+
+
+def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every unknown word of conversations, the known words of documents with the most similar trigrams."""
+    lex = staged(lexicon.text_lexicon(texts_of(spark, sf_dir), "text", LEAST_DOCS))
+    said = files.spread(table(spark, sf_dir, "conversations").select("text"))
+    asked = distinct_words(said).where(F.char_length("word") >= 5).withColumn("fold_key", X.fold_key(F.col("word")))
+    asked = asked.join(check.sized(lex.select("fold_key")), "fold_key", "left_anti")
+    return similar.similar(staged(asked), lex).select("word", F.col("rank").cast("long").alias("rank"), "suggestion")
+
+
+def _similar_sql(words: str, key: str, recased: str) -> dict[str, str]:
+    places = similar.replacements(lexicon.parse_affixes(REWRITES))
+    rules = ", ".join(f"('{a}', '{b}', {first}, {last}, {place})" for a, b, first, last, place in places)
+    return {
+        "rewritten_words": f"""WITH {words}, asked AS (
+  SELECT DISTINCT word, {key.format('word')} AS key FROM words WHERE length(word) >= 3 AND {key.format('word')} NOT IN (SELECT fold_key FROM lex)
+), rule AS (SELECT * FROM (VALUES {rules}) AS t(a, b, at_first, at_last, place)), spot AS (
+  SELECT word, key, unnest(range(1, length(key) + 1)) AS p FROM asked
+), made AS (
+  SELECT word, place, p, key[1 : p - 1] || b || key[p + length(a) :] AS made FROM spot JOIN rule ON key[p : p + length(a) - 1] = a
+  WHERE (NOT at_first OR p = 1) AND (NOT at_last OR p + length(a) = length(key) + 1)
+), found AS (
+  SELECT word, min((place, p)) AS best, made AS suggestion FROM made
+  WHERE (NOT contains(made, ' ') AND made IN (SELECT fold_key FROM lex))
+     OR (contains(made, ' ') AND split_part(made, ' ', 1) IN (SELECT fold_key FROM lex) AND split_part(made, ' ', 2) IN (SELECT fold_key FROM lex)) GROUP BY word, made
+), halves AS (
+  SELECT word, abs(2 * p - length(key)) AS odd, key[1 : p] || ' ' || key[p + 1 :] AS suggestion FROM spot
+  WHERE p < length(key) AND key[1 : p] IN (SELECT fold_key FROM lex) AND key[p + 1 :] IN (SELECT fold_key FROM lex)
+), ranked AS (
+  SELECT word, 'rewritten' AS source, row_number() OVER (PARTITION BY word ORDER BY best, suggestion) AS rank, suggestion FROM found
+  UNION ALL SELECT word, 'split', row_number() OVER (PARTITION BY word ORDER BY odd, suggestion), suggestion FROM halves
+)
+SELECT word, source, rank, {recased} AS suggestion FROM ranked WHERE rank <= {similar.MOST}""",
+        "similar_words": rf"""WITH {words}, known AS (SELECT fold_key AS known FROM lex), asked AS (
+  SELECT DISTINCT word, {key.format('word')} AS key FROM (SELECT unnest(regexp_extract_all(text, '{X.WORD_PATTERN.replace("'", "''")}')) AS word FROM conversations)
+  WHERE length(word) >= 5 AND {key.format('word')} NOT IN (SELECT fold_key FROM lex)
+), known_gram AS (
+  SELECT DISTINCT known, gram FROM (SELECT known, unnest(list_transform(range(1, length(known) + 1), lambda i: (' ' || known || ' ')[i : i + 2])) AS gram FROM known)
+), weight AS (
+  SELECT gram, CAST(round(1000 * ln(1 + CAST((SELECT count(*) FROM known) AS DOUBLE) / count(*))) AS BIGINT) AS weight FROM known_gram GROUP BY gram
+), asked_gram AS (
+  SELECT DISTINCT key, gram FROM (SELECT key, unnest(list_transform(range(1, length(key) + 1), lambda i: (' ' || key || ' ')[i : i + 2])) AS gram FROM (SELECT DISTINCT key FROM asked))
+), asked_total AS (
+  SELECT key, sum(coalesce(weight, CAST(round(1000 * ln(1 + CAST((SELECT count(*) FROM known) AS DOUBLE))) AS BIGINT))) AS total FROM asked_gram LEFT JOIN weight USING (gram) GROUP BY key
+), known_total AS (
+  SELECT known, sum(weight) AS total FROM known_gram JOIN weight USING (gram) GROUP BY known
+), common AS (
+  SELECT key, known, sum(weight) AS common FROM asked_gram JOIN weight USING (gram) JOIN known_gram USING (gram) GROUP BY key, known
+), scored AS (
+  SELECT c.key, c.known, CAST(common AS DOUBLE) / CAST(a.total + k.total - common AS DOUBLE) AS alike FROM common c JOIN asked_total a USING (key) JOIN known_total k ON k.known = c.known
+  WHERE common * 100 >= (a.total + k.total - common) * {similar.LEAST}
+), ranked AS (
+  SELECT word, known AS suggestion, row_number() OVER (PARTITION BY word ORDER BY alike DESC, known) AS rank FROM scored JOIN asked USING (key)
+)
+SELECT word, rank, {recased} AS suggestion FROM ranked WHERE rank <= {similar.MOST}""",
+    }
+
+
+QUERIES |= {f.__name__: f for f in (rewritten_words, similar_words)}
