@@ -34,8 +34,8 @@ LEAST = 0.55
 MOSTLY = 0.5
 #: Lines that make a file speak of its licence, for whether most of it does.
 CUE = r"(?i)licen[sc]|copyright|\(c\)|spdx|warrant|redistribut|permission[\s\W]+is[\s\W]+hereby|public[\s\W]+domain"
-#: Terms that texts are full of; they and numbers count in a cosine, but alone they are no licence.
-COMMON = frozenset("a above all an and any are as at be by can code copy either except file files following for form forms free from general has have http in including into is it its kind law list may must name names neither no nor not of on only or other person possible prior program public rights software source specific such terms that the this to under use used version with without work writing written you your".split())
+#: Terms that texts are full of (`mit` is a German word); they and numbers count in a cosine, but alone they are no licence.
+COMMON = frozenset("a above all an and any are as at be by can code copy either except file files following for form forms free from general has have http in including into is it its kind law list may mit must name names neither no nor not of on only or other person possible prior program public rights software source specific such terms that the this to under use used version with without work writing written you your".split())
 #: Words of a window; templates have 2 to 80.
 SIZES = (12, 18, 27, 42, 63, 96)
 #: A line end with the comment marks around it, unless the next line is empty.
@@ -147,8 +147,8 @@ def cue_terms(vectors: list[tuple[int, str, float]], least: float = LEAST) -> li
 
 def cued(files: DataFrame, cues: list[str]) -> DataFrame:
     """(file, path, n_words, lines, said, sentences, windows): files with a cue, and their passages with one; `said` are the lines that speak of a licence."""
-    # Substrings, so texts that pass may still have no such term.
-    any_cue = "(?iu)" + "|".join(x.replace(".", r"\.") for x in cues)
+    # A cue may also be a part of a longer term here; windows are exact.
+    any_cue = "(?iu)(?<![a-z0-9])(?:" + "|".join(x.replace(".", r"\.") for x in cues) + ")(?![a-z0-9])"
     has = files.where(F.lower("text").rlike(any_cue))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(any_cue))
     whole = F.regexp_replace("text", WRAP, " ")
