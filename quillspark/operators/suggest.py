@@ -4,8 +4,8 @@ Candidates share a deletion key with the word: one edit away means that deleting
 from each gives the same string, two edits at most two; so all within the distance are found. Known
 words of more than `LONG` letters, which have very many deletions, are cut in one piece more than there
 can be edits instead; one piece is whole in the word, moved by the distance at most. Keys are hashed, exploded and
-joined, so no word meets the whole lexicon; where the known words' keys are few enough to broadcast, others never reach the
-shuffle. `levenshtein` then ranks, ties by length and spelling.
+joined, so no word meets the whole lexicon; the known words' keys are marked in a bit set of bounded size, which is broadcast, so that most
+keys that no known word has never reach the shuffle. `levenshtein` then ranks, ties by length and spelling.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .lexicon import AffixRules
 MOST = 5
 VARIANT_QUERIES = 4
 LONG = 20
-#: Keys of known words, 8 bytes each, that may be broadcast to leave out others of the words asked.
-BROADCAST = 6_000_000
+#: Bits that keys of known words are marked in, to leave out other keys of the words asked: 64 a row, so two million rows at most.
+BITS = 1 << 27
 
 
 def deletions(word: Column, distance: int = 1) -> Column:
@@ -61,6 +61,15 @@ def shifted_pieces(word: Column, distance: int) -> Column:
     return F.array_distinct(F.array(*[_piece(word, n + more, k, distance, F.lit(shift)) for more in by for k in range(distance + 1) for shift in by if k or shift >= 0]))
 
 
+def _known_by_bits(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows of left whose `_cut` may be one of right's: its bit is set, as are those of a few others."""
+    place = F.pmod("_cut", F.lit(BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    row = F.floor(place / 64)
+    marks = right.groupBy(row.alias("_row")).agg(F.bit_or(bit).alias("_bits"))
+    return left.withColumn("_row", row).join(F.broadcast(marks), "_row").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_row", "_bits")
+
+
 def ranked(queries: DataFrame, lexicon: DataFrame, distance: int = 2, most: int = MOST) -> DataFrame:
     """(word) and lexicon (dictionary, word, fold_key) -> (word, dictionary, rank, suggestion)."""
     asked = queries.select("word").distinct().withColumn("_key", X.fold_key(F.col("word")))
@@ -75,9 +84,7 @@ def ranked(queries: DataFrame, lexicon: DataFrame, distance: int = 2, most: int
     # Hashes are enough to meet by: pairs are verified before they are made distinct. Rows carry no more than their words.
     left = asked.select("word", hashed(asked_keys))
     right = known.select("dictionary", "suggestion", "_known", hashed(known_keys))
-    cuts = right.select("_cut").distinct()
-    if cuts.limit(BROADCAST + 1).count() <= BROADCAST:
-        left = left.join(F.broadcast(cuts), "_cut", "left_semi")  # most keys of unknown words are no known word's, and stay here
+    left = _known_by_bits(left, right)
     near = left.join(right, "_cut").drop("_cut").withColumn("_key", X.fold_key(F.col("word"))).where((F.abs(n - m) <= distance) & (F.col("_key") != F.col("_known")))
     near = near.withColumn("_d", F.levenshtein("_key", "_known", distance)).where(F.col("_d") >= 0)
     near = near.select("word", "dictionary", "suggestion", (F.col("_d") * 8 + F.abs(n - m)).cast("byte").alias("_far")).distinct()

@@ -5,11 +5,12 @@ Each takes its cases from whole tables and runs the engine's own functions over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .functions import text as X
 from .operators import capture, compounds, lexicon, ranges, report, suggest, tokens
@@ -17,7 +18,7 @@ from .plans import policy, registry
 from .schema import TAGS
 from .sources import files, resources
 from .sources.stage import own_dir
-from .streaming import sessions
+from .streaming import sessions, timed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -258,26 +259,46 @@ def current_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.still_current(results, sessions.current(e.withColumn("seq", F.col("version"))))
 
 
+def _in_parts(spark: SparkSession, sf_dir: str, base: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Turns arrive in three parts; the stream is stopped after each and goes on from its checkpoint with the next."""
+    turns = _turns(spark, sf_dir)
+    for low, high in ((0, 2), (2, 4), (4, 1 << 62)):
+        turns.where((F.col("version") >= low) & (F.col("version") < high)).write.mode("append").parquet(f"{base}/events")
+        start(spark.readStream.schema(turns.schema).parquet(f"{base}/events")).awaitTermination()
+
+
 def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that are open after a stream of turns, from keyed state, batch by batch."""
+    """The documents that are open after a stream of turns, from keyed state, batch by batch over three runs."""
     base = own_dir(spark, "stream")
-    _turns(spark, sf_dir).write.parquet(f"{base}/events")
-    schema = spark.read.parquet(f"{base}/events").schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/events")
 
     def keep(docs: DataFrame, batch: int) -> None:
         docs.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{base}/states")
 
-    run = sessions.tracked(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
+    def start(events: DataFrame) -> StreamingQuery:
+        return sessions.tracked(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+    _in_parts(spark, sf_dir, base, start)
     states = spark.read.schema("uri string, version long, language_id string, text string, open boolean, batch int").parquet(f"{base}/states")
     last = states.groupBy("uri").agg(F.max_by(F.struct("version", "language_id", "text", "open"), F.col("batch")).alias("s"))
     return last.where("s.open").select("uri", "s.version", "s.language_id", "s.text")
 
 
+def documents_after_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a stream with timers has in its state after three runs, read from the state store."""
+    base = own_dir(spark, "stream")
+
+    def start(events: DataFrame) -> StreamingQuery:
+        with timed.rocksdb(spark, idle=False):
+            checks = timed.due_checks(events, 3_600_000).writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
+            return checks.option("path", f"{base}/due").format("parquet").trigger(availableNow=True).start()
+
+    _in_parts(spark, sf_dir, base, start)
+    return timed.open_documents(spark, f"{base}/checkpoint").select("uri", "version", "language_id", "text")
+
+
 QUERIES = {f.__name__: f for f in (
     settings_merged, glob_cases, tag_cases, language_resolution, dictionary_kinds, files_as_documents, word_list_lexicon, combined_word_list, affix_forms, compound_words, editor_options, report_lines,
-    round_robin_lists, back_off_by_user, unicode_tokens, markdown_regions, languages_of_pages, due_events, current_results, streamed_documents,
+    round_robin_lists, back_off_by_user, unicode_tokens, markdown_regions, languages_of_pages, due_events, current_results, streamed_documents, documents_after_restarts,
 )}
 
 _PATH = "coalesce(source, 'none') || '/' || doc_id || '.txt'"
@@ -351,3 +372,4 @@ r AS (
     "current_results": f"WITH {_TURNS} SELECT uri, version, CAST(length(text) AS BIGINT) AS n FROM opened WHERE version = last",
     "streamed_documents": f"WITH {_TURNS} SELECT uri, max(last) AS version, min_by(language_id, version) AS language_id, max_by(text, version) AS text FROM opened GROUP BY uri",
 }
+SQL["documents_after_restarts"] = SQL["streamed_documents"]
