@@ -88,8 +88,8 @@ class Published:
     `check` makes findings (uri, version, ...) from open documents. Without `typing`, only saves call for a check. `reload`
     runs before each batch, so changed settings and lexicons take effect. With a `folder`, all open documents are kept there
     as a table for each batch, and if `reload` says that something changed, every one of them is checked
-    again: so what was published empty before any lexicon was there is published anew once one arrives. Findings of versions
-    that are no longer current are dropped.
+    again: so what was published empty before any lexicon was there is published anew once one arrives. After a restart the
+    table of the batch before is found there; older ones go. Findings of versions that are no longer current are dropped.
     """
 
     def __init__(self, check: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, DataFrame, int], None], reload: Callable[[], bool] | None = None, folder: str | None = None, typing: bool = True):
@@ -111,11 +111,18 @@ class Published:
 
     def _open(self, docs: DataFrame, batch: int) -> DataFrame:
         now = docs.where("open").drop("saved")
+        spark = docs.sparkSession
+        jvm = spark.sparkContext._jvm
+        before, older = (jvm.org.apache.hadoop.fs.Path(f"{self.folder}/open-{batch - k}") for k in (1, 2))
+        store = before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if self.last is None and store.exists(before):
+            self.last = spark.read.schema(now.schema).parquet(str(before))
         if self.last is not None:
             now = now.unionByName(self.last.join(docs.select("uri"), "uri", "left_anti").select(*now.columns))
         path = f"{self.folder}/open-{batch}"
         now.write.mode("overwrite").parquet(path)
-        self.last = docs.sparkSession.read.schema(now.schema).parquet(path)
+        self.last = spark.read.schema(now.schema).parquet(path)
+        store.delete(older, True)
         return self.last
 
 

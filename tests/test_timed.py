@@ -45,3 +45,19 @@ def test_a_pause_is_due_without_an_event_and_documents_outlive_a_restart(spark,
     # What is open is what a fold of all events in a batch says.
     folded = sessions.current(spark.read.schema(SCHEMA).parquet(f"{base}/events").withColumnRenamed("version", "seq").selectExpr("*", "seq AS version"))
     assert {tuple(r) for r in timed.open_documents(spark, f"{base}/checkpoint").collect()} == {(r.uri, r.version, r.language_id, r.text) for r in folded.collect()}
+
+
+def test_a_restarted_session_rechecks_what_was_open(spark, tmp_path):
+    """A new driver finds the documents of the batch before; tables of older batches go."""
+    rows = lambda *uris: spark.createDataFrame([(u, 1, "Text", f"text {u}", True, False) for u in uris], sessions.CURRENT)
+    checked = []
+
+    def published(changed):
+        return sessions.Published(lambda d: d.select("uri", "version"), lambda docs, findings, batch: checked.append(sorted(r.uri for r in findings.collect())), lambda: changed, str(tmp_path))
+
+    first = published(False)
+    for batch, uris in enumerate((["a"], ["b"], ["c"])):
+        first(rows(*uris), batch)
+    published(True)(rows("d"), 3)
+    assert checked == [["a"], ["b"], ["c"], ["a", "b", "c", "d"]]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["open-2", "open-3"]
