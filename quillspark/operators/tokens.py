@@ -96,12 +96,12 @@ def candidates(text: str, skip: list[tuple[int, int]], regions: list[tuple[int,
 
 
 def token_rows(docs: DataFrame, text: str, skip: Column, keep: list[str], regions: Column | None = None) -> DataFrame:
-    """docs -> keep columns, word, start_byte, end_byte. `skip`, `regions`: arrays of ranges."""
+    """docs -> keep columns, word, start_byte, end_byte. `skip`, `regions`: arrays of ranges; what lies in several regions of a text is there once."""
 
     @F.arrow_udf(T.ArrayType(CANDIDATE))
     def run(texts: pa.Array, skips: pa.Array, areas: pa.Array) -> pa.Array:
         pairs = lambda rs: [(r["start_byte"], r["end_byte"]) for r in rs]
-        rows = [candidates(t or "", pairs(s), None if r is None else pairs(r)) for t, s, r in zip(texts.to_pylist(), skips.to_pylist(), areas.to_pylist(), strict=True)]
+        rows = [list(dict.fromkeys(candidates(t or "", pairs(s), None if r is None else pairs(r)))) for t, s, r in zip(texts.to_pylist(), skips.to_pylist(), areas.to_pylist(), strict=True)]
         return listed(rows, CANDIDATE)
 
     areas = F.lit(None).cast("array<struct<start_byte:bigint,end_byte:bigint>>") if regions is None else regions

@@ -167,7 +167,7 @@ class Engine:
 
     def words(self, docs: DataFrame, keep: list[str]) -> DataFrame:
         spans = F.array_distinct(F.transform("area", lambda r: F.struct(r["start_byte"].alias("start_byte"), r["end_byte"].alias("end_byte"))))
-        return tokens.token_rows(docs, "text", F.col("skip"), keep, spans).distinct()
+        return tokens.token_rows(docs, "text", F.col("skip"), keep, spans)
 
     def spell_check(self, docs: DataFrame) -> DataFrame:
         """(doc_id, path, language, text) -> (doc_id, word, locations)."""
