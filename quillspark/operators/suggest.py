@@ -87,9 +87,10 @@ def ranked(queries: DataFrame, lexicon: DataFrame, distance: int = 2, most: int
     left = _known_by_bits(left, right)
     near = left.join(right, "_cut").drop("_cut").withColumn("_key", X.fold_key(F.col("word"))).where((F.abs(n - m) <= distance) & (F.col("_key") != F.col("_known")))
     near = near.withColumn("_d", F.levenshtein("_key", "_known", distance)).where(F.col("_d") >= 0)
-    near = near.select("word", "dictionary", "suggestion", (F.col("_d") * 8 + F.abs(n - m)).cast("byte").alias("_far")).distinct()
+    near = near.select("word", "dictionary", "suggestion", (F.col("_d") * 8 + F.abs(n - m)).cast("byte").alias("_far"))
+    # Pairs that met by several keys have one dense rank, so one shuffle both ranks them and makes them distinct.
     order = Window.partitionBy("word", "dictionary").orderBy("_far", "suggestion")
-    top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    top = near.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= most).select("word", "dictionary", "rank", "suggestion").distinct()
     return top.select("word", "dictionary", "rank", X.recased(F.col("suggestion"), F.col("word")).alias("suggestion"))
 
 
