@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,6 +330,23 @@ def test_back_off():
     assert resources.prefetch(["bad", "list"], ensure, b, 0.0) is False and resources.prefetch(["pair"], ensure, b, 0.0) is True and "bad" in b.gone
 
 
+def test_a_failure_for_good_leaves_no_time_to_wait_for():
+    b = resources.BackOff()
+    assert b.failed("x", 0.0) == 30 and b.next_wait(1.0) == 29
+    assert b.failed("x", 1.0, permanent=True) == 0 and b.next_wait(1.0) == resources.IDLE_WAIT and not b.ready("x", 1e9)
+    assert b.failed("x", 2.0) == 60 and b.next_wait(2.0) == 60
+
+
+def test_back_off_of_users_with_many_failures_in_a_row(spark, tmp_path):
+    kinds = ["error"] * 23 + ["view"] + ["error"] * 11
+    spark.createDataFrame([(k, u, x) for u in (1, 2) for k, x in enumerate(kinds[u - 1 :], 100 * u)], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = con.execute(queries.SQL["back_off_by_user"])
+    columns = [c[0] for c in found.description]
+    assert sorted(tuple(r[c] for c in columns) for r in queries.QUERIES["back_off_by_user"](spark, str(tmp_path)).collect()) == sorted(found.fetchall())
+
+
 EVENTS = [("a", 1, "open", "x"), ("b", 1, "change", "not open"), ("a", 2, "change", "y"), ("c", 1, "open", "z"), ("a", 2, "save", "y2"), ("c", 2, "close", None), ("d", 1, "open", "q"), ("d", 2, "close", None), ("d", 3, "open", "again"), ("a", 3, "save", None)]
 
 
