@@ -347,6 +347,14 @@ def test_back_off_of_users_with_many_failures_in_a_row(spark, tmp_path):
     assert sorted(tuple(r[c] for c in columns) for r in queries.QUERIES["back_off_by_user"](spark, str(tmp_path)).collect()) == sorted(found.fetchall())
 
 
+def test_intervals_that_an_order_has_twice_are_one_island(spark, tmp_path):
+    rows = [(k, p, float(q)) for k in range(50) for p, q in ((2, 3), (9, 1), (9, 1), (10, 2), (20, 5), (20, 5), (25, 1))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("interval_merge", "interval_merge_arrays"):
+        got = sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).select("l_orderkey", "start_byte", "end_byte").collect()))
+        assert got == [(k, s, e) for k in range(50) for s, e in ((2, 5), (9, 12), (20, 26))]
+
+
 EVENTS = [("a", 1, "open", "x"), ("b", 1, "change", "not open"), ("a", 2, "change", "y"), ("c", 1, "open", "z"), ("a", 2, "save", "y2"), ("c", 2, "close", None), ("d", 1, "open", "q"), ("d", 2, "close", None), ("d", 3, "open", "again"), ("a", 3, "save", None)]
 
 
