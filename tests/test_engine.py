@@ -355,6 +355,18 @@ def test_intervals_that_an_order_has_twice_are_one_island(spark, tmp_path):
         assert got == [(k, s, e) for k in range(50) for s, e in ((2, 5), (9, 12), (20, 26))]
 
 
+def test_keys_of_known_words_are_joined_without_a_broadcast(spark, tmp_path):
+    spark.createDataFrame([("corpus", "hausen", "hausen"), ("corpus", "maus", "maus")], "dictionary string, word string, fold_key string").write.parquet(f"{tmp_path}/lex")
+    lex = spark.read.parquet(f"{tmp_path}/lex")
+    found = suggest.ranked(spark.createDataFrame([("haus",), ("Mauss",)], "word string"), lex)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [_cut" in plan and "BroadcastHashJoin [_cut" not in plan
+    assert sorted((r.word, r["rank"], r.suggestion) for r in found.collect()) == [("Mauss", 1, "maus"), ("haus", 1, "maus"), ("haus", 2, "hausen")]
+    keys = spark.range(0, suggest.BITS, 64 * suggest.ROW // 2).select(F.col("id").alias("_cut"))
+    odd = keys.where("_cut % 1024 = 512").withColumn("_cut", F.col("_cut") + suggest.BITS)
+    assert suggest._known_by_bits(keys, odd).agg(F.count("*"), F.min("_cut")).first() == (suggest.BITS // (64 * suggest.ROW), 512)
+
+
 EVENTS = [("a", 1, "open", "x"), ("b", 1, "change", "not open"), ("a", 2, "change", "y"), ("c", 1, "open", "z"), ("a", 2, "save", "y2"), ("c", 2, "close", None), ("d", 1, "open", "q"), ("d", 2, "close", None), ("d", 3, "open", "again"), ("a", 3, "save", None)]
 
 
