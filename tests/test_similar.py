@@ -71,6 +71,22 @@ def test_similar_words_equal_all_pairs(spark, least):
     assert got == plain_similar(words, known, least) and got
 
 
+def test_similar_words_over_parts_of_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(similar, "ASKED", 7)
+    monkeypatch.setattr(similar, "GIVEN", 20)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["an", "be", "é", "s"]) for _ in range(rng.randint(1, 6)))
+    known, words = sorted({word() for _ in range(150)}), sorted({word() for _ in range(60)})
+    two = lexicon.from_words(spark, known, "d").unionByName(lexicon.from_words(spark, known[::2], "e"))
+    found = similar.similar(asked(spark, words), two)
+    got = lists(found)
+    assert {k: v for k, v in got.items() if k[1] == "d"} == plain_similar(words, known, similar.LEAST) and any(k[1] == "e" for k in got)
+    # No row for each pair that shares a trigram: words meet in parts.
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "[gram" not in plan
+    assert similar.similar(asked(spark, words), two.limit(0)).count() == 0 and similar.similar(asked(spark, []), two).count() == 0
+
+
 def test_all_sources_together(spark):
     rules = lexicon.parse_affixes("REP 1\nREP f ph\n")
     lex = lexicon.from_words(spark, ["phone", "tone", "fine", "alpha", "beta", "correspondence"], "d").unionByName(lexicon.from_words(spark, ["bone", "corresponding"], "e"))
