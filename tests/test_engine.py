@@ -4,11 +4,12 @@ import itertools
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark import cli, queries
-from quillspark.operators import check, compounds, lexicon, report, suggest, tokens
+from quillspark import cli, queries, schema
+from quillspark.operators import check, compounds, lexicon, ranges, report, suggest, tokens
 from quillspark.plans.engine import Engine
 from quillspark.plans.policy import Override, Settings
 from quillspark.sources import files, resources
@@ -367,6 +368,21 @@ def test_keys_of_known_words_are_joined_without_a_broadcast(spark, tmp_path):
     assert suggest._known_by_bits(keys, odd).agg(F.count("*"), F.min("_cut")).first() == (suggest.BITS // (64 * suggest.ROW), 512)
 
 
+def test_texts_of_a_batch_are_objects_in_slices(spark, monkeypatch):
+    seen = []
+
+    @ranges.sliced
+    def run(texts: pa.Array, more: pa.Array) -> pa.Array:
+        seen.append(len(texts))
+        return ranges.listed([[(len(t or ""), n)] for t, n in zip(texts.to_pylist(), more.to_pylist(), strict=True)], schema.RANGE)
+
+    monkeypatch.setattr(ranges, "SLICE", 10)
+    texts = ["abc", None, "é" * 30, "", "abcdef", "abcdefg", "x"]
+    got = run(pa.array(texts), pa.array(range(7))).to_pylist()
+    assert [(r["start_byte"], r["end_byte"]) for x in got for r in x] == [(len(t or ""), k) for k, t in enumerate(texts)]
+    assert len(seen) > 2 and sum(seen) == 7 and run(pa.array([], pa.string()), pa.array([], pa.int64())).to_pylist() == []
+
+
 EVENTS = [("a", 1, "open", "x"), ("b", 1, "change", "not open"), ("a", 2, "change", "y"), ("c", 1, "open", "z"), ("a", 2, "save", "y2"), ("c", 2, "close", None), ("d", 1, "open", "q"), ("d", 2, "close", None), ("d", 3, "open", "again"), ("a", 3, "save", None)]
 
 
