@@ -383,6 +383,22 @@ def test_texts_of_a_batch_are_objects_in_slices(spark, monkeypatch):
     assert len(seen) > 2 and sum(seen) == 7 and run(pa.array([], pa.string()), pa.array([], pa.int64())).to_pylist() == []
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_words_are_counted_by_document(spark, tmp_path, repeated):
+    texts = ["Alpha beta beta BETA zeta", "alpha gamma", None, "", "alpha beta", "Alpha", "ALPHA alpha", "alpha", "zeta zeta 12", "zeta"]
+    rows = [(k // 2 if repeated else k, x, ("en", "de", None)[k % 3], "src0") for k, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("unknown_words", "flag_words_override", "german_unknown") + (() if repeated else ("findings_per_document",)):
+        found = con.execute(queries.SQL[name])
+        columns = [c[0] for c in found.description]
+        assert sorted((tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()), key=repr) == sorted(found.fetchall(), key=repr)
+    counts = queries.doc_counts(spark, str(tmp_path))
+    # Words of documents that are one row each are not shuffled.
+    assert repeated or "Exchange hashpartitioning(doc_id" not in counts._jdf.queryExecution().executedPlan().toString() and "inline" in counts._jdf.queryExecution().executedPlan().toString()
+
+
 EVENTS = [("a", 1, "open", "x"), ("b", 1, "change", "not open"), ("a", 2, "change", "y"), ("c", 1, "open", "z"), ("a", 2, "save", "y2"), ("c", 2, "close", None), ("d", 1, "open", "q"), ("d", 2, "close", None), ("d", 3, "open", "again"), ("a", 3, "save", None)]
 
 
