@@ -96,3 +96,17 @@ def test_long_and_numeric_flags_and_no_rules(spark):
     assert run(spark, "FLAG num\nCOMPOUNDMIN 1\nCOMPOUNDRULE 1\nCOMPOUNDRULE (12)(7)*\n", ["x/12", "y/7"], ["xy", "xyyy", "x", "yx"]) == {"xy", "xyyy"}
     assert run(spark, "COMPOUNDMIN 1\n", ["x/a"], ["xx"]) == set() and run(spark, ORDINALS, [], ["11th"]) == set()
     assert compound_rules.matches(compound_rules.automaton(lexicon.parse_affixes(ORDINALS)), [{"n", "1"}, {"t", "c"}])
+
+
+def test_words_are_not_shuffled_with_their_parts(spark):
+    words = spark.createDataFrame([(f"{n}th",) for n in range(40)], "word string")
+    found = compound_rules.accepted(words, known(spark, ORDINALS, NUMBERS))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "Generate" not in plan
+
+
+def test_more_parts_than_a_plan_holds_meet_in_a_join(spark, monkeypatch):
+    words = [f"{n}{end}" for n in (11, 12, 21, 111, 122) for end in ("st", "nd", "rd", "th")]
+    in_row = run(spark, ORDINALS, NUMBERS, words)
+    monkeypatch.setattr(compound_rules, "IN_ROW", 3)
+    assert run(spark, ORDINALS, NUMBERS, words) == in_row == {"11th", "12th", "21st", "111th", "122nd"}
