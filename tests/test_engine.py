@@ -460,3 +460,17 @@ def test_an_engine_strips_affixes(spark, tmp_path):
     assert {r.word for r in engine.spell_check_text(text).collect()} == {"drinks", "pseudo", "ARIS", "wrong", "wrongs", "Kilo", "shinesun"}
     got = {r.word: r.suggestions for r in engine.suggestions(spark.createDataFrame([("drinkible",), ("paris",)], "word string")).collect()}
     assert got["drinkible"][0] == "drinkable" and "paris" not in got
+
+
+def test_first_words_equal_the_least_structures(spark):
+    rng = random.Random(4)
+    letters = ["a", "A", "bc", "Bc", "BC", "é", "É", "dd", "dD", ""]
+    docs = [(rng.choice([None, "z/1", "z/2", "a/9", "m", "Z", ""]), [rng.choice(letters) for _ in range(rng.randint(0, 6))]) for _ in range(40)]
+    df = spark.createDataFrame([*docs, ("z/1", None), (None, ["q"])], "path string, words array<string>").repartition(5)
+    for least in (1, 2):
+        rows = df.select("path", F.posexplode("words").alias("start_byte", "word")).where(F.char_length("word") >= least)
+        found = report.first_words(df, least)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, report.first_only(rows).collect()), key=str) != []
+    assert report.first_words(df.limit(0), 1).collect() == []
+    # One aggregation sorts its rows: that of the words that are left.
+    assert found._jdf.queryExecution().sparkPlan().toString().count("SortAggregate") == 2
