@@ -191,7 +191,7 @@ class Gru:
             grads["w"], grads["w_b"] = np.zeros_like(p["w"]), np.zeros_like(p["w_b"])
             ds = d @ p["c"].T
         words = np.flatnonzero(real & (y < shape.words))
-        words = words[np.argsort(cls[words], kind="stable")]
+        words = words[np.argsort(cls[words].astype(np.uint16) if shape.word_classes <= 1 << 16 else cls[words], kind="stable")]
         bounds = np.searchsorted(cls[words], np.arange(shape.word_classes + 1))
         for k in range(shape.word_classes):
             at = words[bounds[k] : bounds[k + 1]]
@@ -227,17 +227,31 @@ class Gru:
         memory, to go on with.
         """
         memory = memory or {k: np.full_like(v, 1e-5) for k, v in self.p.items()}
+        self.p = {k: v.copy() for k, v in self.p.items()}
         h = np.zeros((lanes.want.shape[1], self.hidden), np.float32)
         for _, want, past in lanes.windows(window):
             states, kept = self._run(past, h[: want.shape[1]], lanes.start_id, True)
             h = states[-1]
-            for name, g in self._gradients(states, kept, want, past).items():
-                memory[name] += g * g
-                self.p[name] = self.p[name] - np.float32(rate) * g / np.sqrt(memory[name])
+            for name, (at, g) in self._touched(states, kept, want, past).items():
+                # Rows without a gradient stay as they are.
+                m = memory[name][at] + g * g
+                memory[name][at] = m
+                np.sqrt(m, out=m)
+                np.divide(g, m, out=m)
+                m *= np.float32(rate)
+                self.p[name][at] -= m
         return memory
 
     def _gradients(self, states: np.ndarray, kept: list, want: np.ndarray, past: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-likelihood over the window's tokens."""
+        out = {}
+        for name, (at, g) in self._touched(states, kept, want, past).items():
+            out[name] = np.zeros_like(self.p[name])
+            out[name][at] = g
+        return out
+
+    def _touched(self, states: np.ndarray, kept: list, want: np.ndarray, past: np.ndarray) -> dict[str, tuple]:
+        """(rows that the window uses, their gradients)."""
         n, u = self.hidden, self.p["u"]
         _, grads, ds = self._outputs(states, want, True)
         ds = ds.reshape(states.shape)
@@ -262,10 +276,10 @@ class Gru:
         dx[..., : 2 * n] = da[..., : 2 * n]
         du = before.reshape(-1, n).T @ da.reshape(-1, 3 * n)
         ids, rows = past.ravel(), dx.reshape(-1, 3 * n)
-        order = np.argsort(ids, kind="stable")
-        starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        grads["x"] = np.zeros_like(self.p["x"])
-        grads["x"][ids[order][starts]] = np.add.reduceat(rows[order], starts)
-        grads["u"] = du
+        # Short numbers are sorted by their digits.
+        order = np.argsort(ids.astype(np.uint16) if self.shape.tokens <= 1 << 16 else ids, kind="stable")
+        ids = ids[order]
+        starts = np.flatnonzero(np.diff(ids, prepend=-1))
+        grads["x"], grads["u"] = np.add.reduceat(rows[order], starts), du
         scale = np.float32(1 / max(1, int((want >= 0).sum())))
-        return {k: grads[k] * scale for k in self.p}
+        return {k: (ids[starts] if k == "x" else slice(None), grads[k] * scale) for k in self.p}

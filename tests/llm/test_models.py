@@ -191,3 +191,16 @@ def test_tables_give_the_networks_answers():
         pooled.append(z.max(1))
     want = langid.softmax(np.maximum(np.concatenate(pooled, 1), 0) @ p["out"] + p["out_b"])
     np.testing.assert_allclose(model.probabilities(x, model.tables()), want, rtol=1e-4, atol=1e-6)
+
+
+def test_a_window_updates_only_the_rows_that_it_uses():
+    shape, rng = Shape(6, 2, 3), np.random.default_rng(1)
+    model = Gru(shape, initial(shape, rng.random(9), hidden=4))
+    lanes = Lanes(np.array([1, 4, 1, 4]), np.array([4]), shape, 1)
+    _, want, past = next(lanes.windows(4))
+    states, kept = model._run(past, np.zeros((1, 4), np.float32), lanes.start_id, True)
+    rows, own = model._touched(states, kept, want, past)["x"]
+    assert rows.tolist() == [1, 4, lanes.start_id] and len(own) == 3
+    before = {k: v.copy() for k, v in model.p.items()}
+    model.train(lanes, 0.1)
+    assert [k for k in range(shape.tokens) if (model.p["x"][k] != before["x"][k]).any()] == rows.tolist()
