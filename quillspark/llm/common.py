@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE = " \t\n\x0b\x0c\r"
 
+#: Shuffle partitions that one task of `staged_ids` writes, about.
+SHARED = 8
+
 _own_root: str | None = None
 _staged: list[str] = []
 
@@ -68,6 +71,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_ids(df: DataFrame, name: str) -> DataFrame:
+    """`staged` for rows of a few numbers each: a task writes several shuffle partitions into one file.
+
+    Files are fewer by this factor and no fewer than the cores, so a task's part shrinks with more partitions.
+    """
+    spark = df.sparkSession
+    files = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARED)
+    return staged(df.coalesce(files), name)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Tables that are staged inside go at the end, but for those made by the function it gives."""

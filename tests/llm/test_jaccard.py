@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.llm import jaccard
+from quillspark.llm import common, jaccard
 from quillspark.llm.components import components
 from quillspark.llm.shingles import shingle_sets
 
@@ -189,3 +189,14 @@ def test_staged_tables_go_when_the_join_is_done(spark, tmp_path, monkeypatch):
     found = jaccard.jaccard_components(docs)
     assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["jaccard-components", "jaccard-rows"]
     assert sorted(map(tuple, found.collect())) == plain(corpus(3, families=2, extra=5))
+
+
+def test_components_that_are_stars_take_no_round(spark):
+    edges = [(10 * k + j, 10 * k) for k in range(5) for j in (1, 2, 3)]
+    before = len(common._staged)
+    got = components(spark.createDataFrame(edges + edges[:2], "a long, b long"))
+    assert len(common._staged) == before + 1
+    assert sorted(map(tuple, got.select("id", "component").collect())) == sorted(edges)
+    # A vertex with two edges, and one that is an end and a start, are not settled.
+    got = components(spark.createDataFrame([(3, 1), (3, 2), (5, 4), (6, 5)], "a long, b long"))
+    assert {r["id"]: r["component"] for r in got.collect()} == {2: 1, 3: 1, 5: 4, 6: 4}
