@@ -19,6 +19,8 @@ from dataclasses import dataclass
 import numpy as np
 
 HIDDEN = 16
+#: Logits of this size at most need no shift in single precision.
+SAFE = 60
 
 
 @dataclass(frozen=True)
@@ -71,11 +73,17 @@ def unflat(vector: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def softmax(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def softmax(logits: np.ndarray, chosen: np.ndarray, safe: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log-probabilities of the chosen columns, exponentials, their sums by row); logits are used up.
 
-    One shift for all rows is enough but where a row lies far below the largest; rows are shifted each then.
+    One shift for all rows is enough but where a row lies far below the largest; rows are shifted each then. Logits
+    within SAFE are not shifted.
     """
+    if safe:
+        here = logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + chosen]
+        e = np.exp(logits, out=logits)
+        total = e @ np.ones(logits.shape[1], logits.dtype)
+        return here - np.log(total), e, total
     logits -= logits.max()
     here = logits[np.arange(len(logits)), chosen]
     ones = np.ones(logits.shape[1], logits.dtype)
@@ -143,70 +151,95 @@ class Gru:
         self.hidden = params["u"].shape[0]
 
     def _run(self, past: np.ndarray, h: np.ndarray, start_id: int, keep: bool):
-        """States after each step; with keep, what back-propagation needs: by step, the state before, z, r, q and the candidate."""
-        u, n = self.p["u"], self.hidden
-        e, fresh = self.p["x"][past], past == start_id
-        e[..., : 2 * n] *= np.float32(0.5)
-        half = u.copy()
-        half[:, : 2 * n] *= np.float32(0.5)  # sigmoid(v) = tanh(v / 2) / 2 + 1 / 2
+        """States after each step; with keep, what back-propagation needs: by step, the state before, z, r, q and the candidate.
+
+        Gates are apart, (gate, lane, unit), so each is in one piece.
+        """
+        n, shape = self.hidden, h.shape
+        # By exponentials, which numpy computes faster: sigmoid(v) = 1 / (exp(-v) + 1), tanh(v) = 1 - 2 / (exp(2 * v) + 1).
+        minus, x = self._gates(self.p["u"]), self._gates(self.p["x"])
+        np.negative(minus[:2], out=minus[:2])
+        np.negative(x[:2], out=x[:2])
+        fresh = past == start_id
         some = fresh.any(1).tolist()
-        states = np.empty((len(past), *h.shape), np.float32)
-        kept = [np.empty((len(past), *h.shape), np.float32) for _ in range(5)] if keep else []
-        for t in range(len(past)):
-            if some[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            a = h @ half
-            zr = np.tanh(e[t, :, : 2 * n] + a[:, : 2 * n])
-            zr += np.float32(1)
-            zr *= np.float32(0.5)
-            z, r, q = zr[:, :n], zr[:, n:], a[:, 2 * n :]
-            new = r * q
-            new += e[t, :, 2 * n :]
-            np.tanh(new, out=new)
-            if keep:
-                for store, value in zip(kept, (h, z, r, q, new), strict=True):
-                    store[t] = value
-            h = np.subtract(h, new, out=states[t])
-            h *= z
-            h += new
-        return states, kept
+        e = np.empty((len(past), 3, *shape), np.float32)
+        for k in range(3):
+            e[:, k] = x[k][past]
+        states = np.empty((len(past), *shape), np.float32)
+        steps = len(past) if keep else 1
+        before, zr, a, cand = (np.empty((steps, *parts, *shape), np.float32) for parts in ((), (2,), (3,), ()))
+        with np.errstate(over="ignore"):  # an exponential without a bound is a gate that is shut
+            for t in range(len(past)):
+                at = t if keep else 0
+                if some[t]:
+                    h = np.where(fresh[t][:, None], np.float32(0), h)
+                if keep:
+                    before[t] = h
+                by, gates, new = np.matmul(h, minus, out=a[at]), zr[at], cand[at]
+                np.add(e[t, :2], by[:2], out=gates)
+                np.exp(gates, out=gates)
+                gates += np.float32(1)
+                np.reciprocal(gates, out=gates)
+                np.multiply(gates[1], by[2], out=new)
+                new += e[t, 2]
+                new *= np.float32(2)
+                np.exp(new, out=new)
+                new += np.float32(1)
+                np.divide(np.float32(-2), new, out=new)
+                new += np.float32(1)
+                h = np.subtract(h, new, out=states[t])
+                h *= gates[0]
+                h += new
+        return states, [before, zr[:, 0], zr[:, 1], a[:, 2], cand] if keep else []
+
+    def _gates(self, weights: np.ndarray) -> np.ndarray:
+        """(rows, 3 * hidden) -> a copy as (3, rows, hidden)."""
+        return np.ascontiguousarray(weights.reshape(len(weights), 3, self.hidden).transpose(1, 0, 2))
 
     def _outputs(self, states: np.ndarray, want: np.ndarray, grad: bool):
         """Natural log-probabilities by position; with grad, gradients and the states' own."""
-        p, shape = self.p, self.shape
-        s, y = states.reshape(-1, self.hidden), want.ravel()
+        p, shape, n = self.p, self.shape, self.hidden
+        y = want.ravel()
+        # A last column of ones takes the biases; states lie within 1, so sums of weights bound the logits.
+        s = np.ones((len(y), n + 1), np.float32)
+        s[:, :n] = states.reshape(-1, n)
+        c, w = np.concatenate([p["c"], p["c_b"][None]]), np.concatenate([p["w"], p["w_b"][:, None]], 1)
         real = y >= 0
-        cls = shape.class_of(np.maximum(y, 0))
-        logits = s @ p["c"]
-        logits += p["c_b"]
-        out, e, total = softmax(logits, cls)
+        whole = bool(real.all())
+        cls = shape.class_of(y if whole else np.maximum(y, 0))
+        out, e, total = softmax(s @ c, cls, np.abs(c).sum(0).max() <= SAFE)
         grads: dict[str, np.ndarray] = {}
         ds = None
         if grad:
             d = e
-            d /= total[:, None]
-            d[np.arange(len(y)), cls] -= 1
-            d[~real] = 0
-            grads["c"], grads["c_b"] = s.T @ d, d.sum(0)
-            grads["w"], grads["w_b"] = np.zeros_like(p["w"]), np.zeros_like(p["w_b"])
+            d *= (1 / total)[:, None]
+            d.ravel()[np.arange(0, d.size, d.shape[1]) + cls] -= 1
+            if not whole:
+                d[~real] = 0
+            by_c = s.T @ d
+            grads["c"], grads["c_b"] = by_c[:n], by_c[n]
+            by_w = np.zeros_like(w)
+            grads["w"], grads["w_b"] = by_w[:, :n], by_w[:, n]
             ds = d @ p["c"].T
-        words = np.flatnonzero(real & (y < shape.words))
+        words = np.flatnonzero(y < shape.words) if whole else np.flatnonzero(real & (y < shape.words))
         words = words[np.argsort(cls[words].astype(np.uint16) if shape.word_classes <= 1 << 16 else cls[words], kind="stable")]
-        bounds = np.searchsorted(cls[words], np.arange(shape.word_classes + 1))
+        bounds = np.searchsorted(cls[words], np.arange(shape.word_classes + 1)).tolist()
+        # Rows in the order of their classes, so a class is a slice.
+        rows, places = s[words], y[words] - cls[words] * shape.per_class
+        values, by_rows, safe = np.empty(len(words), out.dtype), np.empty((len(words), n), np.float32), np.abs(w).sum(1).max() <= SAFE
         for k in range(shape.word_classes):
-            at = words[bounds[k] : bounds[k + 1]]
-            if len(at):
-                own = s[at]
-                logits = own @ p["w"][k]
-                logits += p["w_b"][k]
-                place = y[at] - k * shape.per_class
-                value, d, total = softmax(logits, place)
-                out[at] += value
+            at = slice(bounds[k], bounds[k + 1])
+            if at.start < at.stop:
+                own, place = rows[at], places[at]
+                values[at], d, total = softmax(own @ w[k], place, safe)
                 if grad:
-                    d /= total[:, None]
-                    d[np.arange(len(at)), place] -= 1
-                    grads["w"][k], grads["w_b"][k] = own.T @ d, d.sum(0)
-                    ds[at] += d @ p["w"][k].T
+                    d *= (1 / total)[:, None]
+                    d.ravel()[np.arange(0, d.size, d.shape[1]) + place] -= 1
+                    np.matmul(own.T, d, out=by_w[k])
+                    np.matmul(d, p["w"][k].T, out=by_rows[at])
+        out[words] += values
+        if grad:
+            ds[words] += by_rows
         out[~real] = 0
         return out.reshape(want.shape), grads, ds
 
@@ -261,21 +294,21 @@ class Gru:
         by_z = (before - new) * z * (1 - z)
         dh, fresh = np.zeros_like(states[0]), past == self.shape.tokens - 1
         some = fresh.any(1).tolist()
-        da, ut = np.empty((len(want), want.shape[1], 3 * n), np.float32), np.ascontiguousarray(u.T)
-        dx = np.empty_like(da)
+        da, ut = np.empty((len(want), 3, want.shape[1], n), np.float32), np.ascontiguousarray(self._gates(u).transpose(0, 2, 1))
+        by_cand = np.empty_like(states)
         for t in range(len(want) - 1, -1, -1):
             dh += ds[t]
-            d_new = np.multiply(dh, by_new[t], out=dx[t, :, 2 * n :])
-            np.multiply(dh, by_z[t], out=da[t, :, :n])
-            np.multiply(d_new, by_q[t], out=da[t, :, n : 2 * n])
-            np.multiply(d_new, r[t], out=da[t, :, 2 * n :])
+            d_new = np.multiply(dh, by_new[t], out=by_cand[t])
+            np.multiply(dh, by_z[t], out=da[t, 0])
+            np.multiply(d_new, by_q[t], out=da[t, 1])
+            np.multiply(d_new, r[t], out=da[t, 2])
             dh *= z[t]
-            dh += da[t] @ ut
+            for part in np.matmul(da[t], ut):
+                dh += part
             if some[t]:
                 dh[fresh[t]] = 0
-        dx[..., : 2 * n] = da[..., : 2 * n]
-        du = before.reshape(-1, n).T @ da.reshape(-1, 3 * n)
-        ids, rows = past.ravel(), dx.reshape(-1, 3 * n)
+        du = np.concatenate([before.reshape(-1, n).T @ da[:, k].reshape(-1, n) for k in range(3)], 1)
+        ids, rows = past.ravel(), np.concatenate([da[:, 0], da[:, 1], by_cand], -1).reshape(-1, 3 * n)
         # Short numbers are sorted by their digits.
         order = np.argsort(ids.astype(np.uint16) if self.shape.tokens <= 1 << 16 else ids, kind="stable")
         ids = ids[order]

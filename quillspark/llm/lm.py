@@ -24,6 +24,7 @@ condition says so. With no training text all counts are 0. An empty table gives
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -50,6 +51,25 @@ def rest_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % REST
 
 
+@functools.cache
+def _class_tables() -> tuple[np.ndarray, np.ndarray]:
+    """`rest_class` of the words of one byte and of two."""
+    return np.array([rest_class(bytes([k])) for k in range(1 << 8)]), np.array([rest_class(bytes([k >> 8, k & 255])) for k in range(1 << 16)])
+
+
+def rest_classes(words: pa.Array) -> np.ndarray:
+    """`rest_class` of each word of an array of large binaries without nulls."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    one, two = _class_tables()
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    sizes, ends = np.diff(ends), ends[1:]
+    letters = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    last, before = letters[np.maximum(ends - 1, 0)].astype(np.int64), letters[np.maximum(ends - 2, 0)].astype(np.int64)
+    return np.where(sizes > 1, two[before << 8 | last], np.where(sizes == 1, one[last], rest_class(b"")))
+
+
 def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, each token's place among them, tokens by text); the end token is word 0."""
     cut = pc.ascii_split_whitespace(pc.ascii_lower(own_texts(texts)))
@@ -81,8 +101,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 distinct, which, _ = coded_words(part.column(1))
                 n = np.bincount(which, minlength=len(distinct))
                 some = np.flatnonzero(n)
-                words = distinct.take(pa.array(some)).cast(pa.large_binary()).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([words, pa.array([rest_class(x) for x in words.to_pylist()], pa.int32()), pa.array(n[some], pa.int64())], names=["word", "rest", "c"])
+                words = distinct.take(pa.array(some)).cast(pa.large_binary())
+                yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(rest_classes(words).astype(np.int32)), pa.array(n[some], pa.int64())], names=["word", "rest", "c"])
             give_back()
 
     return docs.mapInArrow(run, "word binary, rest int, c long").groupBy("word", "rest").agg(F.sum("c").alias("c"))
@@ -97,11 +117,15 @@ class Head:
 
     def ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(model ids, place in the head or -1) of distinct words."""
-        place = pc.fill_null(pc.index_in(distinct.cast(pa.large_binary()), value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = place.copy()
-        other = np.flatnonzero((place < 0) | (place >= self.shape.words))
-        ids[other] = [self.shape.words + rest_class(x) for x in distinct.take(pa.array(other)).cast(pa.large_binary()).to_pylist()]
-        return ids, place
+        return self._ids(distinct.cast(pa.large_binary()), self.words)
+
+    def model_ids(self, distinct: pa.Array) -> np.ndarray:
+        """Model ids alone: words beyond the network's are told from it by a look in its few words."""
+        return self._ids(distinct.cast(pa.large_binary()), self.words[: self.shape.words])[0]
+
+    def _ids(self, words: pa.Array, among: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        place = pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.where((place < 0) | (place >= self.shape.words), self.shape.words + rest_classes(words), place), place
 
 
 def read_head(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
@@ -134,7 +158,7 @@ def read_head(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
 
 def _lanes(head: Head, texts: pa.Array, lanes: int) -> Lanes:
     distinct, which, sizes = coded_words(texts)
-    return Lanes(head.ids(distinct)[0][which], sizes, head.shape, lanes)
+    return Lanes(head.model_ids(distinct)[which], sizes, head.shape, lanes)
 
 
 def warm_start(docs: DataFrame, head: Head, params: dict, n_docs: int) -> tuple[dict, dict]:
@@ -144,7 +168,7 @@ def warm_start(docs: DataFrame, head: Head, params: dict, n_docs: int) -> tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             distinct, which, sizes = coded_words(batch.column(1))
-            ids, ends = head.ids(distinct)[0][which].astype(np.int32), np.cumsum(sizes)
+            ids, ends = head.model_ids(distinct)[which].astype(np.int32), np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)], pa.binary())], names=["doc_id", "ids"])
 
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < -(-WARM_DOCS * parts // max(1, n_docs))).limit(2 * WARM_DOCS)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid, lm
-from quillspark.llm.gru import Gru, Lanes, Shape, flat, initial, unflat
+from quillspark.llm.gru import HIDDEN, Gru, Lanes, Shape, flat, initial, unflat
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -204,3 +204,32 @@ def test_a_window_updates_only_the_rows_that_it_uses():
     before = {k: v.copy() for k, v in model.p.items()}
     model.train(lanes, 0.1)
     assert [k for k in range(shape.tokens) if (model.p["x"][k] != before["x"][k]).any()] == rows.tolist()
+
+
+def test_word_classes_of_arrays():
+    words = pa.array([b"", b"a", b"ab", b"xyz", b"\xff\xfe", "é".encode(), b"\xff"] * 3, pa.large_binary())
+    for part in (words, words.slice(3, 9), words.slice(0, 0), pa.array([b""], pa.large_binary())):
+        assert lm.rest_classes(part).tolist() == [lm.rest_class(x) for x in part.to_pylist()]
+    head = lm.Head([b"the", b"of", b"rare"], [5, 3, 1], Shape(2, 2, lm.REST))
+    asked = pa.array(["of", "rare", "new", "the"], pa.large_string())
+    assert head.model_ids(asked).tolist() == head.ids(asked)[0].tolist() == [1, 2 + lm.rest_class(b"rare"), 2 + lm.rest_class(b"new"), 0]
+
+
+@pytest.mark.parametrize("by", [1, 40, 4000])
+def test_network_against_plain_formulas(by):
+    """Gates and probabilities by exponentials, for weights within the safe bound and far beyond it."""
+    rng, shape = np.random.default_rng(5), Shape(20, 4, 3)
+    params = {k: (v * by).astype(np.float32) for k, v in initial(shape, np.arange(1.0, 24.0)).items()}
+    ids = rng.integers(0, 23, 30)
+    p, h, past, want = {k: v.astype(np.float64) for k, v in params.items()}, np.zeros(HIDDEN), shape.tokens - 1, 0.0
+    log_softmax = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    n = HIDDEN
+    for y in ids.tolist():
+        e, a = p["x"][past], h @ p["u"]
+        z, r = (0.5 + 0.5 * np.tanh((e[k * n : k * n + n] + a[k * n : k * n + n]) / 2) for k in range(2))
+        c = np.tanh(e[2 * n :] + r * a[2 * n :])
+        h, past = c + z * (h - c), y
+        k = int(shape.class_of(np.array([y]))[0])
+        want += log_softmax(h @ p["c"] + p["c_b"])[k] + (log_softmax(h @ p["w"][k] + p["w_b"][k])[y - 5 * k] if y < 20 else 0)
+    got = Gru(shape, params).score(Lanes(ids, np.array([30]), shape, 4))
+    assert np.isfinite(got).all() and abs(got[0] - want) <= 2e-3 * max(1, abs(want))
