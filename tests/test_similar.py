@@ -95,3 +95,38 @@ def test_all_sources_together(spark):
     assert set(got) == {"fone", "alphabeta", "corespondanse"}
     empty = suggest.suggestions(asked(spark, []), lex, ["d", "e"], rules={"d": rules})
     assert empty.count() == 0
+
+
+def plain_parts(words, known, rules):
+    """(word) -> rewritten, split: the first five each, by trying all places."""
+    made, cut = {}, {}
+    for w in words:
+        k, best = w.lower(), {}
+        for place, (a, b, *_) in enumerate(rules):
+            for at in range(len(k)):
+                if k[at:].startswith(a):
+                    new = k[:at] + b + k[at + len(a) :]
+                    if set(new.split(" ")) <= known:
+                        best[new] = min(best.get(new, (place, at)), (place, at))
+        halves = [(abs(2 * at - len(k)), f"{k[:at]} {k[at:]}") for at in range(1, len(k)) if {k[:at], k[at:]} <= known]
+        for out, found in ((made, sorted((v, x) for x, v in best.items())), (cut, sorted(halves))):
+            if found:
+                out[w, "d"] = [x for _, x in found[:5]]
+    return made, cut
+
+
+def test_rewritings_and_splits_are_dealt_by_the_letters_asked(spark, monkeypatch):
+    monkeypatch.setattr(similar, "LETTERS", 100, raising=False)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(["an", "be", "é", "s", "nd"]) for _ in range(rng.randint(1, 6)))
+    # Very many words begin with one known word.
+    known = {*(word() for _ in range(200)), "s"}
+    words = sorted({*(word() for _ in range(150)), *("s" + word() for _ in range(150))} - known)
+    rules = lexicon.parse_affixes("REP 4\nREP an ben\nREP nd d_s\nREP s an\nREP be s_s\nMAP 1\nMAP eé\n")
+    lex = lexicon.from_words(spark, sorted(known), "d")
+    made, cut = plain_parts(words, known, similar.replacements(rules))
+    for rows, want in ((similar.rewritten(asked(spark, [*words, "", None]), lex, rules), made), (similar.split_in_two(asked(spark, [*words, "", None]), lex), cut)):
+        # The session has 4 partitions and its rows are few, but no task holds more than its share.
+        sizes = [len(x) for x in rows.rdd.glom().collect()]
+        assert len(sizes) >= sum(map(len, words)) // 100 > 8 and max(sizes) <= sum(sizes) / 3
+        assert lists(rows) == want and len(want) > 10
